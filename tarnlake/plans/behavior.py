@@ -74,6 +74,23 @@ def user_events_hourly(user_events: DataFrame, size: str = "1 hour") -> DataFram
     ).select("event_type", F.col("window.start").alias("event_hour"), "user_count", "event_count")
 
 
+def user_event_counts(user_events: DataFrame, size: str = "1 hour") -> DataFrame:
+    """Events per type, hour and user: kept as a keyed table it gives exact distinct users at any
+    time, also for hours that are still open."""
+    return (
+        user_events.groupBy("event_type", "user_id", F.window("event_time", size))
+        .agg(F.count("*").alias("event_count"))
+        .select("event_type", "user_id", F.col("window.start").alias("event_hour"), "event_count")
+    )
+
+
+def hourly_from_counts(counts: DataFrame) -> DataFrame:
+    """Distinct users and events per type and hour from the counts per user."""
+    return counts.groupBy("event_type", "event_hour").agg(
+        F.count("user_id").alias("user_count"), F.sum("event_count").alias("event_count")
+    )
+
+
 def behavior_windows(user_events: DataFrame, size: str = "5 minutes") -> DataFrame:
     """Distinct users and events per type and five-minute window."""
     return distinct_per_group(

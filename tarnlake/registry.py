@@ -7,9 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnlake.functions import ntz_columns
+from tarnlake.lake import LakeTable, changelog, maintenance
 from tarnlake.operators import latest_per_key, timeseries
-from tarnlake.plans import behavior, forest, hourly, logs, orders, profile, quality, sales, words
-from tarnlake.sources import tables
+from tarnlake.plans import (
+    behavior, forest, hourly, logs, orders, profile, quality, sales, staged, words,
+)
+from tarnlake.schemas import TABLES, TOPICS, TableSpec
+from tarnlake.session import scratch_dir
+from tarnlake.sources import messages, tables
+from tarnlake.streaming import jobs
+from tarnlake.streaming.runner import RunSettings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -364,3 +372,245 @@ def quality_forest(spark, sf):
         tables.table(spark, sf, "documents"), tables.table(spark, sf, "labels")
     )
     return forest.train_forest(features, "quality", "doc_id")
+
+
+# --- change logs ------------------------------------------------------------------------------
+
+_USER = ["user_id"]
+_USER_ORDER = ["event_time", "event_id"]
+
+
+@query
+def lake_current_state(spark, sf):
+    return changelog.current_state(tables.user_changes(spark, sf), _USER, _USER_ORDER)
+
+
+@query
+def lake_state_at_version(spark, sf):
+    log = changelog.upto_version(tables.user_changes(spark, sf), 10)
+    return changelog.current_state(log, _USER, _USER_ORDER)
+
+
+@query
+def lake_state_at_time(spark, sf):
+    log = changelog.upto_time(tables.user_changes(spark, sf), "2024-01-05 12:00:00")
+    return changelog.current_state(log, _USER, _USER_ORDER)
+
+
+@query
+def lake_changes_between(spark, sf):
+    return changelog.between_versions(tables.user_changes(spark, sf), 5, 10)
+
+
+@query
+def lake_change_log(spark, sf):
+    return tables.user_changes(spark, sf)
+
+
+@query
+def lake_snapshots(spark, sf):
+    return changelog.snapshots(tables.user_changes(spark, sf))
+
+
+@query
+def lake_delete_where(spark, sf):
+    state = changelog.current_state(tables.user_changes(spark, sf), _USER, _USER_ORDER)
+    return changelog.delete_changes(state, F.col("event_type") == "view")
+
+
+@query
+def lake_latest_order_lines(spark, sf):
+    """A large log whose key is repeated: the line shipped last stays."""
+    return latest_per_key(
+        tables.order_lines(spark, sf), ["l_orderkey", "l_linenumber"],
+        ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"],
+    )
+
+
+@query
+def lake_column_statistics(spark, sf):
+    events = tables.table(spark, sf, "events")
+    return maintenance.column_statistics(events, ["event_id", "user_id", "event_type", "props"], exact=True)
+
+
+# --- lake tables on storage -------------------------------------------------------------------
+
+def _orders_spec(spark, sf) -> TableSpec:
+    schema = tables.table(spark, sf, "orders").schema
+    return TableSpec(
+        "orders", schema, ("o_orderkey",), order_by=("o_orderdate",), bucket_by="o_orderkey", buckets=8
+    )
+
+
+def _orders_table(spark, sf) -> LakeTable:
+    """All orders, then new prices for finished ones, a deletion, and open ones put back."""
+    rows = tables.table(spark, sf, "orders")
+    target = LakeTable(spark, _orders_spec(spark, sf), scratch_dir(spark, "orders")).create()
+    target.commit(rows)
+    target.commit(rows.where("o_orderstatus = 'F'").withColumn("o_totalprice", F.col("o_totalprice") + 1))
+    target.delete_where(F.col("o_orderpriority") == "5-LOW")
+    target.commit(rows.where("o_orderstatus = 'O' AND o_orderpriority = '5-LOW'"))
+    return target
+
+
+@query
+def lake_table_merge(spark, sf):
+    return _orders_table(spark, sf).read()
+
+
+@query
+def lake_table_time_travel(spark, sf):
+    return _orders_table(spark, sf).read(version=2)
+
+
+@query
+def lake_table_changes(spark, sf):
+    return _orders_table(spark, sf).changes(1, 3).drop("_commit_ts")
+
+
+@query
+def lake_table_compacted(spark, sf):
+    """A base in the middle of the log, and commits after it."""
+    target = _orders_table(spark, sf)
+    maintenance.compact(target, 3)
+    return target.read()
+
+
+@query
+def lake_partitioned_events(spark, sf):
+    """Events in the day-partitioned layout with eight buckets, one day read back."""
+    target = LakeTable(spark, TABLES["user_events_indexed"], scratch_dir(spark, "indexed")).create()
+    target.commit(tables.user_events(spark, sf))
+    day = target.read().where(F.col("event_date") == F.lit("2024-01-02").cast("date"))
+    return ntz_columns(day)
+
+
+@query
+def lake_bucketed_events(spark, sf):
+    """Events hash-distributed on the user in ten buckets, counted per user from the copy."""
+    path = scratch_dir(spark, "bucketed")
+    name = "bucketed_" + path.rsplit("-", 1)[-1]
+    maintenance.write_bucketed(
+        tables.user_events(spark, sf), name, "user_id", 10, ["user_id", "event_time"], path=path
+    )
+    return spark.table(name).groupBy("user_id").agg(
+        F.count("*").alias("event_count"), F.max("event_time").alias("last_time")
+    )
+
+
+@query
+def backup_restored_events(spark, sf):
+    path = scratch_dir(spark, "backup")
+    maintenance.backup(tables.table(spark, sf, "events"), path)
+    return maintenance.restore(spark, path)
+
+
+# --- messages and staged load -----------------------------------------------------------------
+
+def _event_messages(spark, sf):
+    """Events as messages. Sign-ups use another name for the time, errors are cut short."""
+    events = tables.user_events(spark, sf).drop("event_date")
+    text = F.to_json(F.struct("user_id", "event_type", "event_time", F.col("properties")))
+    return events.select(
+        F.when(F.col("event_type") == "signup", F.replace(text, F.lit("event_time"), F.lit("timestamp")))
+        .when(F.col("event_type") == "error", F.concat(F.lit("{"), text))
+        .otherwise(text).alias("value")
+    )
+
+
+@query
+def message_roundtrip(spark, sf):
+    topic = TOPICS["user-behavior"]
+    sent = messages.encode(tables.user_behavior(spark, sf))
+    return ntz_columns(messages.good_rows(messages.decode(sent, topic.schema), topic.event_time))
+
+
+@query
+def message_dead_letters(spark, sf):
+    topic = TOPICS["user-events"]
+    decoded = messages.decode(_event_messages(spark, sf), topic.schema)
+    bad = messages.dead_letters(decoded, topic.event_time)
+    return bad.groupBy("reason").agg(F.count("*").alias("messages"))
+
+
+@query
+def staged_load_audit(spark, sf):
+    topic = TOPICS["user-events"]
+    return staged.run_stages(
+        _event_messages(spark, sf), scratch_dir(spark, "staged"), topic.schema, topic.event_time,
+        keys=["user_id", "event_type"], order_by=["event_time"],
+    )
+
+
+# --- streams: the whole events table through the streaming jobs ---------------------------------
+
+def _event_stream(spark, sf, time_column, lateness, rows_from):
+    # A pattern in place of the plain name: streams take a pattern for a file as well as a folder.
+    events = spark.readStream.schema(tables.table(spark, sf, "events").schema).parquet(f"{sf}/events.parque[t]")
+    rows = rows_from(events).withColumn(time_column, F.col(time_column).cast("timestamp"))
+    return rows.withWatermark(time_column, lateness)
+
+
+def _behavior_stream(spark, sf):
+    return _event_stream(spark, sf, "ts", "5 seconds", tables.behavior_from)
+
+
+def _order_stream(spark, sf):
+    return _event_stream(spark, sf, "order_time", "10 seconds", tables.orders_from)
+
+
+def _run(spark, name, start) -> DataFrame:
+    """Run a streaming job to the end of its input and read its table."""
+    target = LakeTable(spark, TABLES[name], scratch_dir(spark, name)).create()
+    start(target, RunSettings(scratch_dir(spark, "progress"), interval=None)).awaitTermination()
+    return ntz_columns(target.read().select(*target.spec.schema.names))
+
+
+@query
+def stream_user_behavior_summary(spark, sf):
+    rows = _behavior_stream(spark, sf)
+    return _run(spark, "user_behavior_summary", lambda t, s: jobs.user_behavior_summary(rows, t, s))
+
+
+@query
+def stream_order_summary(spark, sf):
+    rows = _order_stream(spark, sf)
+    return _run(spark, "order_summary", lambda t, s: jobs.order_summary(rows, t, s))
+
+
+@query
+def stream_product_sales_stats(spark, sf):
+    rows = _order_stream(spark, sf)
+    return _run(
+        spark, "product_sales_stats",
+        lambda t, s: jobs.product_sales_stats(rows, lambda session: tables.products(session, sf), t, s),
+    )
+
+
+@query
+def stream_hourly_aggregations(spark, sf):
+    return _run(
+        spark, "hourly_aggregations",
+        lambda t, s: jobs.hourly_aggregations(_behavior_stream(spark, sf), _order_stream(spark, sf), t, s),
+    )
+
+
+@query
+def stream_word_count(spark, sf):
+    rows = _event_stream(spark, sf, "ts", "5 seconds", tables.words_from)
+    return _run(spark, "word_count", lambda t, s: jobs.word_count(rows, t, s))
+
+
+@query
+def stream_user_events_hourly(spark, sf):
+    rows = _event_stream(spark, sf, "event_time", "5 seconds", tables.user_events_from)
+    counts = _run(spark, "user_event_counts", lambda t, s: jobs.user_event_counts(rows, t, s))
+    return behavior.hourly_from_counts(counts)
+
+
+@query
+def stream_ingest_events(spark, sf):
+    rows = _event_stream(spark, sf, "event_time", "5 seconds", tables.user_events_from).drop("event_date")
+    path = scratch_dir(spark, "ingested")
+    jobs.ingest_events(rows, path, RunSettings(scratch_dir(spark, "progress"), interval=None)).awaitTermination()
+    return ntz_columns(spark.read.parquet(path))

@@ -37,6 +37,7 @@ class TableSpec:
     write. ``partition_by`` names key columns or columns computed from keys only: a change of a row
     then always lands in the partition of the row it replaces, and filters on the partition can be
     applied before the merge. ``order_by`` decides, within one commit, which row of a key is last.
+    ``time_column`` is what a retention looks at in a table without a date partition.
     """
 
     name: str
@@ -48,10 +49,12 @@ class TableSpec:
     bucket_by: str | None = None
     buckets: int = 4
     target_file_size: str = "64MB"
+    time_column: str | None = None
 
     def __post_init__(self) -> None:
         known = set(self.schema.names) | set(self.computed)
-        for column in (*self.keys, *self.partition_by, *self.order_by, *filter(None, [self.bucket_by])):
+        single = [c for c in (self.bucket_by, self.time_column) if c]
+        for column in (*self.keys, *self.partition_by, *self.order_by, *single):
             if column not in known:
                 raise ValueError(f"table {self.name}: no column {column}")
 
@@ -114,11 +117,12 @@ TABLES = {
                           total_spent=_money(15), favorite_category=_TEXT,
                           last_activity_time=_TIME, update_time=_TIME),
                   ("user_id",), order_by=("total_behaviors", "last_activity_time"),
-                  bucket_by="user_id"),
+                  bucket_by="user_id", time_column="update_time"),
         TableSpec("real_time_recommendations",
                   _schema(user_id=_LONG, recommended_products=T.ArrayType(_LONG),
                           recommendation_score=_money(5, 4), recommendation_time=_TIME),
-                  ("user_id",), order_by=("recommendation_time",), bucket_by="user_id"),
+                  ("user_id",), order_by=("recommendation_time",), bucket_by="user_id",
+                  time_column="recommendation_time"),
         TableSpec("dq_record_count",
                   _schema(table_name=_TEXT, metric_type=_TEXT, metric_value=_LONG,
                           quality_score=_money(5), check_time=_TIME),
@@ -153,6 +157,10 @@ TABLES = {
                   _schema(event_type=_TEXT, event_hour=_TIME, user_count=_LONG, event_count=_LONG),
                   ("event_type", "event_hour"), {"event_date": "to_date(event_hour)"},
                   ("event_date",), bucket_by="event_type"),
+        TableSpec("user_event_counts",
+                  _schema(event_type=_TEXT, user_id=_LONG, event_hour=_TIME, event_count=_LONG),
+                  ("event_type", "user_id", "event_hour"), {"event_date": "to_date(event_hour)"},
+                  ("event_date",), bucket_by="user_id"),
         TableSpec("sales_summary",
                   _schema(category=_TEXT, region=_TEXT, sale_date=_DAY, total_revenue=_money(15),
                           total_quantity=_LONG, order_count=_LONG, avg_price=_money(10)),
