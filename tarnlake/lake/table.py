@@ -263,7 +263,8 @@ class LakeTable:
 
     def stream_changes(self, max_files: int | None = None) -> DataFrame:
         """The commits as a stream of change rows, for a job that follows this table."""
-        reader = self.spark.readStream.schema(self._log_schema()).option("basePath", self.path)
+        inside_layer = T.StructType([f for f in self._log_schema().fields if f.name != "_layer"])
+        reader = self.spark.readStream.schema(inside_layer)
         if max_files is not None:
             reader = reader.option("maxFilesPerTrigger", max_files)
         folders.make(self.spark, f"{self.path}/_layer=delta")

@@ -1,0 +1,396 @@
+"""Streaming runs: decoding, watermarks, restarts, sinks, equality with batch."""
+
+import os
+
+import pytest
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
+
+from conftest import rows_of
+from tarnlake.lake import LakeTable, maintenance
+from tarnlake.plans import behavior, hourly, orders, profile, quality, sales, words
+from tarnlake.schemas import TABLES, TOPICS
+from tarnlake.sources import external, messages
+from tarnlake.streaming import jobs, runner
+from tarnlake.streaming.runner import RunSettings
+
+TICK = "2024-01-01 00:00:00"
+
+
+class Feed:
+    """A folder of message files; every file is a micro-batch."""
+
+    def __init__(self, folder):
+        self.path = f"{folder}/feed"
+        os.makedirs(self.path)
+        self.files = 0
+
+    def add(self, *lines):
+        self.files += 1
+        # Files are taken in the order of their time of change.
+        name = f"{self.path}/{self.files:04d}.txt"
+        with open(name, "w") as file:
+            file.write("\n".join(lines) + "\n")
+        os.utime(name, (1_700_000_000 + self.files, 1_700_000_000 + self.files))
+
+
+def word(at, text="a", count=1):
+    return f'{{"word": "{text}", "count": {count}, "ts": "2024-01-01T{at}.000Z"}}'
+
+
+def topic_stream(spark, feed, name, max_files=1):
+    return messages.topic_rows(messages.read_folder(spark, feed.path, max_files), TOPICS[name])
+
+
+def settings(folder, name="progress"):
+    return RunSettings(f"{folder}/{name}", interval=None)
+
+
+def table(spark, folder, name):
+    return LakeTable(spark, TABLES[name], f"{folder}/{name}").create()
+
+
+def test_kafka_options():
+    options = messages.kafka_options(TOPICS["user-behavior"], "broker:9092", max_per_trigger=1000, min_partitions=64)
+    assert options["subscribe"] == "user-behavior" and options["startingOffsets"] == "latest"
+    assert options["kafka.group.id"] == "user-behavior-group"
+    assert options["maxOffsetsPerTrigger"] == "1000" and options["minPartitions"] == "64"
+
+
+def test_topics_and_lateness():
+    assert {t.name: t.lateness for t in TOPICS.values()} == {
+        "user-behavior": "5 seconds", "orders": "10 seconds", "products": "5 seconds",
+        "user-events": "5 seconds", "sales-data": "1 day", "word-count-input": "5 seconds"}
+
+
+def test_decoding_of_the_three_message_shapes(spark):
+    lines = [
+        '{"user_id": 1, "event_type": "click", "event_time": "2024-01-01T00:00:00.000Z", "properties": {"page": "/home"}}',
+        '{"user_id": 2, "event_type": "click", "timestamp": "2024-01-01T00:00:00.000Z", "properties": {"page": "/home"}}',
+        '{"user_id": 3, "event_type"',
+        '{"user_id": "x", "event_type": "click", "event_time": "2024-01-01T00:00:00.000Z"}',
+    ]
+    topic = TOPICS["user-events"]
+    decoded = messages.decode(spark.createDataFrame([(v,) for v in lines], "value string"), topic.schema)
+    good = messages.good_rows(decoded, topic.event_time).collect()
+    assert [(r.user_id, r.properties) for r in good] == [(1, '{"page":"/home"}')]
+    bad = messages.dead_letters(decoded, topic.event_time)
+    assert rows_of(bad) == sorted(
+        [(lines[1], "no event time"), (lines[2], "malformed"), (lines[3], "malformed")], key=repr)
+
+
+def test_windows_are_written_while_open_and_completed(spark, folder):
+    feed, target = Feed(folder), table(spark, folder, "word_count")
+    feed.add(word("00:00:01"), word("00:00:20", count=4))
+    feed.add(word("00:00:40"), word("00:01:10"))
+    rows = topic_stream(spark, feed, "word-count-input")
+    jobs.word_count(rows, target, settings(folder)).awaitTermination()
+    assert [n for _, n in rows_of(target.read(version=1), "window_start", "count")] == [5]
+    assert [n for _, n in rows_of(target.read(), "window_start", "count")] == [6, 1]
+
+
+def test_late_rows_are_dropped_and_allowed_ones_counted(spark, folder):
+    feed, target = Feed(folder), table(spark, folder, "word_count")
+    feed.add(word("00:00:30"))
+    feed.add(word("00:01:03"))            # watermark 00:00:58: the first window is still open
+    feed.add(word("00:00:59"))            # late but allowed
+    feed.add(word("00:05:00"))            # moves the watermark past it
+    feed.add(word("00:05:20"))            # closes it
+    feed.add(word("00:00:10"), word("00:05:10"))   # the first one is too late
+    rows = topic_stream(spark, feed, "word-count-input")
+    jobs.word_count(rows, target, settings(folder)).awaitTermination()
+    assert [n for _, n in rows_of(target.read(), "window_start", "count")] == [2, 1, 3]
+
+
+def test_restart_from_the_checkpoint_counts_once(spark, folder):
+    feed, target = Feed(folder), table(spark, folder, "word_count")
+    feed.add(word("00:00:01"), word("00:00:02"))
+    run = lambda: jobs.word_count(topic_stream(spark, feed, "word-count-input"), target, settings(folder))
+    run().awaitTermination()
+    feed.add(word("00:00:03"))
+    run().awaitTermination()
+    run().awaitTermination()
+    assert [n for _, n in rows_of(target.read(), "window_start", "count")] == [3]
+
+
+def test_a_failing_batch_is_retried_and_counts_once(spark, folder):
+    feed, target = Feed(folder), table(spark, folder, "word_count")
+    target.commit(spark.sql("SELECT 'old' AS word, 9L AS count, TIMESTAMP '2023-01-01' AS window_start, "
+                            "TIMESTAMP '2023-01-01 00:01:00' AS window_end"))
+    feed.add(word("00:00:01"))
+    feed.add(word("00:00:02"))
+    marker = f"{folder}/failed"
+
+    def fail_once(batch):
+        if batch.where("count = 2").count() and not os.path.exists(marker):
+            open(marker, "w").close()
+            raise RuntimeError("lost")
+        return batch
+
+    def start():
+        rows = words.word_count_sum(topic_stream(spark, feed, "word-count-input"))
+        return runner.upsert_stream(rows, target, settings(folder), enrich=fail_once)
+
+    runner.run_with_restarts(start, attempts=3, delay_seconds=0)
+    assert os.path.exists(marker)
+    assert [n for _, n in rows_of(target.read(), "word", "count")] == [2, 9]
+    assert sorted(target.deltas())[0] == 1
+
+
+def test_restarts_end(spark, folder):
+    feed, target = Feed(folder), table(spark, folder, "word_count")
+    feed.add(word("00:00:01"))
+    started = []
+
+    def broken(batch):
+        raise RuntimeError("always")
+
+    def start():
+        started.append(1)
+        rows = words.word_count_sum(topic_stream(spark, feed, "word-count-input"))
+        return runner.upsert_stream(rows, target, settings(folder), enrich=broken)
+
+    with pytest.raises(StreamingQueryException):
+        runner.run_with_restarts(start, attempts=3, delay_seconds=0)
+    assert len(started) == 4
+
+
+def event(at, user, kind="click"):
+    return (f'{{"user_id": {user}, "event_type": "{kind}", "event_time": "2024-01-01T{at}.000Z", '
+            f'"properties": {{"page": "/home"}}}}')
+
+
+def test_exact_distinct_users_on_a_stream(spark, folder):
+    feed, target = Feed(folder), table(spark, folder, "user_events_hourly")
+    feed.add(event("00:10:00", 1), event("00:20:00", 2), event("00:30:00", 1))
+    feed.add(event("00:40:00", 2), event("00:59:59", 3), event("01:10:00", 1, "view"))
+    feed.add(event("09:00:00", 9))
+    feed.add(event("09:30:00", 9))
+    rows = topic_stream(spark, feed, "user-events")
+    jobs.user_events_hourly(rows, target, settings(folder)).awaitTermination()
+    found = rows_of(target.read(), "event_type", "user_count", "event_count")
+    assert found == [("click", 3, 5), ("view", 1, 1)]
+
+
+def test_distinct_users_through_a_table_need_no_watermark(spark, folder):
+    feed, target = Feed(folder), table(spark, folder, "user_event_counts")
+    feed.add(event("00:10:00", 1), event("00:20:00", 2), event("00:30:00", 1))
+    feed.add(event("00:40:00", 2), event("00:50:00", "null"))
+    jobs.user_event_counts(topic_stream(spark, feed, "user-events"), target, settings(folder)).awaitTermination()
+    found = behavior.hourly_from_counts(target.read())
+    assert rows_of(found, "event_type", "user_count", "event_count") == [("click", 2, 5)]
+
+
+def test_five_minute_windows_to_files(spark, folder):
+    feed = Feed(folder)
+    feed.add(event("00:01:00", 1), event("00:02:00", 1), event("00:06:00", 2))
+    feed.add(event("09:00:00", 9))
+    feed.add(event("09:30:00", 9))
+    jobs.behavior_windows(topic_stream(spark, feed, "user-events"), f"{folder}/out", settings(folder)).awaitTermination()
+    found = spark.read.parquet(f"{folder}/out")
+    assert rows_of(found, "unique_users", "total_events") == [(1, 1), (1, 1), (1, 2)]
+
+
+def test_word_count_files_have_a_success_marker(spark, folder):
+    feed = Feed(folder)
+    feed.add(word("00:00:01"), word("00:00:02"), word("00:10:00"))
+    feed.add(word("00:20:00"))
+    rows = topic_stream(spark, feed, "word-count-input")
+    jobs.word_count_files(rows, f"{folder}/out", settings(folder)).awaitTermination()
+    assert rows_of(spark.read.parquet(f"{folder}/out"), "word", "count") == [("a", 1), ("a", 2)]
+    assert all(os.path.exists(f"{folder}/out/{d}/_SUCCESS") for d in os.listdir(f"{folder}/out"))
+
+
+def test_sales_trend_uses_the_day_as_time(spark, folder):
+    feed = Feed(folder)
+    sale = '{{"id": {}, "product_name": "p", "category": "c", "price": 1.50, "quantity": 2, "sale_date": "{}", "region": "r"}}'
+    feed.add(sale.format(1, "2024-01-01"), sale.format(2, "2024-01-01"), sale.format(3, "2024-01-02"))
+    feed.add(sale.format(4, "2024-03-01"))
+    feed.add(sale.format(5, "2024-03-02"))
+    rows = topic_stream(spark, feed, "sales-data")
+    jobs.hourly_sales_trend(rows, f"{folder}/out", settings(folder)).awaitTermination()
+    found = spark.read.parquet(f"{folder}/out")
+    assert [(float(r.hourly_revenue), r.hourly_orders) for r in found.orderBy("hour_start").collect()] == [(6.0, 2), (3.0, 1)]
+
+
+def test_ingest_by_partition(spark, folder):
+    feed = Feed(folder)
+    feed.add(event("00:10:00", 1), "broken", event("00:11:00", 2))
+    rows = topic_stream(spark, feed, "user-events")
+    jobs.ingest_events(rows, f"{folder}/events", settings(folder)).awaitTermination()
+    assert os.path.isdir(f"{folder}/events/event_date=2024-01-01")
+    assert spark.read.parquet(f"{folder}/events").count() == 2
+    target = table(spark, folder, "user_events")
+    jobs.ingest_events_table(topic_stream(spark, feed, "user-events"), target, settings(folder, "p2")).awaitTermination()
+    assert rows_of(target.read(), "user_id") == [(1,), (2,)]
+
+
+def test_ingest_sales(spark, folder):
+    feed = Feed(folder)
+    feed.add('{"id": 1, "product_name": "p", "category": "c", "price": 1.5, "quantity": 2, "sale_date": "2024-01-01", "region": "r"}')
+    rows = topic_stream(spark, feed, "sales-data").drop("sale_timestamp")
+    jobs.ingest_sales(rows, f"{folder}/sales", settings(folder)).awaitTermination()
+    assert os.path.isdir(f"{folder}/sales/sale_date=2024-01-01")
+
+
+def order(at, order_id, product, price="10.00"):
+    return (f'{{"order_id": {order_id}, "user_id": 1, "product_id": {product}, "quantity": 2, '
+            f'"price": {price}, "order_time": "2024-01-01T{at}.000Z"}}')
+
+
+def product(at, product_id, name):
+    return (f'{{"product_id": {product_id}, "product_name": "{name}", "category": "c", "price": 1.00, '
+            f'"update_time": "2024-01-01T{at}.000Z"}}')
+
+
+def test_sales_join_the_latest_product(spark, folder):
+    feed, target = Feed(folder), table(spark, folder, "product_sales_stats")
+    feed.add(order("00:01:00", 1, 7), order("00:02:00", 2, 7), order("00:03:00", 3, 8))
+    updates = messages.decode(spark.createDataFrame(
+        [(product("00:00:00", 7, "old"),), (product("00:05:00", 7, "new"),)], "value string"),
+        TOPICS["products"].schema)
+    latest = lambda session: orders.latest_products(updates.drop("value", "_corrupt"))
+    jobs.product_sales_stats(topic_stream(spark, feed, "orders"), latest, target, settings(folder)).awaitTermination()
+    found = rows_of(target.read(), "product_id", "product_name", "total_sales", "total_revenue")
+    assert [(p, n, s, float(r)) for p, n, s, r in found] == [(7, "new", 4, 40.0), (8, None, 2, 20.0)]
+
+
+def test_stream_to_stream_left_join(spark, folder):
+    os.makedirs(f"{folder}/a"), os.makedirs(f"{folder}/b")
+    order_feed, product_feed = Feed(f"{folder}/a"), Feed(f"{folder}/b")
+    product_feed.add(product("00:00:00", 7, "early"), product("00:30:00", 7, "late"))
+    order_feed.add(*[order("00:10:00", i, 7) for i in range(20)], order("00:10:00", 99, 8))
+    order_feed.add(order("09:00:00", 100, 9))
+    product_feed.add(product("09:00:00", 1, "x"))
+    order_feed.add(order("09:00:01", 101, 9))
+    product_feed.add(product("09:00:01", 1, "x"))
+    joined = jobs.orders_with_products(
+        topic_stream(spark, order_feed, "orders"), topic_stream(spark, product_feed, "products"))
+    runner.file_sink(joined, f"{folder}/out", settings(folder)).awaitTermination()
+    found = rows_of(spark.read.parquet(f"{folder}/out").where("order_id < 100"), "order_id", "product_name")
+    assert found == sorted([(i, "early") for i in range(20)] + [(99, None)], key=repr)
+
+
+def test_a_summary_is_followed_by_a_later_job(spark, folder):
+    source = table(spark, folder, "user_behavior_summary")
+    copy = table(spark, folder, "user_behavior_wide")
+    values = ("SELECT 1L AS user_id, 'view' AS behavior_type, {}L AS behavior_count, "
+              "TIMESTAMP '2024-01-01 00:01:00' AS first_behavior_time, TIMESTAMP '2024-01-01 00:02:00' AS "
+              "last_behavior_time, TIMESTAMP '2024-01-01' AS window_start, TIMESTAMP '2024-01-01 00:05:00' AS window_end")
+    source.commit(spark.sql(values.format(1)))
+
+    def follow():
+        changed = source.stream_changes().where("_op = 'U'")
+        empty = spark.createDataFrame([], TABLES["order_summary"].schema)
+        runner.upsert_stream(changed, copy, settings(folder), output_mode="append",
+                             enrich=lambda batch: behavior.user_behavior_wide(batch, empty)).awaitTermination()
+
+    follow()
+    source.commit(spark.sql(values.format(5)))
+    follow()
+    assert rows_of(copy.read(), "user_id", "behavior_count", "order_count") == [(1, 5, 0)]
+    maintenance.compact(copy)
+    assert rows_of(copy.read(), "behavior_count") == [(5,)]
+
+
+def test_chained_jobs_over_tables(spark, folder):
+    """Streams fill the summaries; profile, recommendations and checks read them."""
+    feed = Feed(folder)
+    feed.add(*[f'{{"user_id": {i % 3}, "item_id": {i}, "category_id": 1, "behavior": "view", '
+               f'"ts": "2024-01-01T00:{i:02d}:00.000Z"}}' for i in range(30)])
+    os.makedirs(f"{folder}/o")
+    order_feed = Feed(f"{folder}/o")
+    order_feed.add(*[order(f"00:{i:02d}:30", i, i % 4, "600.00") for i in range(30)])
+    summary, order_table = table(spark, folder, "user_behavior_summary"), table(spark, folder, "order_summary")
+    stats = table(spark, folder, "product_sales_stats")
+    jobs.user_behavior_summary(topic_stream(spark, feed, "user-behavior"), summary, settings(folder, "1")).awaitTermination()
+    jobs.order_summary(topic_stream(spark, order_feed, "orders"), order_table, settings(folder, "2")).awaitTermination()
+    no_products = lambda session: session.createDataFrame([], TOPICS["products"].schema)
+    jobs.product_sales_stats(topic_stream(spark, order_feed, "orders"), no_products, stats, settings(folder, "3")).awaitTermination()
+    now = "2024-01-01 00:30:00"
+    profiles = table(spark, folder, "user_profile")
+    profiles.commit(profile.user_profile(profile.user_profile_changes(summary.read(), order_table.read(), now)))
+    assert rows_of(profiles.read(), "user_id", "total_behaviors", "total_orders") == [(0, 10, 0), (1, 10, 30), (2, 10, 0)]
+    found = profile.recommendations(profiles.read(), stats.read(), now).collect()
+    assert [(r.user_id, float(r.recommendation_score), len(r.recommended_products)) for r in found] == [(1, 0.9, 4)]
+    checks = quality.dq_record_count({"user_behavior_summary": summary.read(), "order_summary": order_table.read()}, now)
+    assert rows_of(checks, "table_name", "metric_value") == [("order_summary", 3), ("user_behavior_summary", 18)]
+
+
+def test_batch_equals_stream(spark, folder):
+    """The same job function on the same messages, read as a batch and as a stream."""
+    feed, target = Feed(folder), table(spark, folder, "hourly_aggregations")
+    lines = [f'{{"user_id": {i % 7}, "item_id": {i}, "category_id": 1, "behavior": "{"ab"[i % 2]}", '
+             f'"ts": "2024-01-01T{i // 60:02d}:{i % 60:02d}:00.000Z"}}' for i in range(300)]
+    for start in range(0, 300, 100):
+        feed.add(*lines[start:start + 100])
+    order_folder = f"{folder}/o"
+    os.makedirs(order_folder)
+    order_feed = Feed(order_folder)
+    order_feed.add(*[order(f"00:{i:02d}:30", i, 1, "0.99") for i in range(60)])
+    jobs.hourly_aggregations(
+        topic_stream(spark, feed, "user-behavior"), topic_stream(spark, order_feed, "orders"),
+        target, settings(folder)).awaitTermination()
+
+    def batch(path, name):
+        return messages.good_rows(messages.decode(spark.read.text(path), TOPICS[name].schema), TOPICS[name].event_time)
+
+    expected = hourly.hourly_aggregations(batch(feed.path, "user-behavior"), batch(order_feed.path, "orders"))
+    columns = ["aggregation_type", "aggregation_key", "aggregation_time", "aggregation_value"]
+    assert rows_of(target.read(), *columns) == rows_of(expected, *columns)
+    assert ("order_revenue", 118) in rows_of(expected, "aggregation_type", "aggregation_value")
+
+
+def test_generated_messages(spark):
+    found = messages.click_messages(spark, 10, per_second=2, pad_to=1000)
+    assert found.selectExpr("min(length(value))", "max(length(value))").first()[:] == (1000, 1000)
+    rows = messages.good_rows(messages.decode(found, TOPICS["user-events"].schema), "event_time")
+    assert rows.selectExpr("count(*)", "cast(max(event_time) AS string)").first()[:] == (10, "2024-01-01 00:00:04.5")
+
+
+def test_rate_stream(spark, folder):
+    stream = messages.word_messages(spark, ["hello", "world"], 50)
+    assert stream.isStreaming and stream.columns == ["value"]
+    query = runner.configured(
+        stream.writeStream.format("text").option("path", f"{folder}/out"),
+        RunSettings(f"{folder}/progress", interval="1 second")).start()
+    try:
+        while not query.recentProgress or sum(p.numInputRows for p in query.recentProgress) < 50:
+            query.awaitTermination(1)
+    finally:
+        query.stop()
+    rows = messages.good_rows(messages.decode(spark.read.text(f"{folder}/out"), TOPICS["word-count-input"].schema), "ts")
+    assert {r.word for r in rows.select("word").distinct().collect()} == {"hello", "world"}
+
+
+def test_message_files(spark, folder):
+    messages.write_folder(spark.range(3).selectExpr("id AS user_id"), f"{folder}/out")
+    assert rows_of(spark.read.text(f"{folder}/out")) == [(f'{{"user_id":{i}}}',) for i in range(3)]
+
+
+def test_defaults_of_the_runner():
+    assert (runner.INTERVAL, runner.ATTEMPTS, runner.RESTART_DELAY_SECONDS, runner.MINI_BATCH_ROWS) == (
+        "60 seconds", 3, 10.0, 1000)
+
+
+def test_state_is_kept_in_rocksdb(spark):
+    assert "RocksDB" in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_jdbc_options():
+    options = external.jdbc_options("jdbc:mysql://host:9030/db", "sales_data", "root", partition_column="id",
+                                    lower=1, upper=100, partitions=8)
+    assert options["partitionColumn"] == "id" and options["numPartitions"] == "8" and "password" not in options
+    with pytest.raises(ValueError):
+        external.jdbc_options("jdbc:mysql://host:9030/db", "sales_data", partition_column="id")
+
+
+def test_object_store_settings():
+    conf = external.object_store_conf("http://store:9000", "user", "secret")
+    assert conf["spark.hadoop.fs.s3a.path.style.access"] == "true"
+    assert conf["spark.hadoop.fs.s3a.connection.ssl.enabled"] == "false"
+
+
+def test_trend_in_batch_takes_the_day(spark):
+    df = spark.sql("SELECT 'c' AS category, 1.50BD AS price, 2 AS quantity, DATE '2024-01-01' AS sale_date")
+    assert sales.hourly_sales_trend(df).selectExpr("cast(hour_start AS string)").first()[0] == "2024-01-01 00:00:00"
