@@ -47,3 +47,18 @@ def value_of(path: str, column: str) -> str:
         if part.startswith(f"{column}="):
             return part[len(column) + 1:]
     raise ValueError(f"no {column} in {path}")
+
+
+def _names(spark: SparkSession):
+    return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+
+
+def partition_path(spark: SparkSession, values: dict[str, str | None]) -> str:
+    """``column=value/...`` with the escapes Spark uses in folder names."""
+    return "/".join(_names(spark).getPartitionPathString(c, v) for c, v in values.items())
+
+
+def partition_value(spark: SparkSession, path: str, column: str) -> str | None:
+    """The value of a partition column in a path, without escapes; None for the NULL partition."""
+    value = value_of(path, column)
+    return None if value == "__HIVE_DEFAULT_PARTITION__" else _names(spark).unescapePathName(value)

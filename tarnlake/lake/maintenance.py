@@ -23,15 +23,22 @@ SMALL_FILE_BYTES = 32 * 1024 * 1024
 def compact(table: LakeTable, version: int | None = None) -> int:
     """Fold the log up to a version (the newest by default) into a base; returns the version.
 
-    The base is a new folder that readers use once it is complete. The log stays for time travel
-    until it is expired. Running it again for the same version does nothing.
+    Only partitions with commits since the base before are read and written again. The base is a
+    new folder that readers use once it is complete. The log stays for time travel until it is
+    expired. Running it again for the same version does nothing.
     """
     version = table.latest_version() if version is None else version
-    if version and version not in table.bases():
-        known = {**table.bases(), **table.deltas()}
-        times = [v.committed_ms for n, v in known.items() if n <= version and v.committed_ms is not None]
-        state = table.read(version)
-        table._write(table._prepared(state, changelog.UPSERT), "base", version, max(times, default=0))
+    if not version or version in table.bases():
+        return version
+    known = {**table.bases(), **table.deltas()}
+    times = [v.committed_ms for n, v in known.items() if n <= version and v.committed_ms is not None]
+    state = table.read(version)
+    before, base = table._base_paths(version)
+    parts = None
+    if base and table.spec.partition_by:
+        parts = table.changed_partitions(before, version)
+        state = state.where(table.in_partitions(parts))
+    table._write_base(state, version, max(times, default=0), parts)
     return version
 
 
@@ -53,7 +60,7 @@ def files(table: LakeTable) -> DataFrame:
     Sizes and counts come from file metadata; no column is read.
     """
     base, deltas = table._pieces(None)
-    paths = [v.path for v in [base, *deltas] if v is not None and v.committed_ms is not None]
+    paths = [*base, *deltas]
     if not paths:
         return table.spark.createDataFrame([], "file_path string, bytes bigint, row_count bigint")
     rows = table.spark.read.schema(table._log_schema()).option("basePath", table.path).parquet(*paths)
@@ -123,12 +130,26 @@ def expire_snapshots(
     last = compact(table, expired[-1].number)
     for version in expired:
         folders.delete(table.spark, version.path)
-    for version in table.bases().values():
-        if version.number < last:
-            folders.delete(table.spark, version.path)
+    _remove_superseded_bases(table, last)
     return last
 
 
+def _remove_superseded_bases(table: LakeTable, last: int) -> None:
+    """Remove what newer bases up to ``last`` replace, partition by partition."""
+    bases = {n: v for n, v in table.bases().items() if n <= last}
+    kept, newer = {last}, set()
+    if table.spec.partition_by:
+        for number, part, path in reversed(table._partition_folders("base", bases)):
+            if part in newer:
+                folders.delete(table.spark, path)
+            else:
+                newer.add(part)
+                kept.add(number)
+    for number, version in bases.items():
+        if number not in kept:
+            folders.delete(table.spark, version.path)
+
+
 def drop_partitions_before(table: LakeTable, day: date | str, column: str | None = None) -> int:
     """Remove the partitions of days before ``day`` in all versions; returns how many folders.
 

@@ -8,13 +8,15 @@ Layout below the table folder::
 A commit counts once its folder has the ``_SUCCESS`` marker that Spark writes last. Writing a
 version again replaces its folder, so a batch that is retried after a failure leaves one copy.
 Versions are consecutive and there is one writer per table. A base is the folded log up to its
-version: reads start from the newest base and add the later commits.
+version, for the partitions that changed since the base before it; the first base has all of them.
+Reads take every partition from the newest base that has it and add the commits after the newest
+base. So the cost of a new base grows with the partitions that changed and not with the table.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Collection, Iterable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -82,6 +84,45 @@ class LakeTable:
         deltas = self.deltas()
         return max(deltas) if deltas else max(self.bases(), default=0)
 
+    def _partition_folders(self, layer: str, versions: Collection[int]) -> list[tuple[int, str, str]]:
+        """(version, partition part of the path, path) of the partitions, oldest version first."""
+        depth = "".join(f"/{column}=*" for column in self.spec.partition_by)
+        pattern = f"{self.path}/_layer={layer}/_commit_version=*/_commit_ms=*{depth}"
+        found = []
+        for path in folders.matching(self.spark, pattern):
+            number = int(folders.value_of(path, "_commit_version"))
+            if number in versions:
+                found.append((number, path.split("/_commit_ms=")[1].partition("/")[2], path))
+        return sorted(found)
+
+    def _base_paths(self, version: int) -> tuple[int, list[str]]:
+        """The newest base up to a version, and the folders that hold all partitions at it."""
+        bases = {n: v for n, v in self.bases().items() if n <= version}
+        if not bases:
+            return 0, []
+        newest = max(bases)
+        if len(bases) == 1 or not self.spec.partition_by:
+            return newest, [bases[newest].path]
+        folder_of = {part: path for _, part, path in self._partition_folders("base", bases)}
+        return newest, sorted(folder_of.values())
+
+    def changed_partitions(self, after: int, upto: int) -> list[str]:
+        """The partitions with commits in ``after < version <= upto``, from folder names."""
+        versions = [n for n in self.deltas() if after < n <= upto]
+        return sorted({part for _, part, _ in self._partition_folders("delta", versions)})
+
+    def in_partitions(self, parts: Collection[str]) -> Column:
+        """A filter for rows of the given partitions, which prunes folders."""
+        types = {f.name: f.dataType for f in self._file_schema().fields}
+        chosen = F.lit(False)
+        for part in parts:
+            same = F.lit(True)
+            for column in self.spec.partition_by:
+                value = folders.partition_value(self.spark, part, column)
+                same = same & F.col(column).eqNullSafe(F.lit(value).cast(types[column]))
+            chosen = chosen | same
+        return chosen
+
     def version_at(self, as_of: AsOf) -> int:
         """The newest version committed at or before a moment (UTC); 0 if there was none yet."""
         moment = as_of if isinstance(as_of, datetime) else datetime.fromisoformat(str(as_of))
@@ -106,7 +147,7 @@ class LakeTable:
         prepared = rows.select(*columns, kind.alias("_op"))
         return prepared.withColumns({n: F.expr(text) for n, text in self.spec.computed.items()})
 
-    def _write(self, rows: DataFrame, layer: str, version: int, committed_ms: int) -> None:
+    def _write(self, rows: DataFrame, target: str, mode: str, committed_ms: int) -> None:
         """Write about one file per target size and partition.
 
         Rows are brought together by partition and bucket; adaptive execution splits a group that
@@ -118,10 +159,26 @@ class LakeTable:
         out = brought_together(out, spec.partition_by, spec.bucket_by, spec.buckets)
         ordering = ["_commit_ms", *spec.partition_by, *[spec.bucket_by] * bool(spec.bucket_by)]
         out = out.sortWithinPartitions(*ordering)
-        target = f"{self.path}/_layer={layer}/_commit_version={version}"
         options = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": spec.target_file_size}
         with session_conf(rows.sparkSession, options):
-            out.write.mode("overwrite").partitionBy("_commit_ms", *spec.partition_by).parquet(target)
+            out.write.mode(mode).partitionBy("_commit_ms", *spec.partition_by).parquet(target)
+
+    def _write_delta(self, rows: DataFrame, op: str, version: int, committed_ms: int) -> None:
+        target = f"{self.path}/_layer=delta/_commit_version={version}"
+        self._write(self._prepared(rows, op), target, "overwrite", committed_ms)
+
+    def _write_base(
+        self, rows: DataFrame, version: int, committed_ms: int, parts: Collection[str] | None
+    ) -> None:
+        """Write the state of the given partitions (None: of all) as the base of a version.
+
+        Their folders are made first: one without files tells that nothing is left of a partition.
+        """
+        target = f"{self.path}/_layer=base/_commit_version={version}"
+        folders.delete(self.spark, target)
+        for part in parts or []:
+            folders.make(self.spark, f"{target}/_commit_ms={committed_ms}/{part}")
+        self._write(self._prepared(rows, changelog.UPSERT), target, "append", committed_ms)
 
     def commit(
         self,
@@ -144,7 +201,7 @@ class LakeTable:
         if version > latest:
             self._drop_unfinished_base(version)
         committed_ms = int(time.time() * 1000) if committed_ms is None else committed_ms
-        self._write(self._prepared(rows, op), "delta", version, committed_ms)
+        self._write_delta(rows, op, version, committed_ms)
         return version
 
     def _drop_unfinished_base(self, version: int) -> None:
@@ -156,20 +213,29 @@ class LakeTable:
     def delete_where(self, condition: Column, committed_ms: int | None = None) -> int:
         """Delete the rows for which the condition is true, as a new version.
 
-        A keyed table gets one delete row per key. An append table has no keys to refer to: its
-        remaining rows are written as a base of the new version.
+        A keyed table gets one delete row per key. An append table has no keys to refer to: what
+        remains of the partitions in question is written as a base of the new version.
         """
         state = self.read()
         gone = changelog.delete_changes(state, condition)
-        if not self.spec.keys:
-            version = self.latest_version() + 1
-            self._drop_unfinished_base(version)
-            kept = state.where(~F.coalesce(condition, F.lit(False)))
-            committed_ms = int(time.time() * 1000) if committed_ms is None else committed_ms
-            self._write(self._prepared(kept, changelog.UPSERT), "base", version, committed_ms)
-            self._write(self._prepared(gone, changelog.DELETE), "delta", version, committed_ms)
-            return version
-        return self.commit(gone, changelog.DELETE, committed_ms=committed_ms)
+        if self.spec.keys:
+            return self.commit(gone, changelog.DELETE, committed_ms=committed_ms)
+        latest = self.latest_version()
+        version = latest + 1
+        committed_ms = int(time.time() * 1000) if committed_ms is None else committed_ms
+        kept = state.where(~F.coalesce(condition, F.lit(False)))
+        before, base = self._base_paths(latest)
+        parts = None
+        if base and self.spec.partition_by:
+            # Partitions are few and only their names come to the driver.
+            values = gone.select(*[F.col(c).cast("string") for c in self.spec.partition_by]).distinct()
+            hit = {folders.partition_path(self.spark, row.asDict()) for row in values.collect()}
+            parts = sorted(hit | set(self.changed_partitions(before, latest)))
+            kept = kept.where(self.in_partitions(parts))
+        # The base counts only once the commit of the same version is complete.
+        self._write_base(kept, version, committed_ms, parts)
+        self._write_delta(gone, changelog.DELETE, version, committed_ms)
+        return version
 
     # --- reading ------------------------------------------------------------------------------
 
@@ -186,15 +252,18 @@ class LakeTable:
         schema = self._file_schema().add("_layer", T.StringType())
         return schema.add("_commit_version", T.LongType()).add("_commit_ms", T.LongType())
 
-    def _scan(self, versions: Sequence[Version]) -> DataFrame:
+    def _scan(self, paths: Sequence[str]) -> DataFrame:
         schema = self._log_schema()
-        paths = [v.path for v in versions if v.committed_ms is not None]
         if not paths:
             rows = self.spark.createDataFrame([], schema)
         else:
             rows = self.spark.read.schema(schema).option("basePath", self.path).parquet(*paths)
         return self._with_commit_time(rows)
 
+    @staticmethod
+    def _paths(versions: Iterable[Version]) -> list[str]:
+        return [v.path for v in versions if v.committed_ms is not None]
+
     def _with_commit_time(self, rows: DataFrame) -> DataFrame:
         return rows.select(
             *self._columns(), "_op", "_commit_version",
@@ -204,16 +273,18 @@ class LakeTable:
     def _columns(self) -> list[str]:
         return [*self.spec.schema.names, *self.spec.computed]
 
-    def _pieces(self, version: int | None) -> tuple[Version | None, list[Version]]:
+    def _pieces(self, version: int | None) -> tuple[list[str], list[str]]:
+        """Folders of the base and of the commits after it that make up a version."""
         deltas, bases = self.deltas(), self.bases()
         if version is None:
             version = max(deltas) if deltas else max(bases, default=0)
-        base = max((b for b in bases if b <= version), default=0)
+        # A base without any commit up to it is where the kept history starts.
+        start = max((b for b in bases if not any(d <= b for d in deltas)), default=0)
+        base, paths = self._base_paths(version)
         needed = range(base + 1, version + 1)
-        gone = [n for n in needed if n not in deltas]
-        if gone:
+        if version < start or any(n not in deltas for n in needed):
             raise ValueError(f"table {self.spec.name} no longer keeps version {version}")
-        return bases.get(base), [deltas[n] for n in needed]
+        return paths, self._paths(deltas[n] for n in needed)
 
     def read(self, version: int | None = None, as_of: AsOf = None) -> DataFrame:
         """The rows of the table, now or at a version or moment.
@@ -230,14 +301,14 @@ class LakeTable:
         changes = self._scan(deltas)
         if not keys:
             added = changes.where(F.col("_op") == changelog.UPSERT)
-            rows = self._scan([base]).unionByName(added) if base else added
+            rows = self._scan(base).unionByName(added) if base else added
             return changelog.without_log_columns(rows)
         groups = [*keys, *[c for c in self.spec.partition_by if c not in keys]]
         recent = changelog.current_state(changes, groups, self.spec.order_by)
-        if base is None:
+        if not base:
             return recent
-        folded = changelog.without_log_columns(self._scan([base]))
-        if not any(d.committed_ms is not None for d in deltas):
+        folded = changelog.without_log_columns(self._scan(base))
+        if not deltas:
             return folded
         changed = changes.select(*groups).distinct().alias("changed")
         same = F.lit(True)
@@ -247,7 +318,7 @@ class LakeTable:
 
     def change_log(self) -> DataFrame:
         """All kept changes, unmerged."""
-        return self._scan(list(self.deltas().values()))
+        return self._scan(self._paths(self.deltas().values()))
 
     def changes(self, after: int, upto: int | None = None) -> DataFrame:
         """The changes of the versions ``after < version <= upto``; only their folders are read."""
@@ -256,7 +327,7 @@ class LakeTable:
         gone = [n for n in range(after + 1, upto + 1) if n not in deltas]
         if gone:
             raise ValueError(f"table {self.spec.name} no longer keeps version {gone[0]}")
-        return self._scan([deltas[n] for n in range(after + 1, upto + 1)])
+        return self._scan(self._paths(deltas[n] for n in range(after + 1, upto + 1)))
 
     def snapshots(self) -> DataFrame:
         return changelog.snapshots(self.change_log())

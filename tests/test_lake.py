@@ -145,6 +145,72 @@ def test_expiry_keeps_every_kept_version(spark, folder):
     assert state(table.read()) == before[20]
 
 
+def day_rows(spark, *rows):
+    return spark.createDataFrame(rows, "id bigint, price bigint, day string")
+
+
+def test_compaction_writes_changed_partitions_only(spark, folder):
+    table = LakeTable(spark, PRICES, f"{folder}/t").create()
+    days = [f"2024-01-{d:02d}" for d in range(1, 9)]
+    table.commit(day_rows(spark, *[(i, i, day) for day in days for i in range(3)]), committed_ms=ms(0))
+    maintenance.compact(table)
+    table.commit(day_rows(spark, (1, 100, days[2])), committed_ms=ms(1))
+    table.delete_where(F.col("day") == days[4], committed_ms=ms(2))
+    expected = state(table.read())
+    assert maintenance.compact(table) == 3
+    written = sorted(os.path.basename(p) for p in glob.glob(f"{table.path}/_layer=base/_commit_version=3/*/day=*"))
+    assert written == [f"day={days[2]}", f"day={days[4]}"]
+    assert state(table.read()) == expected and len(expected) == 21
+    assert "Exchange" not in explain(table.read())
+    table.commit(day_rows(spark, (1, 7, days[4]), (1, 101, days[2])), committed_ms=ms(3))
+    maintenance.compact(table)
+    expected = state(table.read())
+    assert len(expected) == 22
+    before = [state(table.read(version=v)) for v in (1, 2, 3)]
+    assert [len(b) for b in before] == [24, 24, 21]
+    # Expiry removes replaced partitions of old bases and keeps those that are still in use.
+    now = START + timedelta(days=30)
+    assert maintenance.expire_snapshots(table, now, keep_at_least=1) == 3
+    assert state(table.read()) == expected and state(table.read(version=3)) == before[2]
+    with pytest.raises(ValueError, match="no longer keeps"):
+        table.read(version=1)
+    table.commit(day_rows(spark, (9, 9, days[0])), committed_ms=ms(4))
+    assert maintenance.expire_snapshots(table, now, keep_at_least=1) == 4
+    assert state(table.read(version=4)) == expected
+    kept = glob.glob(f"{table.path}/_layer=base/_commit_version=*/*/day={days[2]}")
+    assert len(kept) == 1 and "_commit_version=4" in kept[0]
+
+
+def test_delete_in_an_append_table_rewrites_its_partitions(spark, folder):
+    spec = TableSpec("log", schema(id=T.LongType(), day=T.DateType()), partition_by=("day",))
+    table = LakeTable(spark, spec, f"{folder}/log").create()
+    rows = spark.createDataFrame([(i, f"2024-01-0{1 + i % 4}") for i in range(40)], "id bigint, day string")
+    table.commit(rows)
+    maintenance.compact(table)
+    table.commit(rows.where("id < 1"))
+    table.delete_where(F.col("id") % 4 == 1)
+    table.delete_where(F.col("id") == 2)
+    assert sorted(os.path.basename(p) for p in glob.glob(f"{table.path}/_layer=base/_commit_version=3/*/*")) == [
+        "day=2024-01-01", "day=2024-01-02"]
+    changed = [os.path.basename(p) for p in glob.glob(f"{table.path}/_layer=base/_commit_version=4/*/*")]
+    assert changed == ["day=2024-01-03"]
+    expected = sorted([(i,) for i in range(40) if i % 4 != 1 and i != 2] + [(0,)], key=repr)
+    assert rows_of(table.read(), "id") == expected
+    assert table.read(version=2).count() == 41
+
+
+def test_partition_names_with_special_characters(spark, folder):
+    spec = TableSpec("t", schema(name=T.StringType(), n=T.LongType()), ("name",), partition_by=("name",))
+    table = LakeTable(spark, spec, f"{folder}/t").create()
+    names = ["a/b", "c=d", "e f", "%", None]
+    table.commit(spark.createDataFrame([(n, 1) for n in names], "name string, n bigint"))
+    maintenance.compact(table)
+    table.commit(spark.createDataFrame([("a/b", 2), (None, 3)], "name string, n bigint"))
+    maintenance.compact(table)
+    assert rows_of(table.read(), "name", "n") == sorted(
+        [("a/b", 2), ("c=d", 1), ("e f", 1), ("%", 1), (None, 3)], key=repr)
+
+
 def test_delete_in_an_append_table(spark, folder):
     spec = TableSpec("log", schema(id=T.LongType(), day=T.DateType()), partition_by=("day",))
     table = LakeTable(spark, spec, f"{folder}/log").create()
