@@ -34,10 +34,20 @@ def days_before(as_of: AsOf, days: int) -> Column:
     return F.date_sub(day_of(as_of), days)
 
 
+# The day columns by which tables with such a time column are partitioned.
+_DAY_COLUMNS = {"window_start": "window_date", "event_time": "event_date"}
+
+
 def since(df: DataFrame, time_column: str, as_of: AsOf, look_back: str) -> Column:
-    """``time_column >= as_of - look_back``; the bound folds to a constant."""
+    """``time_column >= as_of - look_back``; the bound folds to a constant.
+
+    In a table partitioned by the day of that time the filter also names the day, which leaves only
+    the folders of the look-back to be listed and read.
+    """
     bound = moment(as_of, df.schema[time_column].dataType) - F.expr(f"INTERVAL {look_back}")
-    return F.col(time_column) >= bound
+    recent = F.col(time_column) >= bound
+    day = _DAY_COLUMNS.get(time_column)
+    return recent & (F.col(day) >= F.to_date(bound)) if day in df.columns else recent
 
 
 # Seconds per unit of a look-back.

@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 
 from tarnlake.functions.moments import AsOf, day_of, moment
 from tarnlake.lake import changelog, folders
-from tarnlake.lake.table import LakeTable, brought_together
+from tarnlake.lake.table import LakeTable, brought_together, file_sizes
+from tarnlake.session import session_conf
 
 # Defaults of expiry and compaction.
 EXPIRE_AFTER = timedelta(days=7)
@@ -236,6 +237,7 @@ def write_bucketed(
     sort_by: Sequence[str] = (),
     partition_by: Sequence[str] = (),
     path: str | None = None,
+    target_file_size: str = "64MB",
 ) -> None:
     """A table that is hash-distributed on a key and sorted in its buckets.
 
@@ -249,4 +251,5 @@ def write_bucketed(
         writer = writer.partitionBy(*partition_by)
     if path:
         writer = writer.option("path", path)
-    writer.saveAsTable(table_name)
+    with session_conf(df.sparkSession, file_sizes(target_file_size)):
+        writer.saveAsTable(table_name)

@@ -39,6 +39,15 @@ def brought_together(
     return rows.hint("rebalance", *partition_by)
 
 
+def file_sizes(target: str) -> dict[str, str]:
+    """Session options under which a rebalanced write makes files of about the target size, also
+    when that leaves cores without a task."""
+    return {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": target,
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
+
+
 @dataclass(frozen=True)
 class Version:
     number: int
@@ -159,8 +168,7 @@ class LakeTable:
         out = brought_together(out, spec.partition_by, spec.bucket_by, spec.buckets)
         ordering = ["_commit_ms", *spec.partition_by, *[spec.bucket_by] * bool(spec.bucket_by)]
         out = out.sortWithinPartitions(*ordering)
-        options = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": spec.target_file_size}
-        with session_conf(rows.sparkSession, options):
+        with session_conf(rows.sparkSession, file_sizes(spec.target_file_size)):
             out.write.mode(mode).partitionBy("_commit_ms", *spec.partition_by).parquet(target)
 
     def _write_delta(self, rows: DataFrame, op: str, version: int, committed_ms: int) -> None:

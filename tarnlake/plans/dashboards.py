@@ -7,10 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnlake.functions import interval_seconds
 from tarnlake.functions.moments import AsOf
 from tarnlake.operators import timeseries
 
 
+RATE_RANGE = "5 minutes"
+
+
 @dataclass(frozen=True)
 class Panel:
     """One expression of a dashboard: ``kind`` is latest, percent, rate or range."""
@@ -74,7 +78,9 @@ def panel_query(
         both = samples.where(timeseries.since(samples, "ts", as_of, look_back))
         found = timeseries.with_threshold(timeseries.percent_of(both, metric, prefix + panel.whole))
     elif panel.kind == "rate":
-        found = timeseries.rate(samples, metric)
+        # The first rates of the look-back need the samples of one range before it.
+        reach = f"{interval_seconds(look_back) + interval_seconds(RATE_RANGE)} seconds"
+        found = timeseries.rate(samples.where(timeseries.since(samples, "ts", as_of, reach)), metric, RATE_RANGE)
         found = found.where(timeseries.since(found, "ts", as_of, look_back))
     else:
         found = timeseries.range_select(samples, metric, as_of, look_back)

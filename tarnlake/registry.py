@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.functions import ntz_columns
+from tarnlake.functions import ntz_columns, since
 from tarnlake.lake import LakeTable, changelog, maintenance
 from tarnlake.operators import latest_per_key, timeseries
 from tarnlake.plans import (
@@ -46,12 +46,31 @@ def _product_stats(spark: SparkSession, sf: str) -> DataFrame:
     return orders.product_sales_stats(tables.orders(spark, sf), tables.products(spark, sf))
 
 
-def _profile_changes(spark: SparkSession, sf: str, look_back: str) -> DataFrame:
-    return profile.user_profile_changes(
-        _behavior_summary(spark, sf), _order_summary(spark, sf), AS_OF, look_back
+def _recent(rows: DataFrame, time_column: str, look_back: str) -> DataFrame:
+    """Rows that can be in a window that starts within the look-back.
+
+    A window holds only rows after its start, so windows within the look-back keep all their rows;
+    unlike the filter on the window, this one reaches the Parquet scan.
+    """
+    return rows.where(since(rows, time_column, AS_OF, look_back))
+
+
+def _recent_summaries(spark: SparkSession, sf: str, look_back: str) -> tuple[DataFrame, DataFrame]:
+    return (
+        behavior.user_behavior_summary(_recent(tables.user_behavior(spark, sf), "ts", look_back)),
+        orders.order_summary(_recent(tables.orders(spark, sf), "order_time", look_back)),
     )
 
 
+def _recent_products(spark: SparkSession, sf: str, look_back: str) -> DataFrame:
+    rows = _recent(tables.orders(spark, sf), "order_time", look_back)
+    return orders.product_sales_stats(rows, tables.products(spark, sf))
+
+
+def _profile_changes(spark: SparkSession, sf: str, look_back: str) -> DataFrame:
+    return profile.user_profile_changes(*_recent_summaries(spark, sf, look_back), AS_OF, look_back)
+
+
 # --- windowed summaries -----------------------------------------------------------------------
 
 @query
@@ -139,14 +158,15 @@ def user_profile_day(spark, sf):
 @query
 def recommendation_candidates(spark, sf):
     return profile.recommendation_candidates(
-        profile.user_profile(_profile_changes(spark, sf, "1 hour")), _product_stats(spark, sf), AS_OF
+        profile.user_profile(_profile_changes(spark, sf, "1 hour")),
+        _recent_products(spark, sf, "1 hour"), AS_OF,
     )
 
 
 @query
 def recommendation_candidates_day(spark, sf):
     return profile.recommendation_candidates(
-        profile.user_profile(_profile_changes(spark, sf, DAY)), _product_stats(spark, sf),
+        profile.user_profile(_profile_changes(spark, sf, DAY)), _recent_products(spark, sf, DAY),
         AS_OF, DAY, DAY,
     )
 
@@ -154,14 +174,15 @@ def recommendation_candidates_day(spark, sf):
 @query
 def recommendations(spark, sf):
     return profile.recommendations(
-        profile.user_profile(_profile_changes(spark, sf, "1 hour")), _product_stats(spark, sf), AS_OF
+        profile.user_profile(_profile_changes(spark, sf, "1 hour")),
+        _recent_products(spark, sf, "1 hour"), AS_OF,
     )
 
 
 @query
 def recommendations_day(spark, sf):
     return profile.recommendations(
-        profile.user_profile(_profile_changes(spark, sf, DAY)), _product_stats(spark, sf),
+        profile.user_profile(_profile_changes(spark, sf, DAY)), _recent_products(spark, sf, DAY),
         AS_OF, DAY, DAY,
     )
 
@@ -169,9 +190,9 @@ def recommendations_day(spark, sf):
 # --- quality and monitoring -------------------------------------------------------------------
 
 def _record_counts(spark, sf, look_back):
+    behavior_rows, order_rows = _recent_summaries(spark, sf, look_back)
     return quality.dq_record_count(
-        {"user_behavior_summary": _behavior_summary(spark, sf), "order_summary": _order_summary(spark, sf)},
-        AS_OF, look_back,
+        {"user_behavior_summary": behavior_rows, "order_summary": order_rows}, AS_OF, look_back
     )
 
 
