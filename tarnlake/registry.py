@@ -14,7 +14,7 @@ from tarnlake.plans import (
     behavior, forest, hourly, logs, orders, profile, quality, sales, staged, words,
 )
 from tarnlake.schemas import TABLES, TOPICS, TableSpec
-from tarnlake.session import scratch_dir
+from tarnlake.session import scratch_dir, stored
 from tarnlake.sources import messages, tables
 from tarnlake.streaming import jobs
 from tarnlake.streaming.runner import RunSettings
@@ -242,6 +242,12 @@ def events_of_day(spark, sf):
     return behavior.events_of_day(tables.user_events(spark, sf), "2024-01-01")
 
 
+@query
+def any_ten_events(spark, sf):
+    """LIMIT without an order: which rows come is not defined."""
+    return tables.user_events(spark, sf).limit(10)
+
+
 @query
 def events_per_type(spark, sf):
     return behavior.events_per_type(tables.user_events(spark, sf))
@@ -392,7 +398,8 @@ def quality_forest(spark, sf):
     features = forest.text_features(
         tables.table(spark, sf, "documents"), tables.table(spark, sf, "labels")
     )
-    return forest.train_forest(features, "quality", "doc_id")
+    # Training makes several passes over its input: the texts are split once.
+    return forest.train_forest(stored(features, "features"), "quality", "doc_id")
 
 
 # --- change logs ------------------------------------------------------------------------------

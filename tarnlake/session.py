@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # What every deployment should run with. Parallelism is left to the cluster's own settings.
 BASE_CONF = {
@@ -21,10 +21,12 @@ BASE_CONF = {
     "spark.sql.sources.partitionOverwriteMode": "static",
 }
 
-# Keeps streaming state off the JVM heap, so its size is bounded by local disk and not by memory.
+# Keeps streaming state off the JVM heap, so its size is bounded by local disk and not by memory;
+# a checkpoint uploads the changes of a batch and not the whole state.
 STATE_STORE_CONF = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 
@@ -61,6 +63,17 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows written once below the shared folder and read back.
+
+    For a result that several later jobs read: they neither compute it again nor depend on executors
+    that may be lost.
+    """
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 @contextmanager
 def session_conf(spark: SparkSession, values: dict[str, str]):
     """Set session options for one write and put the old values back."""

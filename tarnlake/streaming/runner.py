@@ -12,6 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tarnlake.lake import folders
 from tarnlake.lake.table import LakeTable
+from tarnlake.session import STATE_STORE_CONF, session_conf
 
 # Checkpoint interval, restart attempts and delay, mini-batch size.
 INTERVAL = "60 seconds"
@@ -41,6 +42,12 @@ def configured(writer: DataStreamWriter, settings: RunSettings) -> DataStreamWri
     return writer.trigger(processingTime=settings.interval)
 
 
+def started(rows: DataFrame, writer: DataStreamWriter, settings: RunSettings) -> StreamingQuery:
+    """Start a query with its state in RocksDB, whatever the session says."""
+    with session_conf(rows.sparkSession, STATE_STORE_CONF):
+        return configured(writer, settings).start()
+
+
 def upsert_stream(
     rows: DataFrame,
     table: LakeTable,
@@ -63,7 +70,7 @@ def upsert_stream(
         target.commit(result, version=offset + batch_id + 1)
 
     writer = rows.writeStream.outputMode(output_mode).foreachBatch(write)
-    return configured(writer, settings).start()
+    return started(rows, writer, settings)
 
 
 def _offset_of(table: LakeTable, settings: RunSettings) -> int:
@@ -84,7 +91,7 @@ def append_stream(
     writer = rows.writeStream.format("parquet").outputMode("append").option("path", path)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    return configured(writer, settings).start()
+    return started(rows, writer, settings)
 
 
 def file_sink(rows: DataFrame, path: str, settings: RunSettings) -> StreamingQuery:
@@ -93,7 +100,7 @@ def file_sink(rows: DataFrame, path: str, settings: RunSettings) -> StreamingQue
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return configured(rows.writeStream.outputMode("append").foreachBatch(write), settings).start()
+    return started(rows, rows.writeStream.outputMode("append").foreachBatch(write), settings)
 
 
 def run_with_restarts(

@@ -10,6 +10,7 @@ from conftest import rows_of
 from tarnlake.lake import LakeTable, maintenance
 from tarnlake.plans import behavior, hourly, orders, profile, quality, sales, words
 from tarnlake.schemas import TABLES, TOPICS
+from tarnlake.session import session_conf
 from tarnlake.sources import external, messages
 from tarnlake.streaming import jobs, runner
 from tarnlake.streaming.runner import RunSettings
@@ -373,8 +374,16 @@ def test_defaults_of_the_runner():
         "60 seconds", 3, 10.0, 1000)
 
 
-def test_state_is_kept_in_rocksdb(spark):
-    assert "RocksDB" in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+def test_state_is_kept_in_rocksdb_whatever_the_session_says(spark, folder):
+    feed, target = Feed(folder), table(spark, folder, "word_count")
+    feed.add(word("00:00:01"))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    other = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    with session_conf(spark, {key: other}):
+        query = jobs.word_count(topic_stream(spark, feed, "word-count-input"), target, settings(folder))
+        query.awaitTermination()
+        assert spark.conf.get(key) == other
+    assert any("rocksdb" in name for name in query.lastProgress.stateOperators[0].customMetrics)
 
 
 def test_jdbc_options():
