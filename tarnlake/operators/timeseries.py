@@ -18,7 +18,7 @@ from tarnlake.functions.moments import AsOf
 
 def series_key(labels: str = "labels") -> Column:
     """Labels as a sorted array of pairs: equal for equal label sets, and groupable."""
-    return F.array_sort(F.map_entries(labels))
+    return F.sort_array(F.map_entries(labels))
 
 
 def _labels_of(series: str) -> Column:
@@ -44,36 +44,38 @@ def rate(samples: DataFrame, metric: str, range_: str = "5 minutes", slice_: str
     """
     width = interval_seconds(range_) * 1_000_000
     span = max(interval_seconds(slice_) * 1_000_000, width)
-    base = (
-        samples.where((F.col("metric") == metric) & F.col("value").isNotNull() & F.col("ts").isNotNull())
-        .select(
-            series_key().alias("series"), "ts", "value", _micros("ts").alias("at"),
-        )
-    )
-    own = F.expr(f"at DIV {span}")
-    last = F.expr(f"(at + {width}) DIV {span}")
-    sliced = base.select("*", own.alias("own"), F.explode(F.sequence(own, last)).alias("slice"))
+    time_type = samples.schema["ts"].dataType
+    base = samples.where(
+        (F.col("metric") == metric) & F.col("value").isNotNull() & F.col("ts").isNotNull()
+    ).select(series_key().alias("series"), "value", _micros("ts").alias("at"))
+    own, last = F.expr(f"at DIV {span}"), F.expr(f"(at + {width}) DIV {span}")
+    sliced = base.select("*", F.explode(F.sequence(own, last)).alias("slice"))
 
     in_slice = Window.partitionBy("series", "slice").orderBy("at")
+    so_far = in_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     in_range = in_slice.rangeBetween(-width, Window.currentRow)
-    previous = F.lag("value").over(in_slice)
-    steps = sliced.withColumn(
-        "step",
-        F.when(previous.isNull(), F.lit(0.0))
-        .when(F.col("value") < previous, F.col("value"))
-        .otherwise(F.col("value") - previous),
-    )
-    # The step of the first sample of a range leads to a sample outside of it: not counted.
-    gained = F.sum("step").over(in_range) - F.first("step").over(in_range)
-    covered = (F.col("at") - F.first("at").over(in_range)) / F.lit(1_000_000.0)
-    measured = steps.select(
-        "series", "ts", "own", "slice", gained.alias("gained"), covered.alias("covered")
+    # A total that never restarts: its difference over a range is the sum of the steps inside it.
+    total = (
+        sliced.withColumn("previous", F.lag("value").over(in_slice))
+        .withColumn(
+            "step",
+            F.when(F.col("previous").isNull(), F.lit(0.0))
+            .when(F.col("value") < F.col("previous"), F.col("value"))
+            .otherwise(F.col("value") - F.col("previous")),
+        )
+        .withColumn("total", F.sum("step").over(so_far))
     )
-    return measured.where((F.col("own") == F.col("slice")) & (F.col("covered") > 0)).select(
+    measured = total.select(
+        "series", "slice", "at", "total",
+        F.first("at").over(in_range).alias("first_at"),
+        F.first("total").over(in_range).alias("first_total"),
+    ).where((own == F.col("slice")) & (F.col("at") > F.col("first_at")))
+    covered = (F.col("at") - F.col("first_at")) / F.lit(1_000_000.0)
+    return measured.select(
         F.lit(metric).alias("metric"),
         _labels_of("series").alias("labels"),
-        "ts",
-        (F.col("gained") / F.col("covered")).alias("value"),
+        F.timestamp_micros("at").cast(time_type).alias("ts"),
+        ((F.col("total") - F.col("first_total")) / covered).alias("value"),
     )
 
 
