@@ -106,21 +106,27 @@ def with_threshold(samples: DataFrame) -> DataFrame:
     return samples.withColumn("level", threshold_class(F.col("value")))
 
 
+def _until(samples: DataFrame, as_of: AsOf) -> Column:
+    """Nothing after ``as_of``; without one, nothing is left out."""
+    if as_of is None:
+        return F.lit(True)
+    return F.col("ts") <= moment(as_of, samples.schema["ts"].dataType)
+
+
 def latest_samples(samples: DataFrame, metric: str, as_of: AsOf = None) -> DataFrame:
-    """The last value of every series of a metric."""
-    chosen = samples.where(F.col("metric") == metric)
-    if as_of is not None:
-        chosen = chosen.where(F.col("ts") <= moment(as_of, samples.schema["ts"].dataType))
+    """The last value of every series of a metric, at ``as_of`` or now."""
     return (
-        chosen.groupBy(series_key().alias("series"))
+        samples.where((F.col("metric") == metric) & _until(samples, as_of))
+        .groupBy(series_key().alias("series"))
         .agg(F.max("ts").alias("ts"), F.max_by("value", "ts").alias("value"))
         .select(F.lit(metric).alias("metric"), _labels_of("series").alias("labels"), "ts", "value")
     )
 
 
 def range_select(samples: DataFrame, metric: str, as_of: AsOf = None, look_back: str = "1 hour") -> DataFrame:
-    """The samples of a metric in the look-back."""
-    return samples.where((F.col("metric") == metric) & since(samples, "ts", as_of, look_back))
+    """The samples of a metric in the look-back up to ``as_of`` or now."""
+    recent = since(samples, "ts", as_of, look_back) & _until(samples, as_of)
+    return samples.where((F.col("metric") == metric) & recent)
 
 
 def legend(template: str, labels: str = "labels") -> Column:

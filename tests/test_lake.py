@@ -2,6 +2,8 @@
 
 import glob
 import os
+import random
+import shutil
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -346,3 +348,83 @@ def test_state_is_independent_of_row_order(spark):
 def test_window_tables_use_day_partitions():
     for name in ("user_behavior_summary", "order_summary", "product_sales_stats", "user_behavior_wide"):
         assert TABLES[name].partition_by == ("window_date",)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_random_histories_match_a_dictionary(spark, folder, seed):
+    """Upserts, deletes, compactions and expiry in any order, against a plain dictionary."""
+    draw = random.Random(seed)
+    table = LakeTable(spark, PRICES, f"{folder}/t").create()
+    now, history = {}, {}
+    for step in range(14):
+        kind = draw.choice(["upsert", "upsert", "upsert", "delete", "compact", "expire"])
+        if kind == "upsert":
+            rows = [(draw.randint(0, 4), draw.randint(0, 99), f"2024-01-0{draw.randint(1, 3)}")
+                    for _ in range(draw.randint(1, 6))]
+            table.commit(day_rows(spark, *rows), committed_ms=ms(step))
+            best = {}
+            for i, price, day in rows:
+                best[i, day] = max(price, best.get((i, day), -1))
+            now = {**now, **best}
+        elif kind == "delete" and table.latest_version():
+            limit = draw.randint(0, 99)
+            table.delete_where(F.col("price") < limit, committed_ms=ms(step))
+            now = {k: v for k, v in now.items() if v >= limit}
+        elif kind == "compact":
+            maintenance.compact(table, draw.randint(0, table.latest_version()) or None)
+        elif kind == "expire":
+            maintenance.expire_snapshots(table, START + timedelta(days=step - 3), timedelta(days=1), 2)
+        history[table.latest_version()] = dict(now)
+    readable = 0
+    for version, expected in history.items():
+        try:
+            found = table.read(version=version)
+        except ValueError:
+            assert version < min(table.deltas())
+            continue
+        readable += 1
+        assert rows_of(found.selectExpr("id", "cast(day AS string)", "price")) == sorted(
+            [(*k, v) for k, v in expected.items()], key=repr), (seed, version)
+    assert readable >= 1
+
+
+def test_an_unfinished_compaction_is_not_read(spark, prices):
+    maintenance.compact(prices)
+    os.remove(f"{prices.path}/_layer=base/_commit_version=3/_SUCCESS")
+    assert state(prices.read()) == [(1, 11), (3, 30)]
+    assert maintenance.compact(prices) == 3
+    assert state(prices.read()) == [(1, 11), (3, 30)]
+
+
+def test_a_delete_that_stopped_before_its_commit_is_undone(spark, folder):
+    spec = TableSpec("log", schema(id=T.LongType(), day=T.DateType()), partition_by=("day",))
+    table = LakeTable(spark, spec, f"{folder}/log").create()
+    rows = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-02")], "id bigint, day string")
+    table.commit(rows)
+    table._write_base(table.read().where("id = 2"), 2, ms(1), None)
+    assert rows_of(table.read(), "id") == [(1,), (2,)]
+    table.commit(rows.where("id = 1"))
+    assert rows_of(table.read(), "id") == [(1,), (1,), (2,)]
+
+
+def test_an_expiry_that_stopped_can_be_repeated(spark, folder):
+    table = LakeTable(spark, PRICES, f"{folder}/t").create()
+    for i in range(6):
+        table.commit(day_rows(spark, (i, i, "2024-01-01")), committed_ms=ms(i))
+    maintenance.compact(table, 4)
+    shutil.rmtree(f"{table.path}/_layer=delta/_commit_version=1")
+    with pytest.raises(ValueError, match="no longer keeps"):
+        table.read(version=2)
+    assert len(state(table.read(version=4))) == 4
+    assert maintenance.expire_snapshots(table, START + timedelta(days=30), keep_at_least=2) == 4
+    assert sorted(table.deltas()) == [5, 6] and len(state(table.read())) == 6
+
+
+def test_dropped_days_are_gone_from_bases_too(spark, folder):
+    table = LakeTable(spark, PRICES, f"{folder}/t").create()
+    table.commit(day_rows(spark, *[(i, i, f"2024-01-0{i}") for i in range(1, 6)]))
+    maintenance.compact(table)
+    table.commit(day_rows(spark, (1, 10, "2024-01-01"), (5, 50, "2024-01-05")))
+    maintenance.compact(table)
+    assert maintenance.drop_partitions_before(table, "2024-01-03") == 6
+    assert state(table.read()) == [(3, 3), (4, 4), (5, 50)]
