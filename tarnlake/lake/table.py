@@ -5,9 +5,9 @@ Layout below the table folder::
     _layer=delta/_commit_version=7/_commit_ms=1704067200000/<partition>=.../*.parquet   one commit
     _layer=base/_commit_version=7/...                                    the state at a version
 
-A commit counts once its folder has the ``_SUCCESS`` marker that Spark writes last. Writing a
-version again replaces its folder, so a batch that is retried after a failure leaves one copy.
-Versions are consecutive and there is one writer per table. A base is the folded log up to its
+A commit counts once its folder has the ``_SUCCESS`` marker that Spark writes last. A stream also
+leaves the name of its batch in the folder: a batch that is run again after a failure finds its
+commit, or replaces an unfinished one. Versions are consecutive; one job at a time writes a table. A base is the folded log up to its
 version, for the partitions that changed since the base before it; the first base has all of them.
 Reads take every partition from the newest base that has it and add the commits after the newest
 base. So the cost of a new base grows with the partitions that changed and not with the table.
@@ -123,12 +123,21 @@ class LakeTable:
     def in_partitions(self, parts: Collection[str]) -> Column:
         """A filter for rows of the given partitions, which prunes folders."""
         types = {f.name: f.dataType for f in self._file_schema().fields}
+        columns = self.spec.partition_by
+
+        def value(part: str, column: str) -> Column:
+            return F.lit(folders.partition_value(self.spark, part, column)).cast(types[column])
+
+        if len(columns) == 1:
+            column = F.col(columns[0])
+            null = [p for p in parts if folders.partition_value(self.spark, p, columns[0]) is None]
+            chosen = column.isin(*[value(p, columns[0]) for p in parts if p not in null])
+            return chosen | column.isNull() if null else chosen
         chosen = F.lit(False)
         for part in parts:
             same = F.lit(True)
-            for column in self.spec.partition_by:
-                value = folders.partition_value(self.spark, part, column)
-                same = same & F.col(column).eqNullSafe(F.lit(value).cast(types[column]))
+            for column in columns:
+                same = same & F.col(column).eqNullSafe(value(part, column))
             chosen = chosen | same
         return chosen
 
@@ -156,7 +165,7 @@ class LakeTable:
         prepared = rows.select(*columns, kind.alias("_op"))
         return prepared.withColumns({n: F.expr(text) for n, text in self.spec.computed.items()})
 
-    def _write(self, rows: DataFrame, target: str, mode: str, committed_ms: int) -> None:
+    def _write(self, rows: DataFrame, target: str, committed_ms: int) -> None:
         """Write about one file per target size and partition.
 
         Rows are brought together by partition and bucket; adaptive execution splits a group that
@@ -169,11 +178,16 @@ class LakeTable:
         ordering = ["_commit_ms", *spec.partition_by, *[spec.bucket_by] * bool(spec.bucket_by)]
         out = out.sortWithinPartitions(*ordering)
         with session_conf(rows.sparkSession, file_sizes(spec.target_file_size)):
-            out.write.mode(mode).partitionBy("_commit_ms", *spec.partition_by).parquet(target)
+            out.write.mode("append").partitionBy("_commit_ms", *spec.partition_by).parquet(target)
 
-    def _write_delta(self, rows: DataFrame, op: str, version: int, committed_ms: int) -> None:
+    def _write_delta(
+        self, rows: DataFrame, op: str, version: int, committed_ms: int, batch: str | None = None
+    ) -> None:
         target = f"{self.path}/_layer=delta/_commit_version={version}"
-        self._write(self._prepared(rows, op), target, "overwrite", committed_ms)
+        folders.delete(self.spark, target)
+        if batch is not None:
+            folders.make(self.spark, f"{target}/_batch-{batch}")
+        self._write(self._prepared(rows, op), target, committed_ms)
 
     def _write_base(
         self, rows: DataFrame, version: int, committed_ms: int, parts: Collection[str] | None
@@ -186,32 +200,36 @@ class LakeTable:
         folders.delete(self.spark, target)
         for part in parts or []:
             folders.make(self.spark, f"{target}/_commit_ms={committed_ms}/{part}")
-        self._write(self._prepared(rows, changelog.UPSERT), target, "append", committed_ms)
+        self._write(self._prepared(rows, changelog.UPSERT), target, committed_ms)
 
     def commit(
         self,
         rows: DataFrame,
         op: str = changelog.UPSERT,
-        version: int | None = None,
         committed_ms: int | None = None,
+        batch: str | None = None,
     ) -> int:
         """Append the rows as one version and return its number.
 
-        ``version`` is given by streams (from the batch id), so that a retried batch replaces
-        itself. An ``_op`` column in the rows overrides ``op``.
+        ``batch`` is the name a stream gives to one of its batches: if a commit of that name exists,
+        nothing is written. An ``_op`` column in the rows overrides ``op``.
         """
-        latest = self.latest_version()
-        version = latest + 1 if version is None else version
-        if version > latest + 1:
-            raise ValueError(f"table {self.spec.name}: version {version} after {latest} leaves a gap")
-        if version <= latest and version not in self.deltas():
-            return version  # retried after the commit was folded and expired
-        if version > latest:
-            self._drop_unfinished_base(version)
+        known = None if batch is None else self.version_of_batch(batch)
+        if known is not None:
+            return known
+        version = self.latest_version() + 1
+        self._drop_unfinished_base(version)
         committed_ms = int(time.time() * 1000) if committed_ms is None else committed_ms
-        self._write_delta(rows, op, version, committed_ms)
+        self._write_delta(rows, op, version, committed_ms, batch)
         return version
 
+    def version_of_batch(self, batch: str) -> int | None:
+        """The version that a batch of this name was committed as, if it was."""
+        deltas = self.deltas()
+        pattern = f"{self.path}/_layer=delta/_commit_version=*/_batch-{batch}"
+        found = [int(folders.value_of(p, "_commit_version")) for p in folders.matching(self.spark, pattern)]
+        return next((version for version in found if version in deltas), None)
+
     def _drop_unfinished_base(self, version: int) -> None:
         # Left by a delete that stopped before its commit: no version refers to it.
         path = f"{self.path}/_layer=base/_commit_version={version}"

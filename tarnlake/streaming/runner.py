@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -10,7 +11,6 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from tarnlake.lake import folders
 from tarnlake.lake.table import LakeTable
 from tarnlake.session import STATE_STORE_CONF, session_conf
 
@@ -42,9 +42,17 @@ def configured(writer: DataStreamWriter, settings: RunSettings) -> DataStreamWri
     return writer.trigger(processingTime=settings.interval)
 
 
-def started(rows: DataFrame, writer: DataStreamWriter, settings: RunSettings) -> StreamingQuery:
-    """Start a query with its state in RocksDB, whatever the session says."""
-    with session_conf(rows.sparkSession, STATE_STORE_CONF):
+def started(
+    rows: DataFrame, writer: DataStreamWriter, settings: RunSettings, output_mode: str = "append"
+) -> StreamingQuery:
+    """Start a query with its state in RocksDB, whatever the session says.
+
+    In update mode a micro-batch without rows has nothing to write: it is left out, and expired
+    state goes with the next rows. In append mode it is what closes windows.
+    """
+    conf = dict(STATE_STORE_CONF)
+    conf["spark.sql.streaming.noDataMicroBatches.enabled"] = str(output_mode != "update").lower()
+    with session_conf(rows.sparkSession, conf):
         return configured(writer, settings).start()
 
 
@@ -55,33 +63,30 @@ def upsert_stream(
     output_mode: str = "update",
     enrich: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
-    """Write a stream to a keyed table, one version per micro-batch.
+    """Write a stream to a lake table, one version per micro-batch.
 
-    The version follows from the batch id: a batch that is run again after a failure replaces its
-    own version, so every batch counts once. In update mode a window is written again whenever it
-    changes and the last row of a key wins. ``enrich`` is a batch step on the changed rows, such as
-    a join with a table that is read anew each time.
+    A batch that is run again after a failure finds the commit with its name, so every batch counts
+    once. In update mode a window is written again whenever it changes and the last row of a key
+    wins. ``enrich`` is a batch step on the changed rows, such as a join with a table that is read
+    anew each time.
     """
-    offset = _offset_of(table, settings)
-
     def write(batch: DataFrame, batch_id: int) -> None:
-        result = enrich(batch) if enrich else batch
         target = LakeTable(batch.sparkSession, table.spec, table.path)
-        target.commit(result, version=offset + batch_id + 1)
+        name = f"{_query_id(batch, settings)}-{batch_id}"
+        if target.version_of_batch(name) is not None:
+            # The rows are written already; running the batch brings its state up to date.
+            batch.write.format("noop").mode("overwrite").save()
+            return
+        target.commit(enrich(batch) if enrich else batch, batch=name)
 
     writer = rows.writeStream.outputMode(output_mode).foreachBatch(write)
-    return started(rows, writer, settings)
+    return started(rows, writer, settings, output_mode)
 
 
-def _offset_of(table: LakeTable, settings: RunSettings) -> int:
-    """Versions of the table before this query's first batch, remembered next to its progress."""
-    root = f"{settings.checkpoint}/table_offset"
-    known = folders.matching(table.spark, f"{root}/first_version=*")
-    if known:
-        return int(folders.value_of(known[0], "first_version"))
-    offset = table.latest_version()
-    folders.make(table.spark, f"{root}/first_version={offset}")
-    return offset
+def _query_id(batch: DataFrame, settings: RunSettings) -> str:
+    """The id of the query in its checkpoint: kept over restarts, new for a new checkpoint."""
+    metadata = batch.sparkSession.read.text(f"{settings.checkpoint}/metadata").first()
+    return json.loads(metadata.value)["id"]
 
 
 def append_stream(

@@ -81,13 +81,20 @@ def test_order_within_a_commit(spark, folder):
     assert state(table.read()) == [(1, 9)]
 
 
-def test_a_retried_version_replaces_itself(spark, prices):
-    prices.commit(price_rows(spark, (7, 70, "2024-01-03")), version=4)
-    prices.commit(price_rows(spark, (7, 71, "2024-01-03")), version=4)
+def test_a_batch_is_committed_once(spark, prices):
+    first = prices.commit(price_rows(spark, (7, 70, "2024-01-03")), batch="q-0")
+    assert prices.delete_where(F.col("id") == 3) == first + 1
+    assert prices.commit(price_rows(spark, (7, 71, "2024-01-03")), batch="q-0") == first
+    assert prices.commit(price_rows(spark, (8, 80, "2024-01-03")), batch="q-1") == first + 2
+    assert state(prices.read()) == [(1, 11), (7, 70), (8, 80)]
+
+
+def test_an_unfinished_batch_is_written_again(spark, prices):
+    version = prices.commit(price_rows(spark, (7, 70, "2024-01-03")), batch="q-0")
+    os.remove(f"{prices.path}/_layer=delta/_commit_version={version}/_SUCCESS")
+    assert prices.commit(price_rows(spark, (7, 71, "2024-01-03")), batch="q-0") == version
     assert state(prices.read()) == [(1, 11), (3, 30), (7, 71)]
     assert prices.changes(3).count() == 1
-    with pytest.raises(ValueError, match="gap"):
-        prices.commit(price_rows(spark, (8, 80, "2024-01-03")), version=6)
 
 
 def test_an_unfinished_commit_is_not_read(spark, prices):

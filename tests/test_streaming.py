@@ -138,6 +138,22 @@ def test_a_failing_batch_is_retried_and_counts_once(spark, folder):
     assert sorted(target.deltas())[0] == 1
 
 
+def test_a_committed_batch_is_not_written_twice(spark, folder):
+    """The query stops after its commit and before it notes its progress; meanwhile rows are deleted."""
+    feed, target = Feed(folder), table(spark, folder, "word_count")
+    feed.add(word("00:00:01"))
+    run = lambda: jobs.word_count(topic_stream(spark, feed, "word-count-input"), target, settings(folder))
+    run().awaitTermination()
+    os.remove(f"{folder}/progress/commits/0")
+    if os.path.exists(f"{folder}/progress/commits/.0.crc"):
+        os.remove(f"{folder}/progress/commits/.0.crc")
+    assert target.delete_where(F.col("word") == "a") == 2
+    feed.add(word("00:00:02", "b"))
+    run().awaitTermination()
+    assert rows_of(target.read(), "word", "count") == [("b", 1)]
+    assert sorted(target.deltas()) == [1, 2, 3]
+
+
 def test_restarts_end(spark, folder):
     feed, target = Feed(folder), table(spark, folder, "word_count")
     feed.add(word("00:00:01"))
