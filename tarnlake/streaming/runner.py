@@ -70,6 +70,9 @@ def upsert_stream(
     wins. ``enrich`` is a batch step on the changed rows, such as a join with a table that is read
     anew each time.
     """
+    if output_mode == "update" and not table.spec.keys:
+        raise ValueError(f"table {table.spec.name} has no key: changed windows would be added again")
+
     def write(batch: DataFrame, batch_id: int) -> None:
         target = LakeTable(batch.sparkSession, table.spec, table.path)
         name = f"{_query_id(batch, settings)}-{batch_id}"

@@ -9,11 +9,12 @@ from tarnlake.functions import since
 from tarnlake.lake import LakeTable
 from tarnlake.lake.catalog import explain
 from tarnlake.operators import latest_per_key
-from tarnlake.plans import behavior, orders, profile, sales, words
+from tarnlake.plans import behavior, forest, orders, profile, sales, words
 from tarnlake.registry import QUERIES
 from tarnlake.schemas import TABLES
-from tarnlake.session import session_conf
+from tarnlake.session import scratch_dir, session_conf, stored
 from tarnlake.sources import tables
+from tarnlake.streaming.runner import RunSettings, upsert_stream
 
 SF = "/root/testdata/sf0.001"
 
@@ -142,11 +143,9 @@ def test_distinct_users_of_one_large_group_are_spread(spark):
 
 
 def test_forest_split_does_not_depend_on_partitions(spark):
-    from tarnlake.plans.forest import split_rows
-
     df = spark.range(10_000)
-    train, test = split_rows(df, "id")
-    again, _ = split_rows(df.repartition(13), "id")
+    train, test = forest.split_rows(df, "id")
+    again, _ = forest.split_rows(df.repartition(13), "id")
     assert sorted(r.id for r in train.collect()) == sorted(r.id for r in again.collect())
     assert 1800 < test.count() < 2200 and train.count() + test.count() == 10_000
 
@@ -159,3 +158,24 @@ def test_profile_functions_take_zoned_and_plain_times(spark):
     a = profile.user_profile_changes(plain, order_rows, "2024-01-30 23:57:30", "5 days").count()
     b = profile.user_profile_changes(zoned, zoned_orders, "2024-01-30 23:57:30", "5 days").count()
     assert a == b > 0
+
+
+def test_forest_learns_a_separable_target(spark):
+    df = spark.range(2000).selectExpr("id", "cast(id % 10 AS double) AS a", "cast(id % 7 AS double) AS b",
+                                      "cast(id % 10 >= 5 AS int) AS target")
+    found = forest.train_forest(df, "target", "id", trees=5).first()
+    assert found.train_rows + found.test_rows == 2000 and found.accuracy == 1.0
+
+
+def test_scratch_folder_is_the_one_of_the_session(spark):
+    root = spark.conf.get("spark.checkpoint.dir")
+    assert scratch_dir(spark, "x").startswith(f"{root}/x-")
+    assert scratch_dir(spark, "x") != scratch_dir(spark, "x")
+    kept = stored(spark.range(5), "kept")
+    assert kept.count() == 5 and "Range" not in explain(kept)
+
+
+def test_update_mode_needs_a_key(spark, folder):
+    table = LakeTable(spark, TABLES["user_events_indexed"], f"{folder}/t").create()
+    with pytest.raises(ValueError, match="no key"):
+        upsert_stream(spark.range(1), table, RunSettings(f"{folder}/p"))
