@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnlake.functions.moments import AsOf, day_of, moment
-from tarnlake.lake import changelog, folders
-from tarnlake.lake.table import LakeTable, brought_together, file_sizes
+from tarnlake.lake import folders
+from tarnlake.lake.table import LakeTable, brought_together, write_options
 from tarnlake.session import session_conf
 
 # Defaults of expiry and compaction.
@@ -251,5 +251,5 @@ def write_bucketed(
         writer = writer.partitionBy(*partition_by)
     if path:
         writer = writer.option("path", path)
-    with session_conf(df.sparkSession, file_sizes(target_file_size)):
+    with session_conf(df.sparkSession, write_options(target_file_size)):
         writer.saveAsTable(table_name)

@@ -39,12 +39,17 @@ def brought_together(
     return rows.hint("rebalance", *partition_by)
 
 
-def file_sizes(target: str) -> dict[str, str]:
-    """Session options under which a rebalanced write makes files of about the target size, also
-    when that leaves cores without a task."""
+def write_options(target_file_size: str) -> dict[str, str]:
+    """Session options of a write.
+
+    Rebalanced files come out at about the target size, also when that leaves cores without a task.
+    Timestamps are written as microseconds: the old default has no minimum and maximum per row
+    group, so that filters on time could not skip any.
+    """
     return {
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": target,
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": target_file_size,
         "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
     }
 
 
@@ -177,7 +182,7 @@ class LakeTable:
         out = brought_together(out, spec.partition_by, spec.bucket_by, spec.buckets)
         ordering = ["_commit_ms", *spec.partition_by, *[spec.bucket_by] * bool(spec.bucket_by)]
         out = out.sortWithinPartitions(*ordering)
-        with session_conf(rows.sparkSession, file_sizes(spec.target_file_size)):
+        with session_conf(rows.sparkSession, write_options(spec.target_file_size)):
             out.write.mode("append").partitionBy("_commit_ms", *spec.partition_by).parquet(target)
 
     def _write_delta(

@@ -18,7 +18,8 @@ BASE_CONF = {
     # One shuffle partition of a rebalanced write becomes about one file of this size.
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64MB",
     "spark.sql.parquet.compression.codec": "snappy",
-    "spark.sql.sources.partitionOverwriteMode": "static",
+    # Has a minimum and maximum per row group, which filters on time need.
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
 }
 
 # Keeps streaming state off the JVM heap, so its size is bounded by local disk and not by memory;

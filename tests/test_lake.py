@@ -6,6 +6,7 @@ import random
 import shutil
 from datetime import datetime, timedelta, timezone
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from conftest import rows_of
 from tarnlake.lake import LakeTable, changelog, maintenance
 from tarnlake.lake.catalog import Catalog, explain
 from tarnlake.schemas import TABLES, TableSpec
+from tarnlake.session import session_conf
 from tarnlake.schemas import _schema as schema
 from pyspark.sql import types as T
 
@@ -435,3 +437,20 @@ def test_dropped_days_are_gone_from_bases_too(spark, folder):
     maintenance.compact(table)
     assert maintenance.drop_partitions_before(table, "2024-01-03") == 6
     assert state(table.read()) == [(3, 3), (4, 4), (5, 50)]
+
+
+def test_times_have_statistics_for_filters(spark, folder):
+    table = LakeTable(spark, TABLES["user_events"], f"{folder}/t").create()
+    with session_conf(spark, {"spark.sql.parquet.outputTimestampType": "INT96"}):
+        table.commit(spark.sql("SELECT 1 AS user_id, 'a' AS event_type, TIMESTAMP '2024-01-01' AS event_time, '' AS properties"))
+    file = pq.ParquetFile(maintenance.files(table).first().file_path.removeprefix("file:"))
+    column = file.schema_arrow.get_field_index("event_time")
+    assert file.metadata.row_group(0).column(column).statistics.has_min_max
+
+
+def test_a_table_can_become_empty(spark, prices):
+    prices.delete_where(F.lit(True))
+    maintenance.compact(prices)
+    assert prices.read().count() == 0
+    prices.commit(price_rows(spark, (1, 1, "2024-01-01")))
+    assert state(prices.read()) == [(1, 1)]
