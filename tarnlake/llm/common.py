@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import io
 import os
+import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tarnlake.session import scratch_dir
 
 DEFAULT_VOCABULARIES = "/opt/tokenizers"
 # A side is broadcast up to so many bytes, counted before the join; beyond it the join is left to a shuffle.
@@ -59,10 +62,42 @@ def slices(
         yield batch.slice(start)
 
 
+def write_shared(spark: SparkSession, folder: str, name: str, data: bytes) -> str:
+    """Write a small file into a folder that all executors reach, through Spark's own file systems; its path."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    file = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    file.write(bytearray(data))
+    file.close()
+    return path.toString()
+
+
+_shipped: set[str] = set()
+
+
+def _ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once per application, as ``--py-files`` would."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as archive:
+        for folder, _, files in os.walk(root):
+            for file in sorted(files):
+                if file.endswith(".py"):
+                    path = os.path.join(folder, file)
+                    archive.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(write_shared(spark, scratch_dir(spark, "package"), "tarnlake.zip", data.getvalue()))
+    _shipped.add(context.applicationId)
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` for a function of this package."""
+    _ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once, however often the body uses it."""
     return F.transform(F.array(value), body)[0]
 
-
-def with_fields(schema: T.StructType, *fields: tuple[str, T.DataType]) -> T.StructType:
-    return T.StructType(schema.fields + [T.StructField(name, kind) for name, kind in fields])

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.llm import probminhash, shingles
-from tarnlake.llm.common import bounded_broadcast, fresh, slices
+from tarnlake.llm.common import bounded_broadcast, fresh, map_arrow, slices
 from tarnlake.llm.components import components
 from tarnlake.session import stored
 
@@ -139,11 +139,10 @@ def _block_links(table: pa.Table) -> pa.Table:
 
 def _star_links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
     """The links among (u, v), by sketch and then by text."""
-    near = (pairs.join(sketches.toDF("u", "left"), "u").join(sketches.toDF("v", "right"), "v")
-            .mapInArrow(_alike, "u long, v long"))
-    near = stored(near, "near-pairs")
-    return (near.join(texts.toDF("u", "left"), "u").join(texts.toDF("v", "right"), "v")
-            .mapInArrow(_verified, "u long, v long"))
+    sketched = pairs.join(sketches.toDF("u", "left"), "u").join(sketches.toDF("v", "right"), "v")
+    near = stored(map_arrow(sketched, _alike, "u long, v long"), "near-pairs")
+    written = near.join(texts.toDF("u", "left"), "u").join(texts.toDF("v", "right"), "v")
+    return map_arrow(written, _verified, "u long, v long")
 
 
 def _block_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -170,8 +169,7 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tup
     base = stored(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered")
     plain = base.select(F.col(rid).alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = stored(
-        plain.withColumn("digest", F.unhex(F.md5("text")))
-        .mapInArrow(_sketches, "rid long, doc_id long, digest binary, sketch binary"), "sketches")
+        map_arrow(plain.withColumn("digest", F.unhex(F.md5("text"))), _sketches, "rid long, doc_id long, digest binary, sketch binary"), "sketches")
     shared = rows.where("sketch IS NOT NULL")
     nodes = stored(
         shared.groupBy("digest").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least")), "distinct-texts")

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import bounded_broadcast, slices, vocabulary
+from tarnlake.llm.common import bounded_broadcast, map_arrow, slices, vocabulary
 from tarnlake.llm.tokens import encoder
 from tarnlake.session import stored
 
@@ -46,8 +46,8 @@ def encode_partitions(docs: DataFrame, end_id: int, path: str) -> DataFrame:
                  pa.array(ids, pa.binary())], ["doc_id", "part", "before", "n", "ids"])
             before = int(upto[-1])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, part long, before long, n long, ids binary")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"),
+                     run, "doc_id long, part long, before long, n long, ids binary")
 
 
 def placed(encoded: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def cut(documents: DataFrame, total: int, length: int = SEQUENCE) -> DataFrame:
                     rows, held = {name: [] for name in rows}, 0
             yield pa.RecordBatch.from_arrays([pa.array(v, _kind(k)) for k, v in rows.items()], list(rows))
 
-    return documents.mapInArrow(run, PIECES)
+    return map_arrow(documents, run, PIECES)
 
 
 def _kind(name: str) -> pa.DataType:

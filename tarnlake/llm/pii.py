@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnlake.llm.common import fresh, slices
+from tarnlake.llm.common import fresh, map_arrow, slices
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "login", "iban", "account")
@@ -263,7 +263,7 @@ def find(docs: DataFrame, text: str = "text", out: str = "pii", payload: list[st
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(name) for name in names], pa.array(rows, _ARROW)], [*names, out])
 
-    return docs.select(*names, *([] if text in names else [text])).mapInArrow(run, schema)
+    return map_arrow(docs.select(*names, *([] if text in names else [text])), run, schema)
 
 
 def redact(docs: DataFrame, text: str = "text", size: str | None = "n_chars") -> DataFrame:

@@ -176,15 +176,15 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     fine = stored(sketch(held, groups, out), "quality-sketches")
     of_group = limits(fine, groups)
     of_lang = limits(merge(fine, groups[:1]), groups[:1])
-    of_all = limits(merge(fine, []), [])
-    a, b, c = of_group.alias("a"), of_lang.alias("b"), of_all.alias("c")
+    of_all = limits(merge(fine, []), []).first()  # one row, if there are any
+    widest = F.array(*map(F.lit, of_all["limit"] if of_all else [0] * len(TOLERANCES))).cast("array<bigint>")
+    a, b = of_group.alias("a"), of_lang.alias("b")
     chosen = (
         a.join(b, F.col(f"a.{groups[0]}").eqNullSafe(F.col(f"b.{groups[0]}")), "left")
-        .join(F.broadcast(c))  # one row
         .select(*[F.col(f"a.{g}").alias(g) for g in groups],
                 F.when(F.col("a.rows") >= LEAST_ROWS, F.col("a.limit"))
                 .when(F.col("b.rows") >= LEAST_ROWS, F.col("b.limit"))
-                .otherwise(F.col("c.limit")).alias("limit")))
+                .otherwise(widest).alias("limit")))
     chosen = stored(chosen, "quality-limits")
     small = bounded_broadcast(chosen, 200)
     joined = held.alias("d").join(

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnlake.llm import near_duplicates, packing, pii, quality
+from tarnlake.llm import (
+    licenses, near_duplicates, packing, pieces, pii, quality, sharding, token_files, topk, urls,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +21,22 @@ def op1_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.report(_documents(spark, sf))
 
 
+def op2_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    return token_files.report(_documents(spark, sf))
+
+
+def op3_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    return pieces.report(_documents(spark, sf))
+
+
+def op4_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.report(_documents(spark, sf))
+
+
+def op5_urls(spark: SparkSession, sf: str) -> DataFrame:
+    return urls.judge(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
 def op6_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.report(_documents(spark, sf))
 
@@ -27,14 +45,27 @@ def op7_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates.report(_documents(spark, sf))
 
 
+def op8_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.report(_documents(spark, sf))
+
+
+def op9_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.report(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
 def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.report(_documents(spark, sf))
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_packing, op6_pii, op7_near_duplicates, op10_quality)
+    f.__name__: f for f in (
+        op1_packing, op2_token_files, op3_sentencepiece, op4_sharding, op5_urls, op6_pii, op7_near_duplicates,
+        op8_licenses, op9_topk, op10_quality)
 }
 
 ORACLE: dict[str, str] = {
+    "op5_urls": urls.ORACLE,
+    "op8_licenses": licenses.ORACLE,
+    "op9_topk": topk.ORACLE,
     "op10_quality": quality.ORACLE,
 }

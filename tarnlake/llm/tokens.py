@@ -18,7 +18,9 @@ import numpy as np
 _PIECES = re.compile(
     r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ \n.,:;!?()*$%&#|<>@\"/=+]|$)|[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 _LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
-_RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+_RARE_SPACE = re.compile("[" + "".join(map(chr, (
+    0x0B, 0x0C, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F,
+    0x205F, 0x3000, 0xFEFF))) + "]")
 # Entries of the table of a worker; a full table is emptied, so its memory is bounded.
 REMEMBERED = 600_000
 _LONGEST = 48
