@@ -18,7 +18,7 @@ DEFAULT_VOCABULARIES = "/opt/tokenizers"
 # A side is broadcast up to so many bytes, counted before the join; beyond it the join is left to a shuffle.
 BROADCAST_BYTES = 32 << 20
 # Python works on so many bytes of text at a time, whatever the size of an Arrow batch.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def vocabulary(name: str, folder: str | None = None) -> str:
@@ -97,6 +97,34 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+class Remembered(dict):
+    """Results by piece of text, of which the recently used ones are kept; memory is bounded.
+
+    There are two tables: a full one becomes the old one, from which entries come back when they are used.
+    """
+
+    MOST = 150_000
+    LONGEST = 48
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.old.get(piece)
+        if found is None:
+            found = self.result(piece)
+        if len(piece) <= self.LONGEST:
+            if len(self) >= self.MOST:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = found
+        return found
+
+    def result(self, piece: str) -> bytes:
+        raise NotImplementedError
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once, however often the body uses it."""
     return F.transform(F.array(value), body)[0]

@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import map_arrow, slices, vocabulary
+from tarnlake.llm.common import Remembered, map_arrow, slices, vocabulary
 
 SPACE = "▁"
 # Kinds of pieces in a model file.
 NORMAL, BYTE = 1, 6
-REMEMBERED, REMEMBERED_PAIRS = 600_000, 1_500_000
-_LONGEST = 48
+# Pairs of pieces whose boundary is known, per worker; a full table is emptied.
+REMEMBERED_PAIRS = 400_000
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _SIGNS = ".,:;!?()*$%&#|<>@\"=+"
 
@@ -64,7 +64,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
             at += size
 
 
-class Transducer(dict):
+class Transducer(Remembered):
     """Maps what lies between two cuts to its ids as little-endian 16-bit integers."""
 
     def __init__(self, path: str):
@@ -96,7 +96,7 @@ class Transducer(dict):
         if len(self.surface) > 1 << 16 or len(self.byte) != 256:
             raise ValueError("the ids need 16 bits and there must be a piece for each byte")
         self.longest = max(map(len, self.piece))
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
         joined = {text[k:k + 2] for text in self.piece for k in range(len(text) - 1)}
         if any(pair[1] == SPACE != pair[0] for pair in joined) or any("\n" in text for text in self.piece):
             raise ValueError("pieces that go on after a space or hold a line feed are not supported")
@@ -120,13 +120,15 @@ class Transducer(dict):
         return parts
 
     def free(self, last: str, piece: str) -> bool:
-        """Whether the arc from ``last`` ("" at the start) to ``piece`` weighs nothing."""
-        known = self.pairs.get((last, piece))
+        """Whether the arc from ``last`` to ``piece`` weighs nothing; any ``last`` outside the vocabulary is a start."""
+        key = (self.piece.get(last, -1) + 1) << 16 | self.piece[piece]
+        known = self.pairs.get(key)
         if known is None:
+            last = last if last in self.piece else ""
             known = self.merged(last + piece) == ([last, piece] if last else [piece])
             if len(self.pairs) >= REMEMBERED_PAIRS:
                 self.pairs.clear()
-            self.pairs[last, piece] = known
+            self.pairs[key] = known
         return known
 
     def path(self, text: str) -> list[str]:
@@ -137,7 +139,7 @@ class Transducer(dict):
             for start in range(max(0, end - longest), end):
                 piece = text[start:end]
                 if piece in pieces:
-                    if free(last[start] if last[start] in pieces else "", piece):
+                    if free(last[start], piece):
                         last[end] = piece
                         break
             else:
@@ -148,15 +150,10 @@ class Transducer(dict):
             at -= len(last[at])
         return found[::-1]
 
-    def __missing__(self, part: str) -> bytes:
+    def result(self, part: str) -> bytes:
         ids = [i for piece in self.path(part)
                for i in ([self.piece[piece]] if piece in self.piece else [self.byte[b] for b in piece.encode()])]
-        found = np.array(ids, "<u2").tobytes()
-        if len(part) <= _LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[part] = found
-        return found
+        return np.array(ids, "<u2").tobytes()
 
     def normalised(self, text: str) -> str:
         if self.squeeze:
@@ -205,17 +202,22 @@ def decode(encoded: DataFrame, vocabularies: str | None = None) -> DataFrame:
     return map_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, ids binary, text string")
 
 
-def report(docs: DataFrame) -> DataFrame:
-    """Per document the number and checksum of its ids (32 bits each), and the checksum of the text they decode to."""
+def report(docs: DataFrame, vocabularies: str | None = None) -> DataFrame:
+    """Per document the number and checksum of its ids (32 bits each), and the checksum of the text they decode to.
 
-    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [np.frombuffer(x.as_py(), "<u2") for x in batch.column("ids")]
+    ``encode``, ``decode`` and the checksums in one pass, so that a task has one worker and one transducer.
+    """
+    path = vocabulary("piece_bpe_32k.model", vocabularies)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = transducer(path)
+        for batch in (s for b in batches for s in slices(b, "text")):
+            ids = [model.encode(text.as_py()) for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()),
-                pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
-                pa.array([zlib.crc32(x.as_py().encode()) for x in batch.column("text")], pa.int64()),
+                batch.column("doc_id"), pa.array([len(x) // 2 for x in ids], pa.int64()),
+                pa.array([zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in ids], pa.int64()),
+                pa.array([zlib.crc32(model.decode(x).encode()) for x in ids], pa.int64()),
             ], ["doc_id", "n_pieces", "ids_crc32", "decoded_crc32"])
 
-    return map_arrow(
-        decode(encode(docs)), crc, "doc_id long, n_pieces long, ids_crc32 long, decoded_crc32 long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run,
+                     "doc_id long, n_pieces long, ids_crc32 long, decoded_crc32 long")

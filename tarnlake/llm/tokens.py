@@ -14,6 +14,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from tarnlake.llm.common import Remembered
+
 # Letters before a sign that surely ends their run; else any white space with what follows it.
 _PIECES = re.compile(
     r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ \n.,:;!?()*$%&#|<>@\"/=+]|$)|[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
@@ -21,9 +23,6 @@ _LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _RARE_SPACE = re.compile("[" + "".join(map(chr, (
     0x0B, 0x0C, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F,
     0x205F, 0x3000, 0xFEFF))) + "]")
-# Entries of the table of a worker; a full table is emptied, so its memory is bounded.
-REMEMBERED = 600_000
-_LONGEST = 48
 
 
 def _byte_letters() -> dict[int, str]:
@@ -33,7 +32,7 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-class ByteLevelEncoder(dict):
+class ByteLevelEncoder(Remembered):
     """Maps a piece of text to its ids as little-endian 16-bit integers."""
 
     def __init__(self, path: str):
@@ -48,19 +47,14 @@ class ByteLevelEncoder(dict):
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
 
-    def __missing__(self, piece: str) -> bytes:
+    def result(self, piece: str) -> bytes:
         if _LETTERS.fullmatch(piece):
             # One word for the model, so the steps around it can be left out.
             spelt = piece.encode().decode("latin-1").translate(self.letters)
             ids = [token.id for token in self.model.tokenize(spelt)]
         else:
             ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        found = np.array(ids, "<u2").tobytes()
-        if len(piece) <= _LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = found
-        return found
+        return np.array(ids, "<u2").tobytes()
 
     def ids(self, text: str | None) -> np.ndarray:
         """The ids of a whole text; a null is empty."""
