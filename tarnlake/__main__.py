@@ -2,24 +2,33 @@
 
     word-count <texts> <output>
     stream <job> <table folder> <progress folder> (--servers HOST:PORT | --folder PATH) [--once]
-    compact <table name> <table folder>
-    expire <table name> <table folder> [--days N] [--keep N]
+           [--max-per-trigger N] [--dead-letters PATH] [--products PATH] [--compact-every N]
+    files  <job> <output folder> <progress folder> (--servers HOST:PORT | --folder PATH) [--once] …
+    chain  <job> <warehouse folder> <progress folder> [--as-of MOMENT] [--look-back "1 hour"] [--once]
+    compact <table name> <table folder> [--if-needed]
+    expire <table name> <table folder> [--days N] [--keep N] [--at-most N]
+    retention <warehouse folder> [--as-of MOMENT]
+
+A folder of messages holds the files of a job's topic, or one folder per topic for a job with several.
+``--max-per-trigger`` paces a job: messages of a micro-batch with --servers, files with --folder.
 """
 
 from __future__ import annotations
 
 import argparse
+from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnlake.lake import LakeTable, maintenance
-from tarnlake.plans import words
+from tarnlake.functions import interval_seconds
+from tarnlake.lake import LakeTable, folders, maintenance
+from tarnlake.plans import orders, words
 from tarnlake.schemas import TABLES, TOPICS
 from tarnlake.session import build_session
 from tarnlake.sources import messages
-from tarnlake.streaming import jobs
-from tarnlake.streaming.runner import INTERVAL, RunSettings, run_with_restarts
+from tarnlake.streaming import chains, jobs
+from tarnlake.streaming.runner import INTERVAL, MINI_BATCH_ROWS, RunSettings, on_each_trigger, run_with_restarts
 
 # Streaming jobs with one topic and one table of the same name as the job.
 STREAMS = {
@@ -29,18 +38,98 @@ STREAMS = {
     "user_events_hourly": ("user-events", jobs.user_events_hourly),
     "user_events": ("user-events", jobs.ingest_events_table),
 }
+# Jobs with more than one input, and those that write folders of files.
+OTHER_STREAMS = ("product_sales_stats", "hourly_aggregations")
+FILES = {
+    "word_count_files": ("word-count-input", jobs.word_count_files),
+    "behavior_windows": ("user-events", jobs.behavior_windows),
+    "hourly_sales_trend": ("sales-data", jobs.hourly_sales_trend),
+    "sales_data": ("sales-data", lambda rows, path, settings: jobs.ingest_sales(rows.drop("sale_timestamp"), path, settings)),
+    "events_by_day": ("user-events", jobs.ingest_events),
+}
+CHAINS = ("user_profile", "real_time_recommendations", "user_behavior_wide", "dq_record_count", "system_monitoring")
+
+
+def _source(spark: SparkSession, args: argparse.Namespace, topic: str, several: bool = False) -> DataFrame:
+    if args.servers:
+        most = args.max_per_trigger or MINI_BATCH_ROWS * interval_seconds(INTERVAL)
+        return messages.read_kafka(spark, TOPICS[topic], args.servers, max_per_trigger=most)
+    return messages.read_folder(spark, f"{args.folder}/{topic}" if several else args.folder, args.max_per_trigger)
 
 
-def _topic_rows(spark: SparkSession, name: str, servers: str | None, folder: str | None) -> DataFrame:
-    topic = TOPICS[name]
-    source = messages.read_kafka(spark, topic, servers) if servers else messages.read_folder(spark, folder)
-    return messages.topic_rows(source, topic)
+def _rows(spark: SparkSession, args: argparse.Namespace, topic: str, several: bool = False) -> DataFrame:
+    return messages.topic_rows(_source(spark, args, topic, several), TOPICS[topic])
 
 
 def _table(spark: SparkSession, name: str, path: str) -> LakeTable:
     return LakeTable(spark, TABLES[name], path).create()
 
 
+def _settings(args: argparse.Namespace) -> RunSettings:
+    interval = None if args.once else INTERVAL
+    return RunSettings(args.progress, interval, args.job, getattr(args, "compact_every", None))
+
+
+def _with_dead_letters(spark: SparkSession, args: argparse.Namespace, topics: list[str], start: Callable) -> None:
+    """Run a job, and next to it the collection of its topics' dead letters."""
+    settings = _settings(args)
+    others = []
+    for topic in topics if args.dead_letters else []:
+        own = RunSettings(f"{args.progress}-dead-letters/{topic}", settings.interval)
+        others.append(jobs.dead_letters(
+            _source(spark, args, topic, len(topics) > 1), TOPICS[topic], f"{args.dead_letters}/{topic}", own))
+    run_with_restarts(lambda: start(settings))
+    for query in others:
+        query.awaitTermination() if args.once else query.stop()
+
+
+def _stream(spark: SparkSession, args: argparse.Namespace) -> None:
+    target = _table(spark, args.job, args.table)
+    if args.job in STREAMS:
+        topic, job = STREAMS[args.job]
+        _with_dead_letters(spark, args, [topic], lambda s: job(_rows(spark, args, topic), target, s))
+    elif args.job == "hourly_aggregations":
+        both = ["user-behavior", "orders"]
+        _with_dead_letters(spark, args, both, lambda s: jobs.hourly_aggregations(
+            *[_rows(spark, args, topic, True) for topic in both], target, s))
+    else:
+        schema = TOPICS["products"].schema
+
+        def products(session: SparkSession) -> DataFrame:
+            updates = messages.good_rows(messages.decode(session.read.text(args.products), schema), "update_time")
+            return orders.latest_products(updates)
+
+        _with_dead_letters(spark, args, ["orders"], lambda s: jobs.product_sales_stats(
+            _rows(spark, args, "orders"), products, target, s))
+
+
+def _chain(spark: SparkSession, args: argparse.Namespace) -> None:
+    def table(name: str) -> LakeTable:
+        return _table(spark, name, f"{args.warehouse}/{name}")
+
+    target, summary = table(args.job), table("user_behavior_summary")
+    when = {"as_of": args.as_of, "look_back": args.look_back}
+    steps = {
+        "user_profile": lambda: chains.user_profile(summary, table("order_summary"), target, **when),
+        "real_time_recommendations": lambda: chains.recommendations(
+            table("user_profile"), table("product_sales_stats"), target, **when),
+        "user_behavior_wide": lambda: chains.user_behavior_wide(summary, table("order_summary"), target),
+        "dq_record_count": lambda: chains.dq_record_count(
+            {"user_behavior_summary": summary, "order_summary": table("order_summary")}, target, **when),
+        "system_monitoring": lambda: chains.system_monitoring(
+            table("user_events").read().withColumnRenamed("event_time", "ts"), target, **when),
+    }
+    query = on_each_trigger(spark, steps[args.job], _settings(args))
+    if query is not None:
+        query.awaitTermination()
+
+
+def _retention(spark: SparkSession, args: argparse.Namespace) -> None:
+    names = [path.rsplit("/", 1)[1] for path in folders.matching(spark, f"{args.warehouse}/*")]
+    tables = {n: _table(spark, n, f"{args.warehouse}/{n}") for n in names if n in TABLES}
+    maintenance.apply_retention(tables["data_cleanup_config"], tables, args.as_of)
+
+
 def _arguments(given: list[str] | None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="tarnlake")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -49,23 +138,47 @@ def _arguments(given: list[str] | None) -> argparse.Namespace:
     count.add_argument("texts")
     count.add_argument("output")
 
-    stream = commands.add_parser("stream")
-    stream.add_argument("job", choices=sorted(STREAMS))
-    stream.add_argument("table")
-    stream.add_argument("progress")
-    source = stream.add_mutually_exclusive_group(required=True)
-    source.add_argument("--servers")
-    source.add_argument("--folder")
-    stream.add_argument("--once", action="store_true")
+    for name, names, place in (("stream", [*STREAMS, *OTHER_STREAMS], "table"), ("files", FILES, "output")):
+        command = commands.add_parser(name)
+        command.add_argument("job", choices=sorted(names))
+        command.add_argument(place)
+        command.add_argument("progress")
+        source = command.add_mutually_exclusive_group(required=True)
+        source.add_argument("--servers")
+        source.add_argument("--folder")
+        command.add_argument("--once", action="store_true")
+        command.add_argument("--max-per-trigger", type=int)
+        command.add_argument("--dead-letters")
+        if name == "stream":
+            command.add_argument("--products", help="folder of product messages, for product_sales_stats")
+            command.add_argument("--compact-every", type=int)
+
+    chain = commands.add_parser("chain")
+    chain.add_argument("job", choices=sorted(CHAINS))
+    chain.add_argument("warehouse")
+    chain.add_argument("progress")
+    chain.add_argument("--look-back", default="1 hour")
+    chain.add_argument("--once", action="store_true")
 
     for name in ("compact", "expire"):
         command = commands.add_parser(name)
         command.add_argument("name", choices=sorted(TABLES))
         command.add_argument("table")
-        if name == "expire":
+        if name == "compact":
+            command.add_argument("--if-needed", action="store_true")
+        else:
             command.add_argument("--days", type=int, default=maintenance.EXPIRE_AFTER.days)
             command.add_argument("--keep", type=int, default=maintenance.KEEP_AT_LEAST)
-    return parser.parse_args(given)
+            command.add_argument("--at-most", type=int)
+
+    retention = commands.add_parser("retention")
+    retention.add_argument("warehouse")
+    for command in (chain, retention):
+        command.add_argument("--as-of")
+    args = parser.parse_args(given)
+    if args.command == "stream" and args.job == "product_sales_stats" and not args.products:
+        parser.error("product_sales_stats needs --products")
+    return args
 
 
 def main(given: list[str] | None = None) -> None:
@@ -75,18 +188,21 @@ def main(given: list[str] | None = None) -> None:
         texts = spark.read.text(args.texts)
         words.text_word_count(texts, "value").write.mode("overwrite").parquet(args.output)
     elif args.command == "stream":
-        topic, job = STREAMS[args.job]
-        settings = RunSettings(args.progress, None if args.once else INTERVAL, args.job)
-        target = _table(spark, args.job, args.table)
-        run_with_restarts(
-            lambda: job(_topic_rows(spark, topic, args.servers, args.folder), target, settings)
-        )
+        _stream(spark, args)
+    elif args.command == "files":
+        topic, job = FILES[args.job]
+        _with_dead_letters(spark, args, [topic], lambda s: job(_rows(spark, args, topic), args.output, s))
+    elif args.command == "chain":
+        _chain(spark, args)
+    elif args.command == "retention":
+        _retention(spark, args)
     elif args.command == "compact":
-        maintenance.compact(_table(spark, args.name, args.table))
+        target = _table(spark, args.name, args.table)
+        maintenance.compact_if_needed(target) if args.if_needed else maintenance.compact(target)
     else:
         maintenance.expire_snapshots(
             _table(spark, args.name, args.table), datetime.now(timezone.utc),
-            timedelta(days=args.days), args.keep,
+            timedelta(days=args.days), args.keep, args.at_most,
         )
 
 

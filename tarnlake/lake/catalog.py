@@ -17,17 +17,28 @@ class Catalog:
         self.spark = spark
         self.warehouse = warehouse.rstrip("/")
         self.database: str | None = None
+        self._views: set[str] = set()
 
     def create_database(self, name: str) -> None:
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}` LOCATION '{self.warehouse}/{name}'")
+        folders.make(self.spark, f"{self.warehouse}/{name}")
 
     def use(self, name: str) -> None:
+        """Make a database the current one; the views of the one before are gone."""
         self.spark.catalog.setCurrentDatabase(name)
+        for view in self._views:
+            self.spark.catalog.dropTempView(view)
+        self._views.clear()
         self.database = name
 
+    def _current(self) -> str:
+        if self.database is None:
+            raise ValueError("no database is in use")
+        return self.database
+
     def table(self, spec: TableSpec | str) -> LakeTable:
         spec = TABLES[spec] if isinstance(spec, str) else spec
-        return LakeTable(self.spark, spec, f"{self.warehouse}/{self.database}/{spec.name}")
+        return LakeTable(self.spark, spec, f"{self.warehouse}/{self._current()}/{spec.name}")
 
     def create_table(self, spec: TableSpec | str, if_not_exists: bool = True) -> LakeTable:
         table = self.table(spec)
@@ -36,12 +47,22 @@ class Catalog:
         return table.create()
 
     def register(self, spec: TableSpec | str) -> None:
-        """Make the table's present state a view of its name for SQL; call again after commits."""
+        """Make the table's present state a view for SQL; call again after commits.
+
+        The view has the table's name as long as its database is in use, and always
+        ``<database>__<table>``.
+        """
         table = self.table(spec)
-        table.read().createOrReplaceTempView(table.spec.name)
+        state = table.read()
+        state.createOrReplaceTempView(table.spec.name)
+        state.createOrReplaceTempView(f"{self._current()}__{table.spec.name}")
+        self._views.add(table.spec.name)
 
     def show_tables(self) -> DataFrame:
-        return self.spark.sql("SHOW TABLES").select(F.col("tableName").alias("table_name"))
+        """The tables of the current database, created here or not."""
+        paths = folders.matching(self.spark, f"{self.warehouse}/{self._current()}/*")
+        names = [(path.rsplit("/", 1)[1],) for path in paths]
+        return self.spark.createDataFrame(names, "table_name string")
 
     def show_databases(self) -> DataFrame:
         return self.spark.sql("SHOW DATABASES").select(F.col("namespace").alias("database_name"))

@@ -5,6 +5,7 @@ Only names are handled here, never data.
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -34,11 +35,22 @@ def delete(spark: SparkSession, path: str) -> None:
     _file_system(spark, path).delete(_path(spark, path), True)
 
 
-def size(spark: SparkSession, path: str) -> int:
-    """Bytes below a folder."""
-    if not exists(spark, path):
-        return 0
-    return _file_system(spark, path).getContentSummary(_path(spark, path)).getLength()
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    if not _file_system(spark, old).rename(_path(spark, old), _path(spark, new)):
+        raise OSError(f"{old} could not be renamed to {new}")
+
+
+def create_new(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; False if there is one already. On HDFS and local disks only one of two callers wins."""
+    if exists(spark, path):
+        return False
+    try:
+        _file_system(spark, path).create(_path(spark, path), False).close()
+    except Py4JJavaError as problem:
+        if "FileAlreadyExists" in str(problem.java_exception):
+            return False
+        raise
+    return True
 
 
 def value_of(path: str, column: str) -> str:

@@ -17,7 +17,6 @@ from tarnlake.session import session_conf
 # Defaults of expiry and compaction.
 EXPIRE_AFTER = timedelta(days=7)
 KEEP_AT_LEAST = 10
-KEEP_AT_MOST = 100
 SMALL_FILE_BYTES = 32 * 1024 * 1024
 
 
@@ -28,10 +27,11 @@ def compact(table: LakeTable, version: int | None = None) -> int:
     new folder that readers use once it is complete. The log stays for time travel until it is
     expired. Running it again for the same version does nothing.
     """
-    version = table.latest_version() if version is None else version
-    if not version or version in table.bases():
+    listing = table.listing()
+    version = listing.latest if version is None else version
+    if not version or version in listing.bases:
         return version
-    known = {**table.bases(), **table.deltas()}
+    known = {**listing.bases, **listing.deltas}
     times = [v.committed_ms for n, v in known.items() if n <= version and v.committed_ms is not None]
     state = table.read(version)
     before, base = table._base_paths(version)
@@ -110,19 +110,25 @@ def expire_snapshots(
     now: datetime,
     older_than: timedelta = EXPIRE_AFTER,
     keep_at_least: int = KEEP_AT_LEAST,
-    keep_at_most: int = KEEP_AT_MOST,
+    keep_at_most: int | None = None,
 ) -> int | None:
     """Remove versions that are too old, never the newest ``keep_at_least``; returns the last one.
 
+    With ``keep_at_most``, younger versions beyond that number go too. A version that a follower of the
+    table has not read yet is kept in any case.
+
     The state at the last expired version is folded into a base before its commits are removed, so
     every kept version can still be read. A run that stops in between can be repeated.
     """
     deltas = list(table.deltas().values())
     limit = (now - older_than).timestamp() * 1000
     removable = deltas[: max(len(deltas) - max(keep_at_least, 1), 0)]
-    surplus = max(len(deltas) - keep_at_most, 0)
+    surplus = 0 if keep_at_most is None else max(len(deltas) - keep_at_most, 0)
+    read = min(table.followers().values(), default=None)
     expired = []
     for i, version in enumerate(removable):
+        if read is not None and version.number > read:
+            break
         if i >= surplus and version.committed_ms is not None and version.committed_ms >= limit:
             break
         expired.append(version)
@@ -203,11 +209,19 @@ def apply_retention(
 
 
 def backup(df: DataFrame, path: str) -> None:
-    """Copy a table to a folder together with its row count and checksum."""
-    df.write.mode("overwrite").parquet(f"{path}/data")
-    _fingerprint(df.sparkSession.read.parquet(f"{path}/data")).write.mode("overwrite").parquet(
-        f"{path}/manifest"
-    )
+    """Copy a table to a folder together with the row count and checksum of the source.
+
+    The copy is read back and compared with the source before it takes the place of an older one.
+    """
+    spark = df.sparkSession
+    expected = _fingerprint(df).first()
+    df.write.mode("overwrite").parquet(f"{path}/new")
+    found = _fingerprint(spark.read.parquet(f"{path}/new")).first()
+    if found != expected:
+        raise ValueError(f"the copy in {path} is not like its source: {found} instead of {expected}")
+    spark.createDataFrame([expected], "row_count bigint, checksum decimal(38,0)").write.mode("overwrite").parquet(f"{path}/manifest")
+    folders.delete(spark, f"{path}/data")
+    folders.rename(spark, f"{path}/new", f"{path}/data")
 
 
 def restore(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,9 @@ Layout below the table folder::
 
 A commit counts once its folder has the ``_SUCCESS`` marker that Spark writes last. A stream also
 leaves the name of its batch in the folder: a batch that is run again after a failure finds its
-commit, or replaces an unfinished one. Versions are consecutive; one job at a time writes a table. A base is the folded log up to its
+commit, or replaces an unfinished one. Versions are consecutive; one job at a time writes a table, and
+a second one that tries gets an error. A job that follows the table leaves the version it has read
+below ``_followers``, and nothing it has not read is expired. A base is the folded log up to its
 version, for the partitions that changed since the base before it; the first base has all of them.
 Reads take every partition from the newest base that has it and add the commits after the newest
 base. So the cost of a new base grows with the partitions that changed and not with the table.
@@ -16,7 +18,7 @@ base. So the cost of a new base grows with the partitions that changed and not w
 from __future__ import annotations
 
 import time
-from collections.abc import Collection, Iterable, Sequence
+from collections.abc import Callable, Collection, Iterable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -60,6 +62,24 @@ class Version:
     path: str
 
 
+@dataclass(frozen=True)
+class Listing:
+    """What one listing of a table's folders shows: finished versions, and the batches among them."""
+
+    deltas: dict[int, Version]
+    bases: dict[int, Version]
+    batches: dict[str, int]
+
+    @property
+    def latest(self) -> int:
+        """The newest committed version; 0 for an empty table."""
+        return max(self.deltas) if self.deltas else max(self.bases, default=0)
+
+
+class ConflictingCommit(RuntimeError):
+    """Another job writes, or has just written, the version that was to be written."""
+
+
 class LakeTable:
     """Commits, reads and change reads of one table."""
 
@@ -74,29 +94,35 @@ class LakeTable:
         folders.make(self.spark, self.path)
         return self
 
-    def _versions(self, layer: str) -> dict[int, Version]:
-        root = f"{self.path}/_layer={layer}/_commit_version=*"
-        times: dict[int, int] = {}
-        for path in folders.matching(self.spark, f"{root}/_commit_ms=*"):
-            times[int(folders.value_of(path, "_commit_version"))] = int(
-                folders.value_of(path, "_commit_ms")
-            )
-        found = {}
-        for path in folders.matching(self.spark, f"{root}/_SUCCESS"):
-            number = int(folders.value_of(path, "_commit_version"))
-            found[number] = Version(number, times.get(number), path.rsplit("/", 1)[0])
-        return dict(sorted(found.items()))
+    def listing(self) -> Listing:
+        """All finished versions, from one listing."""
+        times: dict[tuple[str, int], int] = {}
+        finished: dict[tuple[str, int], str] = {}
+        batches: dict[str, int] = {}
+        for path in folders.matching(self.spark, f"{self.path}/_layer=*/_commit_version=*/*"):
+            folder, name = path.rsplit("/", 1)
+            at = folders.value_of(folder, "_layer"), int(folders.value_of(folder, "_commit_version"))
+            if name.startswith("_commit_ms="):
+                times[at] = int(name.partition("=")[2])
+            elif name == "_SUCCESS":
+                finished[at] = folder
+            elif name.startswith("_batch-"):
+                batches[name.removeprefix("_batch-")] = at[1]
+        found: dict[str, dict[int, Version]] = {"delta": {}, "base": {}}
+        for (layer, number), folder in sorted(finished.items()):
+            found[layer][number] = Version(number, times.get((layer, number)), folder)
+        done = {name: number for name, number in batches.items() if number in found["delta"]}
+        return Listing(found["delta"], found["base"], done)
 
     def deltas(self) -> dict[int, Version]:
-        return self._versions("delta")
+        return self.listing().deltas
 
     def bases(self) -> dict[int, Version]:
-        return self._versions("base")
+        return self.listing().bases
 
     def latest_version(self) -> int:
         """The newest committed version; 0 for an empty table."""
-        deltas = self.deltas()
-        return max(deltas) if deltas else max(self.bases(), default=0)
+        return self.listing().latest
 
     def _partition_folders(self, layer: str, versions: Collection[int]) -> list[tuple[int, str, str]]:
         """(version, partition part of the path, path) of the partitions, oldest version first."""
@@ -109,9 +135,9 @@ class LakeTable:
                 found.append((number, path.split("/_commit_ms=")[1].partition("/")[2], path))
         return sorted(found)
 
-    def _base_paths(self, version: int) -> tuple[int, list[str]]:
+    def _base_paths(self, version: int, bases: dict[int, Version] | None = None) -> tuple[int, list[str]]:
         """The newest base up to a version, and the folders that hold all partitions at it."""
-        bases = {n: v for n, v in self.bases().items() if n <= version}
+        bases = {n: v for n, v in (self.bases() if bases is None else bases).items() if n <= version}
         if not bases:
             return 0, []
         newest = max(bases)
@@ -152,11 +178,11 @@ class LakeTable:
         if moment.tzinfo is None:
             moment = moment.replace(tzinfo=timezone.utc)
         limit = moment.timestamp() * 1000
-        latest = self.latest_version()
-        known = {**self.bases(), **self.deltas()}
+        listing = self.listing()
+        known = {**listing.bases, **listing.deltas}
         past = [
             v.number for v in known.values()
-            if v.number <= latest and v.committed_ms is not None and v.committed_ms <= limit
+            if v.number <= listing.latest and v.committed_ms is not None and v.committed_ms <= limit
         ]
         if not past and known and 1 not in known:
             raise ValueError(f"table {self.spec.name} no longer keeps its state of {as_of}")
@@ -185,14 +211,42 @@ class LakeTable:
         with session_conf(rows.sparkSession, write_options(spec.target_file_size)):
             out.write.mode("append").partitionBy("_commit_ms", *spec.partition_by).parquet(target)
 
-    def _write_delta(
-        self, rows: DataFrame, op: str, version: int, committed_ms: int, batch: str | None = None
-    ) -> None:
+    def _claim(self, version: int, batch: str | None = None) -> str:
+        """Take the folder of the next version for this writer and return it.
+
+        What an earlier attempt left goes, if it is known to be over: it gave up its claim, or it was the
+        same batch. Otherwise another job is at work, or it died without a word (see ``release``).
+        """
         target = f"{self.path}/_layer=delta/_commit_version={version}"
-        folders.delete(self.spark, target)
+        claim = f"{target}/_claim"
+        if folders.exists(self.spark, f"{target}/_SUCCESS"):
+            raise ConflictingCommit(f"table {self.spec.name}: version {version} was committed meanwhile")
+        if folders.exists(self.spark, target):
+            again = batch is not None and folders.exists(self.spark, f"{target}/_batch-{batch}")
+            if again or not folders.exists(self.spark, claim):
+                folders.delete(self.spark, target)
+        folders.make(self.spark, target)
+        if not folders.create_new(self.spark, claim):
+            raise ConflictingCommit(f"table {self.spec.name}: another job writes version {version}")
         if batch is not None:
             folders.make(self.spark, f"{target}/_batch-{batch}")
-        self._write(self._prepared(rows, op), target, committed_ms)
+        base = f"{self.path}/_layer=base/_commit_version={version}"
+        if folders.exists(self.spark, base):
+            # Left by a delete that stopped before its commit: no version refers to it.
+            folders.delete(self.spark, base)
+        return target
+
+    def release(self) -> None:
+        """Give up the claim of a writer that died; call it only when no job writes the table."""
+        target = f"{self.path}/_layer=delta/_commit_version={self.latest_version() + 1}"
+        folders.delete(self.spark, f"{target}/_claim")
+
+    def _write_delta(self, rows: DataFrame, op: str, target: str, committed_ms: int) -> None:
+        """Write a commit into its claimed folder; a failure gives up the claim."""
+        try:
+            self._write(self._prepared(rows, op), target, committed_ms)
+        finally:
+            folders.delete(self.spark, f"{target}/_claim")
 
     def _write_base(
         self, rows: DataFrame, version: int, committed_ms: int, parts: Collection[str] | None
@@ -219,27 +273,17 @@ class LakeTable:
         ``batch`` is the name a stream gives to one of its batches: if a commit of that name exists,
         nothing is written. An ``_op`` column in the rows overrides ``op``.
         """
-        known = None if batch is None else self.version_of_batch(batch)
-        if known is not None:
-            return known
-        version = self.latest_version() + 1
-        self._drop_unfinished_base(version)
+        listing = self.listing()
+        if batch is not None and batch in listing.batches:
+            return listing.batches[batch]
+        version = listing.latest + 1
         committed_ms = int(time.time() * 1000) if committed_ms is None else committed_ms
-        self._write_delta(rows, op, version, committed_ms, batch)
+        self._write_delta(rows, op, self._claim(version, batch), committed_ms)
         return version
 
     def version_of_batch(self, batch: str) -> int | None:
         """The version that a batch of this name was committed as, if it was."""
-        deltas = self.deltas()
-        pattern = f"{self.path}/_layer=delta/_commit_version=*/_batch-{batch}"
-        found = [int(folders.value_of(p, "_commit_version")) for p in folders.matching(self.spark, pattern)]
-        return next((version for version in found if version in deltas), None)
-
-    def _drop_unfinished_base(self, version: int) -> None:
-        # Left by a delete that stopped before its commit: no version refers to it.
-        path = f"{self.path}/_layer=base/_commit_version={version}"
-        if folders.exists(self.spark, path):
-            folders.delete(self.spark, path)
+        return self.listing().batches.get(batch)
 
     def delete_where(self, condition: Column, committed_ms: int | None = None) -> int:
         """Delete the rows for which the condition is true, as a new version.
@@ -264,8 +308,9 @@ class LakeTable:
             parts = sorted(hit | set(self.changed_partitions(before, latest)))
             kept = kept.where(self.in_partitions(parts))
         # The base counts only once the commit of the same version is complete.
+        target = self._claim(version)
         self._write_base(kept, version, committed_ms, parts)
-        self._write_delta(gone, changelog.DELETE, version, committed_ms)
+        self._write_delta(gone, changelog.DELETE, target, committed_ms)
         return version
 
     # --- reading ------------------------------------------------------------------------------
@@ -306,12 +351,12 @@ class LakeTable:
 
     def _pieces(self, version: int | None) -> tuple[list[str], list[str]]:
         """Folders of the base and of the commits after it that make up a version."""
-        deltas, bases = self.deltas(), self.bases()
-        if version is None:
-            version = max(deltas) if deltas else max(bases, default=0)
+        listing = self.listing()
+        deltas, bases = listing.deltas, listing.bases
+        version = listing.latest if version is None else version
         # A base without any commit up to it is where the kept history starts.
         start = max((b for b in bases if not any(d <= b for d in deltas)), default=0)
-        base, paths = self._base_paths(version)
+        base, paths = self._base_paths(version, bases)
         needed = range(base + 1, version + 1)
         if version < start or any(n not in deltas for n in needed):
             raise ValueError(f"table {self.spec.name} no longer keeps version {version}")
@@ -353,8 +398,8 @@ class LakeTable:
 
     def changes(self, after: int, upto: int | None = None) -> DataFrame:
         """The changes of the versions ``after < version <= upto``; only their folders are read."""
-        upto = self.latest_version() if upto is None else upto
-        deltas = self.deltas()
+        listing = self.listing()
+        upto, deltas = listing.latest if upto is None else upto, listing.deltas
         gone = [n for n in range(after + 1, upto + 1) if n not in deltas]
         if gone:
             raise ValueError(f"table {self.spec.name} no longer keeps version {gone[0]}")
@@ -363,11 +408,40 @@ class LakeTable:
     def snapshots(self) -> DataFrame:
         return changelog.snapshots(self.change_log())
 
-    def stream_changes(self, max_files: int | None = None) -> DataFrame:
-        """The commits as a stream of change rows, for a job that follows this table."""
-        inside_layer = T.StructType([f for f in self._log_schema().fields if f.name != "_layer"])
-        reader = self.spark.readStream.schema(inside_layer)
-        if max_files is not None:
-            reader = reader.option("maxFilesPerTrigger", max_files)
-        folders.make(self.spark, f"{self.path}/_layer=delta")
-        return self._with_commit_time(reader.parquet(f"{self.path}/_layer=delta"))
+    # --- following ----------------------------------------------------------------------------
+
+    def followers(self) -> dict[str, int]:
+        """The jobs that follow this table, and the version each has read."""
+        read: dict[str, int] = {}
+        for path in folders.matching(self.spark, f"{self.path}/_followers/*/_read=*"):
+            name = path.split("/")[-2]
+            read[name] = max(read.get(name, 0), int(folders.value_of(path, "_read")))
+        return read
+
+    def follow(
+        self, name: str, apply: Callable[[DataFrame, str], None], start: int = 0, most: int | None = None
+    ) -> int:
+        """Give ``apply`` the changes committed since the last call, with a name for this batch of them.
+
+        Returns the version read. Only finished commits count, ``most`` of them at a time. How far a batch
+        goes is noted before it is handed on: after a failure the same batch comes again under the same
+        name, with which a commit counts once. A follower that has fallen behind what is kept gets an error.
+        """
+        root = f"{self.path}/_followers/{name}"
+        read = self.followers().get(name)
+        if read is None:
+            read = start
+            folders.make(self.spark, f"{root}/_read={read}")
+        planned = [int(folders.value_of(p, "_upto")) for p in folders.matching(self.spark, f"{root}/_upto=*")]
+        upto = max((n for n in planned if n > read), default=0)
+        if not upto:
+            upto = self.latest_version()
+            upto = upto if most is None else min(upto, read + most)
+            if upto <= read:
+                return read
+            folders.make(self.spark, f"{root}/_upto={upto}")
+        apply(self.changes(read, upto), f"{name}-{upto}")
+        folders.make(self.spark, f"{root}/_read={upto}")
+        folders.delete(self.spark, f"{root}/_read={read}")
+        folders.delete(self.spark, f"{root}/_upto={upto}")
+        return upto

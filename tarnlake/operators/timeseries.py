@@ -113,10 +113,17 @@ def _until(samples: DataFrame, as_of: AsOf) -> Column:
     return F.col("ts") <= moment(as_of, samples.schema["ts"].dataType)
 
 
-def latest_samples(samples: DataFrame, metric: str, as_of: AsOf = None) -> DataFrame:
-    """The last value of every series of a metric, at ``as_of`` or now."""
+def latest_samples(
+    samples: DataFrame, metric: str, as_of: AsOf = None, look_back: str | None = None
+) -> DataFrame:
+    """The last value of every series of a metric, at ``as_of`` or now.
+
+    All history counts unless a ``look_back`` is given; then a series without a sample in it is not
+    listed, and only the files of that time are read.
+    """
+    recent = F.lit(True) if look_back is None else since(samples, "ts", as_of, look_back)
     return (
-        samples.where((F.col("metric") == metric) & _until(samples, as_of))
+        samples.where((F.col("metric") == metric) & _until(samples, as_of) & recent)
         .groupBy(series_key().alias("series"))
         .agg(F.max("ts").alias("ts"), F.max_by("value", "ts").alias("value"))
         .select(F.lit(metric).alias("metric"), _labels_of("series").alias("labels"), "ts", "value")

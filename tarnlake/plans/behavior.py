@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.functions import day_of
 from tarnlake.functions.moments import AsOf, days_before
 from tarnlake.operators import counted_by, distinct_per_group
 
@@ -115,10 +114,6 @@ def events_before(user_events: DataFrame, as_of: AsOf, days: int) -> DataFrame:
     return user_events.where(F.col("event_date") < days_before(as_of, days))
 
 
-def events_today(user_events: DataFrame, as_of: AsOf) -> DataFrame:
-    return user_events.where(F.col("event_date") == day_of(as_of))
-
-
 def payload_field(user_events: DataFrame, field: str) -> DataFrame:
     """One field of the JSON payload next to the event."""
     return user_events.select(

@@ -72,15 +72,27 @@ def hourly_sales_trend(sales: DataFrame, size: str = "1 hour", time_type: str =
     )
 
 
-def purchase_sales(user_events: DataFrame, sales: DataFrame) -> DataFrame:
+# Parts into which the purchases of an id and day are split.
+SPREAD = 16
+
+
+def purchases(user_events: DataFrame) -> DataFrame:
+    return user_events.where(F.col("event_type") == "purchase")
+
+
+def purchase_sales(user_events: DataFrame, sales: DataFrame, spread: int = SPREAD) -> DataFrame:
     """Purchases with the sales of the same id and day.
 
-    A filter on the right side makes the left join an inner one on id and day; a key with very many
-    rows is split at run time by the skew-join handling of adaptive execution.
+    A filter on the right side makes the left join an inner one on id and day. A hot id is split: its
+    purchases are dealt into ``spread`` parts by their time, and its few sales go to all of them. Pass
+    sales that are limited to the purchases' ids and days (``tables.sales_data`` with ``only``).
     """
-    u, s = user_events.alias("u"), sales.alias("s")
-    return (
-        u.join(s, F.col("u.user_id") == F.col("s.id"), "left")
-        .where((F.col("u.event_type") == "purchase") & (F.col("u.event_date") == F.col("s.sale_date")))
-        .select("u.user_id", "u.event_type", "u.event_time", "s.product_name", "s.category", "s.price")
+    u = purchases(user_events).withColumn("part", F.pmod(F.xxhash64("event_time"), F.lit(spread))).alias("u")
+    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(spread - 1).cast("bigint"))).alias("part")
+    s = sales.select("id", "sale_date", "product_name", "category", "price", copies).alias("s")
+    same = (
+        (F.col("u.user_id") == F.col("s.id")) & (F.col("u.event_date") == F.col("s.sale_date"))
+        & (F.col("u.part") == F.col("s.part"))
     )
+    return u.join(s, same).select(
+        "u.user_id", "u.event_type", "u.event_time", "s.product_name", "s.category", "s.price")

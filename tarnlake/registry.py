@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,13 +17,15 @@ from tarnlake.plans import (
 from tarnlake.schemas import TABLES, TOPICS, TableSpec
 from tarnlake.session import scratch_dir, stored
 from tarnlake.sources import messages, tables
-from tarnlake.streaming import jobs
+from tarnlake.streaming import chains, jobs
 from tarnlake.streaming.runner import RunSettings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 # The moment that stands for "now": shortly after the last event of the tables.
 AS_OF = "2024-01-30 23:57:30"
+# A moment with purchases in the half hour before it.
+BUSY = "2024-01-30 23:30:00"
 DAY = "1 day"
 
 QUERIES: dict[str, Query] = {}
@@ -46,29 +49,29 @@ def _product_stats(spark: SparkSession, sf: str) -> DataFrame:
     return orders.product_sales_stats(tables.orders(spark, sf), tables.products(spark, sf))
 
 
-def _recent(rows: DataFrame, time_column: str, look_back: str) -> DataFrame:
+def _recent(rows: DataFrame, time_column: str, look_back: str, as_of: str = AS_OF) -> DataFrame:
     """Rows that can be in a window that starts within the look-back.
 
     A window holds only rows after its start, so windows within the look-back keep all their rows;
     unlike the filter on the window, this one reaches the Parquet scan.
     """
-    return rows.where(since(rows, time_column, AS_OF, look_back))
+    return rows.where(since(rows, time_column, as_of, look_back))
 
 
-def _recent_summaries(spark: SparkSession, sf: str, look_back: str) -> tuple[DataFrame, DataFrame]:
+def _recent_summaries(spark, sf, look_back: str, as_of: str = AS_OF) -> tuple[DataFrame, DataFrame]:
     return (
-        behavior.user_behavior_summary(_recent(tables.user_behavior(spark, sf), "ts", look_back)),
-        orders.order_summary(_recent(tables.orders(spark, sf), "order_time", look_back)),
+        behavior.user_behavior_summary(_recent(tables.user_behavior(spark, sf), "ts", look_back, as_of)),
+        orders.order_summary(_recent(tables.orders(spark, sf), "order_time", look_back, as_of)),
     )
 
 
-def _recent_products(spark: SparkSession, sf: str, look_back: str) -> DataFrame:
-    rows = _recent(tables.orders(spark, sf), "order_time", look_back)
+def _recent_products(spark, sf, look_back: str, as_of: str = AS_OF) -> DataFrame:
+    rows = _recent(tables.orders(spark, sf), "order_time", look_back, as_of)
     return orders.product_sales_stats(rows, tables.products(spark, sf))
 
 
-def _profile_changes(spark: SparkSession, sf: str, look_back: str) -> DataFrame:
-    return profile.user_profile_changes(*_recent_summaries(spark, sf, look_back), AS_OF, look_back)
+def _profile_changes(spark, sf, look_back: str, as_of: str = AS_OF) -> DataFrame:
+    return profile.user_profile_changes(*_recent_summaries(spark, sf, look_back, as_of), as_of, look_back)
 
 
 # --- windowed summaries -----------------------------------------------------------------------
@@ -187,6 +190,21 @@ def recommendations_day(spark, sf):
     )
 
 
+def _busy(spark, sf):
+    profiles = profile.user_profile(_profile_changes(spark, sf, "1 hour", BUSY))
+    return profiles, _recent_products(spark, sf, "1 hour", BUSY), BUSY
+
+
+@query
+def recommendation_candidates_busy(spark, sf):
+    return profile.recommendation_candidates(*_busy(spark, sf))
+
+
+@query
+def recommendations_busy(spark, sf):
+    return profile.recommendations(*_busy(spark, sf))
+
+
 # --- quality and monitoring -------------------------------------------------------------------
 
 def _record_counts(spark, sf, look_back):
@@ -285,7 +303,9 @@ def hourly_sales_trend(spark, sf):
 
 @query
 def purchase_sales(spark, sf):
-    return sales.purchase_sales(tables.user_events(spark, sf), tables.sales_data(spark, sf))
+    events = tables.user_events(spark, sf)
+    keys = sales.purchases(events).select(F.col("user_id").alias("id"), F.col("event_date").alias("sale_date"))
+    return sales.purchase_sales(events, tables.sales_data(spark, sf, only=keys))
 
 
 @query
@@ -293,6 +313,11 @@ def top_words(spark, sf):
     return words.top_words(words.word_count_sum(tables.word_count_input(spark, sf)))
 
 
+@query
+def top_text_words(spark, sf):
+    return words.top_words(words.text_word_count(tables.table(spark, sf, "documents")))
+
+
 @query
 def text_word_count(spark, sf):
     return words.text_word_count(tables.table(spark, sf, "documents"))
@@ -352,8 +377,7 @@ def metric_grid(spark, sf):
 # --- logs and cluster events ------------------------------------------------------------------
 
 def _error_scan(spark, sf, look_back):
-    lines = tables.log_lines(spark, sf)
-    return logs.error_scan(lines, lines.select("service").distinct(), AS_OF, look_back)
+    return logs.error_scan(tables.log_lines(spark, sf), tables.services(spark), AS_OF, look_back)
 
 
 @query
@@ -402,6 +426,16 @@ def quality_forest(spark, sf):
     return forest.train_forest(stored(features, "features"), "quality", "doc_id")
 
 
+@query
+def quality_forest_split(spark, sf):
+    """How many rows are trained on and tested with: the split is the same in every engine."""
+    rows = tables.table(spark, sf, "documents").select("doc_id").join(
+        tables.table(spark, sf, "labels").where("quality IS NOT NULL").select("doc_id"), "doc_id")
+    train, test = forest.split_rows(rows, "doc_id")
+    both = train.select(F.lit("train").alias("part")).unionAll(test.select(F.lit("test").alias("part")))
+    return both.groupBy("part").agg(F.count("*").alias("row_count"))
+
+
 # --- change logs ------------------------------------------------------------------------------
 
 _USER = ["user_id"]
@@ -458,7 +492,7 @@ def lake_latest_order_lines(spark, sf):
 @query
 def lake_column_statistics(spark, sf):
     events = tables.table(spark, sf, "events")
-    return maintenance.column_statistics(events, ["event_id", "user_id", "event_type", "props"], exact=True)
+    return maintenance.column_statistics(events, events.columns, exact=True)
 
 
 # --- lake tables on storage -------------------------------------------------------------------
@@ -514,13 +548,18 @@ def lake_partitioned_events(spark, sf):
 
 @query
 def lake_bucketed_events(spark, sf):
-    """Events hash-distributed on the user in ten buckets, counted per user from the copy."""
+    """Events hash-distributed on the user in ten buckets, counted per user from the copy.
+
+    The count reads the files and not the table: partial sums that meet in a shuffle are not bound to
+    ten tasks, of which one would have a hot user's bucket. So the table itself can go at once.
+    """
     path = scratch_dir(spark, "bucketed")
     name = "bucketed_" + path.rsplit("-", 1)[-1]
     maintenance.write_bucketed(
         tables.user_events(spark, sf), name, "user_id", 10, ["user_id", "event_time"], path=path
     )
-    return spark.table(name).groupBy("user_id").agg(
+    spark.sql(f"DROP TABLE {name}")
+    return spark.read.parquet(path).groupBy("user_id").agg(
         F.count("*").alias("event_count"), F.max("event_time").alias("last_time")
     )
 
@@ -571,73 +610,188 @@ def staged_load_audit(spark, sf):
 
 # --- streams: the whole events table through the streaming jobs ---------------------------------
 
-def _event_stream(spark, sf, time_column, lateness, rows_from):
-    # A pattern in place of the plain name: streams take a pattern for a file as well as a folder.
-    events = spark.readStream.schema(tables.table(spark, sf, "events").schema).parquet(f"{sf}/events.parque[t]")
+# Micro-batches of each stream, one after the other in time, and files of each.
+SLICES, SLICE_FILES = 5, 4
+
+
+def _event_feed(spark, sf) -> str:
+    """All events as files that appear in the order of time, below the scratch folder."""
+    path = scratch_dir(spark, "feed")
+    events = tables.table(spark, sf, "events")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    bounds = [F.lit(str(first + (last - first) * k / SLICES)).cast("timestamp_ntz") for k in range(1, SLICES)]
+    slice_ = F.lit(0)
+    for bound in bounds:
+        slice_ = slice_ + F.coalesce((F.col("ts") >= bound).cast("int"), F.lit(0))
+    for k in range(SLICES):
+        events.where(slice_ == k).repartition(SLICE_FILES).write.mode("append").parquet(path)
+    return path
+
+
+def _event_stream(spark, feed, time_column, lateness, rows_from):
+    schema = spark.read.parquet(feed).schema
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", SLICE_FILES).parquet(feed)
     rows = rows_from(events).withColumn(time_column, F.col(time_column).cast("timestamp"))
     return rows.withWatermark(time_column, lateness)
 
 
-def _behavior_stream(spark, sf):
-    return _event_stream(spark, sf, "ts", "5 seconds", tables.behavior_from)
+def _behavior_stream(spark, feed):
+    return _event_stream(spark, feed, "ts", "5 seconds", tables.behavior_from)
+
 
+def _order_stream(spark, feed):
+    return _event_stream(spark, feed, "order_time", "10 seconds", tables.orders_from)
 
-def _order_stream(spark, sf):
-    return _event_stream(spark, sf, "order_time", "10 seconds", tables.orders_from)
+
+def _new_table(spark, name) -> LakeTable:
+    return LakeTable(spark, TABLES[name], scratch_dir(spark, name)).create()
+
+
+def _filled(spark, name, start) -> LakeTable:
+    """The table of a streaming job that ran to the end of its input."""
+    target = _new_table(spark, name)
+    start(target, RunSettings(scratch_dir(spark, "progress"), interval=None)).awaitTermination()
+    return target
 
 
 def _run(spark, name, start) -> DataFrame:
     """Run a streaming job to the end of its input and read its table."""
-    target = LakeTable(spark, TABLES[name], scratch_dir(spark, name)).create()
-    start(target, RunSettings(scratch_dir(spark, "progress"), interval=None)).awaitTermination()
-    return ntz_columns(target.read().select(*target.spec.schema.names))
+    return ntz_columns(chains.latest(_filled(spark, name, start)))
 
 
 @query
 def stream_user_behavior_summary(spark, sf):
-    rows = _behavior_stream(spark, sf)
+    rows = _behavior_stream(spark, _event_feed(spark, sf))
     return _run(spark, "user_behavior_summary", lambda t, s: jobs.user_behavior_summary(rows, t, s))
 
 
 @query
 def stream_order_summary(spark, sf):
-    rows = _order_stream(spark, sf)
+    rows = _order_stream(spark, _event_feed(spark, sf))
     return _run(spark, "order_summary", lambda t, s: jobs.order_summary(rows, t, s))
 
 
+def _stats_job(spark, sf, feed):
+    rows = _order_stream(spark, feed)
+    return lambda t, s: jobs.product_sales_stats(rows, lambda session: tables.products(session, sf), t, s)
+
+
 @query
 def stream_product_sales_stats(spark, sf):
-    rows = _order_stream(spark, sf)
-    return _run(
-        spark, "product_sales_stats",
-        lambda t, s: jobs.product_sales_stats(rows, lambda session: tables.products(session, sf), t, s),
-    )
+    return _run(spark, "product_sales_stats", _stats_job(spark, sf, _event_feed(spark, sf)))
 
 
 @query
 def stream_hourly_aggregations(spark, sf):
+    feed = _event_feed(spark, sf)
     return _run(
         spark, "hourly_aggregations",
-        lambda t, s: jobs.hourly_aggregations(_behavior_stream(spark, sf), _order_stream(spark, sf), t, s),
+        lambda t, s: jobs.hourly_aggregations(_behavior_stream(spark, feed), _order_stream(spark, feed), t, s),
     )
 
 
 @query
 def stream_word_count(spark, sf):
-    rows = _event_stream(spark, sf, "ts", "5 seconds", tables.words_from)
+    rows = _event_stream(spark, _event_feed(spark, sf), "ts", "5 seconds", tables.words_from)
     return _run(spark, "word_count", lambda t, s: jobs.word_count(rows, t, s))
 
 
 @query
 def stream_user_events_hourly(spark, sf):
-    rows = _event_stream(spark, sf, "event_time", "5 seconds", tables.user_events_from)
+    rows = _event_stream(spark, _event_feed(spark, sf), "event_time", "5 seconds", tables.user_events_from)
     counts = _run(spark, "user_event_counts", lambda t, s: jobs.user_event_counts(rows, t, s))
     return behavior.hourly_from_counts(counts)
 
 
+@query
+def stream_follow_table(spark, sf):
+    """A copy that follows a table over several commits and expiries holds all of its rows."""
+    events = tables.user_events(spark, sf)
+    source, copy = _new_table(spark, "user_events_indexed"), _new_table(spark, "user_events_optimized")
+
+    def add(changes, batch):
+        copy.commit(changes.where(F.col("_op") == changelog.UPSERT), batch=batch)
+
+    source.follow("copy", add)
+    for k in range(SLICES):
+        source.commit(events.where(F.coalesce(F.pmod("user_id", F.lit(SLICES)), F.lit(0)) == k))
+        if k % 2:
+            # Long after all commits: what the copy has not read stays.
+            maintenance.expire_snapshots(source, datetime(2100, 1, 1, tzinfo=timezone.utc), keep_at_least=1)
+            source.follow("copy", add)
+    source.follow("copy", add)
+    return ntz_columns(copy.read())
+
+
+@query
+def stream_dead_letters(spark, sf):
+    """What became of all messages sent: rows of the day folders, or dead letters by reason."""
+    topic = TOPICS["user-events"]
+    feed, good, bad = (scratch_dir(spark, name) for name in ("messages", "good", "dead-letters"))
+    _event_messages(spark, sf).repartition(SLICES * SLICE_FILES).write.text(feed)
+
+    def source():
+        return messages.read_folder(spark, feed, SLICE_FILES)
+
+    def settings():
+        return RunSettings(scratch_dir(spark, "progress"), interval=None)
+
+    jobs.ingest_events(messages.topic_rows(source(), topic), good, settings()).awaitTermination()
+    jobs.dead_letters(source(), topic, bad, settings()).awaitTermination()
+    fate = spark.read.parquet(good).select(F.lit("good").alias("fate")).unionAll(
+        spark.read.parquet(bad).select(F.col("reason").alias("fate")))
+    return fate.groupBy("fate").agg(F.count("*").alias("messages"))
+
+
+# --- chains: streams fill tables, jobs read them and fill others ---------------------------------
+
+def _summary_tables(spark, feed) -> tuple[LakeTable, LakeTable]:
+    seen, bought = _behavior_stream(spark, feed), _order_stream(spark, feed)
+    return (
+        _filled(spark, "user_behavior_summary", lambda t, s: jobs.user_behavior_summary(seen, t, s)),
+        _filled(spark, "order_summary", lambda t, s: jobs.order_summary(bought, t, s)),
+    )
+
+
+def _profile_table(spark, feed) -> LakeTable:
+    target = _new_table(spark, "user_profile")
+    chains.user_profile(*_summary_tables(spark, feed), target, AS_OF, DAY)
+    return target
+
+
+@query
+def chain_user_profile(spark, sf):
+    return ntz_columns(chains.latest(_profile_table(spark, _event_feed(spark, sf))))
+
+
+@query
+def chain_recommendations(spark, sf):
+    feed = _event_feed(spark, sf)
+    stats = _filled(spark, "product_sales_stats", _stats_job(spark, sf, feed))
+    target = _new_table(spark, "real_time_recommendations")
+    chains.recommendations(_profile_table(spark, feed), stats, target, AS_OF, DAY, DAY)
+    return ntz_columns(chains.latest(target))
+
+
+@query
+def chain_wide(spark, sf):
+    target = _new_table(spark, "user_behavior_wide")
+    chains.user_behavior_wide(*_summary_tables(spark, _event_feed(spark, sf)), target)
+    return ntz_columns(chains.latest(target))
+
+
+@query
+def chain_record_count(spark, sf):
+    summary, bought = _summary_tables(spark, _event_feed(spark, sf))
+    target = _new_table(spark, "dq_record_count")
+    chains.dq_record_count({"user_behavior_summary": summary, "order_summary": bought}, target, AS_OF, DAY)
+    return ntz_columns(chains.latest(target))
+
+
 @query
 def stream_ingest_events(spark, sf):
-    rows = _event_stream(spark, sf, "event_time", "5 seconds", tables.user_events_from).drop("event_date")
+    feed = _event_feed(spark, sf)
+    rows = _event_stream(spark, feed, "event_time", "5 seconds", tables.user_events_from).drop("event_date")
     path = scratch_dir(spark, "ingested")
     jobs.ingest_events(rows, path, RunSettings(scratch_dir(spark, "progress"), interval=None)).awaitTermination()
     return ntz_columns(spark.read.parquet(path))

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 # What every deployment should run with. Parallelism is left to the cluster's own settings.
 BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
+    # Sums of whole cents must fail on an overflow; without it they would become NULL.
+    "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -51,6 +53,10 @@ def build_session(
     return builder.getOrCreate()
 
 
+# Scratch folders that were given out, by application.
+_given: dict[str, list[str]] = {}
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which all executors can reach.
 
@@ -61,7 +67,18 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         root = tempfile.mkdtemp(prefix="tarnlake-")
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _given.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Remove all scratch folders of this application, once their results are no longer read."""
+    paths = _given.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return len(paths)
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:

@@ -10,9 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnlake.schemas import TOPICS, Topic
+from tarnlake.schemas import Topic
 
 _CORRUPT = "_corrupt"
+_TIME_FORMATS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
 
 
 def kafka_options(
@@ -95,8 +99,8 @@ def topic_rows(messages: DataFrame, topic: Topic) -> DataFrame:
 
 
 def encode(rows: DataFrame) -> DataFrame:
-    """Rows as JSON messages."""
-    return rows.select(F.to_json(F.struct("*")).alias("value"))
+    """Rows as JSON messages; times keep their microseconds."""
+    return rows.select(F.to_json(F.struct("*"), _TIME_FORMATS).alias("value"))
 
 
 def write_kafka(rows: DataFrame, topic: str, servers: str, checkpoint: str):
@@ -125,7 +129,9 @@ def click_messages(spark: SparkSession, count: int, start: str = "2024-01-01 00:
         F.struct(F.lit("/home").alias("page"), F.lit("web").alias("source")).alias("properties"),
     ))
     if pad_to:
-        message = F.rpad(message, pad_to, " ")
+        # Longer messages stay as they are.
+        missing = F.greatest(F.lit(pad_to) - F.octet_length(message), F.lit(0))
+        message = F.concat(message, F.repeat(F.lit(" "), missing))
     return spark.range(count).select(message.alias("value"))
 
 
@@ -136,7 +142,3 @@ def word_messages(spark: SparkSession, words: list[str], rows_per_second: int =
     return encode(ticks.select(
         choice.alias("word"), F.lit(1).cast("bigint").alias("count"), F.col("timestamp").alias("ts")
     ))
-
-
-def topic(name: str) -> Topic:
-    return TOPICS[name]

@@ -96,10 +96,20 @@ def orders_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sales_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sale_date():
+    return F.date_add(F.lit("2024-01-01").cast("date"), (F.col("l_orderkey") % 30).cast("int"))
+
+
+def sales_data(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
     """Order lines with product and region. The join strategies are left to the optimizer, which
-    broadcasts a side only below its size limit and splits skewed partitions at run time."""
+    broadcasts a side only below its size limit and splits skewed partitions at run time.
+
+    ``only`` (columns id and sale_date) keeps the lines of these ids and days, before any join.
+    """
     line = table(spark, sf_dir, "lineitem")
+    if only is not None:
+        line = line.join(
+            only.distinct(), (F.col("l_orderkey") == F.col("id")) & (_sale_date() == F.col("sale_date")), "left_semi")
     place = (
         table(spark, sf_dir, "customer")
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -118,8 +128,7 @@ def sales_data(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("p_type").alias("category"),
             F.col("l_extendedprice").cast("decimal(10,2)").alias("price"),
             F.col("l_quantity").cast("int").alias("quantity"),
-            F.date_add(F.lit("2024-01-01").cast("date"), (F.col("l_orderkey") % 30).cast("int"))
-            .alias("sale_date"),
+            _sale_date().alias("sale_date"),
             F.col("r_name").alias("region"),
         )
     )
@@ -162,13 +171,19 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def services(spark: SparkSession) -> DataFrame:
+    """The services whose logs there are."""
+    return spark.range(11).select(F.concat(F.lit("svc"), F.col("id").cast("string")).alias("service"))
+
+
 def cluster_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("event_type").alias("namespace"),
         F.concat(F.lit("pod"), F.col("event_id").cast("string")).alias("name"),
         F.when(F.col("user_id") % 7 == 0, "Pending").otherwise("Running").alias("status"),
         F.col("ts").alias("last_ts"),
-        F.when(F.col("event_type") == "error", "Failed probe").otherwise("Normal").alias("message"),
+        F.when(F.col("event_type") == "error", "Failed probe")
+        .when(F.col("user_id") % 13 == 0, "Warning: unhealthy").otherwise("Normal").alias("message"),
     )
 
 

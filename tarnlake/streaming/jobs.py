@@ -14,6 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tarnlake.lake.table import LakeTable
 from tarnlake.plans import behavior, hourly, orders, sales, words
+from tarnlake.schemas import Topic
+from tarnlake.sources import messages
 from tarnlake.streaming.runner import RunSettings, append_stream, file_sink, upsert_stream
 
 
@@ -87,6 +89,15 @@ def ingest_sales(rows: DataFrame, path: str, settings: RunSettings) -> Streaming
     return append_stream(rows, path, settings, ("sale_date",))
 
 
+def dead_letters(source: DataFrame, topic: Topic, path: str, settings: RunSettings) -> StreamingQuery:
+    """The messages of a topic that no job can use, with the reason, in one folder per micro-batch.
+
+    It runs next to the topic's jobs with progress of its own, so their state does not depend on it.
+    """
+    decoded = messages.decode(source, topic.schema)
+    return file_sink(messages.dead_letters(decoded, topic.event_time), path, settings)
+
+
 def orders_with_products(
     order_rows: DataFrame, product_rows: DataFrame, horizon: str = "1 hour", spread: int = 8
 ) -> DataFrame:

@@ -8,13 +8,15 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from tarnlake.lake import maintenance
 from tarnlake.lake.table import LakeTable
 from tarnlake.session import STATE_STORE_CONF, session_conf
 
-# Checkpoint interval, restart attempts and delay, mini-batch size.
+# Checkpoint interval, restart attempts and delay, and messages a second for which jobs
+# are paced by default. What is not read in one micro-batch is read in the next ones.
 INTERVAL = "60 seconds"
 ATTEMPTS = 3
 RESTART_DELAY_SECONDS = 10.0
@@ -25,12 +27,14 @@ MINI_BATCH_ROWS = 1000
 class RunSettings:
     """Where a query keeps its progress and how often it runs.
 
-    ``interval`` None processes everything that is available and stops.
+    ``interval`` None processes everything that is available and stops. ``compact_every`` so many
+    versions, the table is compacted if it has small files.
     """
 
     checkpoint: str
     interval: str | None = INTERVAL
     name: str | None = None
+    compact_every: int | None = None
 
 
 def configured(writer: DataStreamWriter, settings: RunSettings) -> DataStreamWriter:
@@ -73,14 +77,20 @@ def upsert_stream(
     if output_mode == "update" and not table.spec.keys:
         raise ValueError(f"table {table.spec.name} has no key: changed windows would be added again")
 
+    query_id: list[str] = []
+
     def write(batch: DataFrame, batch_id: int) -> None:
         target = LakeTable(batch.sparkSession, table.spec, table.path)
-        name = f"{_query_id(batch, settings)}-{batch_id}"
+        if not query_id:
+            query_id.append(_query_id(batch, settings))
+        name = f"{query_id[0]}-{batch_id}"
         if target.version_of_batch(name) is not None:
             # The rows are written already; running the batch brings its state up to date.
             batch.write.format("noop").mode("overwrite").save()
             return
-        target.commit(enrich(batch) if enrich else batch, batch=name)
+        version = target.commit(enrich(batch) if enrich else batch, batch=name)
+        if settings.compact_every and version % settings.compact_every == 0:
+            maintenance.compact_if_needed(target)
 
     writer = rows.writeStream.outputMode(output_mode).foreachBatch(write)
     return started(rows, writer, settings, output_mode)
@@ -111,6 +121,18 @@ def file_sink(rows: DataFrame, path: str, settings: RunSettings) -> StreamingQue
     return started(rows, rows.writeStream.outputMode("append").foreachBatch(write), settings)
 
 
+def on_each_trigger(spark: SparkSession, step: Callable[[], object], settings: RunSettings) -> StreamingQuery | None:
+    """Run a step over tables at every interval, or once if there is none.
+
+    A clock drives it, so that the step has the triggers, restarts and name of a query.
+    """
+    if settings.interval is None:
+        step()
+        return None
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return configured(clock.writeStream.foreachBatch(lambda batch, batch_id: step()), settings).start()
+
+
 def run_with_restarts(
     start: Callable[[], StreamingQuery],
     attempts: int = ATTEMPTS,

@@ -11,8 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows_of
-from tarnlake.lake import LakeTable, changelog, maintenance
+from tarnlake.lake import LakeTable, changelog, folders, maintenance
 from tarnlake.lake.catalog import Catalog, explain
+from tarnlake.lake.table import ConflictingCommit
 from tarnlake.schemas import TABLES, TableSpec
 from tarnlake.session import session_conf
 from tarnlake.schemas import _schema as schema
@@ -121,6 +122,87 @@ def test_compaction_keeps_the_content(spark, prices, version):
     assert state(prices.read()) == [(1, 99), (3, 30), (4, 40)]
 
 
+def test_young_versions_are_kept_unless_asked(spark, folder):
+    table = LakeTable(spark, PRICES, f"{folder}/t").create()
+    for i in range(13):
+        table.commit(price_rows(spark, (i, i, "2024-01-01")), committed_ms=ms(i))
+    now = START + timedelta(days=13)
+    assert maintenance.expire_snapshots(table, now, timedelta(days=30), keep_at_least=1) is None
+    assert maintenance.expire_snapshots(table, now, timedelta(days=30), keep_at_least=1, keep_at_most=9) == 4
+
+
+def test_a_follower_reads_every_finished_commit_once(spark, folder):
+    table = LakeTable(spark, PRICES, f"{folder}/t").create()
+    seen = []
+
+    def take(changes, batch):
+        seen.append((batch, sorted(r.id for r in changes.collect())))
+
+    assert table.follow("job", take) == 0
+    late = START + timedelta(days=60)
+    for i in range(1, 5):
+        table.commit(price_rows(spark, (i, i, "2024-01-01")), committed_ms=ms(i))
+    # Nothing that the follower has not read goes.
+    assert maintenance.expire_snapshots(table, late, keep_at_least=1) is None
+    os.remove(f"{table.path}/_layer=delta/_commit_version=4/_SUCCESS")
+    assert table.follow("job", take, most=2) == 2 and table.follow("job", take) == 3
+    assert seen == [("job-2", [1, 2]), ("job-3", [3])]
+    assert maintenance.expire_snapshots(table, late, keep_at_least=1) == 2
+    table.commit(price_rows(spark, (5, 5, "2024-01-01")))
+    assert table.follow("job", take) == 4 and seen[-1] == ("job-4", [5])
+    assert table.follow("job", take) == 4 and len(seen) == 3
+    with pytest.raises(ValueError, match="no longer keeps version 1"):
+        table.follow("a new job", take)
+
+
+def test_a_batch_of_a_follower_comes_again_after_a_failure(spark, prices):
+    names = []
+
+    def fail(changes, batch):
+        names.append(batch)
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        prices.follow("job", fail)
+    prices.commit(price_rows(spark, (9, 9, "2024-01-01")))
+    assert prices.follow("job", lambda changes, batch: names.append(batch)) == 3
+    assert names == ["job-3", "job-3"]
+
+
+def test_a_second_writer_gets_an_error_and_no_commit_is_lost(spark, prices):
+    target = prices._claim(4)
+    with pytest.raises(ConflictingCommit, match="another job"):
+        prices.commit(price_rows(spark, (8, 80, "2024-01-03")))
+    prices._write_delta(price_rows(spark, (7, 70, "2024-01-03")), "U", target, ms(5))
+    with pytest.raises(ConflictingCommit, match="committed meanwhile"):
+        prices._claim(4)
+    assert prices.commit(price_rows(spark, (8, 80, "2024-01-03"))) == 5
+    assert state(prices.read()) == [(1, 11), (3, 30), (7, 70), (8, 80)]
+
+
+def test_a_dead_writer_can_be_released(spark, prices):
+    prices._claim(4)
+    prices.release()
+    assert prices.commit(price_rows(spark, (8, 80, "2024-01-03"))) == 4
+
+
+def test_a_failed_commit_gives_up_its_claim(spark, prices):
+    broken = price_rows(spark, (8, 80, "2024-01-03")).withColumn("price", F.raise_error(F.lit("no")).cast("bigint"))
+    with pytest.raises(Exception, match="no"):
+        prices.commit(broken)
+    assert prices.commit(price_rows(spark, (8, 80, "2024-01-03"))) == 4
+
+
+def test_a_commit_lists_the_folders_once(spark, prices, monkeypatch):
+    listed = []
+    real = folders.matching
+    monkeypatch.setattr(folders, "matching", lambda spark, pattern: listed.append(pattern) or real(spark, pattern))
+    prices.commit(price_rows(spark, (8, 80, "2024-01-03")), batch="q-0")
+    assert len(listed) == 1
+    prices.read()
+    assert len(listed) == 2
+
+
 def test_compaction_leaves_fewer_files(spark, folder):
     table = LakeTable(spark, PRICES, f"{folder}/t").create()
     for i in range(12):
@@ -300,10 +382,33 @@ def test_catalog(spark, folder):
     assert "sales_summary" in [r.table_name for r in catalog.show_tables().collect()]
     assert "catalog_test" in [r.database_name for r in catalog.show_databases().collect()]
     assert catalog.show_catalogs().count() >= 1
-    spark.catalog.dropTempView("sales_summary")
+    # Another database has tables of its own, and no view of the first one.
+    catalog.create_database("catalog_other")
+    catalog.use("catalog_other")
+    assert catalog.show_tables().count() == 0
+    assert not spark.catalog.tableExists("sales_summary")
+    catalog.create_table("sales_summary")
+    catalog.register("sales_summary")
+    assert spark.table("sales_summary").count() == 0 and spark.table("catalog_test__sales_summary").count() == 1
+    with pytest.raises(ValueError, match="no database"):
+        Catalog(spark, f"{folder}/warehouse").table("sales_summary")
+    for view in ("sales_summary", "catalog_test__sales_summary", "catalog_other__sales_summary"):
+        spark.catalog.dropTempView(view)
     spark.catalog.setCurrentDatabase("default")
 
 
+def test_a_backup_is_compared_with_its_source(spark, folder, monkeypatch):
+    maintenance.backup(spark.range(10), f"{folder}/copy")
+    real = maintenance._fingerprint
+    read = []
+    # The second fingerprint is that of the copy: as if rows had been lost on the way.
+    monkeypatch.setattr(maintenance, "_fingerprint", lambda df: real(df.limit(5) if read.append(1) or len(read) == 2 else df))
+    with pytest.raises(ValueError, match="not like its source"):
+        maintenance.backup(spark.range(20), f"{folder}/copy")
+    monkeypatch.undo()
+    assert maintenance.restore(spark, f"{folder}/copy").count() == 10
+
+
 def test_backup_detects_damage(spark, folder):
     maintenance.backup(spark.range(100), f"{folder}/copy")
     assert maintenance.restore(spark, f"{folder}/copy").count() == 100

@@ -1,10 +1,12 @@
 """Plans: what reaches the scan, what is broadcast, and what one hot key does."""
 
+import os
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from tarnlake import session
 from tarnlake.functions import since
 from tarnlake.lake import LakeTable
 from tarnlake.lake.catalog import explain
@@ -37,7 +39,7 @@ def test_look_backs_reach_the_scan(spark, name):
 
 def test_no_query_has_a_cross_join(spark):
     for name in sorted(QUERIES):
-        if not name.startswith(("stream_", "lake_table", "lake_part", "lake_buck", "backup", "staged", "quality_forest")):
+        if not name.startswith(("stream_", "chain_", "lake_table", "lake_part", "lake_buck", "backup", "staged", "quality_forest")):
             plan = plan_of(spark, name)
             assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
@@ -98,26 +100,37 @@ def test_hot_products_meet_the_dimension_after_the_aggregate(spark):
     assert (found.product_name, found.total_sales) == ("p7", hot(spark).where("key = 7").count())
 
 
-def test_a_hot_join_key_is_split_at_run_time(spark):
+def test_a_hot_join_key_is_split(spark):
     events = hot(spark, 300_000).select(
         F.col("key").alias("user_id"), F.lit("purchase").alias("event_type"), F.col("note"),
         F.timestamp_micros("id").cast("timestamp_ntz").alias("event_time"), F.lit("2024-01-01").cast("date").alias("event_date"))
-    # The product name carries enough bytes for the small limits below.
     sale_rows = spark.range(0, 5000, 1, 4).select(
-        "id", F.sha2(F.col("id").cast("string"), 256).alias("product_name"), F.lit("c").alias("category"),
+        "id", F.lit("p").alias("product_name"), F.lit("c").alias("category"),
         F.lit("1.00").cast("decimal(10,2)").alias("price"), F.lit("2024-01-01").cast("date").alias("sale_date"))
-    small = {
+    plain = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "16",
     }
-    with session_conf(spark, small):
-        joined = sales.purchase_sales(events, sale_rows)
-        assert len(joined.collect()) == 300_000
-        final = joined._jdf.queryExecution().executedPlan().toString()
-    assert "skew=true" in final
+    with session_conf(spark, plain):
+        joined = sales.purchase_sales(events, sale_rows).withColumn("task", F.spark_partition_id())
+        sizes = [r["count"] for r in joined.groupBy("task").count().collect()]
+    # A third of the rows has one id: unsplit, one task would have over 100,000 rows.
+    assert sum(sizes) == 300_000 and max(sizes) < 60_000
+
+
+def test_sales_are_limited_before_the_joins(spark):
+    assert "LeftSemi" in plan_of(spark, "purchase_sales")
+
+
+def test_bucketed_copies_are_counted_in_many_tasks(spark):
+    plan = plan_of(spark, "lake_bucketed_events")
+    assert "Bucketed: true" not in plan and "Exchange" in plan
+
+
+def test_a_given_list_of_services_spares_a_scan(spark):
+    assert plan_of(spark, "log_error_scan").count("Scan parquet") <= 2
 
 
 def test_hot_words_are_combined_before_the_shuffle(spark):
@@ -164,7 +177,13 @@ def test_forest_learns_a_separable_target(spark):
     df = spark.range(2000).selectExpr("id", "cast(id % 10 AS double) AS a", "cast(id % 7 AS double) AS b",
                                       "cast(id % 10 >= 5 AS int) AS target")
     found = forest.train_forest(df, "target", "id", trees=5).first()
-    assert found.train_rows + found.test_rows == 2000 and found.accuracy == 1.0
+    assert found.train_rows + found.test_rows == 2000 and found.accuracy == 1.0 and found.filled_rows == 0
+
+
+def test_forest_keeps_rows_with_missing_features(spark):
+    df = spark.range(200).selectExpr("id", "if(id % 2 = 0, NULL, cast(id AS double)) AS a", "cast(id % 2 AS int) AS target")
+    found = forest.train_forest(df, "target", "id", trees=5).first()
+    assert found.train_rows + found.test_rows == 200 and found.filled_rows == 100
 
 
 def test_scratch_folder_is_the_one_of_the_session(spark):
@@ -175,6 +194,19 @@ def test_scratch_folder_is_the_one_of_the_session(spark):
     assert kept.count() == 5 and "Range" not in explain(kept)
 
 
+def test_scratch_folders_can_be_dropped(spark, folder):
+    kept = stored(spark.range(5), "dropped")
+    path = kept.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:")
+    others = session._given.pop(spark.sparkContext.applicationId)
+    session._given[spark.sparkContext.applicationId] = [path]
+    assert os.path.isdir(path) and session.drop_scratch(spark) == 1 and not os.path.exists(path)
+    session._given[spark.sparkContext.applicationId] = others
+
+
+def test_overflow_of_a_sum_is_an_error(spark):
+    assert session.BASE_CONF["spark.sql.ansi.enabled"] == "true"
+
+
 def test_update_mode_needs_a_key(spark, folder):
     table = LakeTable(spark, TABLES["user_events_indexed"], f"{folder}/t").create()
     with pytest.raises(ValueError, match="no key"):

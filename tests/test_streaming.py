@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from conftest import rows_of
 from tarnlake.lake import LakeTable, maintenance
-from tarnlake.plans import behavior, hourly, orders, profile, quality, sales, words
+from tarnlake import registry
+from tarnlake.plans import behavior, hourly, orders, sales, words
 from tarnlake.schemas import TABLES, TOPICS
 from tarnlake.session import session_conf
 from tarnlake.sources import external, messages
-from tarnlake.streaming import jobs, runner
+from tarnlake.streaming import chains, jobs, runner
 from tarnlake.streaming.runner import RunSettings
 
 TICK = "2024-01-01 00:00:00"
@@ -296,11 +297,10 @@ def test_a_summary_is_followed_by_a_later_job(spark, folder):
               "last_behavior_time, TIMESTAMP '2024-01-01' AS window_start, TIMESTAMP '2024-01-01 00:05:00' AS window_end")
     source.commit(spark.sql(values.format(1)))
 
+    empty = table(spark, folder, "order_summary")
+
     def follow():
-        changed = source.stream_changes().where("_op = 'U'")
-        empty = spark.createDataFrame([], TABLES["order_summary"].schema)
-        runner.upsert_stream(changed, copy, settings(folder), output_mode="append",
-                             enrich=lambda batch: behavior.user_behavior_wide(batch, empty)).awaitTermination()
+        runner.on_each_trigger(spark, lambda: chains.user_behavior_wide(source, empty, copy), settings(folder))
 
     follow()
     source.commit(spark.sql(values.format(5)))
@@ -326,12 +326,75 @@ def test_chained_jobs_over_tables(spark, folder):
     jobs.product_sales_stats(topic_stream(spark, order_feed, "orders"), no_products, stats, settings(folder, "3")).awaitTermination()
     now = "2024-01-01 00:30:00"
     profiles = table(spark, folder, "user_profile")
-    profiles.commit(profile.user_profile(profile.user_profile_changes(summary.read(), order_table.read(), now)))
+    chains.user_profile(summary, order_table, profiles, now)
     assert rows_of(profiles.read(), "user_id", "total_behaviors", "total_orders") == [(0, 10, 0), (1, 10, 30), (2, 10, 0)]
-    found = profile.recommendations(profiles.read(), stats.read(), now).collect()
+    best = table(spark, folder, "real_time_recommendations")
+    chains.recommendations(profiles, stats, best, now)
+    found = best.read().collect()
     assert [(r.user_id, float(r.recommendation_score), len(r.recommended_products)) for r in found] == [(1, 0.9, 4)]
-    checks = quality.dq_record_count({"user_behavior_summary": summary.read(), "order_summary": order_table.read()}, now)
-    assert rows_of(checks, "table_name", "metric_value") == [("order_summary", 3), ("user_behavior_summary", 18)]
+    checks = table(spark, folder, "dq_record_count")
+    chains.dq_record_count({"user_behavior_summary": summary, "order_summary": order_table}, checks, now)
+    assert rows_of(checks.read(), "table_name", "metric_value") == [("order_summary", 3), ("user_behavior_summary", 18)]
+    monitoring = table(spark, folder, "system_monitoring")
+    rows = summary.read().withColumnRenamed("last_behavior_time", "ts")
+    chains.system_monitoring(rows, monitoring, now, "1 hour")
+    assert rows_of(monitoring.read(), "metric_name", "alert_level") == [("records_per_second", "LOW")]
+    # A change of the orders alone reaches the wide table as well.
+    wide = table(spark, folder, "user_behavior_wide")
+    chains.user_behavior_wide(summary, order_table, wide)
+    before = wide.read().where("order_count > 0").count()
+    order_table.commit(order_table.read().where("user_id = 1").withColumn("user_id", F.lit(2)))
+    chains.user_behavior_wide(summary, order_table, wide)
+    assert wide.read().where("order_count > 0").count() > before > 0
+
+
+def test_a_clock_runs_a_step(spark, folder):
+    ran = []
+    query = runner.on_each_trigger(spark, lambda: ran.append(1), RunSettings(f"{folder}/progress", interval="1 second"))
+    try:
+        while len(ran) < 2:
+            query.awaitTermination(1)
+    finally:
+        query.stop()
+
+
+def test_streams_come_in_several_batches(spark):
+    feed = registry._event_feed(spark, "/root/testdata/sf0.001")
+    rows = registry._behavior_stream(spark, feed)
+    target = registry._filled(spark, "user_behavior_summary", lambda t, s: jobs.user_behavior_summary(rows, t, s))
+    assert len(target.deltas()) >= registry.SLICES
+
+
+def test_compaction_between_batches(spark, folder):
+    feed, target = Feed(folder), table(spark, folder, "word_count")
+    for i in range(4):
+        feed.add(word(f"00:00:0{i}"))
+    rows = topic_stream(spark, feed, "word-count-input")
+    jobs.word_count(rows, target, RunSettings(f"{folder}/p", None, None, compact_every=2)).awaitTermination()
+    assert sorted(target.bases()) == [2, 4] and [r["count"] for r in target.read().collect()] == [4]
+
+
+def test_dead_letters_of_a_stream(spark, folder):
+    feed = Feed(folder)
+    feed.add(event("00:10:00", 1), "broken")
+    feed.add('{"user_id": 2, "event_type": "click"}', event("00:11:00", 2))
+    source = messages.read_folder(spark, feed.path, 1)
+    jobs.dead_letters(source, TOPICS["user-events"], f"{folder}/dead", settings(folder)).awaitTermination()
+    found = spark.read.parquet(f"{folder}/dead")
+    assert rows_of(found, "reason", "value") == sorted(
+        [("malformed", "broken"), ("no event time", '{"user_id": 2, "event_type": "click"}')], key=repr)
+
+
+def test_messages_keep_their_microseconds(spark):
+    topic = TOPICS["user-events"]
+    rows = spark.sql("SELECT 1L AS user_id, 'a' AS event_type, TIMESTAMP '2024-01-01 00:00:00.123456' AS event_time, '' AS properties")
+    back = messages.good_rows(messages.decode(messages.encode(rows), topic.schema), "event_time")
+    assert back.selectExpr("cast(event_time AS string)").first()[0] == "2024-01-01 00:00:00.123456"
+
+
+def test_padding_never_cuts_a_message(spark):
+    found = messages.click_messages(spark, 3, pad_to=40)
+    assert messages.good_rows(messages.decode(found, TOPICS["user-events"].schema), "event_time").count() == 3
 
 
 def test_batch_equals_stream(spark, folder):

@@ -112,17 +112,30 @@ def test_legend(spark):
 def test_every_panel_runs(spark):
     panels = dashboards.STREAM_PANELS + dashboards.LAKE_PANELS
     assert len(panels) == 27
-    names = sorted({m for p in panels for m in (p.metric, p.whole) if m})
-    rows = [("x_" + name, {"job_name": "j", "table_name": "t"}, START + timedelta(seconds=15 * i), 10.0 + i)
+    # Two exporters write the metrics of the first dashboard.
+    prefixes = {"manager": "m_", "worker": "w_", "lake": "l_"}
+    assert {p.exporter for p in dashboards.STREAM_PANELS} == {"manager", "worker"}
+    names = sorted({prefixes[p.exporter] + m for p in panels for m in (p.metric, p.whole) if m})
+    rows = [(name, {"job_name": "j", "table_name": "t"}, START + timedelta(seconds=15 * i),
+             (200.0 if "Max" in name or "total_bytes" in name else 10.0) + 3 * i)
             for name in names for i in range(4)]
     df = spark.createDataFrame(rows, SCHEMA)
-    counts = {"latest": 1, "percent": 4, "rate": 3, "range": 4}
+    first = [10.0, 13.0, 16.0, 19.0]
+    values = {"latest": [19.0], "percent": [v / (190 + v) * 100 for v in first], "rate": [0.2] * 3, "range": first}
     for panel in panels:
-        found = dashboards.panel_query(df, panel, START + timedelta(minutes=2), prefix="x_").collect()
-        assert len(found) == counts[panel.kind], panel
+        found = dashboards.panel_query(df, panel, START + timedelta(minutes=2), prefixes=prefixes).collect()
+        got = sorted(r.value - (190 if "Max" in panel.metric else 0) for r in found)
+        assert got == pytest.approx(values[panel.kind]), panel
         assert found[0].legend and "{{" not in found[0].legend
 
 
+def test_latest_samples_of_a_look_back(spark):
+    df = samples(spark, [("a", 0, 1.0), ("b", 7000, 2.0)])
+    now = START + timedelta(seconds=7200)
+    assert timeseries.latest_samples(df, "c", now).count() == 2
+    assert [r.value for r in timeseries.latest_samples(df, "c", now, "1 hour").collect()] == [2.0]
+
+
 def test_log_scan_lists_quiet_services(spark):
     lines = spark.createDataFrame(
         [("a", START, "Some ERROR"), ("a", START, "an Exception"), ("a", START - timedelta(hours=2), "failed"),
