@@ -30,6 +30,8 @@ def weighted(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def sketch(hashes: np.ndarray, offsets: np.ndarray, registers: int = 252) -> np.ndarray:
     """A row of ``registers`` 16-bit fragments for each text, at most 65,536 texts; zeros without shingles."""
+    if registers > 2048:
+        raise ValueError("at most 2048 registers: an arrival chooses among so many")
     n = len(offsets) - 1
     text, seed, weight = weighted(hashes, offsets)
     # High half: time of the first arrival as a float, whose bits sort like its value; low half: the shingle.

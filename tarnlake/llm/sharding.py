@@ -7,7 +7,7 @@ with the shard's residual capacity is highest.
 Items are few whatever the input: at most ``3 * LARGE`` groups can hold more than a ``LARGE``-th of some
 dimension, and each of these is an item. All other groups are dealt by a hash of their text into ``COARSE`` bundles and,
 a small part of them, into ``FINE`` much smaller ones that even out the rest. A group that alone is more than a
-shard holds is split by row into equal parts. Everything about rows is joined by key with the items' shards, a
+shard holds is split by row into equal parts, as no packing of whole groups would be even. Everything about rows is joined by key with the items' shards, a
 table of bounded size.
 
 The law is ``bytes``: sizes near equal. Places within a shard come from two passes: counts per shard and
@@ -30,8 +30,9 @@ SHARDS = 16
 LARGE, COARSE, FINE = 2048, 2048, 1024
 # Every so many-th of the small groups goes to the fine bundles.
 FINE_EVERY = 32
-# Parts of a split group, per shard that it would fill.
-PARTS = 8
+# Parts of a split group, per shard that it would fill. A group is split if it has more bytes than a shard,
+# or more rows or tokens than one in at least so many rows.
+PARTS, HOT_ROWS = 8, 1000
 DIMENSIONS = ("bytes", "tokens", "rows")
 # The law is on bytes, so their share of the dot product is the largest.
 WEIGHTS = (8.0, 1.0, 1.0)
@@ -64,14 +65,15 @@ def assign(docs: DataFrame, text: str = "text", payload: list[str] | None = None
     names = docs.columns if payload is None else payload
     out = fresh(names, "placed")
     body = F.coalesce(docs[text], F.lit(""))
-    rows = stored(docs.select(*[docs[name] for name in names], F.struct(
+    # The given columns travel in one struct, so that no name of theirs can clash with ours.
+    rows = stored(docs.select(F.struct(*[docs[name] for name in names]).alias("row"), F.struct(
         (F.octet_length(body) + 1).cast("long").alias("bytes"),
         F.size(F.array_remove(F.split(body, r"[\x20\x09-\x0D]+"), "")).cast("long").alias("tokens"),
         F.crc32(F.encode(body, "UTF-8")).alias("crc"),
         F.unhex(F.md5(body)).alias("key"),
         F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("seq"),
-    ).alias(out)), "shard-rows")
-    fact = F.col(out)
+    ).alias("fact")), "shard-rows")
+    fact = F.col("fact")
     groups = stored(
         rows.groupBy(fact["key"].alias("key")).agg(
             F.sum(fact["bytes"]).alias("bytes"), F.sum(fact["tokens"]).alias("tokens"), F.count("*").alias("rows")),
@@ -79,8 +81,10 @@ def assign(docs: DataFrame, text: str = "text", payload: list[str] | None = None
     total = groups.agg(*[F.coalesce(F.sum(d), F.lit(0)).alias(d) for d in DIMENSIONS]).first()
     weight = F.greatest(*[F.col(d) / F.lit(float(max(total[d], 1))) for d in DIMENSIONS])
     sized = groups.withColumn("weight", weight)
+    heavy = F.col("bytes") / F.lit(float(max(total["bytes"], 1))) > 1 / shards
+    hot = (F.col("weight") > 1 / shards) & (F.col("rows") >= HOT_ROWS)
     big = sized.where(F.col("weight") > 1 / LARGE).withColumn(
-        "parts", F.when(F.col("weight") > 1 / shards, F.ceil(F.col("weight") * shards * PARTS)).otherwise(F.lit(1)))
+        "parts", F.when(heavy | hot, F.ceil(F.col("weight") * shards * PARTS)).otherwise(F.lit(1)))
     small = sized.where(F.col("weight") <= 1 / LARGE)
     bundles = small.withColumn("bundle", _bundle("key"))
     # Bounded by 3 * LARGE and by COARSE + FINE rows.
@@ -103,14 +107,14 @@ def assign(docs: DataFrame, text: str = "text", payload: list[str] | None = None
     shard_of_bundle = session.createDataFrame(list(enumerate(dealt)), "bundle int, dealt int")
     rows = rows.withColumn("bundle", _bundle("key_of_row")).join(F.broadcast(shard_of_bundle), "bundle")
     split = F.get(F.col("into"), F.pmod(F.xxhash64(fact["seq"]), F.greatest(F.size("into"), F.lit(1))).cast("int"))
-    rows = rows.select(*[F.col(f"`{n}`") for n in names], out, F.coalesce(split, "dealt").alias("shard"))
+    rows = rows.select("row", "fact", F.coalesce(split, "dealt").alias("shard"))
     counts = stored(rows.groupBy("shard", fact["part"].alias("part")).agg(F.count("*").alias("n")), "shard-counts")
     earlier = counts.select("shard", "part", (
         F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("earlier"))
     inner = F.row_number().over(Window.partitionBy("shard", fact["part"]).orderBy(fact["seq"])) - 1
     rows = rows.withColumn("inner", inner).withColumn("part", fact["part"])
     return rows.join(bounded_broadcast(earlier, 24), ["shard", "part"]).select(
-        *[F.col(f"`{n}`") for n in names],
+        *[F.col("row")[n].alias(n) for n in names],
         F.struct(fact["bytes"].alias("size"), fact["crc"].alias("text_crc32"), F.col("shard").cast("int").alias("shard"),
                  (F.col("earlier") + F.col("inner")).cast("long").alias("slot")).alias(out))
 
