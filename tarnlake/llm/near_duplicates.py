@@ -9,8 +9,9 @@ the shingles if that is higher. A class is a connected component of links; equal
    none of them with a probability below 4 in a million.
 3. Stars: in every bucket the other nodes are compared with its first one, by sketch, then exactly on the whole
    texts. That is one comparison per member and never all pairs of a bucket.
-4. Where a bucket of three or more still holds two components, its members are compared in blocks. A block pair
-   gives only links that join two components, so its output is no larger than its input.
+4. Where a bucket of three or more still holds two components, its members are compared in blocks, other than
+   those of its largest component among themselves. A block pair gives only links that join two components, so its
+   output is no larger than its input.
 
 All joins are by key with written inputs, which adaptive execution splits where a key is hot.
 
@@ -146,18 +147,35 @@ def _star_links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> Data
 
 
 def _block_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members of buckets with two components or more, once per pair of blocks that they belong to."""
+    """The members of buckets with two components or more, once per pair of blocks that they belong to.
+
+    The members of a bucket's largest component need no comparison among themselves. They are in blocks of their own
+    (``i`` from 0), each of which meets every block of the others (``j``); two blocks of the others have a negative ``i``.
+    So a bucket of copies with a few others costs in proportion to its members.
+    """
     labelled = stored(
         members.where("n > 2").join(labels, "node", "left")
         .select("key", "node", "n", F.coalesce("label", "node").alias("label")), "labelled-members")
+    # Counted by component first, with a combine before the shuffle; the keys' number and largest come from these rows.
+    sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("size"))
     open_keys = stored(
-        labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"))
-        .where("a <> b").select("key"), "open-buckets")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    mine = F.pmod(F.xxhash64("node"), blocks)
-    return (labelled.join(open_keys, "key")
-            .select("key", "node", "label", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-            .select("key", "node", "label", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")))
+        sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "label")).alias("largest"))
+        .where("parts > 1").select("key", "largest"), "open-buckets")
+    inner = F.ceil(F.col("largest")["size"] / BLOCK)
+    outer = F.ceil((F.col("n") - F.col("largest")["size"]) / BLOCK)
+    inside = F.col("label") == F.col("largest")["label"]
+    mine = F.pmod(F.xxhash64("node"), F.when(inside, inner).otherwise(outer))
+
+    def pair(i, j):
+        return F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"))
+
+    inner_blocks, outer_blocks = (F.sequence(F.lit(0).cast("long"), x - 1) for x in (inner, outer))
+    others = F.filter(outer_blocks, lambda x: x != F.col("mine"))
+    at = F.when(inside, F.transform(outer_blocks, lambda x: pair(F.col("mine"), x))).otherwise(F.concat(
+        F.transform(inner_blocks, lambda x: pair(x, F.col("mine"))),
+        F.transform(others, lambda x: pair(-F.least(x, F.col("mine")) - 1, F.greatest(x, F.col("mine"))))))
+    return (labelled.join(open_keys, "key").withColumn("mine", mine)
+            .select("key", "node", "label", F.explode(at).alias("at")).select("key", "node", "label", "at.i", "at.j"))
 
 
 def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:

@@ -473,6 +473,31 @@ def test_blocks_find_links_that_stars_miss(spark, monkeypatch):
     check_classes(rows, near_duplicates.classify(docs)[1].collect())
 
 
+def test_block_pairs_bring_all_components_together(spark, monkeypatch):
+    """Members of different components of a bucket meet; a large component is not compared with itself."""
+    monkeypatch.setattr(near_duplicates, "BLOCK", 4)
+    # Bucket 1: a component of 200 nodes and 9 others; 2: one component only; 3: three single nodes.
+    buckets = {1: list(range(209)), 2: list(range(300, 310)), 3: [500, 501, 502]}
+    label = {node: 0 for node in range(200)} | {node: 300 for node in range(300, 310)}
+    members = spark.createDataFrame(
+        [(key, node, len(nodes)) for key, nodes in buckets.items() for node in nodes], "key long, node long, n long")
+    labels = spark.createDataFrame(list(label.items()), "node long, label long")
+    groups: dict[tuple, list] = {}
+    for r in near_duplicates._block_pairs(members, labels).collect():
+        assert r.label == label.get(r.node, r.node)
+        groups.setdefault((r.key, r.i, r.j), []).append(r.node)
+    assert {key for key, _, _ in groups} == {1, 3}
+    met = {frozenset(pair) for nodes in groups.values() for pair in itertools.combinations(nodes, 2)}
+    for key in (1, 3):
+        for a, b in itertools.combinations(buckets[key], 2):
+            if label.get(a, a) != label.get(b, b):
+                assert frozenset((a, b)) in met
+    # Three blocks of others: a member of the component appears in three places, an other one in 50 and two.
+    places = [node for nodes in groups.values() for node in nodes]
+    assert all(places.count(node) == 3 for node in range(200))
+    assert all(places.count(node) == 52 for node in range(200, 209))
+
+
 def test_near_duplicates_of_the_sample(spark, sample):
     rows = [(r["doc_id"], r["text"]) for r in sample]
     found = near_duplicates.report(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()
