@@ -7,7 +7,7 @@ checks it, so no pattern is tried at every position of a text.
 Kinds of the base, always found and never overlapping within a kind: ``email``, ``ip``, ``card`` (13 to 19 digits
 with a right check digit) and ``phone``. Kinds that the anchors add: ``login`` (the user and password part of an
 address with a scheme), ``iban`` (right check number) and ``account`` (digits after a word such as "account").
-Added spans that lie in a span of the base are dropped.
+Added spans that overlap a span of the base are dropped.
 
 Edge cases: a null or empty text has no spans and keeps its value; equal rows give equal results; a
 clashing name of a result column gets a number; offsets count code points, the end is exclusive.
@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import hashlib
 import string
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -205,9 +207,17 @@ def spans(text: str | None) -> dict[str, list[Span]]:
         elif at >= used["account"] and (span := _account(text, last + 1)):
             found["account"].append(span)
             used["account"] = span[1]
-    base = [span for kind in BASE for span in found[kind]]
+    base = sorted(span for kind in BASE for span in found[kind])
+    starts = [start for start, _ in base]
+    # How far the spans up to each one reach.
+    reach = list(accumulate((end for _, end in base), max))
+
+    def free(start: int, end: int) -> bool:
+        before = bisect_left(starts, end)
+        return not before or reach[before - 1] <= start
+
     for kind in KINDS[len(BASE):]:
-        found[kind] = [(a, b) for a, b in found[kind] if not any(a < d and c < b for c, d in base)]
+        found[kind] = [span for span in found[kind] if free(*span)]
     return found
 
 

@@ -323,6 +323,21 @@ def test_added_kinds():
     assert "s3cret@host.example" in cut["email"]
 
 
+def test_many_spans_of_a_long_text(sample):
+    """Added spans next to or across spans of the base, in a text with many of either."""
+    draw = random.Random(5)
+    parts = ["a.b@c.de; ", "account 12345678; ", "account +12 345678901; ", "acct 4111111111111111; ", "x https://u:p@h; ",
+             "https://u:pw@host.org; ", "GB82WEST12345698765432; ", "10.0.0.1; ", "word; "]
+    text = "".join(draw.choices(parts, k=60_000))
+    found = pii.spans(text)
+    cut = {kind: {text[a:b] for a, b in spans} for kind, spans in found.items()}
+    assert cut["account"] == {"12345678"} and cut["login"] == {"u:p"} and cut["iban"] == {"GB82WEST12345698765432"}
+    assert len(found["account"]) == text.count(parts[1]) and len(found["login"]) == text.count(parts[4])
+    base = sorted(span for kind in pii.BASE for span in found[kind])
+    for a, b in found["account"][:50] + found["login"][:50]:
+        assert not any(a < d and c < b for c, d in base)
+
+
 def test_redaction(unusual, empty):
     text = "mail a.b@c.de or +1 (743) 555-3824"
     assert pii.redacted(text, pii.spans(text)) == "mail <EMAIL> or <PHONE>"
