@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -48,13 +49,16 @@ class ByteLevelEncoder(Remembered):
         self.letters = _byte_letters()
 
     def result(self, piece: str) -> bytes:
-        if _LETTERS.fullmatch(piece):
-            # One word for the model, so the steps around it can be left out.
+        word = piece[1:] if piece[0] == " " else piece
+        # One word for the model, so the steps around it can be left out.
+        if word.isascii() and word.isalpha():
+            ids = [token.id for token in self.model.tokenize(piece.replace(" ", self.letters[0x20]))]
+        elif _LETTERS.fullmatch(piece):
             spelt = piece.encode().decode("latin-1").translate(self.letters)
             ids = [token.id for token in self.model.tokenize(spelt)]
         else:
             ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        return np.array(ids, "<u2").tobytes()
+        return struct.pack(f"<{len(ids)}H", *ids)
 
     def ids(self, text: str | None) -> np.ndarray:
         """The ids of a whole text; a null is empty."""
