@@ -36,14 +36,13 @@ def encode_partitions(docs: DataFrame, end_id: int, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, before = encoder(path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u2").tobytes()
         for batch in (s for b in batches for s in slices(b, "text")):
-            ids = [encode.ids(text.as_py()).tobytes() + end for text in batch.column("text")]
-            n = np.array([len(x) // 2 for x in ids], np.int64)
+            ids = encode.ended(batch.column("text").to_pylist(), end_id)
+            n = np.array([len(x) for x in ids], np.int64)
             upto = before + np.cumsum(n)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(np.full(len(n), part)), pa.array(upto - n), pa.array(n),
-                 pa.array(ids, pa.binary())], ["doc_id", "part", "before", "n", "ids"])
+                 pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "part", "before", "n", "ids"])
             before = int(upto[-1])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"),

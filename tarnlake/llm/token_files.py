@@ -123,7 +123,6 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID, vocabularies: str |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, block = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u2")
         names: list[int | None] = []
         held: list[np.ndarray] = []
         size = 0
@@ -134,8 +133,8 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID, vocabularies: str |
                 "n_ids": pa.array([size], pa.int64()), "blob": pa.array([write_block(names, held)], pa.binary())})
 
         for batch in (s for b in batches for s in slices(b, "text")):
-            for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = np.concatenate([encode.ids(text.as_py()), end])
+            texts = batch.column("text").to_pylist()
+            for name, ids in zip(batch.column("doc_id").to_pylist(), encode.ended(texts, end_id)):
                 if held and size + len(ids) > BLOCK_IDS:
                     yield flush()
                     names, held, size, block = [], [], 0, block + 1

@@ -78,8 +78,12 @@ def test_remembered_pieces_give_the_tokenizers_ids(sample, tokenizer):
     draw = random.Random(7)
     letters = "aZ\u00e9\u00df1 ' ,.!\n\t\r\u00a0\u2003\u4e2d\u0301\u0142_-\x1c"
     odd = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 30))) for _ in range(3000)]
-    for text in [r["text"] for r in sample] + [r[1] for r in UNUSUAL] + odd:
-        assert encode.ids(text).tolist() == ids_of(tokenizer, text), text
+    texts = [r["text"] for r in sample] + [r[1] for r in UNUSUAL] + odd
+    for at in range(0, len(texts), 37):
+        some = texts[at:at + 37]
+        for text, ids in zip(some, encode.ended(some, 7), strict=True):
+            assert ids.tolist() == [*ids_of(tokenizer, text), 7], text
+    assert encode.ended([], 7) == []
 
 
 def test_memory_of_pieces_is_bounded(tokenizer):
@@ -87,7 +91,7 @@ def test_memory_of_pieces_is_bounded(tokenizer):
     encode.MOST = 50
     for i in range(300):
         text = f"word{i} again"
-        assert encode.ids(text).tolist() == ids_of(tokenizer, text)
+        assert encode.ended([text], 0)[0].tolist() == [*ids_of(tokenizer, text), 0]
         assert len(encode) <= 50 and len(encode.old) <= 50
 
 
