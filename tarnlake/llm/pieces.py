@@ -67,6 +67,9 @@ def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
 class Transducer(Remembered):
     """Maps what lies between two cuts to its ids as little-endian 16-bit integers."""
 
+    # A path costs more than a word of the other encoder, and a worker has the room.
+    MOST = 300_000
+
     def __init__(self, path: str):
         super().__init__()
         with open(path, "rb") as file:
