@@ -10,9 +10,13 @@ Every block gives each query its best k, and the best k of these are the result.
 queries meet on a grid of keys: each block goes to every column of its row, each group to every row of its
 column, so no task sees all of either.
 
+Rows with a component of 2**25 or more are in blocks of their own, with 64-bit values. Where scores may reach 2**62,
+a block's are computed without slices: in 64 bits the ones that surely fit, the others in Python integers.
+
 Edge cases: vectors that are null, empty or hold null or non-finite components, and rows without an id, take
 no part; vectors of another length than a query's are no candidates; rows with the query's id count as its own;
-equal vectors are ranked by id; an empty table gives no rows. Only the id and the vector are read.
+equal vectors are ranked by id; an empty table gives no rows. Only the id and the vector are read. A component or a
+score that does not fit 64 bits is an error.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlake.llm.common import map_arrow
@@ -34,8 +38,10 @@ BEST = 20
 BLOCK_ROWS, GROUP_ROWS = 8192, 256
 # Queries that are added up together; their bitmaps then stay in the processor's cache.
 _TOGETHER = 32
-# Scores stay below 2**62.
+# Components from here on are stored in 64 bits.
 _LARGEST = 1 << 25
+# Scores of the bit-sliced index stay below this.
+_SAFE = 1 << 62
 
 Slices = list[np.ndarray]
 
@@ -105,17 +111,22 @@ class Block:
         order = np.argsort(ids, kind="stable")
         self.ids, self.values = ids[order], values[order]
         self.low = self.values.min(0)
-        offset = self.values - self.low
-        self.bits = int(offset.max()).bit_length()
-        self.slices = [[bitmap(((column >> b) & 1).astype(bool)) for b in range(int(column.max()).bit_length())]
-                       for column in offset.T]
+        self.largest = max(int(self.values.max()), -int(self.values.min()))
+        self.bits = max(high - low for low, high in zip(self.low.tolist(), self.values.max(0).tolist())).bit_length()
+        self.slices = []
+        if 2 * self.largest < _SAFE:
+            self.slices = [[bitmap(((column >> b) & 1).astype(bool)) for b in range(int(column.max()).bit_length())]
+                           for column in (self.values - self.low).T]
         self.valid = bitmap(np.ones(len(ids), bool))
 
     def best(self, ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:
         """(query, row, score) of the best ``k`` rows of this block for each query."""
-        base = queries @ self.low
         largest = int(np.abs(queries).max(initial=0))
-        width = (largest * max((1 << self.bits) - 1, 1) * queries.shape[1]).bit_length() + 2
+        most = largest * max((1 << self.bits) - 1, 1) * queries.shape[1]
+        if not self.slices or max(most, largest * self.largest * queries.shape[1]) >= _SAFE:
+            return self._computed(ids, queries, k)
+        base = queries @ self.low
+        width = most.bit_length() + 2
         # Two's complement: the highest bit of a query's component counts negatively.
         top = largest.bit_length()
         plus: list[Slices] = []
@@ -155,6 +166,25 @@ class Block:
             out += [(name, row, value) for row, value in zip(self.ids[chosen].tolist(), values.tolist())]
         return out
 
+    def _computed(self, ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+        """As ``best``, without the index, for scores that may be large."""
+        out = []
+        size = np.abs(self.values).astype(np.float64)
+        for name, query in zip(ids.tolist(), queries):
+            score = self.values @ query
+            others = self.ids != name
+            # Sums of magnitudes below the bound fit 64 bits in every part; the margin covers their rounding.
+            for row in np.flatnonzero(others & (size @ np.abs(query).astype(np.float64) >= _SAFE / 2)).tolist():
+                exact = sum(a * b for a, b in zip(query.tolist(), self.values[row].tolist()))
+                if not -(1 << 63) <= exact < 1 << 63:
+                    raise OverflowError(f"the score of {name} and {self.ids[row]} does not fit 64 bits: {exact}")
+                score[row] = exact
+            # ~score is the order of falling scores without the overflow of a negation; rows are in the order of ids.
+            rows = np.flatnonzero(others)
+            rows = rows[np.argsort(~score[rows], kind="stable")[:k]]
+            out += [(name, row, value) for row, value in zip(self.ids[rows].tolist(), score[rows].tolist())]
+        return out
+
     @staticmethod
     def _read(score: Slices, q: int, rows: np.ndarray) -> np.ndarray:
         """The scores of some rows of a query, read off the slices."""
@@ -172,42 +202,60 @@ def _rows(words: np.ndarray) -> np.ndarray:
 def quantised(vectors: DataFrame) -> DataFrame:
     """``id`` and ``value``, the components as whole numbers, of the rows that take part."""
     x = F.col("embedding")
-    good = F.forall(x, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < _LARGEST / SCALE), F.lit(False)))
+    good = F.forall(x, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False)))
+
+    def whole(v: Column) -> Column:
+        too_large = F.raise_error(F.concat(F.lit("a component does not fit 64 bits: "), v.cast("string")))
+        return F.when(F.abs(v) < 2.0**63 / SCALE, F.floor(v * SCALE).cast("long")).otherwise(too_large.cast("long"))
+
     return vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).where(
         F.col("id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & good,
-    ).select("id", F.transform(x, lambda v: F.floor(v * SCALE).cast("int")).alias("value"))
+    ).select("id", F.transform(x, whole).alias("value"))
 
 
 def _grouped(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Blocks of up to ``size`` rows of one length, without a shuffle: key, length, ids and values as bytes."""
+    """Blocks of up to ``size`` rows of one length, without a shuffle: key, length, ids and values as bytes.
+
+    Values have 32 bits, or 64 in the blocks of rows with a large component.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
-        held: dict[int, list[tuple[int, np.ndarray]]] = {}
+        held: dict[tuple[int, str], list[tuple[int, np.ndarray]]] = {}
 
-        def flush(length: int) -> pa.RecordBatch:
+        def flush(kind: tuple[int, str]) -> pa.RecordBatch:
             nonlocal made
-            rows = held.pop(length)
+            rows, (length, form) = held.pop(kind), kind
             made += 1
             return pa.RecordBatch.from_pydict({
                 name: pa.array([(part << 32) + made], pa.int64()), "length": pa.array([length], pa.int64()),
                 f"{name}_ids": pa.array([np.array([i for i, _ in rows], "<i8").tobytes()], pa.binary()),
-                f"{name}_values": pa.array([np.array([v for _, v in rows], "<i4").tobytes()], pa.binary())})
+                f"{name}_values": pa.array([np.array([v for _, v in rows], form).tobytes()], pa.binary())})
 
         for batch in batches:
             values = batch.column("value")
             flat, offsets = values.flatten().to_numpy(), values.offsets.to_numpy() - values.offsets[0].as_py()
+            large = np.abs(flat) >= _LARGEST
             for k, i in enumerate(batch.column("id").to_pylist()):
                 value = flat[offsets[k]:offsets[k + 1]]
-                held.setdefault(len(value), []).append((i, value))
-                if len(held[len(value)]) == size:
-                    yield flush(len(value))
-        for length in list(held):
-            yield flush(length)
+                kind = (len(value), "<i8" if large[offsets[k]:offsets[k + 1]].any() else "<i4")
+                # A view would keep the whole batch.
+                held.setdefault(kind, []).append((i, value.astype(kind[1])))
+                if len(held[kind]) == size:
+                    yield flush(kind)
+        for kind in list(held):
+            yield flush(kind)
 
     return map_arrow(rows, run, f"{name} long, length long, {name}_ids binary, {name}_values binary")
 
 
+def _opened(ids: bytes, values: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and the rows of values of a block."""
+    numbers = np.frombuffer(ids, "<i8")
+    form = "<i8" if len(values) == 8 * len(numbers) * length else "<i4"
+    return numbers, np.frombuffer(values, form).reshape(-1, length).astype(np.int64)
+
+
 def search(vectors: DataFrame, k: int = BEST, every: int = QUERY_EVERY) -> DataFrame:
     """query_id, rank, vec_id and score of the best ``k`` rows for each row whose id is divisible by ``every``."""
     rows = quantised(vectors)
@@ -226,11 +274,8 @@ def search(vectors: DataFrame, k: int = BEST, every: int = QUERY_EVERY) -> DataF
                 record = {name: batch.column(name)[row].as_py() for name in batch.schema.names}
                 length = record["length"]
                 if opened[0] != record["block"]:
-                    opened = (record["block"], Block(
-                        np.frombuffer(record["block_ids"], "<i8"),
-                        np.frombuffer(record["block_values"], "<i4").reshape(-1, length).astype(np.int64)))
-                ids = np.frombuffer(record["query_ids"], "<i8")
-                values = np.frombuffer(record["query_values"], "<i4").reshape(-1, length).astype(np.int64)
+                    opened = (record["block"], Block(*_opened(record["block_ids"], record["block_values"], length)))
+                ids, values = _opened(record["query_ids"], record["query_values"], length)
                 found = [x for at in range(0, len(ids), _TOGETHER)
                          for x in opened[1].best(ids[at:at + _TOGETHER], values[at:at + _TOGETHER], k)]
                 yield pa.RecordBatch.from_arrays(

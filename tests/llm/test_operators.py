@@ -577,6 +577,24 @@ def test_topk(spark, scale):
     assert topk.search(vectors.limit(0)).count() == 0
 
 
+def test_topk_keeps_large_components(spark):
+    """A finite component of any size takes part; a score beyond 64 bits is an error."""
+    draw = random.Random(10)
+    rows = [(i, [draw.uniform(-2.0, 2.0) for _ in range(4)]) for i in range(120)]
+    for size, step in ((524288.0, 7), (600000.0, 11), (-3e7, 13), (4e7, 60)):
+        for i in range(step, 120, step):
+            rows[i][1][i % 4] = float(np.float32(size)) * (1 if i % 2 else -1)
+    rows += [(200, list(rows[60][1])), (201, [3e7, 3.0, -3.0, 3.0])]
+    # 2**62 in two products of one pair: beyond what slices hold, within 64 bits as a sum.
+    rows += [(220, [2.0**25, -(2.0**25), 0.0, 0.0, 0.0]), (221, [2.0**25, 2.0**25, 0.0, 0.0, 1.0]), (222, [1.0] * 5)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    for k in (1, 20, 1000):
+        assert {tuple(r) for r in topk.search(vectors, k).collect()} == plain_best(rows, k)
+    for bad in ([(0, [2.0**26]), (1, [2.0**26])], [(0, [1e30]), (1, [1.0])]):
+        with pytest.raises(Exception, match="does not fit 64 bits"):
+            topk.search(spark.createDataFrame(bad, "vec_id long, embedding array<float>")).collect()
+
+
 def test_selection_keeps_ties_at_the_boundary():
     scores = np.array([5, 3, 3, 7, 3, 0, 1, 2])
     slices = [topk.bitmap(((scores >> b) & 1).astype(bool)[None, :]) for b in range(3)]
