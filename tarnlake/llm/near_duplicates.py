@@ -4,10 +4,11 @@ Two different texts are linked if their shingles of five words have a similarity
 similarity is the probability Jaccard of the shingles weighted by how often they occur, or the plain Jaccard of
 the shingles if that is higher. A class is a connected component of links; equal texts share a class.
 
-1. Rows are written once with a number. Every text gets a digest and a sketch of 252 registers.
-2. Equal texts become one node. Its registers, six at a time, are its 42 buckets; a pair of similarity 0.8 shares
-   none of them with a probability below 4 in a million.
-3. Stars: in every bucket the other nodes are compared with its first one, by sketch, then exactly on the whole
+1. Rows are written once with a number. Every text gets a digest and a sketch of 252 registers, and a text with
+   repeated shingles a second one with all weights 1 (for other texts the two are the same).
+2. Equal texts become one node. The registers of a sketch, six at a time, are 42 of its buckets; a pair of either
+   similarity of 0.8 shares none of them with a probability below 4 in a million.
+3. Stars: in every bucket the other nodes are compared with its first one, by both sketches, then exactly on the whole
    texts. That is one comparison per member and never all pairs of a bucket.
 4. Where a bucket of three or more still holds two components, its members are compared in blocks, other than
    those of its largest component among themselves. A block pair gives only links that join two components, so its
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.llm import probminhash, shingles
@@ -61,18 +62,25 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, at = shingles.shingle_hashes(batch.column("text"), WIDTH)
         table = probminhash.sketch(hashes, at, REGISTERS)
         rows = [row.tobytes() if at[k + 1] > at[k] else None for k, row in enumerate(table)]
+        plain: list[bytes | None] = [None] * len(rows)
+        if len(some := probminhash.repeated(hashes, at)):
+            theirs = np.concatenate([hashes[at[k]:at[k + 1]] for k in some])
+            ends = np.concatenate([[0], np.cumsum(np.diff(at)[some])])
+            for k, row in zip(some, probminhash.sketch(theirs, ends, REGISTERS, plain=True)):
+                plain[k] = row.tobytes()
         yield pa.RecordBatch.from_arrays(
-            [batch.column("rid"), batch.column("doc_id"), batch.column("digest"), pa.array(rows, pa.binary())],
-            ["rid", "doc_id", "digest", "sketch"])
+            [batch.column("rid"), batch.column("doc_id"), batch.column("digest"), pa.array(rows, pa.binary()),
+             pa.array(plain, pa.binary())], ["rid", "doc_id", "digest", "sketch", "plain"])
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose sketches agree often enough."""
+    """Pairs whose sketches, by weight or plain, agree often enough."""
     for batch in batches:
-        left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS)
-                       for c in ("left", "right"))
-        good = (left == right).sum(1) >= LEAST_ESTIMATE * REGISTERS
-        yield batch.select(["u", "v"]).filter(pa.array(good))
+        left, right, left_plain, right_plain = (
+            np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+            for c in ("left", "right", "left_plain", "right_plain"))
+        equal = np.maximum((left == right).sum(1), (left_plain == right_plain).sum(1))
+        yield batch.select(["u", "v"]).filter(pa.array(equal >= LEAST_ESTIMATE * REGISTERS))
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +148,8 @@ def _block_links(table: pa.Table) -> pa.Table:
 
 def _star_links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
     """The links among (u, v), by sketch and then by text."""
-    sketched = pairs.join(sketches.toDF("u", "left"), "u").join(sketches.toDF("v", "right"), "v")
+    both = sketches.select("rid", "sketch", F.coalesce("plain", "sketch"))
+    sketched = pairs.join(both.toDF("u", "left", "left_plain"), "u").join(both.toDF("v", "right", "right_plain"), "v")
     near = stored(map_arrow(sketched, _alike, "u long, v long"), "near-pairs")
     written = near.join(texts.toDF("u", "left"), "u").join(texts.toDF("v", "right"), "v")
     return map_arrow(written, _verified, "u long, v long")
@@ -187,15 +196,19 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tup
     base = stored(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered")
     plain = base.select(F.col(rid).alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = stored(
-        map_arrow(plain.withColumn("digest", F.unhex(F.md5("text"))), _sketches, "rid long, doc_id long, digest binary, sketch binary"), "sketches")
+        map_arrow(plain.withColumn("digest", F.unhex(F.md5("text"))), _sketches, "rid long, doc_id long, digest binary, sketch binary, plain binary"), "sketches")
     shared = rows.where("sketch IS NOT NULL")
     nodes = stored(
         shared.groupBy("digest").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least")), "distinct-texts")
     sketches = stored(
-        shared.join(nodes, F.col("rid") == F.col("node"), "left_semi").select("rid", "sketch"), "distinct-sketches")
+        shared.join(nodes, F.col("rid") == F.col("node"), "left_semi").select("rid", "sketch", "plain"), "distinct-sketches")
 
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda band: F.xxhash64(
-        band, F.substring(F.col("sketch"), band * 2 * ROWS + 1, F.lit(2 * ROWS))))
+    def bands(name: str) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda band: F.xxhash64(
+            band, F.substring(F.col(name), band * 2 * ROWS + 1, F.lit(2 * ROWS))))
+
+    # Both sketches share the buckets, as the one sketch of a text without repeated shingles meets either.
+    keys = F.when(F.col("plain").isNull(), bands("sketch")).otherwise(F.array_union(bands("sketch"), bands("plain")))
     buckets = sketches.select(F.col("rid").alias("node"), F.explode(keys).alias("key"))
     full = stored(
         buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1"), "buckets")

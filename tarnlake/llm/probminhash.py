@@ -28,12 +28,23 @@ def weighted(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return (keys >> np.uint64(48)).astype(np.int64), keys & _LOW_48, weights
 
 
-def sketch(hashes: np.ndarray, offsets: np.ndarray, registers: int = 252) -> np.ndarray:
-    """A row of ``registers`` 16-bit fragments for each text, at most 65,536 texts; zeros without shingles."""
+def repeated(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The numbers of the texts in which a shingle occurs twice or more."""
+    text, _, weight = weighted(hashes, offsets)
+    return np.unique(text[weight > 1])
+
+
+def sketch(hashes: np.ndarray, offsets: np.ndarray, registers: int = 252, plain: bool = False) -> np.ndarray:
+    """A row of ``registers`` 16-bit fragments for each text, at most 65,536 texts; zeros without shingles.
+
+    With ``plain`` all weights are 1, and the registers agree with the plain Jaccard similarity.
+    """
     if registers > 2048:
         raise ValueError("at most 2048 registers: an arrival chooses among so many")
     n = len(offsets) - 1
     text, seed, weight = weighted(hashes, offsets)
+    if plain:
+        weight = np.ones_like(weight)
     # High half: time of the first arrival as a float, whose bits sort like its value; low half: the shingle.
     best = np.full(n * registers, np.uint64(0xFFFFFFFFFFFFFFFF))
     seed = mix(seed)

@@ -492,6 +492,19 @@ def test_blocks_find_links_that_stars_miss(spark, monkeypatch):
     check_classes(rows, near_duplicates.classify(docs)[1].collect())
 
 
+def test_repeated_boilerplate_hides_no_near_duplicates(spark):
+    """Pairs of which only the plain Jaccard is high, alone in their buckets, with repeats on one side and on both."""
+    draw = random.Random(11)
+    texts = []
+    for times in (5, 8, 20, 60) * 4:
+        for once in (0, 2):
+            base = [f"p{draw.randint(0, 10**6)}" for _ in range(100)]
+            texts += [" ".join(base + base[:10] * once), " ".join(base + base[:10] * times)]
+    rows = list(enumerate(texts))
+    docs = table(spark, [(i, t, None, None) for i, t in rows])
+    check_classes(rows, near_duplicates.classify(docs)[1].collect())
+
+
 def test_block_pairs_bring_all_components_together(spark, monkeypatch):
     """Members of different components of a bucket meet; a large component is not compared with itself."""
     monkeypatch.setattr(near_duplicates, "BLOCK", 4)
