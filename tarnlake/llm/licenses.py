@@ -1,8 +1,8 @@
 """License scans: the canonical form of entire texts, looked up by digest among known licences.
 
 A line's canonical form is in lower case, with equivalent spellings made one, and with runs of anything but letters
-and digits made one space. A text's is that of its lines that are not empty and no copyright line, joined by
-spaces. A digest of it is joined with the digests of the known texts, for every whole document and for every
+and digits made one space. A text's is that of its lines that are not empty and no copyright notice, joined by
+spaces; it does not depend on how lines are wrapped. A digest of it is joined with the digests of the known texts, for every whole document and for every
 line as a text of its own, so notices of one line are found within documents.
 
 Only DataFrame functions are used. Equal rows are counted apart; what is shuffled is one row per document.
@@ -63,23 +63,36 @@ DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING F
 WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE
 OR PERFORMANCE OF THIS SOFTWARE."""),
 ]
+# What the SQL takes for copyright lines; on lines of prose it drops more than ``NOTICE``.
 _COPYRIGHT = "^(copyright|c) |^copyright$"
+# A copyright notice as it is written: the word or sign, and a year, a sign, a place for a year, or a name.
+_YEAR = r"(?:(?:19|20)\d\d\b|[<\[{(]\s*(?:year|yyyy|date))"
+_OWNER = r"(?-i:(?<=Copyright )(?!Holder|Owner|Licen[sc]e|Notice|Law|Act\b|Rights)\p{Lu}\p{Ll})"
+NOTICE = rf"(?i)^[^\p{{L}}\p{{N}}(<\[{{©]*(?:copyright[\s:,]*(?:by\s+)?(?:\(c\)|©|{_YEAR}|{_OWNER})|\(c\)\s*(?:copyright\b|{_YEAR})|©)"
 
 
 def canonical_line(line: Column) -> Column:
     """The canonical form of one line."""
-    plain = F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+    return _spelled(_plain(line))
+
+
+def _plain(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+
+
+def _spelled(plain: Column) -> Column:
     return reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), SPELLINGS, plain)
 
 
 def units(text: Column) -> Column:
     """Digests of a text and its lines: the whole text first, null where nothing is left."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), canonical_line)
+    terms = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: ~x.rlike(NOTICE))
+    lines = F.filter(F.transform(terms, _plain), lambda x: x != "")
 
-    def digests(lines: Column) -> Column:
-        kept = F.filter(lines, lambda x: (x != "") & ~x.rlike(_COPYRIGHT))
-        whole = F.array_join(kept, " ")
-        return F.concat(F.array(F.when(whole != "", F.md5(whole))), F.transform(kept, F.md5))
+    def digests(kept: Column) -> Column:
+        # Spellings of several words may lie across two lines, so they are made one in the joined text.
+        whole = _spelled(F.array_join(kept, " "))
+        return F.concat(F.array(F.when(whole != "", F.md5(whole))), F.transform(kept, lambda x: F.md5(_spelled(x))))
 
     return F.transform(F.array(lines), digests)[0]
 

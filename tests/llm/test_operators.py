@@ -2,8 +2,10 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 from functools import lru_cache
@@ -563,6 +565,28 @@ def test_an_empty_known_text_is_refused(spark):
         licenses.known_digests(spark, [("x", "...")]).collect()
 
 
+def known_text(name):
+    return next(text for known, text in licenses.KNOWN if known == name and len(text) > 500)
+
+
+def test_licenses_do_not_depend_on_wrapping(spark):
+    """Known texts at several widths; items and lines of prose are no copyright notices."""
+    expected, rows = [], []
+    for name in ("MIT", "ISC"):
+        for width in (20, 33, 47, 60, 72, 80, 100, 10_000):
+            rows.append(textwrap.fill(" ".join(known_text(name).split()), width))
+            expected.append(name)
+    for notice in ("Copyright (c) 2020 Someone\n", "Copyright \u00a9 2011-2013 A, B\n", "Copyright [yyyy] [name]\n",
+                   "Copyright Someone, Inc.\n", " * (c) 2001 x\n"):
+        rows.append(notice + known_text("MIT"))
+        expected.append("MIT")
+    for other in ("c) Further terms.\n", "C is a language.\n", "(c) You must pay.\n", "Copyright law applies.\n", "No "):
+        rows.append(other + known_text("MIT"))
+        expected.append(None)
+    found = licenses.scan(table(spark, [(i, t, None, None) for i, t in enumerate(rows)])).collect()
+    assert [r.license for r in sorted(found, key=lambda r: r.doc_id)] == expected
+
+
 # --- top-k ------------------------------------------------------------------------------------------
 
 def plain_best(rows, k):
