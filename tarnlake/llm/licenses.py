@@ -2,7 +2,8 @@
 
 A line's canonical form is in lower case, with equivalent spellings made one, and with runs of anything but letters
 and digits made one space. A text's is that of its lines that are not empty and no copyright notice, joined by
-spaces; it does not depend on how lines are wrapped. A digest of it is joined with the digests of the known texts, for every whole document and for every
+spaces, without the titles and "all rights reserved" that it begins with; it does not depend on how lines are
+wrapped. A digest of it is joined with the digests of the known texts, for every whole document and for every
 line as a text of its own, so notices of one line are found within documents.
 
 Only DataFrame functions are used. Equal rows are counted apart; what is shuffled is one row per document.
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlake.llm.common import bounded_broadcast
+from tarnlake.llm.license_digests import DIGESTS
 
 # Spellings that count as equal, in the order of their replacement.
 SPELLINGS = [
@@ -69,6 +71,9 @@ _COPYRIGHT = "^(copyright|c) |^copyright$"
 _YEAR = r"(?:(?:19|20)\d\d\b|[<\[{(]\s*(?:year|yyyy|date))"
 _OWNER = r"(?-i:(?<=Copyright )(?!Holder|Owner|Licen[sc]e|Notice|Law|Act\b|Rights)\p{Lu}\p{Ll})"
 NOTICE = rf"(?i)^[^\p{{L}}\p{{N}}(<\[{{©]*(?:copyright[\s:,]*(?:by\s+)?(?:\(c\)|©|{_YEAR}|{_OWNER})|\(c\)\s*(?:copyright\b|{_YEAR})|©)"
+_NAME = "(?:mit|expat|isc|0bsd|unlicense|zlib|(?:new |modified |revised |simplified )?bsd(?: (?:zero|[023]) clause)?|(?:zero|[023]) clause bsd)"
+# What a canonical text may begin with besides its terms.
+HEAD = rf"^(?:(?:(?:the )?{_NAME} license(?: {_NAME})?|all rights reserved) )+"
 
 
 def canonical_line(line: Column) -> Column:
@@ -91,7 +96,7 @@ def units(text: Column) -> Column:
 
     def digests(kept: Column) -> Column:
         # Spellings of several words may lie across two lines, so they are made one in the joined text.
-        whole = _spelled(F.array_join(kept, " "))
+        whole = F.regexp_replace(_spelled(F.array_join(kept, " ")), HEAD, "")
         return F.concat(F.array(F.when(whole != "", F.md5(whole))), F.transform(kept, lambda x: F.md5(_spelled(x))))
 
     return F.transform(F.array(lines), digests)[0]
@@ -105,9 +110,16 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) ->
         "digest").agg(F.min("license").alias("license"))
 
 
+def shipped_digests(spark: SparkSession) -> DataFrame:
+    """``digest`` and ``license`` of ``KNOWN`` and of the entire texts that are shipped as digests."""
+    more = spark.createDataFrame(DIGESTS, "license string, digest string").select("license", "digest")
+    return known_digests(spark).select("license", "digest").unionAll(more).groupBy(
+        "digest").agg(F.min("license").alias("license"))
+
+
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, the licence that its whole text is, the licences that lines of it are, and their number."""
-    known = known_digests(docs.sparkSession) if known is None else known
+    known = shipped_digests(docs.sparkSession) if known is None else known
     # Numbered in a step of its own, before a row becomes several.
     numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("rid"))
     each = numbered.select("doc_id", "rid", F.posexplode(units(F.col("text"))).alias("pos", "digest"))

@@ -587,6 +587,31 @@ def test_licenses_do_not_depend_on_wrapping(spark):
     assert [r.license for r in sorted(found, key=lambda r: r.doc_id)] == expected
 
 
+def test_licenses_in_usual_forms(spark):
+    """Titles and reserved rights hide no known text, and common entire texts are known, also in other widths."""
+    expected, rows = [], []
+    for head in ("MIT License\n\nCopyright (c) 2020 Someone\n", "The MIT License (MIT)\n\nCopyright (c) 2020 Someone\n\n",
+                 "Copyright (c) 2020 Someone\nAll rights reserved.\n", "MIT License "):
+        rows.append(head + known_text("MIT"))
+        expected.append("MIT")
+    rows.append("ISC License\n\nCopyright 2020 Someone\n\n" + known_text("ISC"))
+    expected.append("ISC")
+    for name in ("Apache-2.0", "MPL-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "LGPL-3", "CC0-1.0"):
+        path = f"/usr/share/common-licenses/{name}"
+        if os.path.exists(path):
+            with open(path) as f:
+                text = f.read()
+            texts = [text]
+            if name in ("Apache-2.0", "MPL-2.0"):
+                texts += ["\n\n".join(textwrap.fill(x, width, break_long_words=False) for x in re.split(r"\n\s*\n", text))
+                          for width in (60, 100, 10_000)]
+            rows += texts
+            expected += [name if "." in name else f"{name}.0"] * len(texts)
+    found = licenses.scan(table(spark, [(i, t, None, None) for i, t in enumerate(rows)])).collect()
+    got = {(i, name, r.license) for i, (name, r) in enumerate(zip(expected, sorted(found, key=lambda r: r.doc_id)))}
+    assert not {x for x in got if x[1] != x[2]}
+
+
 # --- top-k ------------------------------------------------------------------------------------------
 
 def plain_best(rows, k):
