@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnlake.llm import (
-    licenses, near_duplicates, packing, pieces, pii, quality, sharding, token_files, topk, urls,
+    lexical, licenses, line_runs, near_duplicates, packing, pieces, pii, quality, sharding, spellings, token_files, topk, urls,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,10 +57,22 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.report(_documents(spark, sf))
 
 
+def op11_lexical(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.report(_documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
+def op12_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return line_runs.report(_documents(spark, sf))
+
+
+def op13_spellings(spark: SparkSession, sf: str) -> DataFrame:
+    return spellings.report(_documents(spark, sf))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_packing, op2_token_files, op3_sentencepiece, op4_sharding, op5_urls, op6_pii, op7_near_duplicates,
-        op8_licenses, op9_topk, op10_quality)
+        op8_licenses, op9_topk, op10_quality, op11_lexical, op12_line_dedup, op13_spellings)
 }
 
 ORACLE: dict[str, str] = {
@@ -68,4 +80,7 @@ ORACLE: dict[str, str] = {
     "op8_licenses": licenses.ORACLE,
     "op9_topk": topk.ORACLE,
     "op10_quality": quality.ORACLE,
+    "op11_lexical": lexical.ORACLE,
+    "op12_line_dedup": line_runs.ORACLE,
+    "op13_spellings": spellings.ORACLE,
 }
