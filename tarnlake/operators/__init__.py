@@ -1,5 +1,6 @@
 """Operators shared by the jobs."""
 
+from tarnlake.operators.asof import as_of_join
 from tarnlake.operators.grouping import (
     counted_by,
     distinct_per_group,
@@ -7,4 +8,4 @@ from tarnlake.operators.grouping import (
     top_rows,
 )
 
-__all__ = ["counted_by", "distinct_per_group", "latest_per_key", "top_rows"]
+__all__ = ["as_of_join", "counted_by", "distinct_per_group", "latest_per_key", "top_rows"]

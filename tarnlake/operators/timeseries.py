@@ -159,3 +159,44 @@ def on_grid(samples: DataFrame, metric: str, step: str = "15 seconds") -> DataFr
             "value",
         )
     )
+
+
+def at_steps(
+    samples: DataFrame, metric: str, start: AsOf, end: AsOf, step: str = "15 seconds", look_back: str = "5 minutes",
+    slice_: str = "1 hour", gaps: bool = False,
+) -> DataFrame:
+    """The value of every series at every step from ``start`` to ``end``: its last sample that is at most ``look_back`` old.
+
+    A step without such a sample has no row, or with ``gaps`` a row without a value. Of samples of a series at one
+    time the greatest value counts.
+
+    A sample holds until the next one or until it is too old. So it is looked at within its slice of time only; a
+    slice also gets the samples of one look-back behind it, in which the next one may lie. The largest
+    series is as many groups as it has slices, and each sample yields its own steps without a join.
+    """
+    width, every = interval_seconds(look_back) * 1_000_000, interval_seconds(step) * 1_000_000
+    span = max(interval_seconds(slice_) * 1_000_000, width)
+    time_type = samples.schema["ts"].dataType
+    first, last = moment(start, time_type), moment(end, time_type)
+    zero, final = F.unix_micros(first.cast("timestamp")), F.unix_micros(last.cast("timestamp"))
+    base = samples.where(
+        (F.col("metric") == metric) & F.col("value").isNotNull()
+        & (F.col("ts") >= first - F.expr(f"INTERVAL {look_back}")) & (F.col("ts") <= last)
+    ).select(series_key().alias("series"), "value", _micros("ts").alias("at"))
+    own, other = F.expr(f"at DIV {span}"), F.expr(f"(at - {width}) DIV {span}")
+    sliced = base.select("*", F.explode(F.array_distinct(F.array(other, own))).alias("slice"))
+    in_slice = Window.partitionBy("series", "slice").orderBy("at", "value")
+    held = sliced.withColumn("next", F.lead("at").over(in_slice)).where(F.col("slice") == own)
+    until = F.least(F.coalesce("next", F.col("at") + width + 1), F.col("at") + width + 1, final + 1)
+    numbered = held.select("series", "value", (F.col("at") - zero).alias("from"), (until - zero).alias("until"))
+    begin = F.when(F.col("from") <= 0, F.lit(0).cast("bigint")).otherwise(F.expr(f"(from + {every - 1}) DIV {every}"))
+    stop = F.when(F.col("until") <= 0, F.lit(-1).cast("bigint")).otherwise(F.expr(f"(until - 1) DIV {every}"))
+    found = numbered.withColumns({"begin": begin, "stop": stop}).where("begin <= stop").select(
+        "series", "value", F.explode(F.sequence("begin", "stop")).alias("number"))
+    if gaps:
+        numbers = F.sequence(F.lit(0).cast("bigint"), ((final - zero) / every).cast("bigint"))
+        grid = base.select("series").distinct().select("series", F.explode(numbers).alias("number"))
+        found = grid.join(found, ["series", "number"], "left")
+    return found.select(
+        F.lit(metric).alias("metric"), _labels_of("series").alias("labels"),
+        F.timestamp_micros(zero + F.col("number") * every).cast(time_type).alias("ts"), "value")

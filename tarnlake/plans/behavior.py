@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.functions.moments import AsOf, days_before
-from tarnlake.operators import counted_by, distinct_per_group
+from tarnlake.operators import bitmaps, counted_by, distinct_per_group
 
 
 def user_behavior_summary(behavior: DataFrame, size: str = "5 minutes") -> DataFrame:
@@ -90,6 +90,21 @@ def hourly_from_counts(counts: DataFrame) -> DataFrame:
     )
 
 
+def user_bitmaps(user_events: DataFrame) -> DataFrame:
+    """The users of every type and hour as bitmaps: small rows from which any longer time is counted."""
+    return bitmaps.id_bitmaps(
+        user_events, {"event_type": F.col("event_type"), "event_hour": F.date_trunc("hour", F.col("event_time").cast("timestamp"))},
+        "user_id")
+
+
+def distinct_users(hourly_bitmaps: DataFrame, unit: str, by_type: bool = True) -> DataFrame:
+    """Distinct users and events per ``unit`` (hour, day, week, month …) from the hours' bitmaps."""
+    groups = {"event_type": F.col("event_type")} if by_type else {}
+    groups["period_start"] = F.date_trunc(unit, "event_hour")
+    found = bitmaps.distinct_counts(bitmaps.merged(hourly_bitmaps, groups), list(groups), "user_count", "event_count")
+    return found.withColumn("period_start", F.col("period_start").cast("timestamp_ntz"))
+
+
 def behavior_windows(user_events: DataFrame, size: str = "5 minutes") -> DataFrame:
     """Distinct users and events per type and five-minute window."""
     return distinct_per_group(

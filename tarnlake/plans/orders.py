@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.functions import average_of_cents, from_cents, to_cents
-from tarnlake.operators import latest_per_key
+from tarnlake.operators import as_of_join, latest_per_key
 
 
 def _order_cents():
@@ -84,3 +84,20 @@ def product_sales_stats(orders: DataFrame, products: DataFrame, size: str = "15
     if "update_time" in products.columns:
         products = latest_products(products)
     return with_product(product_windows(orders, size), products)
+
+
+def orders_with_product_then(orders: DataFrame, updates: DataFrame, slice_: str = "1 hour") -> DataFrame:
+    """Orders with the product's name, category and list price as they were at the order's time.
+
+    ``updates`` are versions of products by ``update_time``. An order before the first version has none.
+    """
+    return as_of_join(
+        orders, updates, ["product_id"], "order_time", "update_time", ["product_name", "category", "list_price"], slice_)
+
+
+def product_sales_then(orders: DataFrame, updates: DataFrame, slice_: str = "1 hour", size: str = "15 minutes") -> DataFrame:
+    """Units and revenue per window, product and the category that it had when it was ordered."""
+    known = orders_with_product_then(orders, updates, slice_)
+    return known.groupBy("product_id", "category", F.window("order_time", size)).agg(
+        F.sum("quantity").alias("total_sales"), from_cents(F.sum(_order_cents())).alias("total_revenue"),
+    ).select("product_id", "category", "total_sales", "total_revenue", F.col("window.start").alias("window_start"))

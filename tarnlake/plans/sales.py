@@ -96,3 +96,19 @@ def purchase_sales(user_events: DataFrame, sales: DataFrame, spread: int = SPREA
     )
     return u.join(s, same).select(
         "u.user_id", "u.event_type", "u.event_time", "s.product_name", "s.category", "s.price")
+
+
+def write_by_day(sales: DataFrame, path: str) -> None:
+    """A copy of the sales in a folder per day."""
+    sales.hint("rebalance", "sale_date").write.mode("overwrite").partitionBy("sale_date").parquet(path)
+
+
+def purchase_sales_of_days(user_events: DataFrame, sales_by_day: DataFrame, spread: int = SPREAD) -> DataFrame:
+    """``purchase_sales`` on a copy in folders by day, of which only the purchases' days are read.
+
+    Which days these are is known at run time only: their list, at most one row per folder, is broadcast and prunes
+    the folders before any file is opened.
+    """
+    days = purchases(user_events).select("event_date").distinct()
+    read = sales_by_day.join(F.broadcast(days), F.col("sale_date") == F.col("event_date"), "left_semi")
+    return purchase_sales(user_events, read, spread)

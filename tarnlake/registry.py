@@ -5,20 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlake.functions import ntz_columns, since
 from tarnlake.lake import LakeTable, changelog, maintenance
-from tarnlake.operators import latest_per_key, timeseries
+from tarnlake.operators import bitmaps, histogram, latest_per_key, timeseries
 from tarnlake.plans import (
-    behavior, forest, hourly, logs, orders, profile, quality, sales, staged, words,
+    behavior, forest, hourly, logs, orders, payloads, profile, quality, sales, staged, words,
 )
 from tarnlake.schemas import TABLES, TOPICS, TableSpec
 from tarnlake.session import scratch_dir, stored
 from tarnlake.sources import messages, tables
-from tarnlake.streaming import chains, jobs
-from tarnlake.streaming.runner import RunSettings
+from tarnlake.streaming import chains, jobs, metrics, partitions, state
+from tarnlake.streaming.runner import RunSettings, started
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -121,6 +121,28 @@ def user_events_hourly(spark, sf):
     return behavior.user_events_hourly(tables.user_events(spark, sf))
 
 
+def _hourly_bitmaps(spark, sf) -> DataFrame:
+    """The distinct users of every type and hour, stored as bitmaps."""
+    return stored(behavior.user_bitmaps(tables.user_events(spark, sf)), "user-bitmaps")
+
+
+@query
+def distinct_users_hourly(spark, sf):
+    return behavior.distinct_users(_hourly_bitmaps(spark, sf), "hour")
+
+
+@query
+def distinct_users_rollup(spark, sf):
+    """Distinct users by day out of the hours."""
+    return behavior.distinct_users(_hourly_bitmaps(spark, sf), "day")
+
+
+@query
+def distinct_users_weekly(spark, sf):
+    """Distinct users by week and of all types out of the hours."""
+    return behavior.distinct_users(_hourly_bitmaps(spark, sf), "week", by_type=False)
+
+
 @query
 def behavior_windows(spark, sf):
     return behavior.behavior_windows(tables.user_events(spark, sf))
@@ -136,6 +158,20 @@ def word_count_rows(spark, sf):
     return words.word_count_rows(tables.word_count_input(spark, sf))
 
 
+@query
+def orders_with_product_then(spark, sf):
+    """Orders with name, category and price of the product as they were at the time of the order."""
+    updates = tables.product_updates_from(tables.table(spark, sf, "events"))
+    return orders.orders_with_product_then(tables.orders(spark, sf), updates, "6 hours")
+
+
+@query
+def product_sales_then(spark, sf):
+    """Sales per window and the category that the product had when it was ordered."""
+    updates = tables.product_updates_from(tables.table(spark, sf, "events"))
+    return orders.product_sales_then(tables.orders(spark, sf), updates, "6 hours")
+
+
 # --- profiles and recommendations -------------------------------------------------------------
 
 @query
@@ -281,6 +317,19 @@ def event_payload(spark, sf):
     return behavior.payload_field(tables.user_events(spark, sf), "k")
 
 
+@query
+def payload_shapes(spark, sf):
+    return payloads.payload_shapes(tables.payloads(spark, sf), "event_type", "payload")
+
+
+@query
+def payload_values(spark, sf):
+    found = payloads.payload_values(tables.payloads(spark, sf), "payload", {
+        "total": ("$.total", "decimal(10,2)"), "first_item": ("$.items[0].id", "bigint"), "page": ("$.page", "string"),
+        "inner_key": ("$.props.k", "bigint"), "gift": ("$.gift", "boolean")})
+    return found.drop("payload")
+
+
 @query
 def sales_by_category(spark, sf):
     return sales.sales_by_category(tables.sales_data(spark, sf))
@@ -308,6 +357,22 @@ def purchase_sales(spark, sf):
     return sales.purchase_sales(events, tables.sales_data(spark, sf, only=keys))
 
 
+def _sales_by_day(spark, sf) -> DataFrame:
+    """A copy of the sales in a folder per day."""
+    path = scratch_dir(spark, "sales-by-day")
+    sales.write_by_day(tables.sales_data(spark, sf), path)
+    return spark.read.parquet(path)
+
+
+@query
+def purchase_sales_of_days(spark, sf):
+    """The largest purchases with the sales of their id and day; only the folders of their days are read."""
+    large = tables.user_events(spark, sf).join(
+        tables.table(spark, sf, "events").where("value >= 200").select("user_id", F.col("ts").alias("event_time")),
+        ["user_id", "event_time"], "left_semi")
+    return sales.purchase_sales_of_days(large, _sales_by_day(spark, sf))
+
+
 @query
 def top_words(spark, sf):
     return words.top_words(words.word_count_sum(tables.word_count_input(spark, sf)))
@@ -374,6 +439,23 @@ def metric_grid(spark, sf):
     return _by_job(timeseries.on_grid(tables.metric_samples(spark, sf), "heap_used", "1 minute"), "value")
 
 
+@query
+def metric_steps(spark, sf):
+    """Every series at every step of ten minutes, with the gaps."""
+    found = timeseries.at_steps(
+        tables.value_samples(spark, sf), "event_value", "2024-01-01 00:00:00", "2024-01-30 23:50:00", "10 minutes", gaps=True)
+    return found.select(F.col("labels")["event_type"].alias("event_type"), "ts", "value")
+
+
+@query
+def metric_steps_sparse(spark, sf):
+    """The same without rows for gaps, of a longer look-back than a slice of time."""
+    found = timeseries.at_steps(
+        tables.value_samples(spark, sf), "event_value", "2024-01-02 00:00:30", "2024-01-20 12:00:00", "7 minutes",
+        "30 minutes", "10 minutes")
+    return found.select(F.col("labels")["event_type"].alias("event_type"), "ts", "value")
+
+
 # --- logs and cluster events ------------------------------------------------------------------
 
 def _error_scan(spark, sf, look_back):
@@ -495,6 +577,14 @@ def lake_column_statistics(spark, sf):
     return maintenance.column_statistics(events, events.columns, exact=True)
 
 
+@query
+def lake_column_bounds(spark, sf):
+    """Ten buckets of equal height of every numeric column of the order lines."""
+    rows = tables.table(spark, sf, "lineitem")
+    numeric = [f.name for f in rows.schema.fields if f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "decimal")]
+    return histogram.equi_height(rows, numeric, 10)
+
+
 # --- lake tables on storage -------------------------------------------------------------------
 
 def _orders_spec(spark, sf) -> TableSpec:
@@ -614,23 +704,30 @@ def staged_load_audit(spark, sf):
 SLICES, SLICE_FILES = 5, 4
 
 
-def _event_feed(spark, sf) -> str:
-    """All events as files that appear in the order of time, below the scratch folder."""
-    path = scratch_dir(spark, "feed")
-    events = tables.table(spark, sf, "events")
+def _slice(spark, events) -> Column:
+    """The fifth of the events' time in which an event lies."""
     first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    if first is None:
+        return F.lit(0)
     bounds = [F.lit(str(first + (last - first) * k / SLICES)).cast("timestamp_ntz") for k in range(1, SLICES)]
-    slice_ = F.lit(0)
-    for bound in bounds:
-        slice_ = slice_ + F.coalesce((F.col("ts") >= bound).cast("int"), F.lit(0))
-    for k in range(SLICES):
-        events.where(slice_ == k).repartition(SLICE_FILES).write.mode("append").parquet(path)
+    return sum((F.coalesce((F.col("ts") >= bound).cast("int"), F.lit(0)) for bound in bounds), F.lit(0))
+
+
+def _feed(spark, rows, slice_: Column) -> str:
+    """The rows as files below the scratch folder that appear slice after slice."""
+    path = scratch_dir(spark, "feed")
+    messages.write_slices(rows, slice_, path, SLICE_FILES)
     return path
 
 
+def _event_feed(spark, sf) -> str:
+    events = tables.table(spark, sf, "events")
+    return _feed(spark, events, _slice(spark, events))
+
+
 def _event_stream(spark, feed, time_column, lateness, rows_from):
-    schema = spark.read.parquet(feed).schema
-    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", SLICE_FILES).parquet(feed)
+    schema = spark.read.option("recursiveFileLookup", True).parquet(feed).schema
+    events = spark.readStream.schema(schema).options(maxFilesPerTrigger=SLICE_FILES, recursiveFileLookup=True).parquet(feed)
     rows = rows_from(events).withColumn(time_column, F.col(time_column).cast("timestamp"))
     return rows.withWatermark(time_column, lateness)
 
@@ -723,24 +820,84 @@ def stream_follow_table(spark, sf):
     return ntz_columns(copy.read())
 
 
+def _fates(spark, good, bad) -> DataFrame:
+    fate = spark.read.parquet(good).select(F.lit("good").alias("fate")).unionAll(
+        spark.read.parquet(bad).select(F.col("reason").alias("fate")))
+    return fate.groupBy("fate").agg(F.count("*").alias("messages"))
+
+
 @query
 def stream_dead_letters(spark, sf):
-    """What became of all messages sent: rows of the day folders, or dead letters by reason."""
+    """What became of all messages sent: rows, or dead letters by reason, of the same micro-batches."""
     topic = TOPICS["user-events"]
-    feed, good, bad = (scratch_dir(spark, name) for name in ("messages", "good", "dead-letters"))
+    feed, good, bad, progress = (scratch_dir(spark, name) for name in ("messages", "good", "dead-letters", "progress"))
     _event_messages(spark, sf).repartition(SLICES * SLICE_FILES).write.text(feed)
+    source = messages.read_folder(spark, feed, SLICE_FILES)
+    jobs.take_in(source, topic, good, bad, RunSettings(progress, interval=None)).awaitTermination()
+    return _fates(spark, good, bad)
 
-    def source():
-        return messages.read_folder(spark, feed, SLICE_FILES)
 
-    def settings():
-        return RunSettings(scratch_dir(spark, "progress"), interval=None)
+@query
+def stream_word_count_committed(spark, sf):
+    """The word counts of the quarter days that are marked as finished, with their partition."""
+    rows = _event_stream(spark, _event_feed(spark, sf), "ts", "5 seconds", tables.words_from)
+    path, progress = scratch_dir(spark, "committed"), scratch_dir(spark, "progress")
+    jobs.word_count_committed(rows, path, RunSettings(progress, interval=None), "6 hours", "1 minute").awaitTermination()
+    return ntz_columns(partitions.read_finished(
+        spark, path, "word string, count long, window_start timestamp, window_end timestamp"))
 
-    jobs.ingest_events(messages.topic_rows(source(), topic), good, settings()).awaitTermination()
-    jobs.dead_letters(source(), topic, bad, settings()).awaitTermination()
-    fate = spark.read.parquet(good).select(F.lit("good").alias("fate")).unionAll(
-        spark.read.parquet(bad).select(F.col("reason").alias("fate")))
-    return fate.groupBy("fate").agg(F.count("*").alias("messages"))
+
+@query
+def stream_windows_in_state(spark, sf):
+    """The word windows that are still open after the last batch, with what is counted in them."""
+    rows = _event_stream(spark, _event_feed(spark, sf), "ts", "2 days", tables.words_from)
+    path, progress = scratch_dir(spark, "closed"), scratch_dir(spark, "progress")
+    jobs.word_count_files(rows, path, RunSettings(progress, interval=None)).awaitTermination()
+    found = state.windows_in_state(spark, progress)
+    return ntz_columns(found.select("word", F.col("value.count").alias("count"), "window_start", "window_end"))
+
+
+@query
+def stream_distinct_users(spark, sf):
+    """Distinct users per type and hour from the bitmaps that every micro-batch appends."""
+    rows = _event_stream(spark, _event_feed(spark, sf), "event_time", "5 seconds", tables.user_events_from)
+    path, progress = scratch_dir(spark, "user-bitmaps"), scratch_dir(spark, "progress")
+    jobs.user_bitmaps(rows, path, RunSettings(progress, interval=None)).awaitTermination()
+    return ntz_columns(behavior.distinct_users(spark.read.parquet(path), "hour"))
+
+
+def _repeated_feed(spark, sf, late: Column, again: int) -> str:
+    """Every event twice, the second time ``again`` slices later; late ones come a slice later both times."""
+    events = tables.table(spark, sf, "events")
+    slices = F.explode(F.array(*[_slice(spark, events) + late.cast("int") + k for k in (0, again)]))
+    return _feed(spark, events.withColumn("arrives", slices), F.col("arrives"))
+
+
+@query
+def stream_without_repeats(spark, sf):
+    """Events that come twice, in different batches, and some of them late, each once."""
+    feed = _repeated_feed(spark, sf, F.col("event_id") % 10 == 0, 1)
+    rows = _event_stream(spark, feed, "ts", "20 days", lambda events: events.drop("arrives"))
+    path, progress = scratch_dir(spark, "once"), scratch_dir(spark, "progress")
+    once = messages.without_repeats(rows, ["event_id"])
+    jobs.append_once(once, path, RunSettings(progress, interval=None)).awaitTermination()
+    return ntz_columns(spark.read.parquet(path).drop("batch"))
+
+
+@query
+def stream_metrics(spark, sf):
+    """Rows in and rows that came too late, per micro-batch, from the progress of a query.
+
+    A batch drops what the watermark of the batch before it has passed.
+    """
+    feed = _repeated_feed(spark, sf, F.lit(False), 2)
+    rows = _event_stream(spark, feed, "ts", "1 hour", lambda events: events.select("event_id", "ts"))
+    once = messages.without_repeats(rows, ["event_id"])
+    query_ = started(once, once.writeStream.format("noop"), RunSettings(scratch_dir(spark, "progress"), interval=None))
+    query_.awaitTermination()
+    samples = metrics.samples(spark, metrics.of_query(query_))
+    wide = samples.groupBy("ts").pivot("metric", ["batch_id", "rows_in", "late_rows"]).agg(F.max("value"))
+    return wide.where("rows_in > 0").select(*[F.col(c).cast("bigint").alias(c) for c in ("batch_id", "rows_in", "late_rows")])
 
 
 # --- chains: streams fill tables, jobs read them and fill others ---------------------------------

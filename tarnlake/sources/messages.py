@@ -6,7 +6,7 @@ message per line. Everything after the source is the same for both.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,6 +98,25 @@ def topic_rows(messages: DataFrame, topic: Topic) -> DataFrame:
     return rows.withWatermark(event_time, topic.lateness)
 
 
+def taken_in(spark: SparkSession, good: str, topic: Topic) -> DataFrame:
+    """The rows that ``jobs.take_in`` found usable, as a stream with the topic's watermark.
+
+    The job behind it has a checkpoint of its own and reads each file once.
+    """
+    rows = spark.readStream.schema(topic.schema).parquet(good)
+    return rows.withWatermark(topic.event_time, topic.lateness)
+
+
+def without_repeats(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of a stream that may bring a message several times, each message once.
+
+    Messages are the same if their keys are equal. ``rows`` has a watermark: what has been seen is kept in state until
+    it has passed the message's time, so repeats up to its delay later are found, and state does not grow with the
+    stream. The keys alone decide: a repeat may carry another time.
+    """
+    return rows.dropDuplicatesWithinWatermark(keys)
+
+
 def encode(rows: DataFrame) -> DataFrame:
     """Rows as JSON messages; times keep their microseconds."""
     return rows.select(F.to_json(F.struct("*"), _TIME_FORMATS).alias("value"))
@@ -118,6 +137,22 @@ def write_folder(rows: DataFrame, path: str) -> None:
     encode(rows).write.mode("append").text(path)
 
 
+def write_slices(rows: DataFrame, slice_: Column, path: str, files: int) -> None:
+    """Write rows in one pass, as ``files`` Parquet files for each slice, from 0, that a file stream reads in this order.
+
+    File streams read by time of change, so the files of a slice get times after those of the slice before.
+    """
+    number = F.pmod(F.xxhash64(*rows.columns), F.lit(files))
+    placed = rows.withColumns({"_slice": slice_, "_file": number})
+    placed.repartition("_slice", "_file").write.partitionBy("_slice", "_file").parquet(path)
+    spark = rows.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_slice=*/_file=*/*.parquet")
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in system.globStatus(where) or []:
+        slice_of = int(status.getPath().getParent().getParent().getName().partition("=")[2])
+        system.setTimes(status.getPath(), 1_000_000_000_000 + slice_of * 10_000, -1)
+
+
 def click_messages(spark: SparkSession, count: int, start: str = "2024-01-01 00:00:00",
                    per_second: int = 1, pad_to: int = 0) -> DataFrame:
     """Generated click events at a fixed rate, optionally padded to a message size in bytes."""

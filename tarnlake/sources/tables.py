@@ -163,6 +163,38 @@ def metric_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("metric", "labels", "ts", "value")
 
 
+def value_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of the events as a gauge per event type, at the times of the events: an uneven series with gaps."""
+    return table(spark, sf_dir, "events").select(
+        F.lit("event_value").alias("metric"), F.create_map(F.lit("event_type"), F.col("event_type")).alias("labels"), "ts", "value")
+
+
+def product_updates_from(events: DataFrame) -> DataFrame:
+    """Views as updates of the product that they name."""
+    return events.where(F.col("event_type") == "view").select(
+        _payload_key().alias("product_id"),
+        F.concat(F.lit("product "), F.col("event_id").cast("string")).alias("product_name"),
+        F.concat(F.lit("category "), (F.col("user_id") % 7).cast("string")).alias("category"),
+        F.col("value").cast("decimal(10,2)").alias("list_price"),
+        F.col("ts").alias("update_time"),
+    )
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with payloads of a shape of their own per type; those of errors are cut off."""
+    value, user = F.col("value").cast("decimal(10,2)").cast("string"), F.col("user_id").cast("string")
+    text = (
+        F.when(F.col("event_type") == "view", F.concat(F.lit('{"page": "/p/'), user, F.lit('", "source": "web", "props": '), "props", F.lit("}")))
+        .when(F.col("event_type") == "purchase", F.concat(
+            F.lit('{"total": '), value, F.lit(', "items": [{"id": '), user, F.lit(', "n": 1}], "gift": '),
+            F.when(F.col("user_id") % 2 == 0, "true").otherwise("null"), F.lit("}")))
+        .when(F.col("event_type") == "signup", F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("["), user, F.lit("]"))).otherwise(
+            F.concat(F.lit('{"user": '), user, F.lit(', "note": ""}'))))
+        .when(F.col("event_type") == "error", F.concat(F.lit('{"code": '), user))
+        .otherwise(F.col("props")))
+    return table(spark, sf_dir, "events").select("event_id", "event_type", text.alias("payload"))
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.concat(F.lit("svc"), (F.col("user_id") % 11).cast("string")).alias("service"),

@@ -16,7 +16,8 @@ from tarnlake.lake.table import LakeTable
 from tarnlake.plans import behavior, hourly, orders, sales, words
 from tarnlake.schemas import Topic
 from tarnlake.sources import messages
-from tarnlake.streaming.runner import RunSettings, append_stream, file_sink, upsert_stream
+from tarnlake.streaming.partitions import committed_sink, write_batch
+from tarnlake.streaming.runner import RunSettings, append_stream, file_sink, started, upsert_stream
 
 
 def user_behavior_summary(rows: DataFrame, table: LakeTable, settings: RunSettings) -> StreamingQuery:
@@ -53,6 +54,13 @@ def word_count_files(rows: DataFrame, path: str, settings: RunSettings) -> Strea
     return file_sink(words.word_count_rows(rows), path, settings)
 
 
+def word_count_committed(
+    rows: DataFrame, path: str, settings: RunSettings, length: str = "1 minute", delay: str = "1 minute"
+) -> StreamingQuery:
+    """Finished word windows in time partitions, each marked once the watermark is past its end and the delay."""
+    return committed_sink(words.word_count_rows(rows), path, settings, "window_start", length, delay)
+
+
 def user_events_hourly(rows: DataFrame, table: LakeTable, settings: RunSettings) -> StreamingQuery:
     """Exact distinct users per hour: two chained aggregates, which need append mode. A window is
     written once the watermark has passed it."""
@@ -65,6 +73,27 @@ def user_event_counts(rows: DataFrame, table: LakeTable, settings: RunSettings)
     return upsert_stream(behavior.user_event_counts(rows), table, settings)
 
 
+def user_bitmaps(rows: DataFrame, path: str, settings: RunSettings) -> StreamingQuery:
+    """Distinct users per type and hour as bitmaps, appended by every micro-batch without any state.
+
+    Readers merge the bitmaps of an hour. Rows may come as late as they like.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_batch(behavior.user_bitmaps(batch), path, batch_id)
+
+    return started(rows, rows.writeStream.outputMode("append").foreachBatch(write), settings)
+
+
+def append_once(rows: DataFrame, path: str, settings: RunSettings) -> StreamingQuery:
+    """Append the rows of a stream; the files of a batch that runs again are replaced."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_batch(batch, path, batch_id)
+
+    return started(rows, rows.writeStream.outputMode("append").foreachBatch(write), settings)
+
+
 def behavior_windows(rows: DataFrame, path: str, settings: RunSettings) -> StreamingQuery:
     return file_sink(behavior.behavior_windows(rows), path, settings)
 
@@ -98,6 +127,25 @@ def dead_letters(source: DataFrame, topic: Topic, path: str, settings: RunSettin
     return file_sink(messages.dead_letters(decoded, topic.event_time), path, settings)
 
 
+def take_in(source: DataFrame, topic: Topic, good: str, bad: str, settings: RunSettings) -> StreamingQuery:
+    """The messages of a topic, each once: usable rows in one folder, the others with the reason in another.
+
+    One query reads the topic once and writes both sides of the same micro-batch, so no message can
+    fall between them, whenever the query starts, fails or is started again. A batch that runs again
+    replaces its own files on both sides.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        decoded = messages.decode(batch, topic.schema).persist()
+        try:
+            write_batch(messages.good_rows(decoded, topic.event_time), good, batch_id)
+            write_batch(messages.dead_letters(decoded, topic.event_time), bad, batch_id)
+        finally:
+            decoded.unpersist()
+
+    return started(source, source.writeStream.outputMode("append").foreachBatch(write), settings)
+
+
 def orders_with_products(
     order_rows: DataFrame, product_rows: DataFrame, horizon: str = "1 hour", spread: int = 8
 ) -> DataFrame:
