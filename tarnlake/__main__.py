@@ -11,6 +11,9 @@
 
 A folder of messages holds the files of a job's topic, or one folder per topic for a job with several.
 ``--max-per-trigger`` paces a job: messages of a micro-batch with --servers, files with --folder.
+
+Messages are first taken in: usable rows and dead letters of a micro-batch are written by one query, below
+``<progress folder>-messages`` and, if given, the folder of ``--dead-letters``. The job reads the usable rows.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from tarnlake.schemas import TABLES, TOPICS
 from tarnlake.session import build_session
 from tarnlake.sources import messages
 from tarnlake.streaming import chains, jobs
-from tarnlake.streaming.runner import INTERVAL, MINI_BATCH_ROWS, RunSettings, on_each_trigger, run_with_restarts
+from tarnlake.streaming.runner import INTERVAL, MINI_BATCH_ROWS, RunSettings, on_each_trigger, run_together, run_with_restarts
 
 # Streaming jobs with one topic and one table of the same name as the job.
 STREAMS = {
@@ -57,8 +60,12 @@ def _source(spark: SparkSession, args: argparse.Namespace, topic: str, several:
     return messages.read_folder(spark, f"{args.folder}/{topic}" if several else args.folder, args.max_per_trigger)
 
 
-def _rows(spark: SparkSession, args: argparse.Namespace, topic: str, several: bool = False) -> DataFrame:
-    return messages.topic_rows(_source(spark, args, topic, several), TOPICS[topic])
+def _good(args: argparse.Namespace, topic: str) -> str:
+    return f"{args.progress}-messages/good/{topic}"
+
+
+def _rows(spark: SparkSession, args: argparse.Namespace, topic: str) -> DataFrame:
+    return messages.taken_in(spark, _good(args, topic), TOPICS[topic])
 
 
 def _table(spark: SparkSession, name: str, path: str) -> LakeTable:
@@ -70,28 +77,34 @@ def _settings(args: argparse.Namespace) -> RunSettings:
     return RunSettings(args.progress, interval, args.job, getattr(args, "compact_every", None))
 
 
-def _with_dead_letters(spark: SparkSession, args: argparse.Namespace, topics: list[str], start: Callable) -> None:
-    """Run a job, and next to it the collection of its topics' dead letters."""
-    settings = _settings(args)
-    others = []
-    for topic in topics if args.dead_letters else []:
-        own = RunSettings(f"{args.progress}-dead-letters/{topic}", settings.interval)
-        others.append(jobs.dead_letters(
-            _source(spark, args, topic, len(topics) > 1), TOPICS[topic], f"{args.dead_letters}/{topic}", own))
-    run_with_restarts(lambda: start(settings))
-    for query in others:
-        query.awaitTermination() if args.once else query.stop()
+def _with_intake(spark: SparkSession, args: argparse.Namespace, topics: list[str], start: Callable) -> None:
+    """Run a job behind the queries that take in its topics, all of which are started again after a failure."""
+    settings, root = _settings(args), f"{args.progress}-messages"
+
+    def intake(topic: str) -> Callable:
+        own = RunSettings(f"{root}/progress/{topic}", settings.interval)
+        bad = f"{args.dead_letters or root + '/dead'}/{topic}"
+        folders.make(spark, _good(args, topic))
+        return lambda: jobs.take_in(
+            _source(spark, args, topic, len(topics) > 1), TOPICS[topic], _good(args, topic), bad, own)
+
+    starts = [*[intake(topic) for topic in topics], lambda: start(settings)]
+    if args.once:
+        for each in starts:
+            run_with_restarts(each)
+    else:
+        run_together(starts)
 
 
 def _stream(spark: SparkSession, args: argparse.Namespace) -> None:
     target = _table(spark, args.job, args.table)
     if args.job in STREAMS:
         topic, job = STREAMS[args.job]
-        _with_dead_letters(spark, args, [topic], lambda s: job(_rows(spark, args, topic), target, s))
+        _with_intake(spark, args, [topic], lambda s: job(_rows(spark, args, topic), target, s))
     elif args.job == "hourly_aggregations":
         both = ["user-behavior", "orders"]
-        _with_dead_letters(spark, args, both, lambda s: jobs.hourly_aggregations(
-            *[_rows(spark, args, topic, True) for topic in both], target, s))
+        _with_intake(spark, args, both, lambda s: jobs.hourly_aggregations(
+            *[_rows(spark, args, topic) for topic in both], target, s))
     else:
         schema = TOPICS["products"].schema
 
@@ -99,7 +112,7 @@ def _stream(spark: SparkSession, args: argparse.Namespace) -> None:
             updates = messages.good_rows(messages.decode(session.read.text(args.products), schema), "update_time")
             return orders.latest_products(updates)
 
-        _with_dead_letters(spark, args, ["orders"], lambda s: jobs.product_sales_stats(
+        _with_intake(spark, args, ["orders"], lambda s: jobs.product_sales_stats(
             _rows(spark, args, "orders"), products, target, s))
 
 
@@ -109,11 +122,13 @@ def _chain(spark: SparkSession, args: argparse.Namespace) -> None:
 
     target, summary = table(args.job), table("user_behavior_summary")
     when = {"as_of": args.as_of, "look_back": args.look_back}
+    if args.job == "user_behavior_wide":
+        run_with_restarts(lambda: chains.user_behavior_wide(summary, table("order_summary"), target, _settings(args)))
+        return
     steps = {
         "user_profile": lambda: chains.user_profile(summary, table("order_summary"), target, **when),
         "real_time_recommendations": lambda: chains.recommendations(
             table("user_profile"), table("product_sales_stats"), target, **when),
-        "user_behavior_wide": lambda: chains.user_behavior_wide(summary, table("order_summary"), target),
         "dq_record_count": lambda: chains.dq_record_count(
             {"user_behavior_summary": summary, "order_summary": table("order_summary")}, target, **when),
         "system_monitoring": lambda: chains.system_monitoring(
@@ -191,7 +206,7 @@ def main(given: list[str] | None = None) -> None:
         _stream(spark, args)
     elif args.command == "files":
         topic, job = FILES[args.job]
-        _with_dead_letters(spark, args, [topic], lambda s: job(_rows(spark, args, topic), args.output, s))
+        _with_intake(spark, args, [topic], lambda s: job(_rows(spark, args, topic), args.output, s))
     elif args.command == "chain":
         _chain(spark, args)
     elif args.command == "retention":

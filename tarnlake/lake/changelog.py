@@ -32,6 +32,18 @@ def current_state(log: DataFrame, keys: Sequence[str], order_by: Sequence[str] =
     return without_log_columns(last.where(F.col("_op") != DELETE))
 
 
+def not_deleted(log: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The rows of a log without keys: those that no later version has deleted, with their repeats."""
+    added = log.where(F.col("_op") == UPSERT).alias("added")
+    gone = log.where(F.col("_op") == DELETE).select(*columns, "_commit_version").distinct()
+    if gone.isEmpty():
+        return added.select(*columns)
+    later = F.col("gone._commit_version") > F.col("added._commit_version")
+    for column in columns:
+        later = later & F.col(f"added.{column}").eqNullSafe(F.col(f"gone.{column}"))
+    return added.join(gone.alias("gone"), later, "left_anti").select(*columns)
+
+
 def upto_version(log: DataFrame, version: int) -> DataFrame:
     return log.where(F.col("_commit_version") <= version)
 

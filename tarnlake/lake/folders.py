@@ -5,7 +5,6 @@ Only names are handled here, never data.
 
 from __future__ import annotations
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -40,37 +39,9 @@ def rename(spark: SparkSession, old: str, new: str) -> None:
         raise OSError(f"{old} could not be renamed to {new}")
 
 
-def create_new(spark: SparkSession, path: str) -> bool:
-    """Create an empty file; False if there is one already. On HDFS and local disks only one of two callers wins."""
-    if exists(spark, path):
-        return False
-    try:
-        _file_system(spark, path).create(_path(spark, path), False).close()
-    except Py4JJavaError as problem:
-        if "FileAlreadyExists" in str(problem.java_exception):
-            return False
-        raise
-    return True
-
-
 def value_of(path: str, column: str) -> str:
     """The value of a ``column=value`` part of a path."""
     for part in path.split("/"):
         if part.startswith(f"{column}="):
             return part[len(column) + 1:]
     raise ValueError(f"no {column} in {path}")
-
-
-def _names(spark: SparkSession):
-    return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
-
-
-def partition_path(spark: SparkSession, values: dict[str, str | None]) -> str:
-    """``column=value/...`` with the escapes Spark uses in folder names."""
-    return "/".join(_names(spark).getPartitionPathString(c, v) for c, v in values.items())
-
-
-def partition_value(spark: SparkSession, path: str, column: str) -> str | None:
-    """The value of a partition column in a path, without escapes; None for the NULL partition."""
-    value = value_of(path, column)
-    return None if value == "__HIVE_DEFAULT_PARTITION__" else _names(spark).unescapePathName(value)

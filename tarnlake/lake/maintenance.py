@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnlake.functions.moments import AsOf, day_of, moment
-from tarnlake.lake import folders
+from tarnlake.lake import changelog, folders
 from tarnlake.lake.table import LakeTable, brought_together, write_options
 from tarnlake.session import session_conf
 
@@ -20,27 +20,35 @@ KEEP_AT_LEAST = 10
 SMALL_FILE_BYTES = 32 * 1024 * 1024
 
 
-def compact(table: LakeTable, version: int | None = None) -> int:
-    """Fold the log up to a version (the newest by default) into a base; returns the version.
+def compact(table: LakeTable) -> int:
+    """Write the partitions of the state that have small files or deletes again; returns how many.
 
-    Only partitions with commits since the base before are read and written again. The base is a
-    new folder that readers use once it is complete. The log stays for time travel until it is
-    expired. Running it again for the same version does nothing.
+    A merge leaves few files, so this is for partitions that many small commits have touched, and for the
+    rows that remember deletes. A partition with nothing but deletes goes. Append tables are left as they are.
     """
-    listing = table.listing()
-    version = listing.latest if version is None else version
-    if not version or version in listing.bases:
-        return version
-    known = {**listing.bases, **listing.deltas}
-    times = [v.committed_ms for n, v in known.items() if n <= version and v.committed_ms is not None]
-    state = table.read(version)
-    before, base = table._base_paths(version)
-    parts = None
-    if base and table.spec.partition_by:
-        parts = table.changed_partitions(before, version)
-        state = state.where(table.in_partitions(parts))
-    table._write_base(state, version, max(times, default=0), parts)
-    return version
+    if not table.spec.keys or not folders.exists(table.spark, table.state_path):
+        return 0
+    state, parts = table._state().drop("_commit_ts"), list(table.parts)
+    path, size = F.col("_metadata.file_path"), F.col("_metadata.file_size")
+    judged = state.groupBy(*parts).agg(
+        F.count_distinct(path).alias("files"), F.min(size).alias("least"),
+        F.sum((F.col("_op") == changelog.DELETE).cast("bigint")).alias("gone"), F.count("*").alias("all"))
+    judged = judged.where(((F.col("files") > 1) & (F.col("least") < SMALL_FILE_BYTES)) | (F.col("gone") > 0)).select(
+        *parts, (F.col("gone") == F.col("all")).alias("empty")).persist()
+    try:
+        rewritten = judged.where("NOT empty").select(*parts)
+        count = judged.count()
+        if not rewritten.isEmpty():
+            left = state.where(table._touched(rewritten)).where(F.col("_op") != changelog.DELETE)
+            table._overwrite(left, table.state_path, parts)
+        empty = judged.where("empty").select(*parts)
+        if not empty.isEmpty():
+            inside = state.where(table._touched(empty)).select(path.alias("path")).distinct()
+            for folder in {row.path.rsplit("/", 1)[0] for row in inside.collect()}:
+                folders.delete(table.spark, folder)
+    finally:
+        judged.unpersist()
+    return count
 
 
 def small_files(table: LakeTable, threshold: int = SMALL_FILE_BYTES) -> DataFrame:
@@ -60,11 +68,10 @@ def files(table: LakeTable) -> DataFrame:
 
     Sizes and counts come from file metadata; no column is read.
     """
-    base, deltas = table._pieces(None)
-    paths = [*base, *deltas]
-    if not paths:
+    path = table.state_path if table.spec.keys else table.log_path
+    if not folders.exists(table.spark, path):
         return table.spark.createDataFrame([], "file_path string, bytes bigint, row_count bigint")
-    rows = table.spark.read.schema(table._log_schema()).option("basePath", table.path).parquet(*paths)
+    rows = table.spark.read.schema(table.log_schema()).parquet(path)
     return rows.groupBy(
         F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("bytes")
     ).agg(F.count("*").alias("row_count"))
@@ -112,64 +119,74 @@ def expire_snapshots(
     keep_at_least: int = KEEP_AT_LEAST,
     keep_at_most: int | None = None,
 ) -> int | None:
-    """Remove versions that are too old, never the newest ``keep_at_least``; returns the last one.
+    """Forget versions that are too old, never the newest ``keep_at_least``; returns the last one.
 
-    With ``keep_at_most``, younger versions beyond that number go too. A version that a follower of the
-    table has not read yet is kept in any case.
-
-    The state at the last expired version is folded into a base before its commits are removed, so
-    every kept version can still be read. A run that stops in between can be repeated.
+    With ``keep_at_most``, younger versions beyond that number go too. What the table was at the last expired
+    version takes the place of that version and all before it, so every later one can still be read. The
+    present rows are not touched. An append table has no history apart from its rows and is left as it is.
     """
-    deltas = list(table.deltas().values())
+    finish_folding(table)
+    versions = table.versions()
+    numbers = sorted(versions)
     limit = (now - older_than).timestamp() * 1000
-    removable = deltas[: max(len(deltas) - max(keep_at_least, 1), 0)]
-    surplus = 0 if keep_at_most is None else max(len(deltas) - keep_at_most, 0)
-    read = min(table.followers().values(), default=None)
+    # The first version may be what is left of an expiry.
+    start = 1 if numbers and numbers[0] > 1 else 0
+    removable = numbers[start:][: max(len(numbers) - start - max(keep_at_least, 1), 0)]
+    surplus = 0 if keep_at_most is None else max(len(numbers) - start - keep_at_most, 0)
     expired = []
-    for i, version in enumerate(removable):
-        if read is not None and version.number > read:
-            break
-        if i >= surplus and version.committed_ms is not None and version.committed_ms >= limit:
+    for i, number in enumerate(removable):
+        if i >= surplus and versions[number] >= limit:
             break
-        expired.append(version)
-    if not expired:
+        expired.append(number)
+    if not expired or not table.spec.keys:
         return None
-    last = compact(table, expired[-1].number)
-    for version in expired:
-        folders.delete(table.spark, version.path)
-    _remove_superseded_bases(table, last)
-    return last
-
-
-def _remove_superseded_bases(table: LakeTable, last: int) -> None:
-    """Remove what newer bases up to ``last`` replace, partition by partition."""
-    bases = {n: v for n, v in table.bases().items() if n <= last}
-    kept, newer = {last}, set()
-    if table.spec.partition_by:
-        for number, part, path in reversed(table._partition_folders("base", bases)):
-            if part in newer:
-                folders.delete(table.spark, path)
-            else:
-                newer.add(part)
-                kept.add(number)
-    for number, version in bases.items():
-        if number not in kept:
-            folders.delete(table.spark, version.path)
+    fold(table, expired[-1])
+    return expired[-1]
+
+
+def fold(table: LakeTable, version: int) -> None:
+    """Make a version the first that is kept: its folder gets all rows of that time, older folders go.
+
+    The rows are written aside first. A run that stops in between is ended by the next one, or by
+    ``finish_folding``; until then reads of history may lack rows, reads of the present do not.
+    """
+    millis = table.versions()[version]
+    rows = table._prepared(table.read(version), changelog.UPSERT).withColumns({
+        "_batch": F.lit(None).cast("string"), "_commit_version": F.lit(version).cast("bigint"),
+        "_commit_ms": F.lit(millis).cast("bigint")})
+    aside = f"{table.path}/folding"
+    table._overwrite(rows, aside, ["_commit_version", "_commit_ms", *table.spec.partition_by], "static")
+    finish_folding(table)
+
+
+def finish_folding(table: LakeTable) -> None:
+    """Put a folded version that is written completely in the place of its log folders."""
+    aside = f"{table.path}/folding"
+    if folders.exists(table.spark, f"{aside}/_SUCCESS"):
+        for path in folders.matching(table.spark, f"{aside}/_commit_version=*"):
+            last = int(folders.value_of(path, "_commit_version"))
+            for number in table.versions():
+                if number <= last:
+                    folders.delete(table.spark, f"{table.log_path}/_commit_version={number}")
+            folders.rename(table.spark, path, f"{table.log_path}/_commit_version={last}")
+    folders.delete(table.spark, aside)
 
 
 def drop_partitions_before(table: LakeTable, day: date | str, column: str | None = None) -> int:
-    """Remove the partitions of days before ``day`` in all versions; returns how many folders.
+    """Remove the partitions of days before ``day`` now and in all versions; returns how many folders.
 
     Only folders are removed and nothing is rewritten. Earlier versions lose these days too, which
     is what a retention asks for.
     """
     column = column or table.spec.partition_by[0]
+    inside = "".join(f"/{c}=*" for c in table.spec.partition_by[: table.spec.partition_by.index(column) + 1])
     dropped = 0
-    for path in folders.matching(table.spark, f"{table.path}/_layer=*/_commit_version=*/_commit_ms=*/{column}=*"):
-        value = folders.value_of(path, column)
-        if value[:4].isdigit() and value < str(day):
-            folders.delete(table.spark, path)
-            dropped += 1
+    for root in (f"{table.log_path}/_commit_version=*/_commit_ms=*", table.state_path):
+        for path in folders.matching(table.spark, root + inside):
+            value = folders.value_of(path, column)
+            if value[:4].isdigit() and value < str(day):
+                folders.delete(table.spark, path)
+                dropped += 1
     return dropped
 
 

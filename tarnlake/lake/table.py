@@ -1,25 +1,24 @@
-"""A lake table: an append-only change log in Parquet, read as DataFrames.
+"""A lake table: a change log that Spark appends to and, for keyed tables, the present rows next to it.
 
 Layout below the table folder::
 
-    _layer=delta/_commit_version=7/_commit_ms=1704067200000/<partition>=.../*.parquet   one commit
-    _layer=base/_commit_version=7/...                                    the state at a version
-
-A commit counts once its folder has the ``_SUCCESS`` marker that Spark writes last. A stream also
-leaves the name of its batch in the folder: a batch that is run again after a failure finds its
-commit, or replaces an unfinished one. Versions are consecutive; one job at a time writes a table, and
-a second one that tries gets an error. A job that follows the table leaves the version it has read
-below ``_followers``, and nothing it has not read is expired. A base is the folded log up to its
-version, for the partitions that changed since the base before it; the first base has all of them.
-Reads take every partition from the newest base that has it and add the commits after the newest
-base. So the cost of a new base grows with the partitions that changed and not with the table.
+    log/_commit_version=7/_commit_ms=1704067200000/<partition>=.../*.parquet   the changes of a version
+    state/<partition>=.../*.parquet                                             the last change of every key
+
+A commit writes its log folder and then merges the partitions that it touches: their rows and the changes, the last row of
+every key, written with Spark's dynamic partition overwrite. So reading a table is a plain scan, whose filters
+on partitions prune folders, and the cost of a commit grows with the partitions it touches. What the table was, and what changed, are filters
+over the log (``changelog``).
+
+One job at a time writes a table. A stream gives each batch a name: a batch that runs again replaces its own log folder, and
+its partitions are merged from the log anew, whatever the failed attempt has left of them. Another job that failed
+halfway is run again, or ``rebuild`` merges the table from its log. An append table has no keys; its rows are those of the log.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Collection, Iterable, Sequence
-from dataclasses import dataclass
+from collections.abc import Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,13 +30,16 @@ from tarnlake.lake import changelog, folders
 from tarnlake.schemas import TableSpec
 from tarnlake.session import session_conf
 
+_BUCKET = "_bucket"
+
+
 def brought_together(
     rows: DataFrame, partition_by: Sequence[str], bucket_by: str | None, buckets: int
 ) -> DataFrame:
     """Rows of a partition and bucket in one task, as far as they fit into one file."""
     if bucket_by:
-        rows = rows.withColumn("_bucket", F.pmod(F.hash(bucket_by), F.lit(buckets)))
-        return rows.hint("rebalance", *partition_by, "_bucket").drop("_bucket")
+        rows = rows.withColumn("_bucket_of", F.pmod(F.hash(bucket_by), F.lit(buckets)))
+        return rows.hint("rebalance", *partition_by, "_bucket_of").drop("_bucket_of")
     return rows.hint("rebalance", *partition_by)
 
 
@@ -55,31 +57,6 @@ def write_options(target_file_size: str) -> dict[str, str]:
     }
 
 
-@dataclass(frozen=True)
-class Version:
-    number: int
-    committed_ms: int | None
-    path: str
-
-
-@dataclass(frozen=True)
-class Listing:
-    """What one listing of a table's folders shows: finished versions, and the batches among them."""
-
-    deltas: dict[int, Version]
-    bases: dict[int, Version]
-    batches: dict[str, int]
-
-    @property
-    def latest(self) -> int:
-        """The newest committed version; 0 for an empty table."""
-        return max(self.deltas) if self.deltas else max(self.bases, default=0)
-
-
-class ConflictingCommit(RuntimeError):
-    """Another job writes, or has just written, the version that was to be written."""
-
-
 class LakeTable:
     """Commits, reads and change reads of one table."""
 
@@ -87,104 +64,46 @@ class LakeTable:
         self.spark = spark
         self.spec = spec
         self.path = path.rstrip("/")
-
-    # --- versions -----------------------------------------------------------------------------
+        self.log_path, self.state_path = f"{self.path}/log", f"{self.path}/state"
+        # A keyed table without partitions is merged by hash buckets.
+        self.parts: tuple[str, ...] = spec.partition_by or (_BUCKET,)
 
     def create(self) -> LakeTable:
         folders.make(self.spark, self.path)
         return self
 
-    def listing(self) -> Listing:
-        """All finished versions, from one listing."""
-        times: dict[tuple[str, int], int] = {}
-        finished: dict[tuple[str, int], str] = {}
-        batches: dict[str, int] = {}
-        for path in folders.matching(self.spark, f"{self.path}/_layer=*/_commit_version=*/*"):
-            folder, name = path.rsplit("/", 1)
-            at = folders.value_of(folder, "_layer"), int(folders.value_of(folder, "_commit_version"))
-            if name.startswith("_commit_ms="):
-                times[at] = int(name.partition("=")[2])
-            elif name == "_SUCCESS":
-                finished[at] = folder
-            elif name.startswith("_batch-"):
-                batches[name.removeprefix("_batch-")] = at[1]
-        found: dict[str, dict[int, Version]] = {"delta": {}, "base": {}}
-        for (layer, number), folder in sorted(finished.items()):
-            found[layer][number] = Version(number, times.get((layer, number)), folder)
-        done = {name: number for name, number in batches.items() if number in found["delta"]}
-        return Listing(found["delta"], found["base"], done)
-
-    def deltas(self) -> dict[int, Version]:
-        return self.listing().deltas
-
-    def bases(self) -> dict[int, Version]:
-        return self.listing().bases
+    # --- versions -----------------------------------------------------------------------------
+
+    def versions(self) -> dict[int, int]:
+        """The kept versions and their commit times in milliseconds, from one listing of names."""
+        found = folders.matching(self.spark, f"{self.log_path}/_commit_version=*/_commit_ms=*")
+        times = [(int(folders.value_of(p, "_commit_version")), int(folders.value_of(p, "_commit_ms"))) for p in found]
+        return dict(sorted(times))
 
     def latest_version(self) -> int:
         """The newest committed version; 0 for an empty table."""
-        return self.listing().latest
-
-    def _partition_folders(self, layer: str, versions: Collection[int]) -> list[tuple[int, str, str]]:
-        """(version, partition part of the path, path) of the partitions, oldest version first."""
-        depth = "".join(f"/{column}=*" for column in self.spec.partition_by)
-        pattern = f"{self.path}/_layer={layer}/_commit_version=*/_commit_ms=*{depth}"
-        found = []
-        for path in folders.matching(self.spark, pattern):
-            number = int(folders.value_of(path, "_commit_version"))
-            if number in versions:
-                found.append((number, path.split("/_commit_ms=")[1].partition("/")[2], path))
-        return sorted(found)
-
-    def _base_paths(self, version: int, bases: dict[int, Version] | None = None) -> tuple[int, list[str]]:
-        """The newest base up to a version, and the folders that hold all partitions at it."""
-        bases = {n: v for n, v in (self.bases() if bases is None else bases).items() if n <= version}
-        if not bases:
-            return 0, []
-        newest = max(bases)
-        if len(bases) == 1 or not self.spec.partition_by:
-            return newest, [bases[newest].path]
-        folder_of = {part: path for _, part, path in self._partition_folders("base", bases)}
-        return newest, sorted(folder_of.values())
-
-    def changed_partitions(self, after: int, upto: int) -> list[str]:
-        """The partitions with commits in ``after < version <= upto``, from folder names."""
-        versions = [n for n in self.deltas() if after < n <= upto]
-        return sorted({part for _, part, _ in self._partition_folders("delta", versions)})
-
-    def in_partitions(self, parts: Collection[str]) -> Column:
-        """A filter for rows of the given partitions, which prunes folders."""
-        types = {f.name: f.dataType for f in self._file_schema().fields}
-        columns = self.spec.partition_by
-
-        def value(part: str, column: str) -> Column:
-            return F.lit(folders.partition_value(self.spark, part, column)).cast(types[column])
-
-        if len(columns) == 1:
-            column = F.col(columns[0])
-            null = [p for p in parts if folders.partition_value(self.spark, p, columns[0]) is None]
-            chosen = column.isin(*[value(p, columns[0]) for p in parts if p not in null])
-            return chosen | column.isNull() if null else chosen
-        chosen = F.lit(False)
-        for part in parts:
-            same = F.lit(True)
-            for column in columns:
-                same = same & F.col(column).eqNullSafe(value(part, column))
-            chosen = chosen | same
-        return chosen
+        return max(self.versions(), default=0)
+
+    def version_of_batch(self, batch: str) -> int | None:
+        """The version that a batch of this name was committed as, if it had rows."""
+        if not self.versions():
+            return None
+        return self._raw_log().where(F.col("_batch") == batch).agg(F.max("_commit_version")).first()[0]
+
+    def _kept(self, version: int, versions: dict[int, int]) -> None:
+        """The first version that is kept holds all rows before it; without older ones, only from there on is history known."""
+        first = min(versions, default=1)
+        if first > 1 and version < first:
+            raise ValueError(f"table {self.spec.name} no longer keeps version {version}")
 
     def version_at(self, as_of: AsOf) -> int:
         """The newest version committed at or before a moment (UTC); 0 if there was none yet."""
         moment = as_of if isinstance(as_of, datetime) else datetime.fromisoformat(str(as_of))
         if moment.tzinfo is None:
             moment = moment.replace(tzinfo=timezone.utc)
-        limit = moment.timestamp() * 1000
-        listing = self.listing()
-        known = {**listing.bases, **listing.deltas}
-        past = [
-            v.number for v in known.values()
-            if v.number <= listing.latest and v.committed_ms is not None and v.committed_ms <= limit
-        ]
-        if not past and known and 1 not in known:
+        versions = self.versions()
+        past = [number for number, millis in versions.items() if millis <= moment.timestamp() * 1000]
+        if not past and min(versions, default=1) > 1:
             raise ValueError(f"table {self.spec.name} no longer keeps its state of {as_of}")
         return max(past, default=0)
 
@@ -196,70 +115,22 @@ class LakeTable:
         prepared = rows.select(*columns, kind.alias("_op"))
         return prepared.withColumns({n: F.expr(text) for n, text in self.spec.computed.items()})
 
-    def _write(self, rows: DataFrame, target: str, committed_ms: int) -> None:
-        """Write about one file per target size and partition.
+    def _overwrite(self, rows: DataFrame, target: str, partition_by: Sequence[str], mode: str = "dynamic") -> None:
+        """Write about one file per target size and partition, in place of what these partitions had.
+
+        In ``static`` mode all of the folder is replaced, and has Spark's marker once it is complete.
 
         Rows are brought together by partition and bucket; adaptive execution splits a group that
         is larger than a file over several tasks and joins small ones, so neither a hot bucket nor
         many small buckets hurt.
         """
         spec = self.spec
-        out = rows.withColumn("_commit_ms", F.lit(committed_ms).cast("bigint"))
-        out = brought_together(out, spec.partition_by, spec.bucket_by, spec.buckets)
-        ordering = ["_commit_ms", *spec.partition_by, *[spec.bucket_by] * bool(spec.bucket_by)]
-        out = out.sortWithinPartitions(*ordering)
+        own = [c for c in partition_by if c in self.parts]
+        out = brought_together(rows, own, spec.bucket_by, spec.buckets).sortWithinPartitions(
+            *own, *[spec.bucket_by] * bool(spec.bucket_by))
         with session_conf(rows.sparkSession, write_options(spec.target_file_size)):
-            out.write.mode("append").partitionBy("_commit_ms", *spec.partition_by).parquet(target)
-
-    def _claim(self, version: int, batch: str | None = None) -> str:
-        """Take the folder of the next version for this writer and return it.
-
-        What an earlier attempt left goes, if it is known to be over: it gave up its claim, or it was the
-        same batch. Otherwise another job is at work, or it died without a word (see ``release``).
-        """
-        target = f"{self.path}/_layer=delta/_commit_version={version}"
-        claim = f"{target}/_claim"
-        if folders.exists(self.spark, f"{target}/_SUCCESS"):
-            raise ConflictingCommit(f"table {self.spec.name}: version {version} was committed meanwhile")
-        if folders.exists(self.spark, target):
-            again = batch is not None and folders.exists(self.spark, f"{target}/_batch-{batch}")
-            if again or not folders.exists(self.spark, claim):
-                folders.delete(self.spark, target)
-        folders.make(self.spark, target)
-        if not folders.create_new(self.spark, claim):
-            raise ConflictingCommit(f"table {self.spec.name}: another job writes version {version}")
-        if batch is not None:
-            folders.make(self.spark, f"{target}/_batch-{batch}")
-        base = f"{self.path}/_layer=base/_commit_version={version}"
-        if folders.exists(self.spark, base):
-            # Left by a delete that stopped before its commit: no version refers to it.
-            folders.delete(self.spark, base)
-        return target
-
-    def release(self) -> None:
-        """Give up the claim of a writer that died; call it only when no job writes the table."""
-        target = f"{self.path}/_layer=delta/_commit_version={self.latest_version() + 1}"
-        folders.delete(self.spark, f"{target}/_claim")
-
-    def _write_delta(self, rows: DataFrame, op: str, target: str, committed_ms: int) -> None:
-        """Write a commit into its claimed folder; a failure gives up the claim."""
-        try:
-            self._write(self._prepared(rows, op), target, committed_ms)
-        finally:
-            folders.delete(self.spark, f"{target}/_claim")
-
-    def _write_base(
-        self, rows: DataFrame, version: int, committed_ms: int, parts: Collection[str] | None
-    ) -> None:
-        """Write the state of the given partitions (None: of all) as the base of a version.
-
-        Their folders are made first: one without files tells that nothing is left of a partition.
-        """
-        target = f"{self.path}/_layer=base/_commit_version={version}"
-        folders.delete(self.spark, target)
-        for part in parts or []:
-            folders.make(self.spark, f"{target}/_commit_ms={committed_ms}/{part}")
-        self._write(self._prepared(rows, changelog.UPSERT), target, committed_ms)
+            (out.write.mode("overwrite").option("partitionOverwriteMode", mode)
+             .partitionBy(*partition_by).parquet(target))
 
     def commit(
         self,
@@ -267,51 +138,72 @@ class LakeTable:
         op: str = changelog.UPSERT,
         committed_ms: int | None = None,
         batch: str | None = None,
+        again: bool = True,
     ) -> int:
-        """Append the rows as one version and return its number.
+        """Write the rows as one version and return its number.
 
-        ``batch`` is the name a stream gives to one of its batches: if a commit of that name exists,
-        nothing is written. An ``_op`` column in the rows overrides ``op``.
+        ``batch`` is the name a stream gives to one of its batches: a batch of this name that was committed before
+        is replaced under its old number. ``again`` False says that there is none, which spares the search for it. An
+        ``_op`` column in the rows overrides ``op``. A commit without rows leaves no version.
         """
-        listing = self.listing()
-        if batch is not None and batch in listing.batches:
-            return listing.batches[batch]
-        version = listing.latest + 1
-        committed_ms = int(time.time() * 1000) if committed_ms is None else committed_ms
-        self._write_delta(rows, op, self._claim(version, batch), committed_ms)
+        versions = self.versions()
+        before = self.version_of_batch(batch) if batch is not None and again and versions else None
+        version = max(versions, default=0) + 1 if before is None else before
+        millis = versions.get(version) or (int(time.time() * 1000) if committed_ms is None else committed_ms)
+        log = self._prepared(rows, op).withColumns({
+            "_batch": F.lit(batch).cast("string"), "_commit_version": F.lit(version).cast("bigint"),
+            "_commit_ms": F.lit(millis).cast("bigint")})
+        self._overwrite(log, self.log_path, ["_commit_version", "_commit_ms", *self.spec.partition_by])
+        if self.spec.keys and version in self.versions():
+            changes = self._log().where(F.col("_commit_version") == version)
+            self._merge(self._in_state(changes), from_log=before is not None)
         return version
 
-    def version_of_batch(self, batch: str) -> int | None:
-        """The version that a batch of this name was committed as, if it was."""
-        return self.listing().batches.get(batch)
+    def _groups(self) -> list[str]:
+        return [*self.spec.keys, *[c for c in self.parts if c not in self.spec.keys]]
+
+    def _in_state(self, changes: DataFrame) -> DataFrame:
+        """Changes as rows of the state, with the column it is partitioned by."""
+        if self.spec.partition_by:
+            return changes
+        return changes.withColumn(_BUCKET, F.pmod(F.hash(*self.spec.keys), F.lit(self.spec.buckets)))
+
+    def _touched(self, changes: DataFrame) -> Column:
+        """A filter for the partitions of the changes, which prunes folders; only their names come to the driver."""
+        types = {f.name: f.dataType for f in changes.schema.fields}
+        values = changes.select(*[F.col(c).cast("string") for c in self.parts]).distinct().collect()
+        if len(self.parts) == 1:
+            name = self.parts[0]
+            known = [F.lit(v[0]).cast(types[name]) for v in values if v[0] is not None]
+            chosen = F.col(name).isin(*known) if known else F.lit(False)
+            return chosen | F.col(name).isNull() if len(known) < len(values) else chosen
+        chosen = F.lit(False)
+        for value in values:
+            same = F.lit(True)
+            for name, text in zip(self.parts, value):
+                same = same & F.col(name).eqNullSafe(F.lit(text).cast(types[name]))
+            chosen = chosen | same
+        return chosen
 
-    def delete_where(self, condition: Column, committed_ms: int | None = None) -> int:
-        """Delete the rows for which the condition is true, as a new version.
+    def _merge(self, changes: DataFrame, from_log: bool = False) -> None:
+        """Fold changes into the partitions that they touch. Deletes stay as rows, so that no partition is without any."""
+        touched = self._touched(changes)
+        if from_log or not folders.exists(self.spark, self.state_path):
+            known = self._in_state(self._log()).where(touched)
+        else:
+            known = self._state().where(touched).unionByName(changes)
+        last = changelog.last_changes(known.drop("_commit_ts"), self._groups(), self.spec.order_by)
+        self._overwrite(last, self.state_path, self.parts)
 
-        A keyed table gets one delete row per key. An append table has no keys to refer to: what
-        remains of the partitions in question is written as a base of the new version.
-        """
-        state = self.read()
-        gone = changelog.delete_changes(state, condition)
-        if self.spec.keys:
-            return self.commit(gone, changelog.DELETE, committed_ms=committed_ms)
-        latest = self.latest_version()
-        version = latest + 1
-        committed_ms = int(time.time() * 1000) if committed_ms is None else committed_ms
-        kept = state.where(~F.coalesce(condition, F.lit(False)))
-        before, base = self._base_paths(latest)
-        parts = None
-        if base and self.spec.partition_by:
-            # Partitions are few and only their names come to the driver.
-            values = gone.select(*[F.col(c).cast("string") for c in self.spec.partition_by]).distinct()
-            hit = {folders.partition_path(self.spark, row.asDict()) for row in values.collect()}
-            parts = sorted(hit | set(self.changed_partitions(before, latest)))
-            kept = kept.where(self.in_partitions(parts))
-        # The base counts only once the commit of the same version is complete.
-        target = self._claim(version)
-        self._write_base(kept, version, committed_ms, parts)
-        self._write_delta(gone, changelog.DELETE, target, committed_ms)
-        return version
+    def rebuild(self) -> None:
+        """Merge the whole state from the log, after a job that failed halfway and is not run again."""
+        if self.spec.keys and self.versions():
+            self._merge(self._in_state(self._log()), from_log=True)
+
+    def delete_where(self, condition: Column, committed_ms: int | None = None) -> int:
+        """Delete the rows for which the condition is true, as a new version."""
+        gone = changelog.delete_changes(self.read(), condition)
+        return self.commit(gone, changelog.DELETE, committed_ms=committed_ms)
 
     # --- reading ------------------------------------------------------------------------------
 
@@ -324,21 +216,26 @@ class LakeTable:
             schema = T.StructType(schema.fields + shape.schema.fields)
         return schema.add("_op", T.StringType())
 
-    def _log_schema(self) -> T.StructType:
-        schema = self._file_schema().add("_layer", T.StringType())
+    def log_schema(self) -> T.StructType:
+        schema = self._file_schema().add("_batch", T.StringType())
         return schema.add("_commit_version", T.LongType()).add("_commit_ms", T.LongType())
 
-    def _scan(self, paths: Sequence[str]) -> DataFrame:
-        schema = self._log_schema()
-        if not paths:
-            rows = self.spark.createDataFrame([], schema)
-        else:
-            rows = self.spark.read.schema(schema).option("basePath", self.path).parquet(*paths)
-        return self._with_commit_time(rows)
+    def _raw_log(self) -> DataFrame:
+        if not folders.exists(self.spark, self.log_path):
+            return self.spark.createDataFrame([], self.log_schema())
+        return self.spark.read.schema(self.log_schema()).parquet(self.log_path)
+
+    def _log(self) -> DataFrame:
+        return self._with_commit_time(self._raw_log())
 
-    @staticmethod
-    def _paths(versions: Iterable[Version]) -> list[str]:
-        return [v.path for v in versions if v.committed_ms is not None]
+    def _state(self) -> DataFrame:
+        """The last change of every key, with the partition column."""
+        schema = self._file_schema().add("_commit_version", T.LongType())
+        if not self.spec.partition_by:
+            schema = schema.add(_BUCKET, T.IntegerType())
+        if not folders.exists(self.spark, self.state_path):
+            return self.spark.createDataFrame([], schema).withColumn("_commit_ts", F.lit(None).cast("timestamp"))
+        return self.spark.read.schema(schema).parquet(self.state_path).withColumn("_commit_ts", F.lit(None).cast("timestamp"))
 
     def _with_commit_time(self, rows: DataFrame) -> DataFrame:
         return rows.select(
@@ -349,99 +246,43 @@ class LakeTable:
     def _columns(self) -> list[str]:
         return [*self.spec.schema.names, *self.spec.computed]
 
-    def _pieces(self, version: int | None) -> tuple[list[str], list[str]]:
-        """Folders of the base and of the commits after it that make up a version."""
-        listing = self.listing()
-        deltas, bases = listing.deltas, listing.bases
-        version = listing.latest if version is None else version
-        # A base without any commit up to it is where the kept history starts.
-        start = max((b for b in bases if not any(d <= b for d in deltas)), default=0)
-        base, paths = self._base_paths(version, bases)
-        needed = range(base + 1, version + 1)
-        if version < start or any(n not in deltas for n in needed):
-            raise ValueError(f"table {self.spec.name} no longer keeps version {version}")
-        return paths, self._paths(deltas[n] for n in needed)
-
     def read(self, version: int | None = None, as_of: AsOf = None) -> DataFrame:
         """The rows of the table, now or at a version or moment.
 
-        With a base, only the keys that changed since are taken out of it (an anti join that
-        broadcasts the changed keys when they are small) and the large base is never shuffled. The
-        partition columns depend on the keys and are grouped with them, so a filter on a partition
-        reaches the file listing.
+        The present rows of a keyed table are a scan of its state. Earlier ones are merged from the log; the partition
+        columns depend on the keys and are grouped with them, so filters on them reach the file listing.
         """
         if as_of is not None:
             version = self.version_at(as_of)
-        base, deltas = self._pieces(version)
-        keys = self.spec.keys
-        changes = self._scan(deltas)
-        if not keys:
-            added = changes.where(F.col("_op") == changelog.UPSERT)
-            rows = self._scan(base).unionByName(added) if base else added
-            return changelog.without_log_columns(rows)
-        groups = [*keys, *[c for c in self.spec.partition_by if c not in keys]]
-        recent = changelog.current_state(changes, groups, self.spec.order_by)
-        if not base:
-            return recent
-        folded = changelog.without_log_columns(self._scan(base))
-        if not deltas:
-            return folded
-        changed = changes.select(*groups).distinct().alias("changed")
-        same = F.lit(True)
-        for key in groups:
-            same = same & F.col(f"base.{key}").eqNullSafe(F.col(f"changed.{key}"))
-        return folded.alias("base").join(changed, same, "left_anti").unionByName(recent)
+        if version is None and self.spec.keys:
+            return self._state().where(F.col("_op") != changelog.DELETE).select(*self._columns())
+        log = self._log()
+        if version is not None:
+            self._kept(version, self.versions())
+            log = changelog.upto_version(log, version)
+        if self.spec.keys:
+            groups = [*self.spec.keys, *[c for c in self.spec.partition_by if c not in self.spec.keys]]
+            return changelog.current_state(log, groups, self.spec.order_by).select(*self._columns())
+        return changelog.not_deleted(log, self._columns())
 
     def change_log(self) -> DataFrame:
         """All kept changes, unmerged."""
-        return self._scan(self._paths(self.deltas().values()))
+        return self._log()
 
     def changes(self, after: int, upto: int | None = None) -> DataFrame:
         """The changes of the versions ``after < version <= upto``; only their folders are read."""
-        listing = self.listing()
-        upto, deltas = listing.latest if upto is None else upto, listing.deltas
-        gone = [n for n in range(after + 1, upto + 1) if n not in deltas]
-        if gone:
-            raise ValueError(f"table {self.spec.name} no longer keeps version {gone[0]}")
-        return self._scan(self._paths(deltas[n] for n in range(after + 1, upto + 1)))
+        versions = self.versions()
+        self._kept(after, versions)
+        return changelog.between_versions(self._log(), after, max(versions, default=0) if upto is None else upto)
 
     def snapshots(self) -> DataFrame:
         return changelog.snapshots(self.change_log())
 
-    # --- following ----------------------------------------------------------------------------
-
-    def followers(self) -> dict[str, int]:
-        """The jobs that follow this table, and the version each has read."""
-        read: dict[str, int] = {}
-        for path in folders.matching(self.spark, f"{self.path}/_followers/*/_read=*"):
-            name = path.split("/")[-2]
-            read[name] = max(read.get(name, 0), int(folders.value_of(path, "_read")))
-        return read
-
-    def follow(
-        self, name: str, apply: Callable[[DataFrame, str], None], start: int = 0, most: int | None = None
-    ) -> int:
-        """Give ``apply`` the changes committed since the last call, with a name for this batch of them.
+    def follow(self) -> DataFrame:
+        """The changes as a stream of the log's files, of which the follower's checkpoint remembers what it has read.
 
-        Returns the version read. Only finished commits count, ``most`` of them at a time. How far a batch
-        goes is noted before it is handed on: after a failure the same batch comes again under the same
-        name, with which a commit counts once. A follower that has fallen behind what is kept gets an error.
+        A file is read once, but a change may come again, when its batch was run again or its version was folded: a
+        follower of a keyed table should take the keys that changed and read their present rows.
         """
-        root = f"{self.path}/_followers/{name}"
-        read = self.followers().get(name)
-        if read is None:
-            read = start
-            folders.make(self.spark, f"{root}/_read={read}")
-        planned = [int(folders.value_of(p, "_upto")) for p in folders.matching(self.spark, f"{root}/_upto=*")]
-        upto = max((n for n in planned if n > read), default=0)
-        if not upto:
-            upto = self.latest_version()
-            upto = upto if most is None else min(upto, read + most)
-            if upto <= read:
-                return read
-            folders.make(self.spark, f"{root}/_upto={upto}")
-        apply(self.changes(read, upto), f"{name}-{upto}")
-        folders.make(self.spark, f"{root}/_read={upto}")
-        folders.delete(self.spark, f"{root}/_read={read}")
-        folders.delete(self.spark, f"{root}/_upto={upto}")
-        return upto
+        folders.make(self.spark, self.log_path)
+        return self._with_commit_time(self.spark.readStream.schema(self.log_schema()).parquet(self.log_path))

@@ -18,7 +18,7 @@ from tarnlake.schemas import TABLES, TOPICS, TableSpec
 from tarnlake.session import scratch_dir, stored
 from tarnlake.sources import messages, tables
 from tarnlake.streaming import chains, jobs, metrics, partitions, state
-from tarnlake.streaming.runner import RunSettings, started
+from tarnlake.streaming.runner import RunSettings, started, upsert_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -622,10 +622,11 @@ def lake_table_changes(spark, sf):
 
 @query
 def lake_table_compacted(spark, sf):
-    """A base in the middle of the log, and commits after it."""
+    """History folded in the middle of the log, and the newest version merged from what is left of it."""
     target = _orders_table(spark, sf)
-    maintenance.compact(target, 3)
-    return target.read()
+    maintenance.fold(target, 3)
+    maintenance.compact(target)
+    return target.read(version=target.latest_version())
 
 
 @query
@@ -654,6 +655,18 @@ def lake_bucketed_events(spark, sf):
     )
 
 
+@query
+def lake_bucketed_join(spark, sf):
+    """Every event with its user's number of events: both sides are distributed on the user, and nothing is shuffled."""
+    path = scratch_dir(spark, "bucketed")
+    name = "bucketed_" + path.rsplit("-", 1)[-1]
+    rows = tables.user_events(spark, sf).select("user_id", "event_type", "event_time")
+    maintenance.write_bucketed(rows, name, "user_id", 10, ["user_id", "event_time"], path=path)
+    copy = spark.table(name)
+    totals = copy.groupBy("user_id").agg(F.count("*").alias("event_count"))
+    return copy.join(totals.hint("merge"), "user_id")
+
+
 @query
 def backup_restored_events(spark, sf):
     path = scratch_dir(spark, "backup")
@@ -805,18 +818,18 @@ def stream_follow_table(spark, sf):
     """A copy that follows a table over several commits and expiries holds all of its rows."""
     events = tables.user_events(spark, sf)
     source, copy = _new_table(spark, "user_events_indexed"), _new_table(spark, "user_events_optimized")
+    settings = RunSettings(scratch_dir(spark, "progress"), interval=None)
 
-    def add(changes, batch):
-        copy.commit(changes.where(F.col("_op") == changelog.UPSERT), batch=batch)
+    def follow():
+        added = source.follow().where(F.col("_op") == changelog.UPSERT).drop(*changelog.LOG_COLUMNS)
+        upsert_stream(added, copy, settings, output_mode="append").awaitTermination()
 
-    source.follow("copy", add)
     for k in range(SLICES):
         source.commit(events.where(F.coalesce(F.pmod("user_id", F.lit(SLICES)), F.lit(0)) == k))
         if k % 2:
-            # Long after all commits: what the copy has not read stays.
             maintenance.expire_snapshots(source, datetime(2100, 1, 1, tzinfo=timezone.utc), keep_at_least=1)
-            source.follow("copy", add)
-    source.follow("copy", add)
+            follow()
+    follow()
     return ntz_columns(copy.read())
 
 
@@ -933,7 +946,8 @@ def chain_recommendations(spark, sf):
 @query
 def chain_wide(spark, sf):
     target = _new_table(spark, "user_behavior_wide")
-    chains.user_behavior_wide(*_summary_tables(spark, _event_feed(spark, sf)), target)
+    settings = RunSettings(scratch_dir(spark, "progress"), interval=None)
+    chains.user_behavior_wide(*_summary_tables(spark, _event_feed(spark, sf)), target, settings).awaitTermination()
     return ntz_columns(chains.latest(target))
 
 

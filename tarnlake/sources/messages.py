@@ -89,8 +89,12 @@ def dead_letters(decoded: DataFrame, event_time: str) -> DataFrame:
 
 
 def topic_rows(messages: DataFrame, topic: Topic) -> DataFrame:
-    """Decoded rows of a topic with its watermark; a date as event time counts as its midnight."""
-    rows = good_rows(decode(messages, topic.schema), topic.event_time)
+    """Decoded rows of a topic with its watermark."""
+    return with_watermark(good_rows(decode(messages, topic.schema), topic.event_time), topic)
+
+
+def with_watermark(rows: DataFrame, topic: Topic) -> DataFrame:
+    """The rows of a topic with its watermark; a date as event time counts as its midnight."""
     event_time = topic.event_time
     if isinstance(topic.schema[event_time].dataType, T.DateType):
         rows = rows.withColumn("sale_timestamp", F.col(event_time).cast("timestamp"))
@@ -103,8 +107,7 @@ def taken_in(spark: SparkSession, good: str, topic: Topic) -> DataFrame:
 
     The job behind it has a checkpoint of its own and reads each file once.
     """
-    rows = spark.readStream.schema(topic.schema).parquet(good)
-    return rows.withWatermark(topic.event_time, topic.lateness)
+    return with_watermark(spark.readStream.schema(topic.schema).parquet(good), topic)
 
 
 def without_repeats(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,11 +11,12 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tarnlake.functions.moments import AsOf
-from tarnlake.lake import changelog
 from tarnlake.lake.table import LakeTable
 from tarnlake.plans import behavior, profile, quality
+from tarnlake.streaming.runner import RunSettings, started
 
 
 def user_profile(
@@ -38,21 +39,21 @@ def recommendations(
     return target.commit(profile.recommendations(profiles.read(), stats.read(), as_of, look_back, active_within))
 
 
-def user_behavior_wide(summary: LakeTable, orders: LakeTable, target: LakeTable) -> None:
-    """Behaviour windows with their orders, for the windows that changed on either side."""
-    name = f"wide-{target.spec.name}"
+def user_behavior_wide(summary: LakeTable, orders: LakeTable, target: LakeTable, settings: RunSettings) -> StreamingQuery:
+    """Behaviour windows with their orders, for the windows that changed on either side.
 
-    def of_behavior(changes: DataFrame, batch: str) -> None:
-        latest = changelog.current_state(changes, list(summary.spec.keys), list(summary.spec.order_by))
-        target.commit(behavior.user_behavior_wide(latest, orders.read()), batch=f"behavior-{batch}")
+    The job follows the logs of both tables. A change names a user and a window; their rows are read as they are
+    now, so changes that come late or twice do no harm.
+    """
+    keys = ["user_id", "window_start"]
+    changed = summary.follow().select(*keys).unionByName(orders.follow().select(*keys))
 
-    def of_orders(changes: DataFrame, batch: str) -> None:
-        touched = changes.select("user_id", "window_start").distinct()
-        rows = summary.read().join(touched, ["user_id", "window_start"], "left_semi")
-        target.commit(behavior.user_behavior_wide(rows, orders.read()), batch=f"orders-{batch}")
+    def write(batch: DataFrame, batch_id: int) -> None:
+        touched = batch.distinct()
+        rows = summary.read().join(touched, keys, "left_semi")
+        target.commit(behavior.user_behavior_wide(rows, orders.read()))
 
-    orders.follow(name, of_orders)
-    summary.follow(name, of_behavior)
+    return started(changed, changed.writeStream.outputMode("append").foreachBatch(write), settings)
 
 
 def dq_record_count(

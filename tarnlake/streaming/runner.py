@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import StreamingQueryException
@@ -69,7 +69,7 @@ def upsert_stream(
 ) -> StreamingQuery:
     """Write a stream to a lake table, one version per micro-batch.
 
-    A batch that is run again after a failure finds the commit with its name, so every batch counts
+    A batch that is run again after a failure replaces the commit with its name, so every batch counts
     once. In update mode a window is written again whenever it changes and the last row of a key
     wins. ``enrich`` is a batch step on the changed rows, such as a join with a table that is read
     anew each time.
@@ -81,15 +81,12 @@ def upsert_stream(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         target = LakeTable(batch.sparkSession, table.spec, table.path)
-        if not query_id:
+        # Only the first batch of a run can be one that an earlier run has committed.
+        first = not query_id
+        if first:
             query_id.append(_query_id(batch, settings))
-        name = f"{query_id[0]}-{batch_id}"
-        if target.version_of_batch(name) is not None:
-            # The rows are written already; running the batch brings its state up to date.
-            batch.write.format("noop").mode("overwrite").save()
-            return
-        version = target.commit(enrich(batch) if enrich else batch, batch=name)
-        if settings.compact_every and version % settings.compact_every == 0:
+        target.commit(enrich(batch) if enrich else batch, batch=f"{query_id[0]}-{batch_id}", again=first)
+        if settings.compact_every and (batch_id + 1) % settings.compact_every == 0:
             maintenance.compact_if_needed(target)
 
     writer = rows.writeStream.outputMode(output_mode).foreachBatch(write)
@@ -152,3 +149,33 @@ def run_with_restarts(
                 raise
             time.sleep(delay_seconds)
     raise AssertionError("unreachable")
+
+
+def run_together(
+    starts: Sequence[Callable[[], StreamingQuery]],
+    attempts: int = ATTEMPTS,
+    delay_seconds: float = RESTART_DELAY_SECONDS,
+    look_every: float = 1.0,
+) -> None:
+    """Run queries next to each other until all have ended; one that fails is started again from its checkpoint.
+
+    When one has no attempt left, the others are stopped and its failure is raised.
+    """
+    running = {k: start() for k, start in enumerate(starts)}
+    failures = dict.fromkeys(running, 0)
+    while running:
+        time.sleep(look_every)
+        for k, query in list(running.items()):
+            if query.isActive:
+                continue
+            problem = query.exception()
+            if problem is None:
+                del running[k]
+                continue
+            failures[k] += 1
+            if failures[k] > attempts:
+                for other in running.values():
+                    other.stop()
+                raise problem
+            time.sleep(delay_seconds)
+            running[k] = starts[k]()

@@ -30,7 +30,7 @@ def test_stream_compact_and_expire(spark, folder):
     assert rows_of(table.read(), "word", "count") == [("a", 3)]
     main(["compact", "word_count", path])
     main(["expire", "word_count", path, "--days", "0", "--keep", "1"])
-    assert sorted(table.deltas()) == [3]
+    assert sorted(table.versions()) == [2, 3]
     assert rows_of(table.read(), "word", "count") == [("a", 3)]
 
 

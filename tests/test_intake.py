@@ -160,3 +160,28 @@ def test_slices_are_read_in_order(spark, folder):
     query = started(stream, stream.writeStream.foreachBatch(lambda batch, _: seen.append(sorted(r.id % 4 for r in batch.collect()))), settings(folder))
     query.awaitTermination()
     assert seen == [[k] * 10 for k in range(4)]
+
+
+def test_queries_run_together_are_restarted_each(spark, folder):
+    """One of two queries fails once and goes on from its checkpoint; one that always fails ends both."""
+    feeds = []
+    for name in "ab":
+        os.makedirs(f"{folder}/{name}")
+        feeds.append(Feed(f"{folder}/{name}"))
+        feeds[-1].add(word("00:00:01"))
+        feeds[-1].add(word("00:00:02"))
+    failed, seen = [], {"a": 0, "b": 0}
+
+    def start(name, feed, always=False):
+        def take(batch, number):
+            if always or (name == "b" and number == 1 and not failed):
+                failed.append(number)
+                raise RuntimeError("lost")
+            seen[name] += batch.count()
+        rows = messages.read_folder(spark, feed.path, 1)
+        return started(rows, rows.writeStream.foreachBatch(take), settings(folder, f"progress-{name}{always}"))
+
+    runner.run_together([lambda: start("a", feeds[0]), lambda: start("b", feeds[1])], 1, 0, 0.1)
+    assert seen == {"a": 2, "b": 2} and failed == [1]
+    with pytest.raises(Exception, match="lost"):
+        runner.run_together([lambda: start("a", feeds[0]), lambda: start("b", feeds[1], True)], 1, 0, 0.1)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from conftest import rows_of
 from tarnlake.lake import LakeTable, changelog, folders, maintenance
 from tarnlake.lake.catalog import Catalog, explain
-from tarnlake.lake.table import ConflictingCommit
+from tarnlake.streaming.runner import RunSettings, started
 from tarnlake.schemas import TABLES, TableSpec
 from tarnlake.session import session_conf
 from tarnlake.schemas import _schema as schema
@@ -85,27 +85,58 @@ def test_order_within_a_commit(spark, folder):
 
 
 def test_a_batch_is_committed_once(spark, prices):
-    first = prices.commit(price_rows(spark, (7, 70, "2024-01-03")), batch="q-0")
+    """A batch that comes again keeps its number; what was committed after it stays the newer."""
+    first = prices.commit(price_rows(spark, (7, 70, "2024-01-03"), (3, 31, "2024-01-02")), batch="q-0")
     assert prices.delete_where(F.col("id") == 3) == first + 1
-    assert prices.commit(price_rows(spark, (7, 71, "2024-01-03")), batch="q-0") == first
+    assert prices.commit(price_rows(spark, (7, 70, "2024-01-03"), (3, 31, "2024-01-02")), batch="q-0") == first
     assert prices.commit(price_rows(spark, (8, 80, "2024-01-03")), batch="q-1") == first + 2
     assert state(prices.read()) == [(1, 11), (7, 70), (8, 80)]
+    assert prices.changes(first - 1, first).count() == 2
+
+
+@pytest.mark.parametrize("step", ["log", "before the merge", "in the merge"])
+def test_an_unfinished_batch_is_written_again(spark, prices, monkeypatch, step):
+    """Wherever a batch stops, running it again gives the table of its log."""
+    rows = price_rows(spark, (7, 70, "2024-01-03"), (1, 12, "2024-01-01"))
+    real = LakeTable._overwrite
+
+    def lost(table, out, target, parts):
+        if step == "log" and target == table.log_path:
+            raise RuntimeError("lost")
+        if target == table.state_path:
+            if step == "in the merge":
+                # Spark removes the old folders of the partitions before it puts the new ones in their place.
+                shutil.rmtree(f"{table.path}/state/day=2024-01-01")
+            raise RuntimeError("lost")
+        real(table, out, target, parts)
+
+    monkeypatch.setattr(LakeTable, "_overwrite", lost)
+    with pytest.raises(RuntimeError):
+        prices.commit(rows, batch="q-0")
+    monkeypatch.undo()
+    assert prices.commit(rows, batch="q-0") == 4
+    assert state(prices.read()) == state(prices.read(version=4)) == [(1, 12), (3, 30), (7, 70)]
+    assert prices.changes(3).count() == 2
 
 
-def test_an_unfinished_batch_is_written_again(spark, prices):
-    version = prices.commit(price_rows(spark, (7, 70, "2024-01-03")), batch="q-0")
-    os.remove(f"{prices.path}/_layer=delta/_commit_version={version}/_SUCCESS")
-    assert prices.commit(price_rows(spark, (7, 71, "2024-01-03")), batch="q-0") == version
-    assert state(prices.read()) == [(1, 11), (3, 30), (7, 71)]
-    assert prices.changes(3).count() == 1
+def test_a_table_is_rebuilt_from_its_log(spark, prices):
+    expected = state(prices.read())
+    shutil.rmtree(f"{prices.path}/state")
+    prices.rebuild()
+    assert state(prices.read()) == expected
 
 
-def test_an_unfinished_commit_is_not_read(spark, prices):
-    prices.commit(price_rows(spark, (7, 70, "2024-01-03")))
-    os.remove(f"{prices.path}/_layer=delta/_commit_version=4/_SUCCESS")
-    assert state(prices.read()) == [(1, 11), (3, 30)]
-    prices.commit(price_rows(spark, (8, 80, "2024-01-03")))
-    assert state(prices.read()) == [(1, 11), (3, 30), (8, 80)]
+def test_a_failed_commit_leaves_no_version(spark, prices):
+    broken = price_rows(spark, (8, 80, "2024-01-03")).withColumn("price", F.raise_error(F.lit("no")).cast("bigint"))
+    with pytest.raises(Exception, match="no"):
+        prices.commit(broken)
+    assert prices.latest_version() == 3 and state(prices.read()) == [(1, 11), (3, 30)]
+    assert prices.commit(price_rows(spark, (8, 80, "2024-01-03"))) == 4
+
+
+def test_a_commit_without_rows_leaves_no_version(spark, prices):
+    prices.commit(price_rows(spark, (8, 80, "2024-01-03")).limit(0))
+    assert prices.latest_version() == 3 and state(prices.read()) == [(1, 11), (3, 30)]
 
 
 def test_put_back_after_delete(spark, prices):
@@ -114,12 +145,13 @@ def test_put_back_after_delete(spark, prices):
 
 
 @pytest.mark.parametrize("version", [1, 2, 3])
-def test_compaction_keeps_the_content(spark, prices, version):
-    before = [state(prices.read(version=v)) for v in (1, 2, 3)]
-    assert maintenance.compact(prices, version) == version
-    assert [state(prices.read(version=v)) for v in (1, 2, 3)] == before
+def test_folding_keeps_the_content(spark, prices, version):
+    before = {v: state(prices.read(version=v)) for v in range(version, 4)}
+    maintenance.fold(prices, version)
+    assert sorted(prices.versions()) == list(range(version, 4))
+    assert {v: state(prices.read(version=v)) for v in before} == before
     prices.commit(price_rows(spark, (1, 99, "2024-01-01"), (4, 40, "2024-01-04")))
-    assert state(prices.read()) == [(1, 99), (3, 30), (4, 40)]
+    assert state(prices.read()) == state(prices.read(version=4)) == [(1, 99), (3, 30), (4, 40)]
 
 
 def test_young_versions_are_kept_unless_asked(spark, folder):
@@ -131,89 +163,65 @@ def test_young_versions_are_kept_unless_asked(spark, folder):
     assert maintenance.expire_snapshots(table, now, timedelta(days=30), keep_at_least=1, keep_at_most=9) == 4
 
 
-def test_a_follower_reads_every_finished_commit_once(spark, folder):
-    table = LakeTable(spark, PRICES, f"{folder}/t").create()
+def test_a_follower_reads_every_commit_once(spark, folder):
+    """The follower's place is Spark's checkpoint; expiry of an append table takes nothing away from it."""
+    spec = TableSpec("log", schema(id=T.LongType(), day=T.DateType()), partition_by=("day",))
+    table = LakeTable(spark, spec, f"{folder}/t").create()
     seen = []
 
-    def take(changes, batch):
-        seen.append((batch, sorted(r.id for r in changes.collect())))
+    def follow():
+        changes = table.follow()
+        take = lambda batch, _: seen.append(sorted((r._commit_version, r.id) for r in batch.collect()))
+        started(changes, changes.writeStream.foreachBatch(take), RunSettings(f"{folder}/p", None)).awaitTermination()
 
-    assert table.follow("job", take) == 0
-    late = START + timedelta(days=60)
-    for i in range(1, 5):
-        table.commit(price_rows(spark, (i, i, "2024-01-01")), committed_ms=ms(i))
-    # Nothing that the follower has not read goes.
-    assert maintenance.expire_snapshots(table, late, keep_at_least=1) is None
-    os.remove(f"{table.path}/_layer=delta/_commit_version=4/_SUCCESS")
-    assert table.follow("job", take, most=2) == 2 and table.follow("job", take) == 3
-    assert seen == [("job-2", [1, 2]), ("job-3", [3])]
-    assert maintenance.expire_snapshots(table, late, keep_at_least=1) == 2
-    table.commit(price_rows(spark, (5, 5, "2024-01-01")))
-    assert table.follow("job", take) == 4 and seen[-1] == ("job-4", [5])
-    assert table.follow("job", take) == 4 and len(seen) == 3
-    with pytest.raises(ValueError, match="no longer keeps version 1"):
-        table.follow("a new job", take)
-
-
-def test_a_batch_of_a_follower_comes_again_after_a_failure(spark, prices):
-    names = []
-
-    def fail(changes, batch):
-        names.append(batch)
-        raise RuntimeError("lost")
+    follow()
+    rows = lambda i: spark.createDataFrame([(i, "2024-01-01")], "id bigint, day string")
+    table.commit(rows(1)), table.commit(rows(2))
+    follow()
+    assert maintenance.expire_snapshots(table, START + timedelta(days=900), keep_at_least=1) is None
+    table.commit(rows(3))
+    follow()
+    follow()
+    assert [b for b in seen if b] == [[(1, 1), (2, 2)], [(3, 3)]]
 
-    with pytest.raises(RuntimeError):
-        prices.follow("job", fail)
-    prices.commit(price_rows(spark, (9, 9, "2024-01-01")))
-    assert prices.follow("job", lambda changes, batch: names.append(batch)) == 3
-    assert names == ["job-3", "job-3"]
-
-
-def test_a_second_writer_gets_an_error_and_no_commit_is_lost(spark, prices):
-    target = prices._claim(4)
-    with pytest.raises(ConflictingCommit, match="another job"):
-        prices.commit(price_rows(spark, (8, 80, "2024-01-03")))
-    prices._write_delta(price_rows(spark, (7, 70, "2024-01-03")), "U", target, ms(5))
-    with pytest.raises(ConflictingCommit, match="committed meanwhile"):
-        prices._claim(4)
-    assert prices.commit(price_rows(spark, (8, 80, "2024-01-03"))) == 5
-    assert state(prices.read()) == [(1, 11), (3, 30), (7, 70), (8, 80)]
-
-
-def test_a_dead_writer_can_be_released(spark, prices):
-    prices._claim(4)
-    prices.release()
-    assert prices.commit(price_rows(spark, (8, 80, "2024-01-03"))) == 4
 
+def test_a_batch_of_a_follower_comes_again_after_a_failure(spark, folder, prices):
+    seen = []
 
-def test_a_failed_commit_gives_up_its_claim(spark, prices):
-    broken = price_rows(spark, (8, 80, "2024-01-03")).withColumn("price", F.raise_error(F.lit("no")).cast("bigint"))
-    with pytest.raises(Exception, match="no"):
-        prices.commit(broken)
-    assert prices.commit(price_rows(spark, (8, 80, "2024-01-03"))) == 4
+    def take(batch, number):
+        seen.append((number, batch.count()))
+        if len(seen) == 1:
+            raise RuntimeError("lost")
 
+    def follow():
+        changes = prices.follow()
+        query = started(changes, changes.writeStream.foreachBatch(take), RunSettings(f"{folder}/p", None))
+        query.awaitTermination()
 
-def test_a_commit_lists_the_folders_once(spark, prices, monkeypatch):
-    listed = []
-    real = folders.matching
-    monkeypatch.setattr(folders, "matching", lambda spark, pattern: listed.append(pattern) or real(spark, pattern))
-    prices.commit(price_rows(spark, (8, 80, "2024-01-03")), batch="q-0")
-    assert len(listed) == 1
-    prices.read()
-    assert len(listed) == 2
+    with pytest.raises(Exception, match="lost"):
+        follow()
+    prices.commit(price_rows(spark, (9, 9, "2024-01-01")))
+    follow()
+    assert seen == [(0, 5), (0, 5), (1, 1)]
 
 
 def test_compaction_leaves_fewer_files(spark, folder):
     table = LakeTable(spark, PRICES, f"{folder}/t").create()
-    for i in range(12):
-        table.commit(price_rows(spark, (i, i, "2024-01-01")))
-    assert maintenance.files(table).count() == 12
-    assert maintenance.small_files(table).count() == 12
-    assert maintenance.compact_if_needed(table) == 12
-    assert maintenance.files(table).count() == 1
-    assert table.read().count() == 12
-    assert maintenance.compact_if_needed(table) is None
-    assert maintenance.files(table).first().row_count == 12
+    for i in range(3):
+        table.commit(price_rows(spark, (i, i, "2024-01-01"), (i, i, "2024-01-02")))
+    # As from a writer that does not bring rows together, and a day with nothing but deletes.
+    state_rows = table._state().drop("_commit_ts").where("day = DATE '2024-01-01'")
+    shutil.copytree(f"{table.path}/state/day=2024-01-01", f"{folder}/copy")
+    spark.createDataFrame(state_rows.collect(), state_rows.schema).repartition(3, "id").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("day").parquet(table.state_path)
+    table.delete_where(F.col("day") == "2024-01-02")
+    assert maintenance.files(table).where("file_path LIKE '%2024-01-01%'").count() > 1
+    assert maintenance.compact_if_needed(table) == 2
+    assert maintenance.files(table).count() == 1 and maintenance.files(table).first().row_count == 3
+    assert os.listdir(f"{table.path}/state") != [] and not os.path.exists(f"{table.path}/state/day=2024-01-02")
+    assert table.read().count() == 3 and maintenance.compact_if_needed(table) is None
+    table.commit(price_rows(spark, (9, 9, "2024-01-02")))
+    assert state(table.read()) == state(table.read(version=5)) == [(0, 0), (1, 1), (2, 2), (9, 9)]
 
 
 def test_expiry_keeps_every_kept_version(spark, folder):
@@ -224,7 +232,7 @@ def test_expiry_keeps_every_kept_version(spark, folder):
     now = START + timedelta(days=19, hours=1)
     # 7 days keep versions of day 13 on; ten versions are kept in any case.
     assert maintenance.expire_snapshots(table, now) == 10
-    assert sorted(table.deltas()) == list(range(11, 21))
+    assert sorted(table.versions()) == list(range(10, 21))
     for v in range(10, 21):
         assert state(table.read(version=v)) == before[v]
     with pytest.raises(ValueError, match="no longer keeps"):
@@ -242,51 +250,42 @@ def day_rows(spark, *rows):
     return spark.createDataFrame(rows, "id bigint, price bigint, day string")
 
 
-def test_compaction_writes_changed_partitions_only(spark, folder):
+def test_a_commit_writes_touched_partitions_only(spark, folder):
     table = LakeTable(spark, PRICES, f"{folder}/t").create()
     days = [f"2024-01-{d:02d}" for d in range(1, 9)]
     table.commit(day_rows(spark, *[(i, i, day) for day in days for i in range(3)]), committed_ms=ms(0))
-    maintenance.compact(table)
+
+    def written():
+        return {day: sorted(os.listdir(f"{table.path}/state/day={day}")) for day in days}
+
+    before = written()
     table.commit(day_rows(spark, (1, 100, days[2])), committed_ms=ms(1))
     table.delete_where(F.col("day") == days[4], committed_ms=ms(2))
+    after = written()
+    assert [day for day in days if before[day] != after[day]] == [days[2], days[4]]
     expected = state(table.read())
-    assert maintenance.compact(table) == 3
-    written = sorted(os.path.basename(p) for p in glob.glob(f"{table.path}/_layer=base/_commit_version=3/*/day=*"))
-    assert written == [f"day={days[2]}", f"day={days[4]}"]
-    assert state(table.read()) == expected and len(expected) == 21
+    assert len(expected) == 21 and expected == state(table.read(version=3))
     assert "Exchange" not in explain(table.read())
-    table.commit(day_rows(spark, (1, 7, days[4]), (1, 101, days[2])), committed_ms=ms(3))
-    maintenance.compact(table)
-    expected = state(table.read())
-    assert len(expected) == 22
     before = [state(table.read(version=v)) for v in (1, 2, 3)]
     assert [len(b) for b in before] == [24, 24, 21]
-    # Expiry removes replaced partitions of old bases and keeps those that are still in use.
     now = START + timedelta(days=30)
-    assert maintenance.expire_snapshots(table, now, keep_at_least=1) == 3
-    assert state(table.read()) == expected and state(table.read(version=3)) == before[2]
+    assert maintenance.expire_snapshots(table, now, keep_at_least=1) == 2
+    assert state(table.read()) == expected and state(table.read(version=2)) == before[1] and state(table.read(version=3)) == expected
     with pytest.raises(ValueError, match="no longer keeps"):
         table.read(version=1)
     table.commit(day_rows(spark, (9, 9, days[0])), committed_ms=ms(4))
-    assert maintenance.expire_snapshots(table, now, keep_at_least=1) == 4
-    assert state(table.read(version=4)) == expected
-    kept = glob.glob(f"{table.path}/_layer=base/_commit_version=*/*/day={days[2]}")
-    assert len(kept) == 1 and "_commit_version=4" in kept[0]
+    assert maintenance.expire_snapshots(table, now, keep_at_least=1) == 3
+    assert state(table.read(version=3)) == expected and sorted(table.versions()) == [3, 4]
 
 
-def test_delete_in_an_append_table_rewrites_its_partitions(spark, folder):
+def test_deletes_in_an_append_table(spark, folder):
     spec = TableSpec("log", schema(id=T.LongType(), day=T.DateType()), partition_by=("day",))
     table = LakeTable(spark, spec, f"{folder}/log").create()
     rows = spark.createDataFrame([(i, f"2024-01-0{1 + i % 4}") for i in range(40)], "id bigint, day string")
     table.commit(rows)
-    maintenance.compact(table)
     table.commit(rows.where("id < 1"))
     table.delete_where(F.col("id") % 4 == 1)
     table.delete_where(F.col("id") == 2)
-    assert sorted(os.path.basename(p) for p in glob.glob(f"{table.path}/_layer=base/_commit_version=3/*/*")) == [
-        "day=2024-01-01", "day=2024-01-02"]
-    changed = [os.path.basename(p) for p in glob.glob(f"{table.path}/_layer=base/_commit_version=4/*/*")]
-    assert changed == ["day=2024-01-03"]
     expected = sorted([(i,) for i in range(40) if i % 4 != 1 and i != 2] + [(0,)], key=repr)
     assert rows_of(table.read(), "id") == expected
     assert table.read(version=2).count() == 41
@@ -297,8 +296,8 @@ def test_partition_names_with_special_characters(spark, folder):
     table = LakeTable(spark, spec, f"{folder}/t").create()
     names = ["a/b", "c=d", "e f", "%", None]
     table.commit(spark.createDataFrame([(n, 1) for n in names], "name string, n bigint"))
-    maintenance.compact(table)
     table.commit(spark.createDataFrame([("a/b", 2), (None, 3)], "name string, n bigint"))
+    maintenance.fold(table, 2)
     maintenance.compact(table)
     assert rows_of(table.read(), "name", "n") == sorted(
         [("a/b", 2), ("c=d", 1), ("e f", 1), ("%", 1), (None, 3)], key=repr)
@@ -318,14 +317,13 @@ def test_delete_in_an_append_table(spark, folder):
 
 
 def test_partition_filter_reaches_the_files(prices):
-    maintenance.compact(prices, 2)
-    plan = explain(prices.read().where("day = DATE '2024-01-02'"))
-    scans = [line for line in plan.splitlines() if "PartitionFilters" in line]
-    assert scans and all("day" in line for line in scans)
+    for read in (prices.read(), prices.read(version=2)):
+        plan = explain(read.where("day = DATE '2024-01-02'"))
+        scans = [line for line in plan.splitlines() if "PartitionFilters" in line]
+        assert scans and all("day" in line for line in scans)
 
 
-def test_an_unchanged_base_is_read_without_a_shuffle(prices):
-    maintenance.compact(prices)
+def test_present_rows_are_read_without_a_shuffle(prices):
     assert "Exchange" not in explain(prices.read())
 
 
@@ -466,16 +464,17 @@ def test_window_tables_use_day_partitions():
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_random_histories_match_a_dictionary(spark, folder, seed):
-    """Upserts, deletes, compactions and expiry in any order, against a plain dictionary."""
+    """Upserts, deletes, repeated batches, compactions and expiry in any order, against a plain dictionary."""
     draw = random.Random(seed)
     table = LakeTable(spark, PRICES, f"{folder}/t").create()
-    now, history = {}, {}
+    now, history, last = {}, {}, None
     for step in range(14):
-        kind = draw.choice(["upsert", "upsert", "upsert", "delete", "compact", "expire"])
+        kind = draw.choice(["upsert", "upsert", "upsert", "delete", "again", "compact", "expire"])
         if kind == "upsert":
             rows = [(draw.randint(0, 4), draw.randint(0, 99), f"2024-01-0{draw.randint(1, 3)}")
                     for _ in range(draw.randint(1, 6))]
-            table.commit(day_rows(spark, *rows), committed_ms=ms(step))
+            table.commit(day_rows(spark, *rows), committed_ms=ms(step), batch=f"b-{step}")
+            last = (rows, f"b-{step}")
             best = {}
             for i, price, day in rows:
                 best[i, day] = max(price, best.get((i, day), -1))
@@ -484,17 +483,21 @@ def test_random_histories_match_a_dictionary(spark, folder, seed):
             limit = draw.randint(0, 99)
             table.delete_where(F.col("price") < limit, committed_ms=ms(step))
             now = {k: v for k, v in now.items() if v >= limit}
+        elif kind == "again" and last and table.version_of_batch(last[1]):
+            table.commit(day_rows(spark, *last[0]), batch=last[1])
         elif kind == "compact":
-            maintenance.compact(table, draw.randint(0, table.latest_version()) or None)
+            maintenance.compact(table)
         elif kind == "expire":
             maintenance.expire_snapshots(table, START + timedelta(days=step - 3), timedelta(days=1), 2)
         history[table.latest_version()] = dict(now)
+        assert rows_of(table.read().selectExpr("id", "cast(day AS string)", "price")) == sorted(
+            [(*k, v) for k, v in now.items()], key=repr), (seed, step)
     readable = 0
     for version, expected in history.items():
         try:
             found = table.read(version=version)
         except ValueError:
-            assert version < min(table.deltas())
+            assert version < min(table.versions())
             continue
         readable += 1
         assert rows_of(found.selectExpr("id", "cast(day AS string)", "price")) == sorted(
@@ -502,46 +505,43 @@ def test_random_histories_match_a_dictionary(spark, folder, seed):
     assert readable >= 1
 
 
-def test_an_unfinished_compaction_is_not_read(spark, prices):
-    maintenance.compact(prices)
-    os.remove(f"{prices.path}/_layer=base/_commit_version=3/_SUCCESS")
-    assert state(prices.read()) == [(1, 11), (3, 30)]
-    assert maintenance.compact(prices) == 3
-    assert state(prices.read()) == [(1, 11), (3, 30)]
-
-
-def test_a_delete_that_stopped_before_its_commit_is_undone(spark, folder):
-    spec = TableSpec("log", schema(id=T.LongType(), day=T.DateType()), partition_by=("day",))
-    table = LakeTable(spark, spec, f"{folder}/log").create()
-    rows = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-02")], "id bigint, day string")
-    table.commit(rows)
-    table._write_base(table.read().where("id = 2"), 2, ms(1), None)
-    assert rows_of(table.read(), "id") == [(1,), (2,)]
-    table.commit(rows.where("id = 1"))
-    assert rows_of(table.read(), "id") == [(1,), (1,), (2,)]
 
 
-def test_an_expiry_that_stopped_can_be_repeated(spark, folder):
+@pytest.mark.parametrize("after", ["writing", "one delete", "all deletes"])
+def test_an_expiry_that_stopped_can_be_repeated(spark, folder, monkeypatch, after):
     table = LakeTable(spark, PRICES, f"{folder}/t").create()
     for i in range(6):
         table.commit(day_rows(spark, (i, i, "2024-01-01")), committed_ms=ms(i))
-    maintenance.compact(table, 4)
-    shutil.rmtree(f"{table.path}/_layer=delta/_commit_version=1")
-    with pytest.raises(ValueError, match="no longer keeps"):
-        table.read(version=2)
-    assert len(state(table.read(version=4))) == 4
-    assert maintenance.expire_snapshots(table, START + timedelta(days=30), keep_at_least=2) == 4
-    assert sorted(table.deltas()) == [5, 6] and len(state(table.read())) == 6
+    before = {v: state(table.read(version=v)) for v in range(4, 7)}
+    deleted, real = [], folders.delete
+
+    def stops(spark, path):
+        deleted.append(path)
+        real(spark, path)
+        if len(deleted) == {"writing": 99, "one delete": 1, "all deletes": 4}[after]:
+            raise RuntimeError("lost")
+
+    if after == "writing":
+        monkeypatch.setattr(maintenance, "finish_folding", lambda table: None)
+    else:
+        monkeypatch.setattr(folders, "delete", stops)
+    try:
+        maintenance.fold(table, 4)
+    except RuntimeError:
+        pass
+    monkeypatch.undo()
+    assert state(table.read()) == before[6]
+    assert maintenance.expire_snapshots(table, START + timedelta(days=30), keep_at_least=2) is None
+    assert sorted(table.versions()) == [4, 5, 6]
+    assert {v: state(table.read(version=v)) for v in before} == before
 
 
-def test_dropped_days_are_gone_from_bases_too(spark, folder):
+def test_dropped_days_are_gone_from_all_versions(spark, folder):
     table = LakeTable(spark, PRICES, f"{folder}/t").create()
     table.commit(day_rows(spark, *[(i, i, f"2024-01-0{i}") for i in range(1, 6)]))
-    maintenance.compact(table)
     table.commit(day_rows(spark, (1, 10, "2024-01-01"), (5, 50, "2024-01-05")))
-    maintenance.compact(table)
-    assert maintenance.drop_partitions_before(table, "2024-01-03") == 6
-    assert state(table.read()) == [(3, 3), (4, 4), (5, 50)]
+    assert maintenance.drop_partitions_before(table, "2024-01-03") == 5
+    assert state(table.read()) == state(table.read(version=2)) == [(3, 3), (4, 4), (5, 50)]
 
 
 def test_times_have_statistics_for_filters(spark, folder):
