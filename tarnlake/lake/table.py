@@ -154,9 +154,11 @@ class LakeTable:
             "_batch": F.lit(batch).cast("string"), "_commit_version": F.lit(version).cast("bigint"),
             "_commit_ms": F.lit(millis).cast("bigint")})
         self._overwrite(log, self.log_path, ["_commit_version", "_commit_ms", *self.spec.partition_by])
-        if self.spec.keys and version in self.versions():
-            changes = self._log().where(F.col("_commit_version") == version)
-            self._merge(self._in_state(changes), from_log=before is not None)
+        written = f"{self.log_path}/_commit_version={version}"
+        if self.spec.keys and folders.exists(self.spark, written):
+            # Only the new folder is listed and read, however long the log is.
+            changes = self.spark.read.schema(self.log_schema()).option("basePath", self.log_path).parquet(written)
+            self._merge(self._in_state(self._with_commit_time(changes)), from_log=before is not None)
         return version
 
     def _groups(self) -> list[str]:
