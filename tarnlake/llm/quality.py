@@ -2,9 +2,13 @@
 
 Every document gets a few whole-number measures. A sketch counts documents by measure and bucket, where a
 bucket spans at most 1/32 of its value, so sketches merge by adding counts, in any order and with the same
-outcome. A measure's limit is read off the sketch of the document's language and source: the 90th percentile
-plus ``SPREAD`` times its distance to the median plus a least tolerance. Sources with few documents use the
-sketch of their language, languages with few documents that of all rows; both are sums of the small sketches.
+outcome. A measure's fence is read off the sketch of a group: the median plus ``SPREAD`` times its distance to the first
+quartile plus a least tolerance. Both quantiles lie among the good documents as long as less than half of the group is junk,
+however extreme the junk is: with 45 % of it, the median is the good documents' 91st percentile. A source's limit is its fence, but at most
+its language's limit plus ``MARGIN`` tolerances. So a source may hold even more junk, and is then judged by its language
+and that margin, as long as less than half of the language is junk. Groups with fewer than ``LEAST_ROWS`` documents
+get a mean of their own fence and the next wider limit, weighted by their number of documents; the sketches of
+languages and of all rows are sums of the small ones.
 
 Only DataFrame functions are used. Nothing but the sketches is shuffled: documents meet the limits in a
 broadcast join as long as the counted number of limits is small.
@@ -27,10 +31,12 @@ from tarnlake.session import stored
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 LEAST_WORDS, MOST_REPEATED_PERCENT = 10, 20
-# Sketches of fewer documents than this are merged into the next wider one.
+# With so many documents a group's fence is its own; with fewer, the next wider limit counts for the missing ones.
 LEAST_ROWS = 200
 SPREAD = 3
-# Measure: least tolerance above the 90th percentile, in the measure's own unit.
+# How many tolerances a source's limit may lie above its language's.
+MARGIN = 3
+# Measure: least tolerance above the median, in the measure's own unit.
 TOLERANCES = {
     "symbols_per_1000_words": 150,
     "repeated_lines_per_1000": 300,
@@ -137,8 +143,8 @@ def merge(sketches: DataFrame, groups: list[str]) -> DataFrame:
     return sketches.groupBy(*groups, "measure", "bucket").agg(F.sum("n").alias("n"))
 
 
-def limits(sketches: DataFrame, groups: list[str]) -> DataFrame:
-    """Per group: ``rows``, and an array of the highest allowed values in the order of ``TOLERANCES``."""
+def fences(sketches: DataFrame, groups: list[str]) -> DataFrame:
+    """Per group: ``rows``, and an array of the fences (``fence``) in the order of ``TOLERANCES``."""
     from pyspark.sql import Window
 
     one = Window.partitionBy(*groups, "measure")
@@ -149,13 +155,19 @@ def limits(sketches: DataFrame, groups: list[str]) -> DataFrame:
 
     slack = reduce(lambda c, kv: c.when(F.col("measure") == kv[0], kv[1]), TOLERANCES.items(), F)
     found = ranked.groupBy(*groups, "measure").agg(
-        F.max("rows").alias("rows"), (quantile(90) + SPREAD * (quantile(90) - quantile(50))).alias("fence"))
+        F.max("rows").alias("rows"), (quantile(50) + SPREAD * (quantile(50) - quantile(25))).alias("fence"))
     found = found.withColumn("fence", F.col("fence") + slack)
     # The name of a measure decides its place, so that the array is the same in every run.
     return found.groupBy(*groups).agg(
         F.max("rows").alias("rows"),
         *[F.max(F.when(F.col("measure") == name, F.col("fence"))).alias(name) for name in TOLERANCES],
-    ).select(*groups, "rows", F.array(*TOLERANCES).alias("limit"))
+    ).select(*groups, "rows", F.array(*TOLERANCES).alias("fence"))
+
+
+def blended(rows: Column, fence: Column, wider: Column) -> Column:
+    """A group's fences; one with few documents gets their mean with the wider limits, weighted by its number of them."""
+    own = F.least(rows, F.lit(LEAST_ROWS)).cast("bigint")
+    return F.zip_with(fence, wider, lambda a, b: F.floor((own * a + (LEAST_ROWS - own) * b) / LEAST_ROWS).cast("bigint"))
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source",
@@ -174,17 +186,17 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
         let(measures(docs[text]), _judged).alias(out))
     held = stored(held, "quality-measures")
     fine = stored(sketch(held, groups, out), "quality-sketches")
-    of_group = limits(fine, groups)
-    of_lang = limits(merge(fine, groups[:1]), groups[:1])
-    of_all = limits(merge(fine, []), []).first()  # one row, if there are any
-    widest = F.array(*map(F.lit, of_all["limit"] if of_all else [0] * len(TOLERANCES))).cast("array<bigint>")
-    a, b = of_group.alias("a"), of_lang.alias("b")
+    of_group = fences(fine, groups)
+    of_lang = fences(merge(fine, groups[:1]), groups[:1])
+    of_all = fences(merge(fine, []), []).first()  # one row, if there are any
+    widest = F.array(*map(F.lit, of_all["fence"] if of_all else [0] * len(TOLERANCES))).cast("array<bigint>")
+    a, b = of_group.alias("a"), of_lang.withColumn("limit", blended(F.col("rows"), F.col("fence"), widest)).alias("b")
+    margin = F.array(*[F.lit(MARGIN * slack) for slack in TOLERANCES.values()]).cast("array<bigint>")
+    most = F.zip_with("b.limit", margin, lambda x, y: x + y)
+    own = blended(F.col("a.rows"), F.col("a.fence"), F.col("b.limit"))
     chosen = (
-        a.join(b, F.col(f"a.{groups[0]}").eqNullSafe(F.col(f"b.{groups[0]}")), "left")
-        .select(*[F.col(f"a.{g}").alias(g) for g in groups],
-                F.when(F.col("a.rows") >= LEAST_ROWS, F.col("a.limit"))
-                .when(F.col("b.rows") >= LEAST_ROWS, F.col("b.limit"))
-                .otherwise(widest).alias("limit")))
+        a.join(b, F.col(f"a.{groups[0]}").eqNullSafe(F.col(f"b.{groups[0]}")))
+        .select(*[F.col(f"a.{g}").alias(g) for g in groups], F.zip_with(own, most, lambda x, y: F.least(x, y)).alias("limit")))
     chosen = stored(chosen, "quality-limits")
     small = bounded_broadcast(chosen, 200)
     joined = held.alias("d").join(
@@ -257,24 +269,23 @@ r AS (
   UNION ALL SELECT 2, lang, NULL, k, b, sum(n) OVER (PARTITION BY lang, k ORDER BY b), sum(n) OVER (PARTITION BY lang, k) FROM s2
   UNION ALL SELECT 1, NULL, NULL, k, b, sum(n) OVER (PARTITION BY k ORDER BY b), sum(n) OVER (PARTITION BY k) FROM s1
 ), q AS (
-  SELECT level, lang, source, k, max(total) AS total, min(b) FILTER (WHERE upto * 100 >= total * 90) AS hi,
-         min(b) FILTER (WHERE upto * 100 >= total * 50) AS mid FROM r GROUP BY level, lang, source, k
+  SELECT level, lang, source, k, max(total) AS total, min(b) FILTER (WHERE upto * 100 >= total * 50) AS mid,
+         min(b) FILTER (WHERE upto * 100 >= total * 25) AS low FROM r GROUP BY level, lang, source, k
 ), x AS (
   SELECT level, lang, source, k, total,
-         ((hi - greatest(hi // 32 - 1, 0) * 32 + 1)::BIGINT << greatest(hi // 32 - 1, 0)::INT) - 1 AS hi,
-         ((mid - greatest(mid // 32 - 1, 0) * 32 + 1)::BIGINT << greatest(mid // 32 - 1, 0)::INT) - 1 AS mid FROM q
+         ((mid - greatest(mid // 32 - 1, 0) * 32 + 1)::BIGINT << greatest(mid // 32 - 1, 0)::INT) - 1 AS mid,
+         ((low - greatest(low // 32 - 1, 0) * 32 + 1)::BIGINT << greatest(low // 32 - 1, 0)::INT) - 1 AS low FROM q
 ), fences AS (
-  SELECT level, lang, source, total,
-         max(hi + 3 * (hi - mid) + 150) FILTER (WHERE k = 1) AS f1,
-         max(hi + 3 * (hi - mid) + 300) FILTER (WHERE k = 2) AS f2,
-         max(hi + 3 * (hi - mid) + 400) FILTER (WHERE k = 3) AS f3
-  FROM x GROUP BY level, lang, source, total
+  SELECT level, lang, source, k, total::BIGINT AS total, least(total, 200)::BIGINT AS own,
+         (mid + 3 * (mid - low) + [150, 300, 400][k])::BIGINT AS fence FROM x
+), wide AS (
+  SELECT b.lang, b.k, (b.own * b.fence + (200 - b.own) * c.fence) // 200 AS lim
+  FROM (SELECT * FROM fences WHERE level = 2) b JOIN (SELECT * FROM fences WHERE level = 1) c ON b.k = c.k
 ), picked AS (
-  SELECT a.lang, a.source,
-         CASE WHEN a.total >= 200 THEN [a.f1, a.f2, a.f3] WHEN b.total >= 200 THEN [b.f1, b.f2, b.f3] ELSE [c.f1, c.f2, c.f3] END AS lim
-  FROM (SELECT * FROM fences WHERE level = 3) a
-  LEFT JOIN (SELECT * FROM fences WHERE level = 2) b ON a.lang IS NOT DISTINCT FROM b.lang
-  CROSS JOIN (SELECT * FROM fences WHERE level = 1) c
+  SELECT a.lang, a.source, list(least((a.own * a.fence + (200 - a.own) * b.lim) // 200, b.lim + 3 * [150, 300, 400][a.k])
+                                ORDER BY a.k) AS lim
+  FROM (SELECT * FROM fences WHERE level = 3) a JOIN wide b ON a.lang IS NOT DISTINCT FROM b.lang AND a.k = b.k
+  GROUP BY a.lang, a.source
 )
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,

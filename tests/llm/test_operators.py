@@ -706,6 +706,57 @@ def test_limits_follow_the_source(spark):
     assert not kept[5000] and kept[5001] and kept[5002] and all(kept[i] for i in range(400)) and all(kept[1000 + i] for i in range(400))
 
 
+def junk_and_good(share, n=1000):
+    """Documents of one source, so many of them junk of symbols in distinct words; the others vary in length and symbols."""
+    draw = random.Random(share)
+    rows = []
+    for i in range(n):
+        words = [f"w{draw.randrange(10**6)}" for _ in range(draw.randint(30, 60))]
+        if i < n * share // 100:
+            words = [w + draw.choice("#$%&") * draw.randint(1, 4) for w in words]
+        elif i % 10 == 0:
+            words[3] += "%"
+        rows.append((i, " ".join(words), "en", "hot"))
+    return rows, n * share // 100
+
+
+@pytest.mark.parametrize("share", [0, 8, 12, 30, 45])
+def test_limits_withstand_junk(spark, share):
+    """Also where all rows of a language are of one source, so that nothing wider helps."""
+    rows, junk = junk_and_good(share)
+    kept = {r.doc_id for r in quality.report(table(spark, rows).repartition(5)).where("kept").collect()}
+    assert not [i for i in kept if i < junk] and len(kept) >= 0.97 * (len(rows) - junk)
+
+
+@pytest.mark.parametrize("share", [60, 100])
+def test_a_source_of_mostly_junk_is_judged_by_its_language(spark, share):
+    rows, junk = junk_and_good(share, 400)
+    more = [(10_000 + i, text, lang, f"s{i % 4}") for i, text, lang, _ in junk_and_good(0, 1200)[0]]
+    kept = {r.doc_id for r in quality.report(table(spark, rows + more)).where("kept").collect()}
+    assert not [i for i in kept if i < junk] and len(kept) >= 0.97 * (len(rows) + len(more) - junk)
+
+
+def test_limits_have_no_step_at_a_number_of_rows(spark):
+    """The limit of a group moves steadily from the wider one to its own."""
+    rows = spark.range(0, 400).select(quality.blended(F.col("id"), F.array(F.lit(2000)), F.array(F.lit(100))).alias("limit"))
+    found = [r.limit[0] for r in rows.collect()]
+    assert found[0] == 100 and found[200:] == [2000] * 200 and max(b - a for a, b in zip(found, found[1:])) <= 10
+
+
+def test_quality_equals_its_sql_on_uneven_groups(spark, folder):
+    import duckdb
+
+    rows = junk_and_good(30, 300)[0] + [(5000 + i, f"tiny source {i} with a few words # and more of them here", "en", f"t{i % 7}") for i in range(30)]
+    rows += [(6000 + i, "nur wenige Wörter auf Deutsch, aber genug davon für die Regel", "de", None) for i in range(20)] + [
+        (7000, "no language at all but enough words to pass the base rule", None, None), (7001, None, None, "x")]
+    table(spark, rows).coalesce(1).write.parquet(f"{folder}/docs")
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/docs/*.parquet')")
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    expected = sorted(connection.sql(f"SELECT {', '.join(columns)} FROM ({quality.ORACLE})").fetchall())
+    assert sorted(tuple(r[c] for c in columns) for r in quality.report(spark.read.parquet(f"{folder}/docs")).collect()) == expected
+
+
 def test_quality_keeps_columns(spark, unusual, empty):
     kept = quality.keep_good(clash(unusual))
     assert kept.columns == clash(unusual).columns
