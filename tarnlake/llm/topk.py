@@ -2,8 +2,9 @@
 
 Every component is a whole number, floor(64 x). A block of rows is stored by bits: for each dimension and each
 bit of its values (counted from the block's smallest) a bitmap with one bit per row. The scores of a group
-of queries for a block are added up as bitmaps: the slices that a query's bits select are summed by carry-save
-adders, so a score is itself a set of slices. The best rows are then selected from the most significant slice
+of queries for a block are added up as bitmaps: for each dimension, the slices of its product with a query's component are
+looked up among those made ready for the block, and summed by carry-save adders, so a score is itself a set of
+slices. (For components of a wide range the products are not made ready but summed by the query's bits.) The best rows are then selected from the most significant slice
 downward; the rows that are equal down to the last slice at the boundary are resolved by their ids.
 
 Every block gives each query its best k, and the best k of these are the result. Blocks of rows and groups of
@@ -14,8 +15,8 @@ Rows with a component of 2**25 or more are in blocks of their own, with 64-bit v
 a block's are computed without slices: in 64 bits the ones that surely fit, the others in Python integers.
 
 Edge cases: vectors that are null, empty or hold null or non-finite components, and rows without an id, take
-no part; vectors of another length than a query's are no candidates; rows with the query's id count as its own;
-equal vectors are ranked by id; an empty table gives no rows. Only the id and the vector are read. A component or a
+no part; vectors of another length than a query's are no candidates; rows with the query's id count as its own, and of
+several the one with the least vector is the query; equal vectors are ranked by id; an empty table gives no rows. Only the id and the vector are read. A component or a
 score that does not fit 64 bits is an error.
 """
 
@@ -38,6 +39,8 @@ BEST = 20
 BLOCK_ROWS, GROUP_ROWS = 8192, 256
 # Queries that are added up together; their bitmaps then stay in the processor's cache.
 _TOGETHER = 32
+# Products are kept ready for ranges of query components, widened to multiples of _ROUND, up to so many factors times bits.
+_ROUND, _MOST_PRODUCTS = 16, 1024
 # Components from here on are stored in 64 bits.
 _LARGEST = 1 << 25
 # Scores of the bit-sliced index stay below this.
@@ -118,6 +121,59 @@ class Block:
             self.slices = [[bitmap(((column >> b) & 1).astype(bool)) for b in range(int(column.max()).bit_length())]
                            for column in (self.values - self.low).T]
         self.valid = bitmap(np.ones(len(ids), bool))
+        self._multiples: tuple[tuple[int, int], tuple[np.ndarray, Slices]] | None = None  # range, products
+
+    def _products(self, low: int, high: int) -> tuple[int, np.ndarray, Slices]:
+        """The least component that they hold for, the slices of every dimension times 0 up to the range's width, and those
+        of the sum of all dimensions times the least component's distance from 0.
+
+        They are made once per block, and anew only for a query with a component beyond their range.
+        """
+        if self._multiples is None or not self._multiples[0][0] <= low <= high <= self._multiples[0][1]:
+            if self._multiples is not None:
+                low, high = min(low, self._multiples[0][0]), max(high, self._multiples[0][1])
+            words, factors = len(self.valid), high - low
+            width = (factors * ((1 << self.bits) - 1)).bit_length()
+            one = np.zeros((self.bits, len(self.slices), words), np.uint64)
+            for d, slices in enumerate(self.slices):
+                for b, bits in enumerate(slices):
+                    one[b, d] = bits
+            table = np.zeros((len(self.slices), width, factors + 1, words), np.uint64)
+            at: Slices = []
+            for factor in range(1, factors + 1):
+                at = add(at, list(one), width) if at else list(one)
+                for b, bits in enumerate(at):
+                    table[:, b, factor] = bits
+            summed = total([[bits[None] for bits in slices] for slices in self.slices if slices], 64)
+            offset: Slices = []
+            for b in range((-low).bit_length()):
+                if -low >> b & 1:
+                    shifted = [np.zeros((1, words), np.uint64)] * b + summed
+                    offset = add(offset, shifted, 64) if offset else shifted
+            self._multiples = (low, high), (table, offset)
+        return self._multiples[0][0], *self._multiples[1]
+
+    def _summed(self, queries: np.ndarray, low: int, high: int, width: int) -> Slices:
+        """The slices of the scores, by one addition per dimension of a ready product.
+
+        Components are counted from ``low``, so that no product is negative; what that adds to a row is taken off at the end.
+        """
+        low, table, offset = self._products(low, high)
+        zero = np.zeros((len(queries), len(self.valid)), np.uint64)
+        held: list[tuple[int, Slices]] = []
+        for d in range(queries.shape[1]):
+            picked = np.take(table[d], queries[:, d] - low, axis=1)
+            rank, one = 0, [picked[b] for b in range(len(picked))]
+            # Sums of equally many dimensions are added, so that few are held at a time.
+            while held and held[-1][0] == rank:
+                one, rank = add(held.pop()[1], one, width), rank + 1
+            held.append((rank, one))
+        score = total([one for _, one in reversed(held)], width)
+        score = score + [zero] * (width - len(score))
+        if offset:
+            minus = (offset + [zero[:1]] * width)[:width]
+            score = add(add(score, [~m for m in minus], width), [np.broadcast_to(~np.uint64(0), zero.shape)], width)
+        return score
 
     def best(self, ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:
         """(query, row, score) of the best ``k`` rows of this block for each query."""
@@ -127,6 +183,16 @@ class Block:
             return self._computed(ids, queries, k)
         base = queries @ self.low
         width = most.bit_length() + 2
+        low = min(0, int(queries.min(initial=0)) // _ROUND * _ROUND)
+        high = (int(queries.max(initial=0)) // _ROUND + 1) * _ROUND
+        if self.bits and (high - low) * self.bits <= _MOST_PRODUCTS:
+            score = self._summed(queries, low, high, width)
+        else:
+            score = self._summed_by_bits(queries, width, largest)
+        return self._chosen(score, ids, base, k)
+
+    def _summed_by_bits(self, queries: np.ndarray, width: int, largest: int) -> Slices:
+        """The slices of the scores of queries with components of a wide range, bit by bit of the components."""
         # Two's complement: the highest bit of a query's component counts negatively.
         top = largest.bit_length()
         plus: list[Slices] = []
@@ -151,7 +217,12 @@ class Block:
             minus = (minus + [zero] * width)[:width]
             ones = np.broadcast_to(~np.uint64(0), zero.shape)
             score = add(add(score, [~m for m in minus], width), [ones], width)
-        score[-1] = ~score[-1]
+        return score
+
+    def _chosen(self, score: Slices, ids: np.ndarray, base: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+        """(query, row, score) of the best ``k`` rows, from the slices of the scores."""
+        zero = np.zeros((len(ids), len(self.valid)), np.uint64)
+        score = [*score[:-1], ~score[-1]]
         alive = np.broadcast_to(self.valid, zero.shape).copy()
         for q, name in enumerate(ids):
             for row in range(*np.searchsorted(self.ids, [name, name + 1])):
@@ -261,11 +332,14 @@ def search(vectors: DataFrame, k: int = BEST, every: int = QUERY_EVERY) -> DataF
     rows = quantised(vectors)
     side = max(2, math.isqrt(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     lanes = F.sequence(F.lit(0), F.lit(side - 1))
+    # A given number of parts: the keys are few bytes for much work, so they must not be put together by their size.
+    parts, keys = 2 * side * side, ["x", "y", "length"]
     blocks = _grouped(rows, BLOCK_ROWS, "block").select(
         "*", F.pmod(F.xxhash64("block"), F.lit(side)).cast("int").alias("x"), F.explode(lanes).alias("y"))
-    groups = _grouped(rows.where(F.col("id") % every == 0), GROUP_ROWS, "query").select(
+    queries = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("value").alias("value"))
+    groups = _grouped(queries, GROUP_ROWS, "query").select(
         "*", F.pmod(F.xxhash64("query"), F.lit(side)).cast("int").alias("y"), F.explode(lanes).alias("x"))
-    met = blocks.join(groups, ["x", "y", "length"])
+    met = blocks.repartition(parts, *keys).hint("merge").join(groups.repartition(parts, *keys), keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened: tuple[int | None, Block | None] = (None, None)

@@ -639,6 +639,29 @@ def test_topk(spark, scale):
     assert topk.search(vectors.limit(0)).count() == 0
 
 
+def test_topk_counts_a_query_once(spark):
+    """Repeated rows of a query are one query; all rows with its id are its own; other repeated rows are candidates each."""
+    vectors = {20: [1.0, 0.5], 1: [1.0, 0.0], 2: [0.5, 0.25], 3: [0.0, 1.0]}
+    rows = [(i, v) for i, v in vectors.items()] + [(20, [1.0, 0.5]), (20, [2.0, 9.0]), (1, [1.0, 0.0])]
+    found = [tuple(r) for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)).collect()]
+    assert sorted(found) == [(20, 1, 1, 4096), (20, 2, 1, 4096), (20, 3, 2, 2560), (20, 4, 3, 2048)]
+
+
+@pytest.mark.parametrize("most", [0, 1024])
+def test_scores_by_products_and_by_bits(monkeypatch, most):
+    """Both ways to sum slices give the products of matrices, for queries of growing range and blocks without variety."""
+    monkeypatch.setattr(topk, "_MOST_PRODUCTS", most)
+    draw = np.random.default_rng(4)
+    for values in (draw.integers(-40, 40, (130, 9)), draw.integers(5, 9, (70, 3)), np.full((5, 2), -3), np.zeros((3, 4), np.int64)):
+        values[:, -1] = 2
+        block = topk.Block(np.arange(len(values)), values)
+        for spread in (1, 10, 30):
+            queries = draw.integers(-spread, spread + 1, (7, values.shape[1]))
+            scores = queries @ values.T
+            expected = [(100 + q, row, int(scores[q, row])) for q in range(7) for row in sorted(range(len(values)), key=lambda r: (-scores[q, r], r))[:4]]
+            assert sorted(block.best(np.arange(100, 107), queries, 4)) == sorted(expected)
+
+
 def test_topk_keeps_large_components(spark):
     """A finite component of any size takes part; a score beyond 64 bits is an error."""
     draw = random.Random(10)
