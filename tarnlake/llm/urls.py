@@ -69,7 +69,8 @@ def build(rules: Iterable[tuple[str, str]]) -> bytes:
     blocks = np.array([v == "block" for v in verdicts.values()], np.uint8)[order]
     lengths = np.unique([len(rule) - rule.find("/") if "/" in rule else 0 for rule in verdicts]).astype("<u8")
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype("<u8")
-    return b"".join([np.array([len(texts), len(lengths)], "<u8").tobytes(), lengths.tobytes(),
+    longest = max((len(rule.partition("/")[0]) for rule in verdicts), default=0)
+    return b"".join([np.array([len(texts), len(lengths), longest], "<u8").tobytes(), lengths.tobytes(),
                      digests[order].astype("<u8").tobytes(), offsets.tobytes(), blocks.tobytes(), *texts])
 
 
@@ -78,16 +79,22 @@ class RuleFile:
 
     def __init__(self, path: str):
         raw = np.memmap(path, np.uint8, "r")
-        n, k = (int(x) for x in raw[:16].view("<u8"))
-        self.lengths = raw[16:16 + 8 * k].view("<u8").tolist()
-        at = 16 + 8 * k
+        n, k, self.longest = (int(x) for x in raw[:24].view("<u8"))
+        self.lengths = raw[24:24 + 8 * k].view("<u8").tolist()
+        at = 24 + 8 * k
         self.digests = raw[at:at + 8 * n].view("<u8")
         self.offsets = raw[at + 8 * n:at + 16 * n + 8].view("<u8")
         self.blocks = raw[at + 16 * n + 8:at + 17 * n + 8]
         self.texts = raw[at + 17 * n + 8:]
 
     def candidates(self, host: str, path: str) -> Iterator[str]:
-        """The rules that would fit, the longest first."""
+        """The rules that would fit, the longest first; no host is tried that is longer than any rule's."""
+        if len(host) > self.longest:
+            # Domains begin after a dot; the first that is short enough.
+            dot = host.find(".", len(host) - self.longest - 1)
+            if dot < 0:
+                return
+            host = host[dot + 1:]
         hosts = [host]
         while "." in hosts[-1]:
             hosts.append(hosts[-1].partition(".")[2])
