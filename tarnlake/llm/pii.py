@@ -40,7 +40,9 @@ _PHONE = frozenset(" ().-0123456789")
 _IBAN = frozenset(string.ascii_uppercase + string.digits)
 _LOGIN = frozenset(string.ascii_letters + string.digits + "._~%!$&'*+,;=-")
 _SCHEMES = ("http://", "https://", "ftp://", "ssh://", "git://", "postgres://", "mysql://", "redis://")
-_ACCOUNT_WORDS = ("account", "Account", "acct", "Acct", "Konto", "konto", "compte", "Compte", "cuenta", "Cuenta")
+_ACCOUNT_WORDS = tuple(form for word in ("account", "acct", "konto", "compte", "cuenta") for form in (word, word.title(), word.upper()))
+# Words that may stand between an account's cue and its digits, in any case.
+_NUMBER_WORDS = frozenset(("no", "nr", "nro", "num", "number"))
 
 Span = tuple[int, int]
 
@@ -147,12 +149,23 @@ def _login(text: str, host: int) -> Span | None:
 
 
 def _account(text: str, after: int) -> Span | None:
-    """6 to 18 digits that follow the word at most eight signs later, on its line, with no letters but "no" or "nr"."""
+    """6 to 18 digits that follow the word at most eight signs later, on its line.
+
+    Between them there may be one of a few words for a number, apart from the cue, and no other letters.
+    """
     at = after
     while at < len(text) and at < after + 8 and text[at] not in _DIGITS:
-        if text[at] == "\n" or text[at].isalpha() and text[at].lower() not in "numberio":
+        if text[at] == "\n":
             return None
-        at += 1
+        if text[at].isalpha():
+            end = at
+            while end < len(text) and text[end].isalpha():
+                end += 1
+            if at == after or text[at:end].lower() not in _NUMBER_WORDS:
+                return None
+            at = end
+        else:
+            at += 1
     end = _run(text, at, _DIGITS)
     return (at, end) if 6 <= end - at <= 18 and not (end < len(text) and text[end].isalpha()) else None
 
