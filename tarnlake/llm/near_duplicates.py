@@ -40,8 +40,8 @@ BANDS, ROWS = 42, 6
 REGISTERS = BANDS * ROWS
 # Sketches this far below the threshold (eight standard deviations) cannot belong to a link.
 LEAST_ESTIMATE = 0.6
-# Members of a bucket that are compared in one go.
-BLOCK = 256
+# Members of a bucket that are compared in one go, and about how many bytes of text they may have together.
+BLOCK, BLOCK_BYTES = 256, 4 << 20
 
 
 def linked(left: tuple, right: tuple) -> bool:
@@ -151,27 +151,35 @@ def _star_links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> Data
     both = sketches.select("rid", "sketch", F.coalesce("plain", "sketch"))
     sketched = pairs.join(both.toDF("u", "left", "left_plain"), "u").join(both.toDF("v", "right", "right_plain"), "v")
     near = stored(map_arrow(sketched, _alike, "u long, v long"), "near-pairs")
-    written = near.join(texts.toDF("u", "left"), "u").join(texts.toDF("v", "right"), "v")
+    written = near.join(texts.select(F.col("rid").alias("u"), F.col("text").alias("left")), "u").join(
+        texts.select(F.col("rid").alias("v"), F.col("text").alias("right")), "v")
     return map_arrow(written, _verified, "u long, v long")
 
 
-def _block_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
+def _block_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
     """The members of buckets with two components or more, once per pair of blocks that they belong to.
 
-    The members of a bucket's largest component need no comparison among themselves. They are in blocks of their own
+    A bucket has as many blocks as its number of members or, if these are more, its bytes of text ask for. The members of a bucket's largest component need no comparison among themselves. They are in blocks of their own
     (``i`` from 0), each of which meets every block of the others (``j``); two blocks of the others have a negative ``i``.
     So a bucket of copies with a few others costs in proportion to its members.
     """
     labelled = stored(
-        members.where("n > 2").join(labels, "node", "left")
-        .select("key", "node", "n", F.coalesce("label", "node").alias("label")), "labelled-members")
+        members.where("n > 2").join(labels, "node", "left").join(texts.select(F.col("rid").alias("node"), "bytes"), "node")
+        .select("key", "node", F.coalesce("label", "node").alias("label"), "bytes"), "labelled-members")
     # Counted by component first, with a combine before the shuffle; the keys' number and largest come from these rows.
-    sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("size"))
+    sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("size"), F.sum("bytes").alias("bytes"))
     open_keys = stored(
-        sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "label")).alias("largest"))
-        .where("parts > 1").select("key", "largest"), "open-buckets")
-    inner = F.ceil(F.col("largest")["size"] / BLOCK)
-    outer = F.ceil((F.col("n") - F.col("largest")["size"]) / BLOCK)
+        sizes.groupBy("key").agg(
+            F.count("*").alias("parts"), F.max(F.struct("size", "label", "bytes")).alias("largest"),
+            F.sum("size").alias("n"), F.sum("bytes").alias("of_all"))
+        .where("parts > 1").select("key", "largest", "n", "of_all"), "open-buckets")
+
+    def blocks(number: Column, size: Column) -> Column:
+        return F.ceil(F.greatest(number / BLOCK, size / BLOCK_BYTES))
+
+    largest = F.col("largest")
+    inner = blocks(largest["size"], largest["bytes"])
+    outer = blocks(F.col("n") - largest["size"], F.col("of_all") - largest["bytes"])
     inside = F.col("label") == F.col("largest")["label"]
     mine = F.pmod(F.xxhash64("node"), F.when(inside, inner).otherwise(outer))
 
@@ -215,14 +223,14 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tup
     members = stored(buckets.join(full, "key"), "members")
     candidates = stored(members.select("node").distinct(), "candidates")
     texts = stored(
-        plain.join(bounded_broadcast(candidates, 8), F.col("rid") == F.col("node"), "left_semi").select("rid", "text"),
-        "candidate-texts")
+        plain.join(bounded_broadcast(candidates, 8), F.col("rid") == F.col("node"), "left_semi")
+        .select("rid", "text", F.octet_length("text").alias("bytes")), "candidate-texts")
 
     stars = members.where("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
     links = stored(_star_links(stars, sketches, texts), "star-links")
     labels = stored(components(links), "star-labels")
     more = (
-        _block_pairs(members, labels).join(texts.toDF("node", "text"), "node")
+        _block_pairs(members, labels, texts).join(texts.select(F.col("rid").alias("node"), "text"), "node")
         .select("key", "i", "j", "node", "label", "text")
         .groupBy("key", "i", "j").applyInArrow(_block_links, "u long, v long"))
     more = stored(more, "block-links")

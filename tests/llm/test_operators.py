@@ -280,6 +280,24 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0), rules).count() == 0
 
 
+def test_a_very_long_host_takes_no_more_than_its_rules(folder):
+    """Of a host of a megabyte only the domains that a rule could name are tried."""
+    import tracemalloc
+
+    with open(f"{folder}/rules", "wb") as file:
+        file.write(urls.build(urls.RULES))
+    rules = urls.RuleFile(f"{folder}/rules")
+    long = [f"http://{'a.' * 500_000}{end}" for end in ("example.net/en/1", "example.com/de/", "org/fr/", "net", "xnet/")]
+    long.append("http://" + "n" * 1_000_000 + "/de/")
+    tracemalloc.start()
+    found = rules.judge(long)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * sum(map(len, long)) and max(len(list(rules.candidates(*urls.parts(u)))) for u in long) < 50
+    assert [(x[2], x[3] or "allow") for x in found] == [
+        ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"), (None, "allow"), (None, "allow"), (None, "allow")]
+
+
 def test_colliding_digests_are_told_apart(folder, monkeypatch):
     monkeypatch.setattr(urls.xxhash, "xxh64_intdigest", lambda text: 7)
     with open(f"{folder}/rules", "wb") as file:
@@ -329,6 +347,16 @@ def test_added_kinds():
     assert "s3cret@host.example" in cut["email"]
 
 
+def test_cues_of_accounts():
+    """A cue counts in lower case, capitals and as a title; only words for a number may follow it, at most eight signs in all."""
+    cases = {"ACCOUNT 12345678": True, "account number 123456": True, "Account: no 123456": True, "acct Nr. 123456": True,
+             "KONTO 1234567": True, "account more 123456": False, "account bruin 7654321": False, "accountnr 123456": False,
+             "compte\n123456": False, "cuenta  num 123456": True, "account oo 123456": False, "account 12345": False,
+             "account   number 123456": False}
+    for text, expected in cases.items():
+        assert bool(pii.spans(text)["account"]) == expected, text
+
+
 def test_many_spans_of_a_long_text(sample):
     """Added spans next to or across spans of the base, in a text with many of either."""
     draw = random.Random(5)
@@ -517,7 +545,8 @@ def test_block_pairs_bring_all_components_together(spark, monkeypatch):
         [(key, node, len(nodes)) for key, nodes in buckets.items() for node in nodes], "key long, node long, n long")
     labels = spark.createDataFrame(list(label.items()), "node long, label long")
     groups: dict[tuple, list] = {}
-    for r in near_duplicates._block_pairs(members, labels).collect():
+    texts = members.selectExpr("node AS rid", "'' AS text", "10 AS bytes")
+    for r in near_duplicates._block_pairs(members, labels, texts).collect():
         assert r.label == label.get(r.node, r.node)
         groups.setdefault((r.key, r.i, r.j), []).append(r.node)
     assert {key for key, _, _ in groups} == {1, 3}
@@ -532,6 +561,20 @@ def test_block_pairs_bring_all_components_together(spark, monkeypatch):
     assert all(places.count(node) == 52 for node in range(200, 209))
 
 
+def test_blocks_are_bounded_by_bytes(spark, monkeypatch):
+    """A few members with long texts are dealt into more blocks, and every two of them still meet."""
+    monkeypatch.setattr(near_duplicates, "BLOCK_BYTES", 1000)
+    members = spark.createDataFrame([(1, node, 40) for node in range(40)], "key long, node long, n long")
+    labels = spark.createDataFrame([], "node long, label long")
+    texts = members.selectExpr("node AS rid", "'' AS text", "500 AS bytes")
+    groups: dict[tuple, list] = {}
+    for r in near_duplicates._block_pairs(members, labels, texts).collect():
+        groups.setdefault((r.i, r.j), []).append(r.node)
+    met = {frozenset(pair) for nodes in groups.values() for pair in itertools.combinations(nodes, 2)}
+    assert len(met) == 40 * 39 // 2
+    assert max(map(len, groups.values())) < 20 and sum(map(len, groups.values())) / len(groups) < 6
+
+
 def test_near_duplicates_of_the_sample(spark, sample):
     rows = [(r["doc_id"], r["text"]) for r in sample]
     found = near_duplicates.report(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()
