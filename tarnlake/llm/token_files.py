@@ -3,7 +3,8 @@
 A block holds up to about a million ids in 16 bits each. The ends of its documents are a rising sequence,
 stored by Elias and Fano: the low bits of every end as they are, the high bits in unary, which together take
 about two bits more per document than the least possible, and no table of 64-bit offsets. The position of
-every 64th one in the unary part is kept, so that ``Boundaries.end(i)`` finds an end without reading the rest.
+every 64th one in the unary part is kept, so that ``Boundaries.end(i)`` finds an end without reading the rest, and
+``Boundaries.values`` many at once; all reads go through them. The ids of the documents, which rise too, are stored alike.
 
 Blocks are rows of a Parquet table, so the files can lie wherever Spark writes. Documents are sorted by id over all
 files (range partitions); a document's start is the sum of the ids in earlier blocks, from prefix sums
@@ -32,8 +33,15 @@ from tarnlake.session import scratch_dir
 END_ID = 2
 BLOCK_IDS = 1 << 20
 SAMPLE = 64
-MAGIC = b"TNIDS\x01"
-_HEADER = struct.Struct("<6sBxQQQQ")  # magic, low bits, documents, null ids among them, ids, bytes of the unary part
+MAGIC = b"TNIDS\x02"
+# Magic, low bits of the boundaries and of the documents' ids, documents, null ids among them, token ids, bytes of both
+# unary parts, the least of the documents' ids.
+_HEADER = struct.Struct("<6sBBQQQQQq")
+# Where the k-th one of a byte is.
+_PLACE = np.zeros((256, 8), np.uint8)
+for _byte in range(256):
+    for _k, _at in enumerate(b for b in range(8) if _byte >> b & 1):
+        _PLACE[_byte, _k] = _at
 
 
 def _pack(values: np.ndarray, width: int) -> bytes:
@@ -82,43 +90,77 @@ class Boundaries:
         """Where document ``i`` ends."""
         return ((self.select(i) - i) << self.width) | self._low(i)
 
-    def ends(self) -> np.ndarray:
-        """All ends at once."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))
-        high = (ones - np.arange(self.n)).astype(np.int64) << self.width
-        if not self.width:
-            return high
-        bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[:self.n * self.width]
-        return high + bits.reshape(self.n, self.width) @ (1 << np.arange(self.width, dtype=np.int64))
+    def selects(self, i: np.ndarray) -> np.ndarray:
+        """``select`` of many at once: each goes on from its own sample, byte by byte, and few go far."""
+        at, left = self.samples[i // SAMPLE].astype(np.int64), i % SAMPLE
+        byte = at // 8
+        word = self.high[byte] & (0xFF << (at % 8)).astype(np.uint8)
+        ones = np.bitwise_count(word).astype(np.int64)
+        going = np.flatnonzero(ones <= left)
+        while len(going):
+            left[going] -= ones[going]
+            byte[going] += 1
+            word[going] = self.high[byte[going]]
+            ones[going] = np.bitwise_count(word[going])
+            going = going[ones[going] <= left[going]]
+        return byte * 8 + _PLACE[word, left]
+
+    def values(self, i: np.ndarray) -> np.ndarray:
+        """The values at many places (unsigned): where these documents end."""
+        high = (self.selects(i) - i).astype(np.uint64) << np.uint64(self.width)
+        low, packed = np.zeros(len(i), np.uint64), np.frombuffer(self.low, np.uint8)
+        for bit in range(self.width):
+            place = i * self.width + bit
+            low |= ((packed[place // 8] >> (place % 8).astype(np.uint8)) & np.uint8(1)).astype(np.uint64) << np.uint64(bit)
+        return high | low
 
 
 def write_block(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
-    """A block of documents, of which null ids come first."""
+    """A block of documents in ascending order of their ids, of which null ids come first."""
     bounds = Boundaries.of(np.cumsum([len(x) for x in ids]))
-    names = np.array([0 if d is None else d for d in doc_ids], "<i8")
+    least = next((d for d in doc_ids if d is not None), 0)
+    names = Boundaries.of(np.array([0 if d is None else d - least for d in doc_ids], np.uint64))
     return b"".join([
-        _HEADER.pack(MAGIC, bounds.width, bounds.n, sum(d is None for d in doc_ids), sum(map(len, ids)), len(bounds.high)),
-        bounds.samples.tobytes(), bounds.high.tobytes(), bounds.low, names.tobytes(),
+        _HEADER.pack(MAGIC, bounds.width, names.width, bounds.n, sum(d is None for d in doc_ids), sum(map(len, ids)),
+                     len(bounds.high), len(names.high), least),
+        *[part for rising in (bounds, names) for part in (rising.samples.tobytes(), rising.high.tobytes(), rising.low)],
         *[np.ascontiguousarray(x, "<u2").tobytes() for x in ids]])
 
 
-def read_block(blob: bytes) -> tuple[list[int | None], Boundaries, np.ndarray]:
-    """The documents' ids, their boundaries, and all token ids of a block."""
-    magic, width, n, nulls, total, high = _HEADER.unpack_from(blob)
-    if magic != MAGIC:
-        raise ValueError("not a block of token ids")
-    at = _HEADER.size
-    parts = []
-    for size in (4 * -(-n // SAMPLE), high, -(-n * width // 8), 8 * n, 2 * total):
-        parts.append(blob[at:at + size])
-        at += size
-    names = np.frombuffer(parts[3], "<i8").tolist()
-    bounds = Boundaries(parts[2], parts[1], np.frombuffer(parts[0], "<u4"), width, n)
-    return [None] * nulls + names[nulls:], bounds, np.frombuffer(parts[4], "<u2")
+class Block:
+    """A block as it lies in a file: single documents are found by select, without a table of offsets."""
 
+    def __init__(self, blob: bytes):
+        magic, width, name_width, self.n, self.nulls, total, high, name_high, self.least = _HEADER.unpack_from(blob)
+        if magic != MAGIC:
+            raise ValueError("not a block of token ids")
+        at, rising = _HEADER.size, []
+        for bits, unary in ((width, high), (name_width, name_high)):
+            parts = []
+            for size in (4 * -(-self.n // SAMPLE), unary, -(-self.n * bits // 8)):
+                parts.append(blob[at:at + size])
+                at += size
+            rising.append(Boundaries(parts[2], parts[1], np.frombuffer(parts[0], "<u4"), bits, self.n))
+        self.bounds, self.names = rising
+        self.ids = np.frombuffer(blob, "<u2", total, at)
 
-def write(docs: DataFrame, path: str, end_id: int = END_ID, vocabularies: str | None = None) -> None:
-    """Encode doc_id and text of ``docs`` and write their blocks below ``path`` in the order of the ids."""
+    def ends(self, i: np.ndarray) -> np.ndarray:
+        return self.bounds.values(i).astype(np.int64)
+
+    def doc_ids(self, i: np.ndarray) -> list[int | None]:
+        return [None if k < self.nulls else value + self.least for k, value in zip(i.tolist(), self.names.values(i).tolist())]
+
+    def document(self, i: int) -> np.ndarray:
+        """The token ids of one document."""
+        first, last = (self.bounds.end(i - 1) if i else 0), self.bounds.end(i)
+        return self.ids[first:last]
+
+
+def write(docs: DataFrame, path: str, end_id: int = END_ID, vocabularies: str | None = None, block_ids: int = BLOCK_IDS) -> None:
+    """Encode doc_id and text of ``docs`` and write their blocks below ``path`` in the order of the ids.
+
+    A block has at most ``block_ids`` token ids, or one document.
+    """
     tokenizer = vocabulary("byte_bpe_50k.json", vocabularies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +177,7 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID, vocabularies: str |
         for batch in (s for b in batches for s in slices(b, "text")):
             texts = batch.column("text").to_pylist()
             for name, ids in zip(batch.column("doc_id").to_pylist(), encode.ended(texts, end_id)):
-                if held and size + len(ids) > BLOCK_IDS:
+                if held and size + len(ids) > block_ids:
                     yield flush()
                     names, held, size, block = [], [], 0, block + 1
                 names.append(name)
@@ -155,10 +197,11 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob, base in zip(batch.column("blob"), batch.column("base").to_pylist()):
-                names, bounds, ids = read_block(blob.as_py())
-                ends = bounds.ends()
+                block = Block(blob.as_py())
+                every = np.arange(block.n)
+                names, ends = block.doc_ids(every), block.ends(every)
                 starts = np.concatenate([[0], ends[:-1]])
-                parts = [ids[a:b] for a, b in zip(starts, ends)]
+                parts = [block.ids[a:b] for a, b in zip(starts, ends)]
                 out = {
                     "doc_id": pa.array(names, pa.int64()), "start": pa.array(base + starts, pa.int64()),
                     "n_tokens": pa.array(ends - starts, pa.int64()),
