@@ -65,8 +65,6 @@ DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING F
 WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE
 OR PERFORMANCE OF THIS SOFTWARE."""),
 ]
-# What the SQL takes for copyright lines; on lines of prose it drops more than ``NOTICE``.
-_COPYRIGHT = "^(copyright|c) |^copyright$"
 # A copyright notice as it is written: the word or sign, and a year, a sign, a place for a year, or a name.
 _YEAR = r"(?:(?:19|20)\d\d\b|[<\[{(]\s*(?:year|yyyy|date))"
 _OWNER = r"(?-i:(?<=Copyright )(?!Holder|Owner|Licen[sc]e|Notice|Law|Act\b|Rights)\p{Lu}\p{Ll})"
@@ -112,7 +110,7 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) ->
 
 def shipped_digests(spark: SparkSession) -> DataFrame:
     """``digest`` and ``license`` of ``KNOWN`` and of the entire texts that are shipped as digests."""
-    more = spark.createDataFrame(DIGESTS, "license string, digest string").select("license", "digest")
+    more = spark.createDataFrame(DIGESTS, "license string, digest string, source string").select("license", "digest")
     return known_digests(spark).select("license", "digest").unionAll(more).groupBy(
         "digest").agg(F.min("license").alias("license"))
 
@@ -137,26 +135,51 @@ def report(docs: DataFrame) -> DataFrame:
     return scan(docs)
 
 
-def _sql_canonical(line: str) -> str:
-    plain = rf"trim(regexp_replace(lower({line}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _sql_rows(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(map(_sql_text, row[:2])) + ")" for row in rows)
+
+
+# The SQL's regular expressions cannot look around: an owner's name is told in two conditions.
+_SQL_START = r"^[^\p{L}\p{N}(<\[{©]*"
+_SQL_NOTICE = rf"(?i){_SQL_START}(?:copyright[\s:,]*(?:by\s+)?(?:\(c\)|©|{_YEAR})|\(c\)\s*(?:copyright\b|{_YEAR})|©)"
+_SQL_OWNER = rf"{_SQL_START}Copyright \p{{Lu}}\p{{Ll}}"
+_SQL_NO_OWNER = rf"(?i){_SQL_START}copyright (?:Holder|Owner|Licen[sc]e|Notice|Law|Act\b|Rights)"
+
+
+def _sql_spelled(plain: str) -> str:
     return reduce(lambda c, pair: f"replace({c}, '{pair[0]}', '{pair[1]}')", SPELLINGS, plain)
 
 
+def _sql_units(table: str) -> str:
+    """``rid``, the digest of the whole text, and the digests of its lines."""
+    return rf"""
+  SELECT rid, CASE WHEN whole <> '' THEN md5(whole) END AS whole, list_transform(kept, lambda x: md5({_sql_spelled("x")})) AS lines
+  FROM (SELECT rid, kept, regexp_replace({_sql_spelled("array_to_string(kept, ' ')")}, {_sql_text(HEAD)}, '') AS whole
+    FROM (SELECT rid, list_filter(list_transform(
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: NOT (regexp_matches(x, {_sql_text(_SQL_NOTICE)})
+          OR regexp_matches(x, {_sql_text(_SQL_OWNER)}) AND NOT regexp_matches(x, {_sql_text(_SQL_NO_OWNER)}))),
+        lambda x: trim(regexp_replace(lower(x), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))), lambda x: x <> '') AS kept FROM {table}))"""
+
+
 ORACLE = f"""
 WITH k0 AS (
-  SELECT * FROM (VALUES {", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in pair) + ")" for pair in KNOWN)}) v(license, text)
+  SELECT row_number() OVER () AS rid, * FROM (VALUES {_sql_rows(KNOWN)}) v(license, text)
+), d0(license, d) AS (
+  VALUES {_sql_rows(DIGESTS)}
 ), k AS (
   SELECT min(license) AS license, d FROM (
-    SELECT license, md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {_sql_canonical("x")}),
-           lambda x: x <> '' AND NOT regexp_matches(x, '{_COPYRIGHT}')), ' ')) AS d FROM k0) GROUP BY d
+    SELECT license, whole AS d FROM k0 JOIN ({_sql_units("k0")}) USING (rid) UNION ALL SELECT license, d FROM d0) GROUP BY d
 ), t AS (
-  SELECT row_number() OVER () AS rid, doc_id,
-         list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {_sql_canonical("x")}),
-                     lambda x: x <> '' AND NOT regexp_matches(x, '{_COPYRIGHT}')) AS lines FROM documents
+  SELECT row_number() OVER () AS rid, doc_id, text FROM documents
+), u AS ({_sql_units("t")}
 ), l AS (
   SELECT rid, string_agg(DISTINCT license, ',' ORDER BY license) AS line_licenses, count(*) AS n
-  FROM (SELECT rid, md5(unnest(lines)) AS d FROM t) JOIN k USING (d) GROUP BY rid
+  FROM (SELECT rid, unnest(lines) AS d FROM u) JOIN k USING (d) GROUP BY rid
 )
 SELECT doc_id, k.license, coalesce(line_licenses, '') AS line_licenses, coalesce(l.n, 0) AS n_license_lines
-FROM t LEFT JOIN k ON k.d = md5(array_to_string(lines, ' ')) LEFT JOIN l USING (rid)
+FROM t JOIN u USING (rid) LEFT JOIN k ON k.d = u.whole LEFT JOIN l USING (rid)
 """

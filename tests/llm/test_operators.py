@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+import license_texts
 from tarnlake.llm import (
     components, licenses, near_duplicates, packing, pieces, pii, probminhash, quality, sharding, shingles,
     token_files, tokens, topk, urls,
@@ -134,7 +135,9 @@ def test_boundaries_select():
     for n in (0, 1, 2, 63, 64, 65, 1000):
         ends = np.cumsum([draw.choice([0, 1, 5, 100_000]) for _ in range(n)]).astype(np.int64)
         bounds = token_files.Boundaries.of(ends)
-        assert bounds.ends().tolist() == ends.tolist()
+        assert bounds.values(np.arange(n)).tolist() == ends.tolist()
+        some = np.array(random.Random(n).sample(range(n), min(n, 7)), np.int64)
+        assert bounds.values(some).tolist() == ends[some].tolist()
         assert [bounds.end(i) for i in range(n)] == ends.tolist()
 
 
@@ -160,12 +163,31 @@ def test_token_files(spark, unusual, tokenizer, folder):
     assert len(rows) == len(UNUSUAL)
 
 
-def test_token_files_of_several_blocks(spark, tokenizer, folder, monkeypatch):
-    docs = table(spark, [(i, f"text number {i} " * (i % 9), None, None) for i in range(300)])
-    token_files.write(docs, f"{folder}/files")
-    rows = sorted(token_files.read(spark, f"{folder}/files", with_ids=False).collect(), key=lambda r: r.doc_id)
+def test_token_files_of_several_blocks(spark, tokenizer, folder):
+    """Offsets run on over blocks and partitions; single documents are found in their blocks."""
+    texts = {i: f"text number {i} " * (i % 9) for i in range(-150, 150)}
+    docs = table(spark, [(i, t, None, None) for i, t in texts.items()]).repartition(5)
+    token_files.write(docs, f"{folder}/files", block_ids=500)
+    rows = sorted(token_files.read(spark, f"{folder}/files").collect(), key=lambda r: r.doc_id)
     starts = np.cumsum([0] + [r.n_tokens for r in rows])[:-1]
-    assert [r.start for r in rows] == starts.tolist()
+    assert [r.start for r in rows] == starts.tolist() and [r.doc_id for r in rows] == sorted(texts)
+    blobs = [r.blob for r in spark.read.parquet(f"{folder}/files").select("blob").collect()]
+    assert len(blobs) > 5
+    blocks = [token_files.Block(bytes(blob)) for blob in blobs]
+    assert max(len(block.ids) for block in blocks) <= 500
+    for block in blocks:
+        for k, name in enumerate(block.doc_ids(np.arange(block.n))):
+            assert block.document(k).tolist() == [*ids_of(tokenizer, texts[name]), 2]
+
+
+def test_ids_of_documents_in_few_bits():
+    """Null, negative, far and repeated ids come back; a block of dense ids has no table of 64 bits."""
+    one = np.array([2], np.uint16)
+    for names in ([None, None, -(1 << 63), 5, 5, (1 << 63) - 1], [None], [7], list(range(1000, 9000, 2))):
+        blob = token_files.write_block(names, [one] * len(names))
+        block = token_files.Block(blob)
+        assert block.doc_ids(np.arange(block.n)) == names
+    assert len(blob) < 4000 * 4
 
 
 def test_token_files_of_nothing(empty):
@@ -655,6 +677,36 @@ def test_licenses_in_usual_forms(spark):
     assert not {x for x in got if x[1] != x[2]}
 
 
+def test_published_texts_are_known(spark):
+    """The texts in the tests, in several widths and with their usual notices, by the digests that are shipped."""
+    rows = []
+    for name, text in license_texts.TEXTS:
+        for width in (50, 80, 10_000):
+            body = "\n\n".join(textwrap.fill(" ".join(x.split()), width, break_long_words=False) for x in text.split("\n\n"))
+            rows += [(name, body), (name, "Copyright (c) 2019, Some One\nAll rights reserved.\n\n" + body)]
+    found = licenses.scan(table(spark, [(i, t, None, None) for i, (_, t) in enumerate(rows)])).collect()
+    assert [r.license for r in sorted(found, key=lambda r: r.doc_id)] == [name for name, _ in rows]
+
+
+def test_licenses_equal_their_sql_on_odd_forms(spark, folder):
+    """Titles, notices of every form, prose that only looks like one, wrapped notices and spellings."""
+    import duckdb
+
+    mit = known_text("MIT")
+    heads = ["", "MIT License\n\n", "Copyright law applies.\n", "c) x\n", "(c) 2001 x\n", "(c) You must pay.\n", "Copyright Someone, Inc.\n",
+             "copyright someone\n", "COPYRIGHT HOLDERS\n", "Copyright Holder x\n", "Copyright Rights\n", "Copyright by 2001\n", "\u00a9 Jane\n",
+             "/* Copyright [yyyy] */\n", "# Copyright (C) me\n", "All rights reserved.\n", "The Expat license\nAll rights reserved\n", "copyright\n"]
+    texts = [head + mit for head in heads] + [textwrap.fill(" ".join(mit.split()), w) for w in (20, 33, 60)]
+    texts += [text for _, text in license_texts.TEXTS] + ["x\nreleased under the MIT licence.\n-- Licensed under CC-BY NC 4.0", None, "", "...\n\n"]
+    table(spark, [(i, t, None, None) for i, t in enumerate(texts)]).coalesce(1).write.parquet(f"{folder}/docs")
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/docs/*.parquet')")
+    columns = ["doc_id", "license", "line_licenses", "n_license_lines"]
+    expected = sorted(connection.sql(f"SELECT {', '.join(columns)} FROM ({licenses.ORACLE})").fetchall())
+    found = sorted(tuple(r[c] for c in columns) for r in licenses.scan(spark.read.parquet(f"{folder}/docs")).collect())
+    assert found == expected and sum(r[1] == "MIT" for r in found) > 8 and sum(r[1] is None for r in found) > 6
+
+
 # --- top-k ------------------------------------------------------------------------------------------
 
 def plain_best(rows, k):
