@@ -6,8 +6,9 @@ with the shard's residual capacity is highest.
 
 Items are few whatever the input: at most ``3 * LARGE`` groups can hold more than a ``LARGE``-th of some
 dimension, and each of these is an item. All other groups are dealt by a hash of their text into ``COARSE`` bundles and,
-a small part of them, into ``FINE`` much smaller ones that even out the rest. A group that alone is more than a
-shard holds is split by row into equal parts, as no packing of whole groups would be even. Everything about rows is joined by key with the items' shards, a
+a small part of them, into ``FINE`` much smaller ones that even out the rest. A group that alone has more bytes than a
+shard is split by row into equal parts, as no packing of whole groups would be even in what the law is about; every other group
+stays whole, whatever its number of rows. Everything about rows is joined by key with the items' shards, a
 table of bounded size.
 
 The law is ``bytes``: sizes near equal. Places within a shard come from two passes: counts per shard and
@@ -30,9 +31,8 @@ SHARDS = 16
 LARGE, COARSE, FINE = 2048, 2048, 1024
 # Every so many-th of the small groups goes to the fine bundles.
 FINE_EVERY = 32
-# Parts of a split group, per shard that it would fill. A group is split if it has more bytes than a shard,
-# or more rows or tokens than one in at least so many rows.
-PARTS, HOT_ROWS = 8, 1000
+# Parts of a split group, per shard that it would fill.
+PARTS = 8
 DIMENSIONS = ("bytes", "tokens", "rows")
 # The law is on bytes, so their share of the dot product is the largest.
 WEIGHTS = (8.0, 1.0, 1.0)
@@ -82,9 +82,8 @@ def assign(docs: DataFrame, text: str = "text", payload: list[str] | None = None
     weight = F.greatest(*[F.col(d) / F.lit(float(max(total[d], 1))) for d in DIMENSIONS])
     sized = groups.withColumn("weight", weight)
     heavy = F.col("bytes") / F.lit(float(max(total["bytes"], 1))) > 1 / shards
-    hot = (F.col("weight") > 1 / shards) & (F.col("rows") >= HOT_ROWS)
     big = sized.where(F.col("weight") > 1 / LARGE).withColumn(
-        "parts", F.when(heavy | hot, F.ceil(F.col("weight") * shards * PARTS)).otherwise(F.lit(1)))
+        "parts", F.when(heavy, F.ceil(F.col("weight") * shards * PARTS)).otherwise(F.lit(1)))
     small = sized.where(F.col("weight") <= 1 / LARGE)
     bundles = small.withColumn("bundle", _bundle("key"))
     # Bounded by 3 * LARGE and by COARSE + FINE rows.

@@ -269,6 +269,73 @@ def test_an_item_goes_where_the_dot_product_is_highest():
     assert shard[0] != shard[1] and sharding.place(np.zeros((0, 3)), 2).tolist() == []
 
 
+def sharded(texts):
+    """The shard of each row, from the rule: numbers that Spark's hashes give come from the xxhash library."""
+    import xxhash
+
+    def signed(data, seed=42):
+        value = xxhash.xxh64_intdigest(data, seed)
+        return value - (1 << 64) if value >> 63 else value
+
+    def chained(number):  # of a long, then of the integer 1
+        first = xxhash.xxh64_intdigest(number.to_bytes(8, "little", signed=True), 42)
+        return signed((1).to_bytes(4, "little"), first)
+
+    bodies = [t or "" for t in texts]
+    keys = [hashlib.md5(t.encode()).digest() for t in bodies]
+    vector = {}
+    for key, text in zip(keys, bodies):
+        at = vector.setdefault(key, [0, 0, 0])
+        at[0] += len(text.encode()) + 1
+        at[1] += len(re.findall(r"[^\x20\x09-\x0D]+", text))
+        at[2] += 1
+    total = [max(sum(v[d] for v in vector.values()), 1) for d in range(3)]
+    share = {key: [v[d] / total[d] for d in range(3)] for key, v in vector.items()}
+    items = []
+    for key in sorted(vector):
+        if max(share[key]) > 1 / 2048:
+            parts = int(-(-max(share[key]) * 16 * 8 // 1)) if share[key][0] > 1 / 16 else 1
+            items += [(("group", key, part), [x / parts for x in share[key]]) for part in range(parts)]
+    bundles, of = {}, {}
+    for key in vector:
+        if max(share[key]) <= 1 / 2048:
+            mixed = signed(key)
+            of[key] = chained(mixed) % 1024 + 2048 if mixed % 32 == 0 else chained(mixed) % 2048
+            bundles[of[key]] = [a + b for a, b in zip(bundles.get(of[key], [0, 0, 0]), share[key])]
+    items += [(("bundle", b, 0), bundles[b]) for b in sorted(bundles)]
+    free = [[1 / 16] * 3 for _ in range(16)]
+    where = {}
+    for name, v in sorted(items, key=lambda x: -max(x[1])):
+        best = max(range(16), key=lambda s: (8 * free[s][0] * v[0] + free[s][1] * v[1] + free[s][2] * v[2], -s))
+        where[name] = best
+        free[best] = [a - b for a, b in zip(free[best], v)]
+    out = []
+    for seq, key in enumerate(keys):
+        if key in of:
+            out.append(where["bundle", of[key], 0])
+        else:
+            parts = sum(name[:2] == ("group", key) for name, _ in items)
+            out.append(where["group", key, signed(seq.to_bytes(8, "little")) % parts])
+    return out
+
+
+def test_sharding_equals_the_rule_redone(spark):
+    """Groups of all sizes, one that is more than a shard, many that are too small to be placed alone."""
+    draw = random.Random(8)
+    texts = [" ".join(f"w{draw.randint(0, 10**6)}" for _ in range(draw.choice([1, 2, 30, 300, 900]))) for _ in range(900)]
+    texts += [texts[k] for k in draw.choices(range(60), k=200)] + ["short copy"] * 300 + [None, "", ""]
+    texts += ["a large group " + "y" * 40_000] * 40
+    draw.shuffle(texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    found = {r.doc_id: r.shard for r in sharding.report(rows).collect()}
+    assert [found[i] for i in range(len(texts))] == sharded(texts)
+    of_text = {}
+    for i, text in enumerate(texts):
+        of_text.setdefault(text or "", set()).add(found[i])
+    assert {len(s) for t, s in of_text.items() if not t.startswith("a large")} == {1} and len(of_text["short copy"]) == 1
+    assert len(of_text["a large group " + "y" * 40_000]) > 4
+
+
 def test_sharding_nothing(empty):
     assert sharding.report(empty).count() == 0
 
