@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnlake.llm import near_duplicates, packing, pii, quality
-from tarnlake.session import stored
+from tarnlake.session import drop_scratch, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -52,3 +52,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def write(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The corpus of ``sf_dir`` in ``path``; what the stages have written for each other goes when it is complete.
+
+    After a failure the folders stay, for ``drop_scratch`` or for a look at them.
+    """
+    run(spark, sf_dir).write.parquet(path)
+    drop_scratch(spark)

@@ -28,7 +28,7 @@ from tarnlake.functions import interval_seconds
 from tarnlake.lake import LakeTable, folders, maintenance
 from tarnlake.plans import orders, words
 from tarnlake.schemas import TABLES, TOPICS
-from tarnlake.session import build_session
+from tarnlake.session import build_session, drop_scratch
 from tarnlake.sources import messages
 from tarnlake.streaming import chains, jobs
 from tarnlake.streaming.runner import INTERVAL, MINI_BATCH_ROWS, RunSettings, on_each_trigger, run_together, run_with_restarts
@@ -199,6 +199,13 @@ def _arguments(given: list[str] | None) -> argparse.Namespace:
 def main(given: list[str] | None = None) -> None:
     args = _arguments(given)
     spark = build_session()
+    try:
+        _run(spark, args)
+    finally:
+        drop_scratch(spark)
+
+
+def _run(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.command == "word-count":
         texts = spark.read.text(args.texts)
         words.text_word_count(texts, "value").write.mode("overwrite").parquet(args.output)

@@ -124,6 +124,16 @@ def events_per_type(user_events: DataFrame) -> DataFrame:
     return counted_by(user_events, ["event_type"], "event_count")
 
 
+def events_per_label(user_events: DataFrame, labels: DataFrame) -> DataFrame:
+    """Events per label; types without a label count under none, labels without events with zero.
+
+    Events are counted per type before they meet the labels.
+    """
+    counts = events_per_type(user_events)
+    return counts.join(labels, "event_type", "full").groupBy("label").agg(
+        F.coalesce(F.sum("event_count"), F.lit(0).cast("bigint")).alias("event_count"))
+
+
 def events_before(user_events: DataFrame, as_of: AsOf, days: int) -> DataFrame:
     """The rows a retention of ``days`` days would delete."""
     return user_events.where(F.col("event_date") < days_before(as_of, days))

@@ -7,6 +7,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnlake.functions import ntz_columns, since
 from tarnlake.lake import LakeTable, changelog, maintenance
@@ -14,9 +15,9 @@ from tarnlake.operators import bitmaps, histogram, latest_per_key, timeseries
 from tarnlake.plans import (
     behavior, forest, hourly, logs, orders, payloads, profile, quality, sales, staged, words,
 )
-from tarnlake.schemas import TABLES, TOPICS, TableSpec
+from tarnlake.schemas import TABLES, TOPICS, TableSpec, _schema
 from tarnlake.session import scratch_dir, stored
-from tarnlake.sources import messages, tables
+from tarnlake.sources import external, messages, tables
 from tarnlake.streaming import chains, jobs, metrics, partitions, state
 from tarnlake.streaming.runner import RunSettings, started, upsert_stream
 
@@ -27,6 +28,10 @@ AS_OF = "2024-01-30 23:57:30"
 # A moment with purchases in the half hour before it.
 BUSY = "2024-01-30 23:30:00"
 DAY = "1 day"
+# Labels of event types; "refund" has no events.
+EVENT_LABELS = [
+    ("view", "interest"), ("click", "interest"), ("purchase", "sale"), ("refund", "sale"), ("signup", "account"),
+]
 
 QUERIES: dict[str, Query] = {}
 
@@ -307,6 +312,14 @@ def events_per_type(spark, sf):
     return behavior.events_per_type(tables.user_events(spark, sf))
 
 
+@query
+def events_per_label(spark, sf):
+    """Events per label, of labels that are written in the job."""
+    schema = _schema(event_type=T.StringType(), label=T.StringType())
+    labels = external.literal_rows(spark, schema, EVENT_LABELS)
+    return behavior.events_per_label(tables.user_events(spark, sf), labels)
+
+
 @query
 def events_to_expire(spark, sf):
     return behavior.events_before(tables.user_events(spark, sf), AS_OF, 7)

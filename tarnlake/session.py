@@ -57,9 +57,11 @@ def build_session(
 _given: dict[str, list[str]] = {}
 
 
-def scratch_dir(spark: SparkSession, purpose: str) -> str:
+def scratch_dir(spark: SparkSession, purpose: str, keep: bool = False) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which all executors can reach.
 
+    ``keep`` is for files that executors may fetch as long as the application runs: ``drop_scratch`` leaves them.
+
     Only a local session without that setting falls back to a folder of this machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -68,7 +70,8 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         root = tempfile.mkdtemp(prefix="tarnlake-")
     path = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-    _given.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if not keep:
+        _given.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
 

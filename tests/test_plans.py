@@ -129,6 +129,11 @@ def test_bucketed_copies_are_counted_in_many_tasks(spark):
     assert "Bucketed: true" not in plan and "Exchange" in plan
 
 
+def test_a_hash_distributed_copy_is_joined_and_counted_in_place(spark):
+    plan = plan_of(spark, "lake_bucketed_join")
+    assert "Exchange" not in plan and "SortMergeJoin" in plan and "HashAggregate" in plan
+
+
 def test_a_given_list_of_services_spares_a_scan(spark):
     assert plan_of(spark, "log_error_scan").count("Scan parquet") <= 2
 
