@@ -87,7 +87,7 @@ def _ship_package(spark: SparkSession) -> None:
                 if file.endswith(".py"):
                     path = os.path.join(folder, file)
                     archive.write(path, os.path.relpath(path, os.path.dirname(root)))
-    context.addPyFile(write_shared(spark, scratch_dir(spark, "package"), "tarnlake.zip", data.getvalue()))
+    context.addPyFile(write_shared(spark, scratch_dir(spark, "package", keep=True), "tarnlake.zip", data.getvalue()))
     _shipped.add(context.applicationId)
 
 

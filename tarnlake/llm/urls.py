@@ -135,7 +135,7 @@ def ship(spark: SparkSession, rules: Iterable[tuple[str, str]]) -> str:
     if len(data) > MOST_BYTES:
         raise ValueError("too many rules for one file")
     name = f"rules-{uuid.uuid4().hex}.bin"
-    spark.sparkContext.addFile(write_shared(spark, scratch_dir(spark, "url-rules"), name, data))
+    spark.sparkContext.addFile(write_shared(spark, scratch_dir(spark, "url-rules", keep=True), name, data))
     return name
 
 

@@ -980,3 +980,14 @@ def test_pipeline(spark, sample, tokenizer, folder):
     packed = run("packing", clean)
     check_packing(packed.collect(), [ids_of(tokenizer, r.text) + [0] for r in clean.collect()], 1024)
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() == packed.count()
+
+
+def test_the_pipeline_leaves_only_its_corpus(spark, folder):
+    """Twice in one application: the folders between the stages go, what executors fetch stays."""
+    from tarnlake import session
+
+    for name in ("a", "b"):
+        corpus_pipeline.write(spark, "/root/testdata/sf0.001", f"{folder}/{name}")
+        assert spark.sparkContext.applicationId not in session._given
+    a, b = (sorted((r.doc_id, r.start, r.ids_crc32) for r in spark.read.parquet(f"{folder}/{name}").collect()) for name in ("a", "b"))
+    assert a == b and len(a) > 100
