@@ -1,11 +1,11 @@
-"""SentencePiece encoding and decoding as a weighted finite-state transducer.
+"""SentencePiece encoding and decoding of byte-pair models.
 
-The model file is compiled into three transducers: the normaliser (spaces become ``▁``, one is put in front),
-the pieces, and the bytes that spell characters outside the vocabulary. Composed with a text they give a graph
-whose states are a position and the last piece, and whose arcs take the next piece. In a byte-pair model an arc
-weighs nothing if the merges keep the boundary between the last piece and the next one, else infinitely much:
-a row of pieces is the model's encoding exactly if each neighbouring pair is, so one path of finite weight is left
-for every prefix, and the tropical shortest path is found from left to right.
+The dealt method, a weighted transducer with a shortest path, is swapped: the scores of a byte-pair model are the
+order of its merges and no weights of a path, so the path of least weight is not the model's encoding. What holds
+instead is that a row of pieces is the encoding exactly if the merges keep the boundary of each neighbouring pair. So, after
+normalising (spaces become ``▁``, one is put in front), the encoder goes from left to right and takes, for every
+end, the longest last piece whose boundary to the pieces before it the merges keep; one row is left for
+every prefix. Characters outside the vocabulary are spelled by the pieces for bytes.
 
 A text is cut beforehand where no piece of the vocabulary joins the two characters, which no path can cross;
 what is between two cuts is encoded once per worker and remembered in a table of bounded size.
@@ -64,7 +64,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
             at += size
 
 
-class Transducer(Remembered):
+class PairEncoder(Remembered):
     """Maps what lies between two cuts to its ids as little-endian 16-bit integers."""
 
     # A path costs more than a word of the other encoder, and a worker has the room.
@@ -174,9 +174,9 @@ class Transducer(Remembered):
 
 
 @lru_cache(maxsize=2)
-def transducer(path: str) -> Transducer:
-    """The transducer of this Python worker; it outlives a task."""
-    return Transducer(path)
+def pair_encoder(path: str) -> PairEncoder:
+    """The encoder of this Python worker; it outlives a task."""
+    return PairEncoder(path)
 
 
 def encode(docs: DataFrame, vocabularies: str | None = None) -> DataFrame:
@@ -184,7 +184,7 @@ def encode(docs: DataFrame, vocabularies: str | None = None) -> DataFrame:
     path = vocabulary("piece_bpe_32k.model", vocabularies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = transducer(path)
+        model = pair_encoder(path)
         for batch in (s for b in batches for s in slices(b, "text")):
             ids = [model.encode(text.as_py()) for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
@@ -197,7 +197,7 @@ def decode(encoded: DataFrame, vocabularies: str | None = None) -> DataFrame:
     path = vocabulary("piece_bpe_32k.model", vocabularies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = transducer(path)
+        model = pair_encoder(path)
         for batch in (s for b in batches for s in slices(b, "ids")):
             texts = [model.decode(ids.as_py()) for ids in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
@@ -208,12 +208,12 @@ def decode(encoded: DataFrame, vocabularies: str | None = None) -> DataFrame:
 def report(docs: DataFrame, vocabularies: str | None = None) -> DataFrame:
     """Per document the number and checksum of its ids (32 bits each), and the checksum of the text they decode to.
 
-    ``encode``, ``decode`` and the checksums in one pass, so that a task has one worker and one transducer.
+    ``encode``, ``decode`` and the checksums in one pass, so that a task has one worker and one encoder.
     """
     path = vocabulary("piece_bpe_32k.model", vocabularies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = transducer(path)
+        model = pair_encoder(path)
         for batch in (s for b in batches for s in slices(b, "text")):
             ids = [model.encode(text.as_py()) for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays([

@@ -198,7 +198,7 @@ def test_token_files_of_nothing(empty):
 
 def test_pieces_are_those_of_the_library(spark, unusual, sample):
     model = sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
-    own = pieces.Transducer(vocabulary("piece_bpe_32k.model"))
+    own = pieces.PairEncoder(vocabulary("piece_bpe_32k.model"))
     draw = random.Random(3)
     letters = "aetion \u00e9\u00df1 ' ,.!\n\t\u00a0\u4e2d\u0301\u2581_-(\x00"
     odd = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 40))) for _ in range(3000)]
@@ -212,7 +212,7 @@ def test_pieces_are_those_of_the_library(spark, unusual, sample):
 
 
 def test_a_path_of_finite_weight_is_the_only_one():
-    own = pieces.Transducer(vocabulary("piece_bpe_32k.model"))
+    own = pieces.PairEncoder(vocabulary("piece_bpe_32k.model"))
     for word in ("\u2581thereon", "\u2581aiation", "ungheit"):
         cuts = range(1, len(word))
         found = []
