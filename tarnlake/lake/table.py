@@ -126,8 +126,11 @@ class LakeTable:
         """
         spec = self.spec
         own = [c for c in partition_by if c in self.parts]
-        out = brought_together(rows, own, spec.bucket_by, spec.buckets).sortWithinPartitions(
-            *own, *[spec.bucket_by] * bool(spec.bucket_by))
+        # Hash buckets as partitions need no other ones within them.
+        bucket_by = None if _BUCKET in own else spec.bucket_by
+        out = brought_together(rows, own, bucket_by, spec.buckets) if own or bucket_by else rows
+        if ordering := [*own, *[bucket_by] * bool(bucket_by)]:
+            out = out.sortWithinPartitions(*ordering)
         with session_conf(rows.sparkSession, write_options(spec.target_file_size)):
             (out.write.mode("overwrite").option("partitionOverwriteMode", mode)
              .partitionBy(*partition_by).parquet(target))
@@ -189,12 +192,17 @@ class LakeTable:
 
     def _merge(self, changes: DataFrame, from_log: bool = False) -> None:
         """Fold changes into the partitions that they touch. Deletes stay as rows, so that no partition is without any."""
-        touched = self._touched(changes)
-        if from_log or not folders.exists(self.spark, self.state_path):
-            known = self._in_state(self._log()).where(touched)
-        else:
-            known = self._state().where(touched).unionByName(changes)
-        last = changelog.last_changes(known.drop("_commit_ts"), self._groups(), self.spec.order_by)
+        touched, groups = self._touched(changes), self._groups()
+        anew = from_log or not folders.exists(self.spark, self.state_path)
+        log = self._in_state(self._log()).where(touched) if anew else changes
+        last = changelog.last_changes(log.drop("_commit_ts"), groups, self.spec.order_by)
+        if not anew:
+            # The state has one row per key, older than any change: rows without a change need no grouping.
+            same = F.lit(True)
+            for key in groups:
+                same = same & F.col(f"old.{key}").eqNullSafe(F.col(f"changed.{key}"))
+            old = self._state().where(touched).drop("_commit_ts").alias("old")
+            last = old.join(changes.select(*groups).distinct().alias("changed"), same, "left_anti").unionByName(last)
         self._overwrite(last, self.state_path, self.parts)
 
     def rebuild(self) -> None:
