@@ -1,14 +1,20 @@
-"""SentencePiece encoding and decoding of byte-pair models.
+"""SentencePiece encoding and decoding of byte-pair models by a weighted transducer and its shortest path.
 
-The dealt method, a weighted transducer with a shortest path, is swapped: the scores of a byte-pair model are the
-order of its merges and no weights of a path, so the path of least weight is not the model's encoding. What holds
-instead is that a row of pieces is the encoding exactly if the merges keep the boundary of each neighbouring pair. So, after
-normalising (spaces become ``▁``, one is put in front), the encoder goes from left to right and takes, for every
-end, the longest last piece whose boundary to the pieces before it the merges keep; one row is left for
-every prefix. Characters outside the vocabulary are spelled by the pieces for bytes.
+Three transducers are compiled from the model file:
 
-A text is cut beforehand where no piece of the vocabulary joins the two characters, which no path can cross;
-what is between two cuts is encoded once per worker and remembered in a table of bounded size.
+* the normaliser: spaces become ``▁``, one is put in front, runs of spaces become one where the model says so;
+* the pieces: a state for every beginning of a piece, an arc for every character that goes on, an output where a piece ends;
+* the bytes: an arc for every character that is no piece, whose outputs are the pieces of its bytes.
+
+They are composed with each text as it is read. A state of the composition is a place in the normalised text and the
+last piece before it; its arcs are the pieces, or bytes, that follow. An arc weighs one if the merges would not keep the boundary
+between the two pieces, else nothing. Weights are those of the tropical semiring: they add up along a path, and the least one counts.
+A row of pieces is the encoding exactly if the merges keep each of its boundaries, and only one row is so. The shortest path
+therefore weighs nothing and is the encoding. The scores in the file can't be the weights: in a byte-pair model they
+are the order of the merges, and the path of the best sum is another one.
+
+A text is cut beforehand where no piece of the vocabulary joins the two characters, which no path can cross, and where the
+normaliser is in the same state; what is between two cuts is encoded once per worker and remembered in a table of bounded size.
 
 Edge cases: a null or empty text has no pieces and decodes to an empty text; equal rows give equal results;
 ids outside the vocabulary are refused in decoding. Only the id and the text are read, so no names clash.
@@ -19,8 +25,10 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +40,12 @@ from tarnlake.llm.common import Remembered, map_arrow, slices, vocabulary
 SPACE = "▁"
 # Kinds of pieces in a model file.
 NORMAL, BYTE = 1, 6
-# Pairs of pieces whose boundary is known, per worker; a full table is emptied.
-REMEMBERED_PAIRS = 400_000
+# Boundaries whose weight is known, per worker; a full table is emptied.
+REMEMBERED_WEIGHTS = 400_000
+# No piece: what precedes the first one, and a character that is spelled by its bytes. No merge reaches across either.
+NONE = -1
+# Bits of a character, and of a piece and one, in the keys of arcs and states.
+_CHARACTER, _PIECE = 21, 17
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _SIGNS = ".,:;!?()*$%&#|<>@\"=+"
 
@@ -64,7 +76,65 @@ def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
             at += size
 
 
-class PairEncoder(Remembered):
+class Normaliser:
+    """The transducer from characters to normalised characters.
+
+    It is at the start, inside the text, or in a gap of spaces that it has read and not written. ``arcs`` has, by state
+    and by whether a character is a space, the next state, what is written, and whether the character itself is.
+    """
+
+    START, INSIDE, GAP = range(3)
+
+    def __init__(self, dummy: bool, squeeze: bool):
+        front = SPACE if dummy else ""
+        if squeeze:
+            self.arcs = (
+                ((self.INSIDE, front, True), (self.START, "", False)),
+                ((self.INSIDE, "", True), (self.GAP, "", False)),
+                ((self.INSIDE, SPACE, True), (self.GAP, "", False)),
+            )
+        else:
+            self.arcs = (
+                ((self.INSIDE, front, True), (self.INSIDE, front + SPACE, False)),
+                ((self.INSIDE, "", True), (self.INSIDE, SPACE, False)),
+            )
+
+    def run(self, text: str, state: int) -> str:
+        """What is written for a text that is read from a state on; a gap at its end is never written."""
+        out, arcs = [], self.arcs
+        for character in text:
+            state, written, itself = arcs[state][character == " "]
+            out.append(written + character if itself else written)
+        return "".join(out)
+
+
+class Pieces:
+    """The transducer from characters to pieces: a tree of their beginnings, with the arcs of all states in one table."""
+
+    def __init__(self, pieces: dict[str, int]):
+        self.next: dict[int, int] = {}
+        self.output = array("i", [NONE])
+        for text, piece in pieces.items():
+            state = 0
+            for character in text:
+                state = self.next.setdefault(state << _CHARACTER | ord(character), len(self.output))
+                if state == len(self.output):
+                    self.output.append(NONE)
+            self.output[state] = piece
+
+    def arcs(self, text: str, at: int) -> list[tuple[int, int]]:
+        """The pieces that the text has at a place, short ones first, and where each ends."""
+        found, state, after, output = [], 0, self.next, self.output
+        for end in range(at, len(text)):
+            state = after.get(state << _CHARACTER | ord(text[end]), 0)
+            if not state:
+                break
+            if output[state] != NONE:
+                found.append((output[state], end + 1))
+        return found
+
+
+class PieceEncoder(Remembered):
     """Maps what lies between two cuts to its ids as little-endian 16-bit integers."""
 
     # A path costs more than a word of the other encoder, and a worker has the room.
@@ -80,14 +150,17 @@ class PairEncoder(Remembered):
             raise ValueError("only byte-pair models are supported")
         if normaliser.get(2):
             raise ValueError("character maps are not supported")
-        self.dummy, self.squeeze = bool(normaliser.get(3, 1)), bool(normaliser.get(4, 1))
+        self.dummy = bool(normaliser.get(3, 1))
+        self.normaliser = Normaliser(self.dummy, bool(normaliser.get(4, 1)))
         self.surface: list[bytes | None] = []
+        self.text: list[str] = []
         self.piece: dict[str, int] = {}
         self.score: dict[str, float] = {}
         self.byte: dict[int, int] = {}
         for number, entry in enumerate(v for k, v in model if k == 1):
             fields = dict(_fields(entry))
             text, kind = fields.get(1, b"").decode(), fields.get(3, NORMAL)
+            self.text.append(text)
             self.surface.append(None)
             if kind == NORMAL:
                 self.piece[text] = number
@@ -98,15 +171,17 @@ class PairEncoder(Remembered):
                 self.surface[-1] = bytes([int(text[1:-1], 16)])
         if len(self.surface) > 1 << 16 or len(self.byte) != 256:
             raise ValueError("the ids need 16 bits and there must be a piece for each byte")
-        self.longest = max(map(len, self.piece))
-        self.pairs: dict[int, bool] = {}
+        self.pieces = Pieces(self.piece)
+        self.weights: dict[int, int] = {}
         joined = {text[k:k + 2] for text in self.piece for k in range(len(text) - 1)}
         if any(pair[1] == SPACE != pair[0] for pair in joined) or any("\n" in text for text in self.piece):
             raise ValueError("pieces that go on after a space or hold a line feed are not supported")
         letter = re.compile(f"[{_LETTERS}]")
         signs = "".join(s for s in _SIGNS if not any(pair[1] == s and letter.match(pair[0]) for pair in joined))
+        # Each part but the last ends inside the text, so that the next one is normalised alike wherever it occurs.
         self.parts = re.compile(
-            f"{SPACE}?[{_LETTERS}]+(?=[{re.escape(signs)}{SPACE}\n]|$)|{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+            f"[ {SPACE}]*+[{_LETTERS}]++(?=[{re.escape(signs)} {SPACE}\n]|$)|[ {SPACE}]*+[^ {SPACE}\n]++"
+            f"|[ {SPACE}]*+\n|[ {SPACE}]++")
 
     def merged(self, text: str) -> list[str]:
         """The characters of a short text after all merges: the best score first, of equal ones the leftmost."""
@@ -122,50 +197,94 @@ class PairEncoder(Remembered):
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def free(self, last: str, piece: str) -> bool:
-        """Whether the arc from ``last`` to ``piece`` weighs nothing; any ``last`` outside the vocabulary is a start."""
-        key = (self.piece.get(last, -1) + 1) << 16 | self.piece[piece]
-        known = self.pairs.get(key)
+    def weight(self, last: int, piece: int) -> int:
+        """What the arc of a piece weighs after the last one: one if the merges would not keep the boundary."""
+        if piece == NONE:
+            return 0
+        key = (last + 1) << 16 | piece
+        known = self.weights.get(key)
         if known is None:
-            last = last if last in self.piece else ""
-            known = self.merged(last + piece) == ([last, piece] if last else [piece])
-            if len(self.pairs) >= REMEMBERED_PAIRS:
-                self.pairs.clear()
-            self.pairs[key] = known
+            kept = [self.text[p] for p in (last, piece) if p != NONE]
+            known = int(self.merged("".join(kept)) != kept)
+            if len(self.weights) >= REMEMBERED_WEIGHTS:
+                self.weights.clear()
+            self.weights[key] = known
         return known
 
-    def path(self, text: str) -> list[str]:
-        """The pieces of the shortest path; a character outside the vocabulary is a piece of its own."""
-        last = [""] * (len(text) + 1)
-        pieces, free, longest = self.piece, self.free, self.longest
-        for end in range(1, len(text) + 1):
-            for start in range(max(0, end - longest), end):
-                piece = text[start:end]
-                if piece in pieces:
-                    if free(last[start], piece):
-                        last[end] = piece
-                        break
-            else:
-                last[end] = text[end - 1]
-        found, at = [], len(text)
-        while at:
-            found.append(last[at])
-            at -= len(last[at])
+    def arcs(self, text: str, at: int) -> list[tuple[int, int]]:
+        """The arcs of the composition at a place of a normalised text: pieces, or bytes of a character that is none."""
+        spelled = [] if text[at] in self.piece else [(NONE, at + 1)]
+        return spelled + self.pieces.arcs(text, at)
+
+    def shortest(self, text: str) -> list[tuple[int, int]]:
+        """The pieces of the path of least weight through a normalised text, with the place each ends at.
+
+        States are settled weight by weight, within one weight in depth and along the longest piece first, so that most
+        arcs need no weight. Arcs are made again where the search comes back to a state, and those of weight one when all states
+        of a weight are settled, so none wait in memory.
+        """
+        goal = len(text)
+        before: dict[int, int] = {0: 0}
+        starts, settled = [0], []
+        while starts:
+            for start in starts:
+                path, untried = [start], [NONE]
+                while path:
+                    state = path[-1]
+                    at, last = state >> _PIECE, (state & (1 << _PIECE) - 1) - 1
+                    if at == goal:
+                        return self._traced(state, before)
+                    arcs = self.arcs(text, at)
+                    left = len(arcs) if untried[-1] == NONE else untried[-1]
+                    while left:
+                        left -= 1
+                        piece, end = arcs[left]
+                        reached = end << _PIECE | piece + 1
+                        if reached not in before and not self.weight(last, piece):
+                            before[reached] = state
+                            untried[-1] = left
+                            path.append(reached)
+                            untried.append(NONE)
+                            break
+                    else:
+                        settled.append(path.pop())
+                        untried.pop()
+            starts = []
+            for state in settled:
+                for piece, end in self.arcs(text, state >> _PIECE):
+                    reached = end << _PIECE | piece + 1
+                    if reached not in before:
+                        before[reached] = state
+                        starts.append(reached)
+            settled = []
+        raise ValueError("the model has a character that is neither a piece nor spelled by bytes")
+
+    @staticmethod
+    def _traced(state: int, before: dict[int, int]) -> list[tuple[int, int]]:
+        found = []
+        while state:
+            found.append(((state & (1 << _PIECE) - 1) - 1, state >> _PIECE))
+            state = before[state]
         return found[::-1]
 
-    def result(self, part: str) -> bytes:
-        ids = [i for piece in self.path(part)
-               for i in ([self.piece[piece]] if piece in self.piece else [self.byte[b] for b in piece.encode()])]
+    def ids(self, part: str, state: int) -> bytes:
+        """The ids of a part of a text that the normaliser reads from a state on."""
+        text = self.normaliser.run(part, state)
+        ids = []
+        for piece, end in self.shortest(text):
+            ids += [piece] if piece != NONE else [self.byte[b] for b in text[end - 1].encode()]
         return np.array(ids, "<u2").tobytes()
 
-    def normalised(self, text: str) -> str:
-        if self.squeeze:
-            text = re.sub(" +", " ", text).strip(" ")
-        return (SPACE if self.dummy and text else "") + text.replace(" ", SPACE)
+    def result(self, part: str) -> bytes:
+        return self.ids(part, Normaliser.INSIDE)
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text; a null is empty."""
-        return b"".join(map(self.__getitem__, self.parts.findall(self.normalised(text or ""))))
+        parts = self.parts.findall(text or "")
+        if not parts:
+            return b""
+        # The normaliser is inside the text after each part; one of spaces alone is the last.
+        return self.ids(parts[0], Normaliser.START) + b"".join(map(self.__getitem__, islice(parts, 1, None)))
 
     def decode(self, ids: bytes) -> str:
         """The text of the ids, without the space in front."""
@@ -174,9 +293,9 @@ class PairEncoder(Remembered):
 
 
 @lru_cache(maxsize=2)
-def pair_encoder(path: str) -> PairEncoder:
+def piece_encoder(path: str) -> PieceEncoder:
     """The encoder of this Python worker; it outlives a task."""
-    return PairEncoder(path)
+    return PieceEncoder(path)
 
 
 def encode(docs: DataFrame, vocabularies: str | None = None) -> DataFrame:
@@ -184,7 +303,7 @@ def encode(docs: DataFrame, vocabularies: str | None = None) -> DataFrame:
     path = vocabulary("piece_bpe_32k.model", vocabularies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pair_encoder(path)
+        model = piece_encoder(path)
         for batch in (s for b in batches for s in slices(b, "text")):
             ids = [model.encode(text.as_py()) for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
@@ -197,7 +316,7 @@ def decode(encoded: DataFrame, vocabularies: str | None = None) -> DataFrame:
     path = vocabulary("piece_bpe_32k.model", vocabularies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pair_encoder(path)
+        model = piece_encoder(path)
         for batch in (s for b in batches for s in slices(b, "ids")):
             texts = [model.decode(ids.as_py()) for ids in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
@@ -213,7 +332,7 @@ def report(docs: DataFrame, vocabularies: str | None = None) -> DataFrame:
     path = vocabulary("piece_bpe_32k.model", vocabularies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pair_encoder(path)
+        model = piece_encoder(path)
         for batch in (s for b in batches for s in slices(b, "text")):
             ids = [model.encode(text.as_py()) for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays([

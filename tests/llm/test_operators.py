@@ -198,7 +198,7 @@ def test_token_files_of_nothing(empty):
 
 def test_pieces_are_those_of_the_library(spark, unusual, sample):
     model = sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
-    own = pieces.PairEncoder(vocabulary("piece_bpe_32k.model"))
+    own = pieces.PieceEncoder(vocabulary("piece_bpe_32k.model"))
     draw = random.Random(3)
     letters = "aetion \u00e9\u00df1 ' ,.!\n\t\u00a0\u4e2d\u0301\u2581_-(\x00"
     odd = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 40))) for _ in range(3000)]
@@ -211,17 +211,58 @@ def test_pieces_are_those_of_the_library(spark, unusual, sample):
     assert decoded[1] == decoded[2] == "" and decoded[7] == LONG and decoded[3] == " \n\t "
 
 
-def test_a_path_of_finite_weight_is_the_only_one():
-    own = pieces.PairEncoder(vocabulary("piece_bpe_32k.model"))
-    for word in ("\u2581thereon", "\u2581aiation", "ungheit"):
-        cuts = range(1, len(word))
-        found = []
-        for k in range(len(word)):
-            for chosen in itertools.combinations(cuts, k):
-                parts = [word[a:b] for a, b in zip((0, *chosen), (*chosen, len(word)))]
-                if all(p in own.piece for p in parts) and all(own.free(a, b) for a, b in zip(["", *parts], parts)):
-                    found.append(parts)
-        assert found == [own.path(word)]
+def test_pieces_of_a_model_that_squeezes_spaces(tmp_path):
+    """The same model, with the normaliser's flag for runs of spaces set in the file."""
+    with open(vocabulary("piece_bpe_32k.model"), "rb") as file:
+        data = file.read()
+    plain, squeezing = b"identity\x12\x00\x18\x01\x20\x00", b"identity\x12\x00\x18\x01\x20\x01"
+    assert data.count(plain) == 1
+    path = tmp_path / "squeezing.model"
+    path.write_bytes(data.replace(plain, squeezing))
+    model, own = sentencepiece.SentencePieceProcessor(model_file=str(path)), pieces.PieceEncoder(str(path))
+    draw = random.Random(5)
+    texts = ["", " ", "   ", " a", "a ", "  a  b  ", " \n ", "a \n  b", "\n", "  \n  "]
+    texts += ["".join(draw.choice("ae   on\n.\u4e2d") for _ in range(draw.randint(0, 30))) for _ in range(2000)]
+    for text in texts:
+        assert np.frombuffer(own.encode(text), "<u2").tolist() == model.encode(text), repr(text)
+
+
+def every_path(model, text):
+    """Weight and arcs of every path through a normalised text."""
+    found = []
+
+    def go(at, last, weight, arcs):
+        if at == len(text):
+            found.append((weight, arcs))
+            return
+        spelled = [] if text[at] in model.piece else [(pieces.NONE, at + 1)]
+        known = [(model.piece[text[at:end]], end) for end in range(at + 1, len(text) + 1) if text[at:end] in model.piece]
+        for piece, end in spelled + known:
+            go(end, piece, weight + model.weight(last, piece), [*arcs, (piece, end)])
+
+    go(0, pieces.NONE, 0, [])
+    return found
+
+
+def test_the_shortest_path_is_the_only_one_without_weight():
+    own = pieces.PieceEncoder(vocabulary("piece_bpe_32k.model"))
+    for word in ("\u2581thereon", "\u2581aiation", "ungheit", "\u2581on\x00then", "\u2581\u2581a"):
+        free = [arcs for weight, arcs in every_path(own, word) if not weight]
+        assert free == [own.shortest(word)]
+
+
+def test_the_shortest_path_where_every_path_has_a_weight():
+    class Heavy(pieces.PieceEncoder):
+        def weight(self, last, piece):
+            return int((last * 31 + piece * 7) % 5 > 0)
+
+    own = Heavy(vocabulary("piece_bpe_32k.model"))
+    least = []
+    for word in ("\u2581thereon", "\u2581aiation", "ungheit", "\u2581station", "\u2581on\x00then"):
+        paths = every_path(own, word)
+        least.append(min(weight for weight, _ in paths))
+        assert (least[-1], own.shortest(word)) in paths
+    assert max(least) > 0
 
 
 # --- sharding ---------------------------------------------------------------------------------------
