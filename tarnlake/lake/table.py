@@ -43,16 +43,18 @@ def brought_together(
     return rows.hint("rebalance", *partition_by)
 
 
-def write_options(target_file_size: str) -> dict[str, str]:
+def write_options(target_file_size: str, spread: bool = False) -> dict[str, str]:
     """Session options of a write.
 
-    Rebalanced files come out at about the target size, also when that leaves cores without a task.
+    Rebalanced files come out at about the target size, also when that leaves cores without a task; with ``spread``
+    every core gets one, but no partition and bucket is divided below that size.
     Timestamps are written as microseconds: the old default has no minimum and maximum per row
     group, so that filters on time could not skip any.
     """
     return {
+        "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": target_file_size,
-        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": str(spread).lower(),
         "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
     }
 
@@ -122,16 +124,18 @@ class LakeTable:
 
         Rows are brought together by partition and bucket; adaptive execution splits a group that
         is larger than a file over several tasks and joins small ones, so neither a hot bucket nor
-        many small buckets hurt.
+        many small buckets hurt. Spark turns it off in the batches of a stream with state, where every task would write
+        a file for each partition: there it is on for the write, and keeps all cores at work, as the next batch waits.
         """
-        spec = self.spec
+        spec, session = self.spec, rows.sparkSession
+        in_batch = session.conf.get("spark.sql.adaptive.enabled") == "false"
         own = [c for c in partition_by if c in self.parts]
         # Hash buckets as partitions need no other ones within them.
         bucket_by = None if _BUCKET in own else spec.bucket_by
-        out = brought_together(rows, own, bucket_by, spec.buckets) if own or bucket_by else rows
-        if ordering := [*own, *[bucket_by] * bool(bucket_by)]:
-            out = out.sortWithinPartitions(*ordering)
-        with session_conf(rows.sparkSession, write_options(spec.target_file_size)):
+        with session_conf(session, write_options(spec.target_file_size, spread=in_batch)):
+            out = brought_together(rows, own, bucket_by, spec.buckets) if own or bucket_by else rows
+            if ordering := [*own, *[bucket_by] * bool(bucket_by)]:
+                out = out.sortWithinPartitions(*ordering)
             (out.write.mode("overwrite").option("partitionOverwriteMode", mode)
              .partitionBy(*partition_by).parquet(target))
 

@@ -365,6 +365,52 @@ def test_streams_come_in_several_batches(spark):
     assert len(target.versions()) >= registry.SLICES
 
 
+def test_the_streams_of_a_chain_run_next_to_each_other(spark, monkeypatch):
+    running = []
+
+    def noted(job):
+        def start(*args):
+            running.append(job(*args))
+            return running[-1]
+        return start
+
+    seen_running = []
+    real = jobs.order_summary
+    monkeypatch.setattr(jobs, "user_behavior_summary", noted(jobs.user_behavior_summary))
+    monkeypatch.setattr(jobs, "order_summary", lambda *args: seen_running.append(running[0].isActive) or real(*args))
+    events = spark.createDataFrame(
+        [(k, k % 5, "purchase", 2.5, '{"k": 1}', f"2024-01-01 00:{k:02d}:00") for k in range(50)],
+        "event_id long, user_id long, event_type string, value double, props string, ts string",
+    ).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    feed = registry._feed(spark, events, F.lit(0))
+    summary, bought = registry._summary_tables(spark, feed)
+    assert seen_running == [True]
+    assert summary.read().agg(F.sum("behavior_count")).first()[0] == 50
+    assert bought.read().agg(F.sum("total_orders")).first()[0] == 50
+
+
+def test_the_failure_of_a_stream_is_raised(spark):
+    broken = F.raise_error(F.lit("broken")).cast("string").alias("word")
+    rows = spark.readStream.format("rate").load().select(
+        broken, F.lit(1).cast("bigint").alias("count"), F.col("timestamp").alias("ts")).withWatermark("ts", "1 second")
+    with pytest.raises(StreamingQueryException, match="broken"):
+        registry._filled(spark, "word_count", lambda t, s: jobs.word_count(rows, t, RunSettings(s.checkpoint, "0 seconds")))
+
+
+def test_a_batch_of_a_stream_with_state_leaves_few_files(spark, folder):
+    feed = Feed(folder)
+    target = table(spark, folder, "word_count")
+    for day in (1, 2):
+        feed.add(*[f'{{"word": "w{k}", "count": 1, "ts": "2024-01-0{day}T00:00:00.000Z"}}' for k in range(200)])
+    jobs.word_count(topic_stream(spark, feed, "word-count-input", 2), target, settings(folder)).awaitTermination()
+    for path in (target.log_path, target.state_path):
+        found = [f"{at}/{name}" for at, _, names in os.walk(path) for name in names if name.endswith(".parquet")]
+        # One for every day and bucket at most, where every task once wrote one for each day.
+        assert 2 <= len(found) <= 2 * target.spec.buckets
+    assert target.read().count() == 400
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
 def test_compaction_between_batches(spark, folder):
     feed, target = Feed(folder), table(spark, folder, "word_count")
     for i in range(4):
