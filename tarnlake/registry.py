@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timezone
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from tarnlake.schemas import TABLES, TOPICS, TableSpec, _schema
 from tarnlake.session import scratch_dir, stored
 from tarnlake.sources import external, messages, tables
 from tarnlake.streaming import chains, jobs, metrics, partitions, state
-from tarnlake.streaming.runner import RunSettings, started, upsert_stream
+from tarnlake.streaming.runner import RunSettings, run_together, started, upsert_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -770,11 +771,19 @@ def _new_table(spark, name) -> LakeTable:
     return LakeTable(spark, TABLES[name], scratch_dir(spark, name)).create()
 
 
+def _filled_together(spark, **starts) -> list[LakeTable]:
+    """The tables of streaming jobs, by name, that ran next to each other to the end of their input."""
+    targets = [_new_table(spark, name) for name in starts]
+    run_together(
+        [partial(start, target, RunSettings(scratch_dir(spark, "progress"), interval=None))
+         for start, target in zip(starts.values(), targets)],
+        attempts=0, look_every=0.1)
+    return targets
+
+
 def _filled(spark, name, start) -> LakeTable:
     """The table of a streaming job that ran to the end of its input."""
-    target = _new_table(spark, name)
-    start(target, RunSettings(scratch_dir(spark, "progress"), interval=None)).awaitTermination()
-    return target
+    return _filled_together(spark, **{name: start})[0]
 
 
 def _run(spark, name, start) -> DataFrame:
@@ -928,31 +937,34 @@ def stream_metrics(spark, sf):
 
 # --- chains: streams fill tables, jobs read them and fill others ---------------------------------
 
-def _summary_tables(spark, feed) -> tuple[LakeTable, LakeTable]:
+def _summary_tables(spark, feed, **others) -> list[LakeTable]:
+    """Both summaries, and the tables of other jobs over the same feed."""
     seen, bought = _behavior_stream(spark, feed), _order_stream(spark, feed)
-    return (
-        _filled(spark, "user_behavior_summary", lambda t, s: jobs.user_behavior_summary(seen, t, s)),
-        _filled(spark, "order_summary", lambda t, s: jobs.order_summary(bought, t, s)),
+    return _filled_together(
+        spark,
+        user_behavior_summary=lambda t, s: jobs.user_behavior_summary(seen, t, s),
+        order_summary=lambda t, s: jobs.order_summary(bought, t, s),
+        **others,
     )
 
 
-def _profile_table(spark, feed) -> LakeTable:
+def _profile_table(spark, summary, bought) -> LakeTable:
     target = _new_table(spark, "user_profile")
-    chains.user_profile(*_summary_tables(spark, feed), target, AS_OF, DAY)
+    chains.user_profile(summary, bought, target, AS_OF, DAY)
     return target
 
 
 @query
 def chain_user_profile(spark, sf):
-    return ntz_columns(chains.latest(_profile_table(spark, _event_feed(spark, sf))))
+    return ntz_columns(chains.latest(_profile_table(spark, *_summary_tables(spark, _event_feed(spark, sf)))))
 
 
 @query
 def chain_recommendations(spark, sf):
     feed = _event_feed(spark, sf)
-    stats = _filled(spark, "product_sales_stats", _stats_job(spark, sf, feed))
+    *summaries, stats = _summary_tables(spark, feed, product_sales_stats=_stats_job(spark, sf, feed))
     target = _new_table(spark, "real_time_recommendations")
-    chains.recommendations(_profile_table(spark, feed), stats, target, AS_OF, DAY, DAY)
+    chains.recommendations(_profile_table(spark, *summaries), stats, target, AS_OF, DAY, DAY)
     return ntz_columns(chains.latest(target))
 
 
